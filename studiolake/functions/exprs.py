@@ -142,7 +142,7 @@ def clean_date(c: ColumnOrName) -> Column:
     """NULL for empty, ``0000...`` or ``-...`` text; else the first 10 chars as a date."""
     c = col(c)
     return F.when(_is_junk_date_text(c), F.lit(None).cast("date")).otherwise(
-        F.try_to_date(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")))
+        F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
 
 
 def clean_ts(c: ColumnOrName) -> Column:

@@ -46,8 +46,13 @@ def gen_classes(t: Tables) -> DataFrame:
 
 def sequential_ids(df: DataFrame, order: list, id_col: str = "seq_id") -> DataFrame:
     """1..n in the given total order (order must be unique for determinism)."""
+    from studiolake.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    # Materialise the sorted, partition-tagged rows once (reliable checkpoint in
+    # the shared checkpoint folder): the counts and the numbering must see the
+    # same partitioning, and a re-run after an executor loss must not re-sort.
     s = df.orderBy(*order).select("*", F.spark_partition_id().alias("_pid"),
-                                  F.monotonically_increasing_id().alias("_mid"))
+                                  F.monotonically_increasing_id().alias("_mid")).checkpoint(eager=True)
     # monotonically_increasing_id = (partition id << 33) + row index within the partition
     s = s.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

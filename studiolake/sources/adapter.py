@@ -249,7 +249,10 @@ def leads(raw: dict[str, DataFrame]) -> DataFrame:
 
 def canonical(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All canonical tables, lazily derived from the driver parquet in ``sf_dir``."""
-    raw = read_driver(spark, sf_dir)
+    return canonical_from_raw(read_driver(spark, sf_dir))
+
+
+def canonical_from_raw(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     bk = bookings(raw)
     cl = classes(bk)
     return {
