@@ -25,7 +25,10 @@ from studiolake.functions import exprs as X
 from studiolake.operators import staging as S
 
 Tables = dict[str, DataFrame]
-ZERO = F.lit(0).cast("decimal(10,2)")
+
+
+def _zero() -> F.Column:
+    return F.lit(0).cast("decimal(10,2)")
 
 
 def _months(as_of: dt.date, k: int) -> F.Column:
@@ -33,7 +36,7 @@ def _months(as_of: dt.date, k: int) -> F.Column:
 
 
 def _paid(amount="amount") -> F.Column:
-    return F.when(F.col("status") == "paid", F.col(amount)).otherwise(ZERO)
+    return F.when(F.col("status") == "paid", F.col(amount)).otherwise(_zero())
 
 
 def _cents(c) -> F.Column:
@@ -69,14 +72,14 @@ def month_totals(t: Tables, as_of: dt.date) -> DataFrame:
     # without rows has no group at all (NULL, coalesced to 0 in the summary).
     return agg.select(
         "box_id",
-        F.when(F.col("_cur_rows") > 0, F.coalesce("collected_this_month", ZERO)).alias("collected_this_month"),
-        F.when(F.col("_cur_rows") > 0, F.coalesce("pending_this_month", ZERO)).alias("pending_this_month"),
-        F.when(F.col("_cur_rows") > 0, F.coalesce("overdue_total", ZERO)).alias("overdue_total"),
+        F.when(F.col("_cur_rows") > 0, F.coalesce("collected_this_month", _zero())).alias("collected_this_month"),
+        F.when(F.col("_cur_rows") > 0, F.coalesce("pending_this_month", _zero())).alias("pending_this_month"),
+        F.when(F.col("_cur_rows") > 0, F.coalesce("overdue_total", _zero())).alias("overdue_total"),
         F.when(F.col("_cur_rows") > 0, F.col("overdue_members_count")).alias("overdue_members_count"),
-        X.pct_half_up(_cents(F.coalesce("collected_this_month", ZERO)), _cents("_cur_total"), 1)
+        X.pct_half_up(_cents(F.coalesce("collected_this_month", _zero())), _cents("_cur_total"), 1)
          .alias("collection_rate_pct"),
-        F.when(F.col("_lm_rows") > 0, F.coalesce("last_month_collected", ZERO)).alias("last_month_collected"),
-        F.when(F.col("_pm_rows") > 0, F.coalesce("prev_month_collected", ZERO)).alias("prev_month_collected"))
+        F.when(F.col("_lm_rows") > 0, F.coalesce("last_month_collected", _zero())).alias("last_month_collected"),
+        F.when(F.col("_pm_rows") > 0, F.coalesce("prev_month_collected", _zero())).alias("prev_month_collected"))
 
 
 def avg_monthly_revenue(t: Tables, as_of: dt.date) -> DataFrame:
@@ -115,13 +118,13 @@ def monetization_summary(t: Tables, as_of: dt.date) -> DataFrame:
          .join(avg_monthly_revenue(t, as_of), "box_id", "left")
          .join(freeze_summary(t, as_of), "box_id", "left")
          .join(new_member_mrr(t, as_of), "box_id", "left"))
-    z = lambda c, zero=ZERO: F.coalesce(F.col(c), zero).alias(c)
+    z = lambda c, zero=_zero(): F.coalesce(F.col(c), zero).alias(c)
     return j.select(
         "box_id", "mrr", z("collected_this_month"), z("pending_this_month"), z("overdue_total"),
         z("overdue_members_count", F.lit(0)), z("collection_rate_pct", F.lit(0.0)),
         z("avg_monthly_revenue", F.lit(0)), z("frozen_count", F.lit(0)), z("frozen_revenue_impact"),
         z("avg_freeze_days", F.lit(0)), z("last_month_collected"), z("prev_month_collected"),
-        z("new_member_count", F.lit(0)), F.coalesce(F.col("new_mrr"), ZERO).alias("new_member_mrr"))
+        z("new_member_count", F.lit(0)), F.coalesce(F.col("new_mrr"), _zero()).alias("new_member_mrr"))
 
 
 def revenue_by_plan(t: Tables, as_of: dt.date) -> DataFrame:
@@ -204,7 +207,7 @@ def frozen_mrr_monthly(t: Tables, as_of: dt.date) -> DataFrame:
                           F.explode(F.sequence("m_first", "m_last", F.expr("INTERVAL 1 MONTH"))).alias("period_start"))
     return (months.groupBy("box_id", "period_start")
                   .agg(F.count(F.lit(1)).alias("freeze_count"),
-                       F.coalesce(F.sum("price"), ZERO).alias("period_revenue")))
+                       F.coalesce(F.sum("price"), _zero()).alias("period_revenue")))
 
 
 MONETIZATION_COLUMNS = [
