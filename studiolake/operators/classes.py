@@ -3,9 +3,10 @@
 Plan notes
 * Bookings join classes on the four session keys (date, time text, name,
   box); the composite key spreads evenly even when one box dominates.
-* The session rollup (H2) feeds five aggregates.  They are expressed as five
-  aggregates over the same DataFrame and unioned; Spark's exchange reuse
-  computes the session shuffle once (``ReusedExchange`` in the plan).
+* The session rollup (H2) feeds five aggregates.  The union mart (H8) builds
+  them in one pass (each session exploded into its group keys, one
+  aggregate), so the rollup is computed once; the single-type functions
+  (H3-H7) remain for callers that need one record type.
 * Per-session rates are kept as integer tenths of a percent so that the
   averages of already-rounded rates (double rounding) are exact.
 """
@@ -118,24 +119,53 @@ CLASSES_COLUMNS = [
 ]
 
 
-def _shape(df: DataFrame, record_type: str) -> DataFrame:
+def _shape(df: DataFrame, record_type: str | None) -> DataFrame:
     have = set(df.columns)
     return df.select(*[
-        (F.lit(record_type) if n == "record_type" else (F.col(n) if n in have else F.lit(None))).cast(ty).alias(n)
-        for n, ty in CLASSES_COLUMNS])
+        (F.lit(record_type) if n == "record_type" and record_type else (F.col(n) if n in have else F.lit(None)))
+        .cast(ty).alias(n) for n, ty in CLASSES_COLUMNS])
 
 
 def classes_mart(t: Tables) -> DataFrame:
-    """H8: union of the five record types."""
+    """H8: the five record types in ONE pass over the session rollup.
+
+    Each session row is exploded into the (at most five) group keys it feeds
+    - box summary, coach, class type, week, day x hour - and a single
+    aggregate computes every group (partial aggregation map-side, so the
+    per-box summary key is combined before the shuffle even for a dominant
+    box).  This is grouping sets written out: one scan, one join, two
+    shuffles, instead of recomputing the rollup for each union branch.
+    """
     s = class_sessions(t, keep_tenths=True)
-    parts = [
-        _shape(class_summary(t, s).drop("avg_registration_rate"), "summary"),
-        _shape(coach_leaderboard(t, s), "by_coach"),
-        _shape(class_types(t, s), "by_class_type"),
-        _shape(class_weekly(t, s), "weekly_trend"),
-        _shape(class_heatmap(t, s), "heatmap"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    null_s, null_d, null_i = F.lit(None).cast("string"), F.lit(None).cast("date"), F.lit(None).cast("int")
+
+    def key(rt, label=null_s, period=null_d, dow=null_i, hour=null_i):
+        return F.struct(F.lit(rt).alias("record_type"), label.alias("label"), period.alias("period_start"),
+                        dow.alias("day_of_week"), hour.alias("hour_of_day"))
+
+    has_coach = F.col("coach").isNotNull() & (F.col("coach") != "")
+    keys = F.array(key("summary"),
+                   F.when(has_coach, key("by_coach", F.col("coach"))),
+                   key("by_class_type", F.col("class_name")),
+                   key("weekly_trend", period=F.col("booked_week")),
+                   key("heatmap", dow=F.col("day_of_week").cast("int"), hour=F.col("hour_of_day").cast("int")))
+    e = s.select("box_id", "class_name", "registrations", "checkins", "first_timers", "fill_t",
+                 F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("*", "k.*").drop("k")
+    g = e.groupBy("record_type", "box_id", "label", "period_start", "day_of_week", "hour_of_day").agg(
+        F.count(F.lit(1)).alias("total_sessions"), F.sum("registrations").alias("total_registrations"),
+        F.sum("checkins").alias("total_checkins"), F.sum("first_timers").alias("total_first_timers"),
+        _avg_tenths("fill_t").alias("avg_fill_rate"), _showup().alias("avg_showup_rate"),
+        F.mode("class_name", True).alias("top_class"))
+    rt = F.col("record_type")
+
+    def only(c, *types):
+        return F.when(rt.isin(*types), F.col(c))
+
+    return _shape(g.select(
+        "record_type", "box_id", "label", "total_sessions",
+        only("total_registrations", "summary", "by_coach", "by_class_type", "weekly_trend")
+        .alias("total_registrations"),
+        "total_checkins", only("total_first_timers", "summary").alias("total_first_timers"), "avg_fill_rate",
+        only("avg_showup_rate", "summary", "by_coach", "by_class_type").alias("avg_showup_rate"),
+        "period_start", "day_of_week", "hour_of_day", only("top_class", "by_coach").alias("top_class")),
+        None)

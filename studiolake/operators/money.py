@@ -225,16 +225,17 @@ MONETIZATION_COLUMNS = [
 ]
 
 
-def _shape(df: DataFrame, record_type: str, **renames: str) -> DataFrame:
-    df = df.select(*[F.col(src).alias(dst) for dst, src in renames.items()]) if renames else df
+def _shape(df: DataFrame, record_type: str | None) -> DataFrame:
     have = set(df.columns)
     return df.select(*[
-        (F.lit(record_type) if n == "record_type" else (F.col(n) if n in have else F.lit(None))).cast(ty).alias(n)
-        for n, ty in MONETIZATION_COLUMNS])
+        (F.lit(record_type) if n == "record_type" and record_type else (F.col(n) if n in have else F.lit(None)))
+        .cast(ty).alias(n) for n, ty in MONETIZATION_COLUMNS])
 
 
-def monetization(t: Tables, as_of: dt.date) -> DataFrame:
-    """Union of the ten record types into the 30-column table."""
+def monetization_by_branch(t: Tables, as_of: dt.date) -> DataFrame:
+    """G17 as the literal union of the ten record-type queries (reference
+    shape).  Each branch re-reads its source; kept for comparison - use
+    :func:`monetization`, which computes the same rows in one pass per source."""
     fm = freeze_monthly(t, as_of)
     parts = [
         _shape(monetization_summary(t, as_of), "summary"),
@@ -252,3 +253,160 @@ def monetization(t: Tables, as_of: dt.date) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# Contribution columns of the one-pass monetisation plan (name, type).
+_CONTRIB = [
+    ("act_n", "bigint"), ("act_sum", "decimal(20,2)"), ("new_n", "bigint"), ("new_sum", "decimal(20,2)"),
+    ("cur_paid", "decimal(20,2)"), ("cur_pending", "decimal(20,2)"), ("cur_overdue", "decimal(20,2)"),
+    ("cur_amount", "decimal(20,2)"), ("cur_rows", "bigint"), ("last_paid", "decimal(20,2)"), ("last_rows", "bigint"),
+    ("prev_paid", "decimal(20,2)"), ("prev_rows", "bigint"), ("comp_paid", "decimal(20,2)"), ("comp_months", "bigint"),
+    ("ovd_members", "bigint"), ("fz_n", "bigint"), ("fz_price", "decimal(20,2)"), ("fz_days", "bigint"),
+    ("fz_days_n", "bigint"), ("n", "bigint"), ("price", "decimal(20,2)"), ("days", "bigint"), ("days_n", "bigint"),
+    ("revenue", "decimal(20,2)"), ("overdue_amount", "decimal(20,2)"), ("overdue_since", "date"),
+    ("member_name", "string"), ("member_email", "string"), ("member_phone", "string"),
+]
+_KEYS = [("record_type", "string"), ("box_id", "bigint"), ("plan_type", "string"), ("period_start", "date"),
+         ("reason", "string"), ("member_id", "bigint")]
+
+
+def _contrib(df: DataFrame, items: list[F.Column]) -> DataFrame:
+    """Explode each row into (key, contribution) structs; NULL items are skipped."""
+    return df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("c")).select("c.*")
+
+
+def _item(record_type: str, box, **cols) -> F.Column:
+    """One contribution: the full key + contribution record, NULL where not given."""
+    given = {"record_type": F.lit(record_type), "box_id": box, **cols}
+    return F.struct(*[(given[n] if n in given else F.lit(None)).cast(ty).alias(n) for n, ty in _KEYS + _CONTRIB])
+
+
+def monetization(t: Tables, as_of: dt.date) -> DataFrame:
+    """The ten record types of the monetisation mart, one pass per source.
+
+    * payments: one (box, month) aggregate feeds the monthly-revenue rows and
+      the summary's current / last / previous / complete-month figures; the
+      84-day weekly slice and the current month's overdue members are two
+      filtered aggregates (pushed-down date predicates);
+    * memberships and holds: every row is exploded into the record keys it
+      contributes to (by plan / summary; by reason, by plan, start month,
+      start week, summary, and each overlapped calendar month);
+    * one final aggregate merges all contributions by (record type, key).
+    All shuffles carry partially aggregated rows; nothing is re-read per branch.
+    """
+    d = X.lit_date(as_of)
+    m0, m1, mm1, mm2 = _months(as_of, 0), _months(as_of, 1), _months(as_of, -1), _months(as_of, -2)
+    c365, c84 = F.date_sub(d, 365), F.date_sub(d, 84)
+    box = F.col("box_id")
+
+    # -- payments ----------------------------------------------------------------
+    p = S.stg_payments(t)
+    st, amt, pd = F.col("status"), F.col("amount"), F.col("payment_date")
+    pm = p.groupBy("box_id", "payment_month").agg(
+        F.sum(_paid()).alias("paid"), F.count(F.lit(1)).alias("rows"),
+        F.sum(F.when(st == "pending", amt).otherwise(_zero())).alias("pending"),
+        F.sum(F.when(st == "overdue", amt).otherwise(_zero())).alias("overdue"),
+        F.sum(amt).alias("amount"),
+        F.sum(F.when(pd >= c365, _paid())).alias("paid_365"), F.count_if(pd >= c365).alias("rows_365"))
+    mo = F.col("payment_month")
+    pay_c = _contrib(pm, [
+        F.when(F.col("rows_365") > 0, _item("monthly_revenue", box, period_start=mo, revenue=F.col("paid_365"))),
+        _item("summary", box,
+              cur_paid=F.when(mo == m0, F.col("paid")), cur_pending=F.when(mo == m0, F.col("pending")),
+              cur_overdue=F.when(mo == m0, F.col("overdue")), cur_amount=F.when(mo == m0, F.col("amount")),
+              cur_rows=F.when(mo == m0, F.col("rows")),
+              last_paid=F.when(mo == mm1, F.col("paid")), last_rows=F.when(mo == mm1, F.col("rows")),
+              prev_paid=F.when(mo == mm2, F.col("paid")), prev_rows=F.when(mo == mm2, F.col("rows")),
+              comp_paid=F.when(mo < m0, F.col("paid")), comp_months=F.when(mo < m0, F.lit(1)))])
+    wk = (p.filter(pd >= c84).groupBy("box_id", X.week_start("payment_date").alias("wk"))
+           .agg(F.sum(_paid()).alias("paid")))
+    week_c = _contrib(wk, [_item("weekly_revenue", box, period_start=F.col("wk"), revenue=F.col("paid"))])
+    ovd = (p.filter((pd >= m0) & (pd < m1) & (st == "overdue")).groupBy("box_id")
+            .agg(F.count_distinct("member_id").alias("k")))
+    ovd_c = _contrib(ovd, [_item("summary", box, ovd_members=F.col("k"))])
+    om = overdue_members(t)
+    om_c = _contrib(om, [_item("overdue_members", box, member_id=F.col("member_id"),
+                               member_name=F.col("member_name"), member_email=F.col("member_email"),
+                               member_phone=F.col("member_phone"), overdue_amount=F.col("overdue_amount"),
+                               overdue_since=F.col("overdue_since"))])
+
+    # -- memberships -------------------------------------------------------------
+    ms = S.stg_memberships(t, as_of)
+    active = F.col("status") == "active"
+    new = active & (F.col("start_date") >= mm1) & (F.col("start_date") < m0)
+    ms_c = _contrib(ms, [
+        F.when(active, _item("by_plan", box, plan_type=F.col("plan_type"), n=F.lit(1), price=F.col("price"))),
+        _item("summary", box, act_n=F.when(active, F.lit(1)), act_sum=F.when(active, F.col("price")),
+              new_n=F.when(new, F.lit(1)), new_sum=F.when(new, F.col("price")))])
+
+    # -- holds -------------------------------------------------------------------
+    f = S.stg_freezes(t, as_of)
+    fs, fe, days, price = F.col("freeze_start"), F.col("freeze_end"), F.col("total_days"), F.col("price")
+    dn = F.when(days.isNotNull(), F.lit(1))
+    lo, hi = X.month_start(F.add_months(d, -11)), X.month_start(d)
+    first, last = F.greatest(X.month_start(fs), lo), F.least(X.month_start(fe), hi)
+    overlap = F.when(fs.isNotNull() & fe.isNotNull() & (first <= last),
+                     F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))).otherwise(F.array().cast("array<date>"))
+    f_items = [
+        _item("freeze_by_reason", box, reason=F.coalesce(F.col("reason"), F.lit("Other")), n=F.lit(1), days=days,
+              days_n=dn),
+        _item("freeze_by_plan", box, plan_type=F.coalesce(F.col("plan_type"), F.lit("Unknown")), n=F.lit(1),
+              days=days, days_n=dn, price=price),
+        F.when(fs >= c365, _item("freeze_monthly", box, period_start=X.month_start(fs), n=F.lit(1), days=days)),
+        F.when(fs >= c84, _item("freeze_weekly", box, period_start=X.week_start(fs), n=F.lit(1), days=days)),
+        F.when(F.col("is_active"), _item("summary", box, fz_n=F.lit(1), fz_price=price, fz_days=days,
+                                         fz_days_n=dn)),
+    ]
+    f_c = _contrib(f, f_items)
+    fm_c = _contrib(f.select("box_id", "price", F.explode(overlap).alias("m")),
+                    [_item("frozen_mrr_monthly", box, period_start=F.col("m"), n=F.lit(1), price=F.col("price"))])
+
+    allc = pay_c.unionByName(week_c).unionByName(ovd_c).unionByName(om_c).unionByName(ms_c) \
+                .unionByName(f_c).unionByName(fm_c)
+    s = lambda c: F.sum(c).alias(c)
+    g = allc.groupBy(*[k for k, _ in _KEYS]).agg(
+        *[s(c) for c, ty in _CONTRIB if ty != "string" and c != "overdue_since"],
+        F.min("overdue_since").alias("overdue_since"),
+        *[F.first(c, ignorenulls=True).alias(c) for c, ty in _CONTRIB if ty == "string"])
+
+    rt = F.col("record_type")
+    is_sum = rt == "summary"
+    zero, z0 = _zero(), F.lit(0)
+    cur = F.col("cur_rows") > 0
+
+    def when_rt(value, *types):
+        return F.when(rt.isin(*types), value)
+
+    out = g.filter(~is_sum | (F.coalesce(F.col("act_n"), z0) > 0)).select(
+        "record_type", "box_id",
+        when_rt(F.col("act_sum"), "summary").alias("mrr"),
+        when_rt(F.when(cur, F.coalesce("cur_paid", zero)).otherwise(zero), "summary").alias("collected_this_month"),
+        when_rt(F.when(cur, F.coalesce("cur_pending", zero)).otherwise(zero), "summary").alias("pending_this_month"),
+        when_rt(F.when(cur, F.coalesce("cur_overdue", zero)).otherwise(zero), "summary").alias("overdue_total"),
+        when_rt(F.coalesce("ovd_members", z0), "summary").alias("overdue_members_count"),
+        when_rt(F.coalesce(X.pct_half_up(_cents(F.coalesce("cur_paid", zero)), _cents("cur_amount"), 1),
+                           F.lit(0.0)), "summary").alias("collection_rate_pct"),
+        when_rt(F.coalesce(X.half_up_ratio(_cents("comp_paid"), F.col("comp_months") * 100), z0), "summary")
+        .alias("avg_monthly_revenue"),
+        when_rt(F.coalesce("fz_n", z0), "summary").alias("frozen_count"),
+        when_rt(F.coalesce("fz_price", zero), "summary").alias("frozen_revenue_impact"),
+        F.when(is_sum, F.coalesce(X.half_up_ratio("fz_days", "fz_days_n"), z0))
+         .when(rt.isin("freeze_by_reason", "freeze_by_plan"), X.half_up_ratio("days", "days_n"))
+         .alias("avg_freeze_days"),
+        when_rt(F.when(F.col("last_rows") > 0, F.coalesce("last_paid", zero)).otherwise(zero), "summary")
+        .alias("last_month_collected"),
+        when_rt(F.when(F.col("prev_rows") > 0, F.coalesce("prev_paid", zero)).otherwise(zero), "summary")
+        .alias("prev_month_collected"),
+        when_rt(F.coalesce("new_n", z0), "summary").alias("new_member_count"),
+        when_rt(F.coalesce("new_sum", zero), "summary").alias("new_member_mrr"),
+        "plan_type",
+        when_rt(F.col("n"), "by_plan").alias("plan_member_count"),
+        when_rt(F.col("price"), "by_plan", "freeze_by_plan").alias("plan_revenue"),
+        "period_start",
+        F.when(rt.isin("weekly_revenue", "monthly_revenue"), F.col("revenue"))
+         .when(rt == "frozen_mrr_monthly", F.coalesce(F.col("price"), zero)).alias("period_revenue"),
+        when_rt(F.col("n"), "freeze_by_reason", "freeze_monthly", "freeze_weekly", "freeze_by_plan",
+                "frozen_mrr_monthly").alias("freeze_count"),
+        when_rt(F.col("days"), "freeze_monthly", "freeze_weekly").alias("total_days_frozen"),
+        "reason", "member_id", "member_name", "member_email", "member_phone", "overdue_amount", "overdue_since")
+    return _shape(out, None)
