@@ -26,7 +26,7 @@ def dim_members(t: Tables) -> DataFrame:
     """L1: one row per member (latest load wins), with an is_active flag."""
     m = t["members"]
     latest = F.max_by(F.struct("name", "email", "phone", "join_date", "status", "box_id"),
-                      F.struct("created_at", "arbox_member_id"))
+                      F.struct("created_at", "source_member_id"))
     d = m.groupBy(F.col("id").alias("member_id")).agg(latest.alias("r"))
     return d.select("member_id", F.col("r.box_id").alias("box_id"), F.col("r.name").alias("full_name"),
                     F.col("r.email").alias("email"), F.col("r.phone").alias("phone"),

@@ -31,13 +31,13 @@ Tables = dict[str, DataFrame]
 SEED_ID_LIMIT = 10000       # fixed: source ids below this are synthetic seed rows
 KEY_SPACE = 10_000_000_000  # surrogate id = box_id * KEY_SPACE + source id
 UPSERT_KEYS = {
-    "members": ["box_id", "arbox_member_id"],
-    "memberships": ["box_id", "arbox_membership_id"],
-    "payments": ["box_id", "arbox_payment_id"],
-    "classes": ["box_id", "arbox_class_id"],
-    "bookings": ["box_id", "arbox_user_id", "booked_date", "booked_time", "class_name"],
-    "leads": ["box_id", "arbox_lead_id"],
-    "freezes": ["box_id", "arbox_hold_id"],
+    "members": ["box_id", "source_member_id"],
+    "memberships": ["box_id", "source_membership_id"],
+    "payments": ["box_id", "source_payment_id"],
+    "classes": ["box_id", "source_class_id"],
+    "bookings": ["box_id", "source_user_id", "booked_date", "booked_time", "class_name"],
+    "leads": ["box_id", "source_lead_id"],
+    "freezes": ["box_id", "source_hold_id"],
 }
 
 
@@ -146,7 +146,7 @@ def build_members(props: DataFrame, active: DataFrame) -> DataFrame:
                 .withColumn("_active", F.lit(True))
     p = props.filter(F.col("user_id").isNotNull())
     j = p.join(act, ["box_id", "user_id"], "left")
-    return j.select("box_id", F.col("user_id").alias("arbox_member_id"),
+    return j.select("box_id", F.col("user_id").alias("source_member_id"),
                     F.coalesce(F.col("name"), F.lit("Unknown")).alias("name"), "email", "phone",
                     F.when(F.col("_active").isNotNull(), "active").otherwise("inactive").alias("status"),
                     F.lit(None).cast("date").alias("join_date"), "feed_pos")
@@ -154,7 +154,7 @@ def build_members(props: DataFrame, active: DataFrame) -> DataFrame:
 
 def member_map(members: DataFrame) -> DataFrame:
     """(box_id, source user id) -> member id."""
-    return members.select("box_id", F.col("arbox_member_id").alias("user_id"), F.col("id").alias("member_id"))
+    return members.select("box_id", F.col("source_member_id").alias("user_id"), F.col("id").alias("member_id"))
 
 
 def build_memberships(raw: DataFrame, mmap: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def build_memberships(raw: DataFrame, mmap: DataFrame) -> DataFrame:
     st = F.lower(F.col("status"))
     status = (F.when(st.isin("cancelled", "cancel"), "cancelled").when(st == "expired", "expired")
               .otherwise("active"))
-    return j.select("box_id", "member_id", F.col("membership_user_id").alias("arbox_membership_id"),
+    return j.select("box_id", "member_id", F.col("membership_user_id").alias("source_membership_id"),
                     F.col("membership_type_name").alias("plan_type"),
                     F.coalesce(F.col("price"), F.lit(0.0)).cast("decimal(10,2)").alias("price"),
                     X.clean_date("start_date").alias("start_date"), X.clean_date("end_date").alias("end_date"),
@@ -175,13 +175,13 @@ def join_date_patch(raw: DataFrame, mmap: DataFrame) -> DataFrame:
     j = raw.join(mmap, ["box_id", "user_id"]).withColumn("_since", X.clean_date("member_since")) \
            .filter(F.col("_since").isNotNull())
     return j.groupBy("box_id", "user_id").agg(F.min_by("_since", F.col("feed_pos")).alias("join_date")) \
-            .select("box_id", F.col("user_id").alias("arbox_member_id"), "join_date")
+            .select("box_id", F.col("user_id").alias("source_member_id"), "join_date")
 
 
 def backfill_join_date(members: DataFrame, raw_memberships: DataFrame) -> DataFrame:
     """B9 + A7: members with join_date set from the memberships feed."""
     patch = join_date_patch(raw_memberships, member_map(members))
-    return update_col(members, patch, ["box_id", "arbox_member_id"], "join_date")
+    return update_col(members, patch, ["box_id", "source_member_id"], "join_date")
 
 
 def build_payments(raw: DataFrame, mmap: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def build_payments(raw: DataFrame, mmap: DataFrame) -> DataFrame:
     paid = F.coalesce(F.col("paid"), F.lit(0.0))
     debt = F.coalesce(F.col("debt"), F.lit(0.0))
     status = F.when(debt > 0, "overdue").when((paid >= price) & (price > 0), "paid").otherwise("pending")
-    return j.select("box_id", "member_id", F.col("sale_id").alias("arbox_payment_id"),
+    return j.select("box_id", "member_id", F.col("sale_id").alias("source_payment_id"),
                     price.cast("decimal(10,2)").alias("amount"), status.alias("status"),
                     X.clean_date("date").alias("payment_date"), X.clean_ts("date").alias("created_at"), "feed_pos")
 
@@ -207,7 +207,7 @@ def build_classes(raw: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif(F.col("class_name"), F.lit("")), F.nullif(F.col("series_name"), F.lit("")),
                       F.lit("WOD"))
     cap = F.coalesce(F.nullif(F.col("max_participants"), F.lit(0)), F.lit(20))
-    return r.select("box_id", F.col("schedule_id").alias("arbox_class_id"), name.alias("name"),
+    return r.select("box_id", F.col("schedule_id").alias("source_class_id"), name.alias("name"),
                     X.null_if_blank("staff_member").alias("coach"), sched.alias("scheduled_at"),
                     cap.cast("int").alias("max_capacity"), sched.alias("created_at"), "feed_pos")
 
@@ -218,7 +218,7 @@ def build_bookings(raw: DataFrame, mmap: DataFrame) -> DataFrame:
     role = F.coalesce(F.col("user_role"), F.lit("client"))
     r = raw.filter(F.col("user_id").isNotNull() & role.isin("client", ""))
     j = r.join(mmap, ["box_id", "user_id"], "left")
-    return j.select("box_id", "member_id", F.col("user_id").alias("arbox_user_id"), "class_name", "space_name",
+    return j.select("box_id", "member_id", F.col("user_id").alias("source_user_id"), "class_name", "space_name",
                     X.null_if_blank("staff_member").alias("coach"), X.clean_date("date").alias("booked_date"),
                     F.col("time").alias("booked_time"), X.yes("check_in").alias("checked_in"),
                     X.yes("is_first_session").alias("is_first_session"),
@@ -229,7 +229,7 @@ def build_bookings(raw: DataFrame, mmap: DataFrame) -> DataFrame:
 def build_leads(raw: DataFrame) -> DataFrame:
     """Open pipeline leads; names default to ''; status normalised."""
     r = raw.filter(F.col("user_id").isNotNull())
-    return r.select("box_id", F.col("user_id").alias("arbox_lead_id"),
+    return r.select("box_id", F.col("user_id").alias("source_lead_id"),
                     F.coalesce(F.col("first_name"), F.lit("")).alias("first_name"),
                     F.coalesce(F.col("last_name"), F.lit("")).alias("last_name"), "email", "phone",
                     X.lead_status("lead_status").alias("status"), F.col("lead_source").alias("source"),
@@ -239,9 +239,9 @@ def build_leads(raw: DataFrame) -> DataFrame:
 def classify_vanished(leads: DataFrame, feed: DataFrame, members: DataFrame) -> DataFrame:
     """B14 + A8: open stored leads missing from the current feed become
     'converted' when their phone key matches a member's, else 'lost'."""
-    in_feed = feed.filter(F.col("user_id").isNotNull()).select("box_id", F.col("user_id").alias("arbox_lead_id"))
+    in_feed = feed.filter(F.col("user_id").isNotNull()).select("box_id", F.col("user_id").alias("source_lead_id"))
     open_ = leads.filter(~F.col("status").isin("converted", "lost"))
-    gone = open_.join(in_feed, ["box_id", "arbox_lead_id"], "left_anti")
+    gone = open_.join(in_feed, ["box_id", "source_lead_id"], "left_anti")
     keys = members.filter(F.col("phone").isNotNull()).select("box_id", X.phone_key("phone").alias("_pk")) \
                   .filter(F.col("_pk").isNotNull()).distinct().withColumn("_match", F.lit(True))
     g = gone.select("id", "box_id", X.phone_key("phone").alias("_pk")).join(keys, ["box_id", "_pk"], "left")
@@ -260,8 +260,8 @@ def dedupe_holds(raw: DataFrame) -> DataFrame:
 def build_freezes(holds: DataFrame, mmap: DataFrame) -> DataFrame:
     """Hold rows; left join on the member map; price default 0."""
     j = holds.join(mmap, ["box_id", "user_id"], "left")
-    return j.select("box_id", "member_id", F.col("membership_hold_id").alias("arbox_hold_id"),
-                    F.col("membership_user_id").alias("arbox_membership_id"),
+    return j.select("box_id", "member_id", F.col("membership_hold_id").alias("source_hold_id"),
+                    F.col("membership_user_id").alias("source_membership_id"),
                     F.col("membership_type_name").alias("plan_type"),
                     X.clean_date("start_suspend_time").alias("freeze_start"),
                     X.clean_date("end_suspend_time").alias("freeze_end"), "total_days",

@@ -66,7 +66,7 @@ def freeze_events(t: Tables, as_of: dt.date, activity: DataFrame | None = None)
     m = S.stg_members(t).select("member_id", F.col("name").alias("member_name"))
     return (f.join(m, "member_id", "left").join(a.select("member_id", "health_tier", "health_score"),
                                                  "member_id", "left")
-             .select("box_id", "arbox_hold_id", "member_id", "member_name", "plan_type", "health_tier",
+             .select("box_id", "source_hold_id", "member_id", "member_name", "plan_type", "health_tier",
                      "health_score", "freeze_start", "freeze_end", "total_days", "reason", "price", "task_status",
                      "is_active"))
 

@@ -15,24 +15,24 @@ Tables = dict[str, DataFrame]
 # The constraints of the canonical schema.
 UNIQUE_KEYS = {
     "boxes": ["access_token"],
-    "members": ["box_id", "arbox_member_id"],
-    "memberships": ["box_id", "arbox_membership_id"],
-    "payments": ["box_id", "arbox_payment_id"],
-    "classes": ["box_id", "arbox_class_id"],
-    "freezes": ["box_id", "arbox_hold_id"],
+    "members": ["box_id", "source_member_id"],
+    "memberships": ["box_id", "source_membership_id"],
+    "payments": ["box_id", "source_payment_id"],
+    "classes": ["box_id", "source_class_id"],
+    "freezes": ["box_id", "source_hold_id"],
     "attendance": ["box_id", "member_id", "class_id"],
-    "leads": ["box_id", "arbox_lead_id"],
-    "bookings": ["box_id", "arbox_user_id", "booked_date", "booked_time", "class_name"],
+    "leads": ["box_id", "source_lead_id"],
+    "bookings": ["box_id", "source_user_id", "booked_date", "booked_time", "class_name"],
 }
 NOT_NULL = {
     "boxes": ["name", "email", "access_token", "created_at"],
-    "members": ["box_id", "arbox_member_id", "name", "status", "created_at"],
-    "memberships": ["box_id", "member_id", "arbox_membership_id", "status", "created_at"],
-    "payments": ["box_id", "member_id", "arbox_payment_id", "amount", "status", "created_at"],
-    "classes": ["box_id", "arbox_class_id", "name", "created_at"],
-    "freezes": ["box_id", "arbox_hold_id", "synced_at"],
+    "members": ["box_id", "source_member_id", "name", "status", "created_at"],
+    "memberships": ["box_id", "member_id", "source_membership_id", "status", "created_at"],
+    "payments": ["box_id", "member_id", "source_payment_id", "amount", "status", "created_at"],
+    "classes": ["box_id", "source_class_id", "name", "created_at"],
+    "freezes": ["box_id", "source_hold_id", "synced_at"],
     "attendance": ["box_id", "member_id", "class_id", "checked_in", "created_at"],
-    "leads": ["box_id", "arbox_lead_id", "status", "created_at"],
+    "leads": ["box_id", "source_lead_id", "status", "created_at"],
 }
 ACCEPTED = {
     ("members", "status"): ["active", "inactive"],

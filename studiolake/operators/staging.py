@@ -19,13 +19,13 @@ Tables = dict[str, DataFrame]
 
 def stg_members(t: Tables) -> DataFrame:
     m = t["members"]
-    return m.select(F.col("id").alias("member_id"), "box_id", "arbox_member_id", "name", "email",
+    return m.select(F.col("id").alias("member_id"), "box_id", "source_member_id", "name", "email",
                     "phone", "status", "join_date", "created_at")
 
 
 def stg_memberships(t: Tables, as_of: dt.date) -> DataFrame:
     m = t["memberships"]
-    return m.select(F.col("id").alias("membership_id"), "box_id", "member_id", "arbox_membership_id",
+    return m.select(F.col("id").alias("membership_id"), "box_id", "member_id", "source_membership_id",
                     "plan_type", "price", "start_date", "end_date", "status",
                     X.days_between("end_date", X.lit_date(as_of)).alias("days_until_expiry"),
                     "created_at")
@@ -33,7 +33,7 @@ def stg_memberships(t: Tables, as_of: dt.date) -> DataFrame:
 
 def stg_payments(t: Tables) -> DataFrame:
     p = t["payments"]
-    return p.select(F.col("id").alias("payment_id"), "box_id", "member_id", "arbox_payment_id",
+    return p.select(F.col("id").alias("payment_id"), "box_id", "member_id", "source_payment_id",
                     "amount", "status", "payment_date",
                     X.month_start("payment_date").alias("payment_month"), "created_at")
 
@@ -41,7 +41,7 @@ def stg_payments(t: Tables) -> DataFrame:
 def stg_classes(t: Tables) -> DataFrame:
     c = t["classes"]
     ts = F.col("scheduled_at")
-    return c.select(F.col("id").alias("class_id"), "box_id", "arbox_class_id",
+    return c.select(F.col("id").alias("class_id"), "box_id", "source_class_id",
                     F.col("name").alias("class_name"), "coach", "scheduled_at",
                     ts.cast("date").alias("class_date"),
                     F.date_format(ts, "HH:mm").alias("class_time"),
@@ -62,7 +62,7 @@ def stg_attendance(t: Tables) -> DataFrame:
 def stg_bookings(t: Tables) -> DataFrame:
     b = t["bookings"]
     return (b.filter(F.col("booked_date").isNotNull())
-             .select("id", "box_id", "member_id", "arbox_user_id", "class_name", "space_name", "coach",
+             .select("id", "box_id", "member_id", "source_user_id", "class_name", "space_name", "coach",
                      "booked_date", "booked_time", "checked_in", "is_first_session",
                      "membership_type", "sessions_left",
                      X.week_start("booked_date").alias("booked_week"),
@@ -75,7 +75,7 @@ def stg_bookings(t: Tables) -> DataFrame:
 def stg_leads(t: Tables, as_of: dt.date) -> DataFrame:
     lead = t["leads"]
     return lead.select(
-        F.col("id").alias("lead_id"), "box_id", "arbox_lead_id", "first_name", "last_name",
+        F.col("id").alias("lead_id"), "box_id", "source_lead_id", "first_name", "last_name",
         F.concat(F.col("first_name"), F.lit(" "), F.col("last_name")).alias("full_name"),
         "email", "phone", "source", "status", "lost_reason", "trial_date",
         X.funnel_stage_order("status").alias("funnel_stage_order"),
@@ -87,7 +87,7 @@ def stg_freezes(t: Tables, as_of: dt.date) -> DataFrame:
     f = t["freezes"]
     d = X.lit_date(as_of)
     return f.select(
-        F.col("id").alias("freeze_id"), "box_id", "member_id", "arbox_hold_id", "arbox_membership_id",
+        F.col("id").alias("freeze_id"), "box_id", "member_id", "source_hold_id", "source_membership_id",
         "plan_type", F.col("freeze_start").cast("date").alias("freeze_start"),
         F.col("freeze_end").cast("date").alias("freeze_end"), "total_days", "reason", "task_status",
         "price", ((F.col("freeze_start") <= d) & (F.col("freeze_end") >= d)).alias("is_active"),

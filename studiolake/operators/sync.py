@@ -35,33 +35,33 @@ def sync(spark: SparkSession, feeds: dict[str, DataFrame], current: dict[str, Da
     if not partial:
         rows = I.build_members(feeds["member_props"], feeds["active_members"])
         members = I.upsert(current["members"], rows, I.UPSERT_KEYS["members"],
-                           defaults={"id": I.surrogate("_key_box_id", "_key_arbox_member_id"), "created_at": ts})
+                           defaults={"id": I.surrogate("_key_box_id", "_key_source_member_id"), "created_at": ts})
         out["members"] = _next(spark, store, "members", members, version)
     mmap = I.member_map(out["members"])
     if not partial:
         ms = I.upsert(current["memberships"], I.build_memberships(feeds["memberships"], mmap),
                       I.UPSERT_KEYS["memberships"],
-                      defaults={"id": I.surrogate("_key_box_id", "_key_arbox_membership_id")})
+                      defaults={"id": I.surrogate("_key_box_id", "_key_source_membership_id")})
         out["memberships"] = _next(spark, store, "memberships", ms, version)
         out["members"] = _next(spark, store, "members", I.backfill_join_date(out["members"], feeds["memberships"]),
                                version + "b")
         mmap = I.member_map(out["members"])
     pay = I.upsert(current["payments"], I.build_payments(feeds["sales"], mmap), I.UPSERT_KEYS["payments"],
-                   defaults={"id": I.surrogate("_key_box_id", "_key_arbox_payment_id")})
+                   defaults={"id": I.surrogate("_key_box_id", "_key_source_payment_id")})
     out["payments"] = _next(spark, store, "payments", pay, version)
     cls = I.upsert(current["classes"], I.build_classes(feeds["classes"]), I.UPSERT_KEYS["classes"],
-                   defaults={"id": I.surrogate("_key_box_id", "_key_arbox_class_id")})
+                   defaults={"id": I.surrogate("_key_box_id", "_key_source_class_id")})
     out["classes"] = _next(spark, store, "classes", cls, version)
     bk = I.upsert(current["bookings"], I.build_bookings(feeds["bookings"], mmap), I.UPSERT_KEYS["bookings"],
-                  defaults={"id": F.concat_ws("-", "_key_box_id", "_key_arbox_user_id", "_key_booked_date",
+                  defaults={"id": F.concat_ws("-", "_key_box_id", "_key_source_user_id", "_key_booked_date",
                                               "_key_booked_time", "_key_class_name")})
     out["bookings"] = _next(spark, store, "bookings", bk, version)
     leads = I.upsert(current["leads"], I.build_leads(feeds["leads"]), I.UPSERT_KEYS["leads"],
-                     defaults={"id": I.surrogate("_key_box_id", "_key_arbox_lead_id")})
+                     defaults={"id": I.surrogate("_key_box_id", "_key_source_lead_id")})
     leads = I.classify_vanished(leads, feeds["leads"], out["members"])
     out["leads"] = _next(spark, store, "leads", leads, version)
     frz = I.upsert(current["freezes"], I.build_freezes(I.dedupe_holds(feeds["holds"]), mmap),
-                   I.UPSERT_KEYS["freezes"], defaults={"id": I.surrogate("_key_box_id", "_key_arbox_hold_id"),
+                   I.UPSERT_KEYS["freezes"], defaults={"id": I.surrogate("_key_box_id", "_key_source_hold_id"),
                                                        "synced_at": ts})
     out["freezes"] = _next(spark, store, "freezes", frz, version)
     return out

@@ -26,18 +26,18 @@ HEALTH_SPEC = (
 
 ENTRIES = [
     Entry("stg_members", lambda t: S.stg_members(t),
-          "member_id:l, box_id:l, arbox_member_id:l, name:s, email:s, phone:s, status:s, join_date:t, created_at:ts",
+          "member_id:l, box_id:l, source_member_id:l, name:s, email:s, phone:s, status:s, join_date:t, created_at:ts",
           "SELECT * FROM stg_members"),
     Entry("stg_memberships", lambda t: S.stg_memberships(t, D),
-          "membership_id:l, box_id:l, member_id:l, arbox_membership_id:l, plan_type:s, price:d, start_date:t, "
+          "membership_id:l, box_id:l, member_id:l, source_membership_id:l, plan_type:s, price:d, start_date:t, "
           "end_date:t, status:s, days_until_expiry:l, created_at:ts",
           "SELECT * FROM stg_memberships"),
     Entry("stg_payments", lambda t: S.stg_payments(t),
-          "payment_id:l, box_id:l, member_id:l, arbox_payment_id:l, amount:d, status:s, payment_date:t, "
+          "payment_id:l, box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, "
           "payment_month:t, created_at:ts",
           "SELECT * FROM stg_payments"),
     Entry("stg_classes", lambda t: S.stg_classes(t),
-          "class_id:l, box_id:l, arbox_class_id:l, class_name:s, coach:s, scheduled_at:ts, class_date:t, "
+          "class_id:l, box_id:l, source_class_id:l, class_name:s, coach:s, scheduled_at:ts, class_date:t, "
           "class_time:s, day_of_week:l, day_name:s, hour_of_day:l, max_capacity:l, created_at:ts",
           "SELECT * FROM stg_classes"),
     Entry("stg_attendance", lambda t: S.stg_attendance(t),
@@ -45,16 +45,16 @@ ENTRIES = [
           "day_of_week:l, hour_of_day:l, created_at:ts",
           "SELECT * FROM stg_attendance"),
     Entry("stg_bookings", lambda t: S.stg_bookings(t),
-          "id:s, box_id:l, member_id:l, arbox_user_id:l, class_name:s, space_name:s, coach:s, booked_date:t, "
+          "id:s, box_id:l, member_id:l, source_user_id:l, class_name:s, space_name:s, coach:s, booked_date:t, "
           "booked_time:s, checked_in:b, is_first_session:b, membership_type:s, sessions_left:l, booked_week:t, "
           "booked_month:t, day_of_week:l, hour_of_day:l",
           "SELECT * FROM stg_bookings"),
     Entry("stg_leads", lambda t: S.stg_leads(t, DL),
-          "lead_id:l, box_id:l, arbox_lead_id:l, first_name:s, last_name:s, full_name:s, email:s, phone:s, "
+          "lead_id:l, box_id:l, source_lead_id:l, first_name:s, last_name:s, full_name:s, email:s, phone:s, "
           "source:s, status:s, lost_reason:s, trial_date:t, funnel_stage_order:l, days_in_pipeline:l, created_at:ts",
           "SELECT * FROM stg_leads"),
     Entry("stg_freezes", lambda t: S.stg_freezes(t, D),
-          "freeze_id:l, box_id:l, member_id:l, arbox_hold_id:l, arbox_membership_id:l, plan_type:s, "
+          "freeze_id:l, box_id:l, member_id:l, source_hold_id:l, source_membership_id:l, plan_type:s, "
           "freeze_start:t, freeze_end:t, total_days:l, reason:s, task_status:s, price:d, is_active:b, synced_at:ts",
           "SELECT * FROM stg_freezes"),
     # D1-D4 building blocks

@@ -15,12 +15,12 @@ from studiolake.sources.adapter import AS_OF as D
 DOC_CTES = f"""
 l_dim_members AS (
   SELECT id AS member_id,
-         arg_max(box_id, (created_at, arbox_member_id)) AS box_id,
-         arg_max(name, (created_at, arbox_member_id)) AS full_name,
-         arg_max(email, (created_at, arbox_member_id)) AS email,
-         arg_max(phone, (created_at, arbox_member_id)) AS phone,
-         arg_max(join_date, (created_at, arbox_member_id)) AS join_date,
-         arg_max(status, (created_at, arbox_member_id)) = 'active' AS is_active
+         arg_max(box_id, (created_at, source_member_id)) AS box_id,
+         arg_max(name, (created_at, source_member_id)) AS full_name,
+         arg_max(email, (created_at, source_member_id)) AS email,
+         arg_max(phone, (created_at, source_member_id)) AS phone,
+         arg_max(join_date, (created_at, source_member_id)) AS join_date,
+         arg_max(status, (created_at, source_member_id)) = 'active' AS is_active
   FROM members GROUP BY id
 ),
 l_dim_subs AS (

@@ -72,62 +72,62 @@ def _last(src: str, keys: list[str], cols: list[str]) -> str:
             f"AS _rn FROM {src}) WHERE _rn = 1")
 
 
-MEMBER_COLS = ["id", "box_id", "arbox_member_id", "name", "email", "phone", "status", "join_date", "created_at"]
-PAY_COLS = ["id", "box_id", "member_id", "arbox_payment_id", "amount", "status", "payment_date", "created_at"]
-LEAD_COLS = ["id", "box_id", "arbox_lead_id", "first_name", "last_name", "email", "phone", "source", "status",
+MEMBER_COLS = ["id", "box_id", "source_member_id", "name", "email", "phone", "status", "join_date", "created_at"]
+PAY_COLS = ["id", "box_id", "member_id", "source_payment_id", "amount", "status", "payment_date", "created_at"]
+LEAD_COLS = ["id", "box_id", "source_lead_id", "first_name", "last_name", "email", "phone", "source", "status",
              "lost_reason", "trial_date", "created_at"]
-MS_ROW_COLS = ["box_id", "member_id", "arbox_membership_id", "plan_type", "price", "start_date", "end_date",
+MS_ROW_COLS = ["box_id", "member_id", "source_membership_id", "plan_type", "price", "start_date", "end_date",
                "status", "created_at"]
 AS_OF_TS = f"CAST({AS_OF} AS TIMESTAMP)"
 
 INGEST_CTES = f"""
 in_member_rows AS (
-  {_last('''(SELECT p.box_id, p.user_id AS arbox_member_id, coalesce(p.name, 'Unknown') AS name, p.email, p.phone,
+  {_last('''(SELECT p.box_id, p.user_id AS source_member_id, coalesce(p.name, 'Unknown') AS name, p.email, p.phone,
                  CASE WHEN a.user_id IS NOT NULL THEN 'active' ELSE 'inactive' END AS status,
                  CAST(NULL AS DATE) AS join_date, p.feed_pos
           FROM fd_props p LEFT JOIN (SELECT DISTINCT box_id, user_id FROM fd_active WHERE user_id IS NOT NULL) a
             ON p.box_id = a.box_id AND p.user_id = a.user_id WHERE p.user_id IS NOT NULL)''',
-         ["box_id", "arbox_member_id"], ["box_id", "arbox_member_id", "name", "email", "phone", "status", "join_date"])}
+         ["box_id", "source_member_id"], ["box_id", "source_member_id", "name", "email", "phone", "status", "join_date"])}
 ),
 in_members AS (
-  {_upsert_sql("members", "in_member_rows", ["box_id", "arbox_member_id"],
+  {_upsert_sql("members", "in_member_rows", ["box_id", "source_member_id"],
                ["name", "email", "phone", "status", "join_date"], MEMBER_COLS,
-               {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.arbox_member_id", "created_at": AS_OF_TS})}
+               {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_member_id", "created_at": AS_OF_TS})}
 ),
-in_map AS (SELECT box_id, arbox_member_id AS user_id, id AS member_id FROM in_members),
+in_map AS (SELECT box_id, source_member_id AS user_id, id AS member_id FROM in_members),
 in_ms_rows AS (
-  {_last(f'''(SELECT f.box_id, m.member_id, f.membership_user_id AS arbox_membership_id,
+  {_last(f'''(SELECT f.box_id, m.member_id, f.membership_user_id AS source_membership_id,
                  f.membership_type_name AS plan_type, CAST(coalesce(f.price, 0.0) AS DECIMAL(10,2)) AS price,
                  {cd('f.start_date')} AS start_date, {cd('f.end_date')} AS end_date,
                  CASE WHEN lower(f.status) IN ('cancelled', 'cancel') THEN 'cancelled'
                       WHEN lower(f.status) = 'expired' THEN 'expired' ELSE 'active' END AS status,
                  {cts('f.purchase_date')} AS created_at, f.feed_pos
           FROM fd_memberships f JOIN in_map m ON f.box_id = m.box_id AND f.user_id = m.user_id)''',
-         ["box_id", "arbox_membership_id"], MS_ROW_COLS)}
+         ["box_id", "source_membership_id"], MS_ROW_COLS)}
 ),
 in_join_patch AS (
-  SELECT f.box_id, f.user_id AS arbox_member_id, arg_min({cd('f.member_since')}, f.feed_pos) AS join_date
+  SELECT f.box_id, f.user_id AS source_member_id, arg_min({cd('f.member_since')}, f.feed_pos) AS join_date
   FROM fd_memberships f JOIN in_map m ON f.box_id = m.box_id AND f.user_id = m.user_id
   WHERE {cd('f.member_since')} IS NOT NULL GROUP BY f.box_id, f.user_id
 ),
 in_backfilled AS (
-  SELECT m.id, m.box_id, m.arbox_member_id, m.name, m.email, m.phone, m.status,
-         CASE WHEN p.arbox_member_id IS NOT NULL THEN p.join_date ELSE m.join_date END AS join_date, m.created_at
-  FROM in_members m LEFT JOIN in_join_patch p ON m.box_id = p.box_id AND m.arbox_member_id = p.arbox_member_id
+  SELECT m.id, m.box_id, m.source_member_id, m.name, m.email, m.phone, m.status,
+         CASE WHEN p.source_member_id IS NOT NULL THEN p.join_date ELSE m.join_date END AS join_date, m.created_at
+  FROM in_members m LEFT JOIN in_join_patch p ON m.box_id = p.box_id AND m.source_member_id = p.source_member_id
 ),
 in_pay_rows AS (
-  {_last('''(SELECT f.box_id, m.member_id, f.sale_id AS arbox_payment_id,
+  {_last('''(SELECT f.box_id, m.member_id, f.sale_id AS source_payment_id,
                  CAST(coalesce(f.price, 0.0) AS DECIMAL(10,2)) AS amount,
                  CASE WHEN coalesce(f.debt, 0.0) > 0 THEN 'overdue'
                       WHEN coalesce(f.paid, 0.0) >= coalesce(f.price, 0.0) AND coalesce(f.price, 0.0) > 0 THEN 'paid'
                       ELSE 'pending' END AS status, ''' + cd('f.date') + ''' AS payment_date,
                  ''' + cts('f.date') + ''' AS created_at, f.feed_pos
           FROM fd_sales f JOIN in_map m ON f.box_id = m.box_id AND f.user_id = m.user_id)''',
-         ["box_id", "arbox_payment_id"],
-         ["box_id", "member_id", "arbox_payment_id", "amount", "status", "payment_date", "created_at"])}
+         ["box_id", "source_payment_id"],
+         ["box_id", "member_id", "source_payment_id", "amount", "status", "payment_date", "created_at"])}
 ),
 in_classes AS (
-  SELECT box_id, schedule_id AS arbox_class_id,
+  SELECT box_id, schedule_id AS source_class_id,
          coalesce(nullif(class_name, ''), nullif(series_name, ''), 'WOD') AS name,
          nullif(trim(staff_member), '') AS coach,
          CASE WHEN coalesce(date, '') = '' THEN NULL
@@ -136,7 +136,7 @@ in_classes AS (
   FROM fd_classes WHERE schedule_id IS NOT NULL
 ),
 in_booking_rows AS (
-  {_last(f'''(SELECT f.box_id, m.member_id, f.user_id AS arbox_user_id, f.class_name, f.space_name,
+  {_last(f'''(SELECT f.box_id, m.member_id, f.user_id AS source_user_id, f.class_name, f.space_name,
                  nullif(trim(f.staff_member), '') AS coach, {cd('f.date')} AS booked_date, f.time AS booked_time,
                  {yes_sql('f.check_in')} AS checked_in, {yes_sql('f.is_first_session')} AS is_first_session,
                  f.membership_type_name AS membership_type,
@@ -144,22 +144,22 @@ in_booking_rows AS (
                    AS sessions_left, f.feed_pos
           FROM fd_bookings f LEFT JOIN in_map m ON f.box_id = m.box_id AND f.user_id = m.user_id
           WHERE f.user_id IS NOT NULL AND coalesce(f.user_role, 'client') IN ('client', ''))''',
-         ["box_id", "arbox_user_id", "booked_date", "booked_time", "class_name"],
-         ["box_id", "member_id", "arbox_user_id", "class_name", "space_name", "coach", "booked_date", "booked_time",
+         ["box_id", "source_user_id", "booked_date", "booked_time", "class_name"],
+         ["box_id", "member_id", "source_user_id", "class_name", "space_name", "coach", "booked_date", "booked_time",
           "checked_in", "is_first_session", "membership_type", "sessions_left"])}
 ),
 in_lead_rows AS (
-  {_last(f'''(SELECT box_id, user_id AS arbox_lead_id, coalesce(first_name, '') AS first_name,
+  {_last(f'''(SELECT box_id, user_id AS source_lead_id, coalesce(first_name, '') AS first_name,
                  coalesce(last_name, '') AS last_name, email, phone, {lead_status_sql('lead_status')} AS status,
                  lead_source AS source, {cts('created_time')} AS created_at, feed_pos
           FROM fd_leads WHERE user_id IS NOT NULL)''',
-         ["box_id", "arbox_lead_id"],
-         ["box_id", "arbox_lead_id", "first_name", "last_name", "email", "phone", "status", "source", "created_at"])}
+         ["box_id", "source_lead_id"],
+         ["box_id", "source_lead_id", "first_name", "last_name", "email", "phone", "status", "source", "created_at"])}
 ),
 in_leads AS (
-  {_upsert_sql("leads", "in_lead_rows", ["box_id", "arbox_lead_id"],
+  {_upsert_sql("leads", "in_lead_rows", ["box_id", "source_lead_id"],
                ["first_name", "last_name", "email", "phone", "status", "source", "created_at"], LEAD_COLS,
-               {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.arbox_lead_id"})}
+               {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_lead_id"})}
 ),
 in_vanished AS (
   SELECT l.id, CASE WHEN k.pk IS NOT NULL THEN 'converted' ELSE 'lost' END AS new_status
@@ -169,7 +169,7 @@ in_vanished AS (
     ON l.box_id = k.box_id AND {phone_key_sql('l.phone')} = k.pk
   WHERE l.status NOT IN ('converted', 'lost')
     AND NOT EXISTS (SELECT 1 FROM fd_leads f WHERE f.user_id IS NOT NULL AND f.box_id = l.box_id
-                    AND f.user_id = l.arbox_lead_id)
+                    AND f.user_id = l.source_lead_id)
 ),
 in_holds AS (
   {_last('(SELECT * FROM fd_holds WHERE membership_hold_id IS NOT NULL AND membership_hold_id <> 0)',
@@ -178,7 +178,7 @@ in_holds AS (
           "start_suspend_time", "end_suspend_time", "total_days", "suspend_reason", "task_status", "price"])}
 )"""
 
-MEMBER_SPEC = ("id:l, box_id:l, arbox_member_id:l, name:s, email:s, phone:s, status:s, join_date:t, "
+MEMBER_SPEC = ("id:l, box_id:l, source_member_id:l, name:s, email:s, phone:s, status:s, join_date:t, "
                "created_at:ts")
 
 
@@ -194,7 +194,7 @@ def _raw(fn):
 def _members(t, f):
     rows = I.build_members(f["member_props"], f["active_members"])
     return I.upsert(t["members"], rows, I.UPSERT_KEYS["members"],
-                    defaults={"id": I.surrogate("_key_box_id", "_key_arbox_member_id"),
+                    defaults={"id": I.surrogate("_key_box_id", "_key_source_member_id"),
                               "created_at": F.lit(D).cast("timestamp_ntz")})
 
 
@@ -214,7 +214,7 @@ def _pay_rows(t, f):
 def _leads(t, f):
     rows = I.build_leads(f["leads"])
     return I.upsert(t["leads"], rows, I.UPSERT_KEYS["leads"],
-                    defaults={"id": I.surrogate("_key_box_id", "_key_arbox_lead_id")})
+                    defaults={"id": I.surrogate("_key_box_id", "_key_source_lead_id")})
 
 
 def _vanished(t, f):
@@ -265,57 +265,57 @@ ENTRIES = [
                                                            CAST(s.date_to AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS m)"""),
     _e("build_members", lambda t, f: I.last_wins(I.build_members(f["member_props"], f["active_members"]),
                                                  I.UPSERT_KEYS["members"]).drop("feed_pos"),
-       "box_id:l, arbox_member_id:l, name:s, email:s, phone:s, status:s, join_date:t",
+       "box_id:l, source_member_id:l, name:s, email:s, phone:s, status:s, join_date:t",
        "SELECT * FROM in_member_rows"),
     _e("upsert_members", _members, MEMBER_SPEC, "SELECT * FROM in_members"),
     _e("member_map", _mmap, "box_id:l, user_id:l, member_id:l", "SELECT * FROM in_map"),
     _e("build_memberships", _ms_rows,
-       "box_id:l, member_id:l, arbox_membership_id:l, plan_type:s, price:d, start_date:t, end_date:t, status:s, "
+       "box_id:l, member_id:l, source_membership_id:l, plan_type:s, price:d, start_date:t, end_date:t, status:s, "
        "created_at:ts", "SELECT * FROM in_ms_rows"),
     _e("upsert_memberships", lambda t, f: I.upsert(
            t["memberships"], I.build_memberships(f["memberships"], _mmap(t, f)), I.UPSERT_KEYS["memberships"],
-           defaults={"id": I.surrogate("_key_box_id", "_key_arbox_membership_id")}),
-       "id:l, box_id:l, member_id:l, arbox_membership_id:l, plan_type:s, price:d, start_date:t, end_date:t, "
+           defaults={"id": I.surrogate("_key_box_id", "_key_source_membership_id")}),
+       "id:l, box_id:l, member_id:l, source_membership_id:l, plan_type:s, price:d, start_date:t, end_date:t, "
        "status:s, created_at:ts",
-       _upsert_sql("memberships", "in_ms_rows", ["box_id", "arbox_membership_id"], MS_ROW_COLS[1:2] + MS_ROW_COLS[3:],
-                   ["id", "box_id", "member_id", "arbox_membership_id", "plan_type", "price", "start_date",
+       _upsert_sql("memberships", "in_ms_rows", ["box_id", "source_membership_id"], MS_ROW_COLS[1:2] + MS_ROW_COLS[3:],
+                   ["id", "box_id", "member_id", "source_membership_id", "plan_type", "price", "start_date",
                     "end_date", "status", "created_at"],
-                   {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.arbox_membership_id"})),
+                   {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_membership_id"})),
     _e("backfill_join_date", lambda t, f: I.backfill_join_date(_members(t, f), f["memberships"]), MEMBER_SPEC,
        "SELECT * FROM in_backfilled"),
     _e("build_payments", _pay_rows,
-       "box_id:l, member_id:l, arbox_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
+       "box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
        "SELECT * FROM in_pay_rows"),
     _e("upsert_payments", lambda t, f: I.upsert(
            t["payments"], I.build_payments(f["sales"], _mmap(t, f)), I.UPSERT_KEYS["payments"],
-           defaults={"id": I.surrogate("_key_box_id", "_key_arbox_payment_id")}),
-       "id:l, box_id:l, member_id:l, arbox_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
-       _upsert_sql("payments", "in_pay_rows", ["box_id", "arbox_payment_id"],
+           defaults={"id": I.surrogate("_key_box_id", "_key_source_payment_id")}),
+       "id:l, box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
+       _upsert_sql("payments", "in_pay_rows", ["box_id", "source_payment_id"],
                    ["member_id", "amount", "status", "payment_date", "created_at"], PAY_COLS,
-                   {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.arbox_payment_id"})),
+                   {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_payment_id"})),
     _e("insert_ignore_payments", lambda t, f: I.insert_ignore(
-           t["payments"], _pay_rows(t, f).withColumn("id", I.surrogate("box_id", "arbox_payment_id")),
+           t["payments"], _pay_rows(t, f).withColumn("id", I.surrogate("box_id", "source_payment_id")),
            I.UPSERT_KEYS["payments"]),
-       "id:l, box_id:l, member_id:l, arbox_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
+       "id:l, box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
        f"""SELECT * FROM payments UNION ALL
-           SELECT CAST(r.box_id AS BIGINT) * {KS} + r.arbox_payment_id AS id, r.box_id, r.member_id, r.arbox_payment_id,
+           SELECT CAST(r.box_id AS BIGINT) * {KS} + r.source_payment_id AS id, r.box_id, r.member_id, r.source_payment_id,
                   r.amount, r.status, r.payment_date, r.created_at
            FROM in_pay_rows r WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.box_id = r.box_id
-                                                AND p.arbox_payment_id = r.arbox_payment_id)"""),
+                                                AND p.source_payment_id = r.source_payment_id)"""),
     _e("build_classes", lambda t, f: I.build_classes(f["classes"]).drop("feed_pos", "created_at"),
-       "box_id:l, arbox_class_id:l, name:s, coach:s, scheduled_at:ts, max_capacity:l",
+       "box_id:l, source_class_id:l, name:s, coach:s, scheduled_at:ts, max_capacity:l",
        "SELECT * FROM in_classes"),
     _e("build_bookings", lambda t, f: I.last_wins(I.build_bookings(f["bookings"], _mmap(t, f)),
                                                   I.UPSERT_KEYS["bookings"]).drop("feed_pos"),
-       "box_id:l, member_id:l, arbox_user_id:l, class_name:s, space_name:s, coach:s, booked_date:t, booked_time:s, "
+       "box_id:l, member_id:l, source_user_id:l, class_name:s, space_name:s, coach:s, booked_date:t, booked_time:s, "
        "checked_in:b, is_first_session:b, membership_type:s, sessions_left:l", "SELECT * FROM in_booking_rows"),
     _e("build_leads", lambda t, f: I.last_wins(I.build_leads(f["leads"]), I.UPSERT_KEYS["leads"]).drop("feed_pos"),
-       "box_id:l, arbox_lead_id:l, first_name:s, last_name:s, email:s, phone:s, status:s, source:s, created_at:ts",
+       "box_id:l, source_lead_id:l, first_name:s, last_name:s, email:s, phone:s, status:s, source:s, created_at:ts",
        "SELECT * FROM in_lead_rows"),
     _e("vanished_leads", _vanished,
-       "id:l, box_id:l, arbox_lead_id:l, first_name:s, last_name:s, email:s, phone:s, source:s, status:s, "
+       "id:l, box_id:l, source_lead_id:l, first_name:s, last_name:s, email:s, phone:s, source:s, status:s, "
        "lost_reason:s, trial_date:t, created_at:ts",
-       "SELECT l.id, l.box_id, l.arbox_lead_id, l.first_name, l.last_name, l.email, l.phone, l.source, "
+       "SELECT l.id, l.box_id, l.source_lead_id, l.first_name, l.last_name, l.email, l.phone, l.source, "
        "coalesce(v.new_status, l.status) AS status, l.lost_reason, l.trial_date, l.created_at FROM in_leads l "
        "LEFT JOIN in_vanished v ON l.id = v.id"),
     _e("dedupe_holds", lambda t, f: I.dedupe_holds(f["holds"]).drop("feed_pos"),
@@ -323,18 +323,18 @@ ENTRIES = [
        "start_suspend_time:s, end_suspend_time:s, total_days:l, suspend_reason:s, task_status:s, price:d",
        "SELECT * FROM in_holds"),
     _e("build_freezes", lambda t, f: I.build_freezes(I.dedupe_holds(f["holds"]), _mmap(t, f)).drop("feed_pos"),
-       "box_id:l, member_id:l, arbox_hold_id:l, arbox_membership_id:l, plan_type:s, freeze_start:t, freeze_end:t, "
+       "box_id:l, member_id:l, source_hold_id:l, source_membership_id:l, plan_type:s, freeze_start:t, freeze_end:t, "
        "total_days:l, reason:s, task_status:s, price:d",
-       f"""SELECT h.box_id, m.member_id, h.membership_hold_id AS arbox_hold_id,
-                  h.membership_user_id AS arbox_membership_id, h.membership_type_name AS plan_type,
+       f"""SELECT h.box_id, m.member_id, h.membership_hold_id AS source_hold_id,
+                  h.membership_user_id AS source_membership_id, h.membership_type_name AS plan_type,
                   {cd('h.start_suspend_time')} AS freeze_start, {cd('h.end_suspend_time')} AS freeze_end, h.total_days,
                   h.suspend_reason AS reason, h.task_status, CAST(coalesce(h.price, 0.0) AS DECIMAL(10,2)) AS price
            FROM in_holds h LEFT JOIN in_map m ON h.box_id = m.box_id AND h.user_id = m.user_id"""),
     _e("retention_payments", lambda t, f: I.retention_window(t["payments"], "created_at", 90, D),
-       "id:l, box_id:l, member_id:l, arbox_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
+       "id:l, box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
        f"SELECT * FROM payments WHERE created_at >= {AS_OF_TS} - INTERVAL 90 DAY"),
-    _e("purge_seed_members", lambda t, f: I.purge_seed(t["members"], "arbox_member_id", PURGE_BOX), MEMBER_SPEC,
-       f"SELECT * FROM members WHERE NOT coalesce(box_id = {PURGE_BOX} AND arbox_member_id < {I.SEED_ID_LIMIT}, false)"),
+    _e("purge_seed_members", lambda t, f: I.purge_seed(t["members"], "source_member_id", PURGE_BOX), MEMBER_SPEC,
+       f"SELECT * FROM members WHERE NOT coalesce(box_id = {PURGE_BOX} AND source_member_id < {I.SEED_ID_LIMIT}, false)"),
     _e("purge_seed_attendance", lambda t, f: I.purge_seed(t["attendance"], None, PURGE_BOX),
        "id:s, box_id:l, member_id:l, class_id:l, checked_in:b, attended_at:ts, created_at:ts",
        f"SELECT * FROM attendance WHERE NOT coalesce(box_id = {PURGE_BOX}, false)"),

@@ -86,7 +86,7 @@ def boxes(raw: dict[str, DataFrame]) -> DataFrame:
         r.r_regionkey.alias("id"), r.r_name.alias("name"),
         F.concat(F.lit("box"), r.r_regionkey.cast("string"), F.lit("@example.test")).alias("email"),
         F.concat(F.lit("tok-"), r.r_regionkey.cast("string")).alias("access_token"),
-        r.r_regionkey.alias("arbox_box_id"),
+        r.r_regionkey.alias("source_box_id"),
         _ts(F.lit(AS_OF)).alias("created_at"))
 
 
@@ -97,7 +97,7 @@ def members(raw: dict[str, DataFrame]) -> DataFrame:
             .select(
                 k.alias("id"),
                 F.col("n_regionkey").alias("box_id"),
-                k.alias("arbox_member_id"),
+                k.alias("source_member_id"),
                 F.col("c_name").alias("name"),
                 F.when(k % 11 == 0, F.lit(None).cast("string"))
                  .otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@example.test"))).alias("email"),
@@ -123,7 +123,7 @@ def memberships(raw: dict[str, DataFrame]) -> DataFrame:
     start = _days_before(AS_OF, k * 13 % 800)
     return o.select(
         k.alias("id"), F.col("box_id"), F.col("o_custkey").alias("member_id"),
-        k.alias("arbox_membership_id"),
+        k.alias("source_membership_id"),
         _case(F.col("o_orderpriority"), PLAN_BY_PRIORITY).cast("string").alias("plan_type"),
         F.when(k % 41 == 0, F.lit(None).cast("decimal(10,2)")).otherwise(_price(o)).alias("price"),
         start.alias("start_date"),
@@ -139,7 +139,7 @@ def payments(raw: dict[str, DataFrame]) -> DataFrame:
     m = k % 7
     return o.select(
         k.alias("id"), F.col("box_id"), F.col("o_custkey").alias("member_id"),
-        k.alias("arbox_payment_id"), _price(o).alias("amount"),
+        k.alias("source_payment_id"), _price(o).alias("amount"),
         F.when(m == 0, "overdue").when(m == 1, "pending").otherwise("paid").alias("status"),
         _days_before(AS_OF, k % 400).alias("payment_date"),
         _ts(_days_before(AS_OF, k % 400)).alias("created_at"))
@@ -157,7 +157,7 @@ def bookings(raw: dict[str, DataFrame]) -> DataFrame:
         F.col("box_id"),
         F.when(F.col("l_orderkey") % 59 == 0, F.lit(None).cast("bigint"))
          .otherwise(F.col("o_custkey")).alias("member_id"),
-        F.col("o_custkey").alias("arbox_user_id"),
+        F.col("o_custkey").alias("source_user_id"),
         F.concat(F.lit("Class "), pk.cast("string")).alias("class_name"),
         F.lit(None).cast("string").alias("space_name"),
         F.when((pk == 2) & (sk == 2), F.lit(None).cast("string"))
@@ -184,7 +184,7 @@ def classes(bk: DataFrame) -> DataFrame:
             + F.datediff(F.col("booked_date"), F.lit(dt.date(1990, 1, 1)))) * 24 + F.col("hour")) * 10 + class_no
     sched = F.col("booked_date").cast("timestamp_ntz") + F.make_interval(hours=F.col("hour"))
     return s.select(
-        cid.alias("id"), F.col("box_id"), cid.alias("arbox_class_id"),
+        cid.alias("id"), F.col("box_id"), cid.alias("source_class_id"),
         F.col("class_name").alias("name"), F.col("coach"),
         sched.cast("timestamp_ntz").alias("scheduled_at"),
         F.when((F.col("class_name") == "Class 1") & (F.col("dow") == 5), F.lit(0))
@@ -216,7 +216,7 @@ def freezes(raw: dict[str, DataFrame]) -> DataFrame:
     return o.select(
         k.alias("id"), F.col("box_id"),
         F.when(k % 47 == 0, F.lit(None).cast("bigint")).otherwise(F.col("o_custkey")).alias("member_id"),
-        k.alias("arbox_hold_id"), k.alias("arbox_membership_id"),
+        k.alias("source_hold_id"), k.alias("source_membership_id"),
         _case(F.col("o_orderpriority"), PLAN_BY_PRIORITY).cast("string").alias("plan_type"),
         start.alias("freeze_start"),
         F.when(k % 53 == 0, F.lit(None).cast("date")).otherwise(F.date_add(start, total)).alias("freeze_end"),
@@ -233,7 +233,7 @@ def leads(raw: dict[str, DataFrame]) -> DataFrame:
     status = _case(F.col("event_type"), LEAD_STATUS_BY_EVENT).cast("string")
     pk = F.when(eid % 3 == 0, eid).otherwise(uid)
     return e.select(
-        eid.alias("id"), F.pmod(uid, F.lit(5)).cast("int").alias("box_id"), eid.alias("arbox_lead_id"),
+        eid.alias("id"), F.pmod(uid, F.lit(5)).cast("int").alias("box_id"), eid.alias("source_lead_id"),
         F.concat(F.lit("F"), uid.cast("string")).alias("first_name"),
         F.when(eid % 17 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("L"), eid.cast("string"))).alias("last_name"),

@@ -17,7 +17,7 @@ D = dt.date
 
 
 def _ms(spark, rows):
-    return spark.createDataFrame(rows, "id long, box_id int, member_id long, arbox_membership_id long, plan_type string, "
+    return spark.createDataFrame(rows, "id long, box_id int, member_id long, source_membership_id long, plan_type string, "
                                        "price int, start_date date, end_date date, status string, "
                                        "created_at timestamp_ntz")
 
@@ -101,18 +101,18 @@ def test_freeze_returned_matches_exists(spark, tables):
 
 def test_upsert_supplied_null_overwrites_absent_persists(spark):  # A5
     target = spark.createDataFrame([(1, 0, 10, "Ann", "x@y", "lost_reason_kept")],
-                                   "id long, box_id int, arbox_lead_id long, first_name string, email string, "
+                                   "id long, box_id int, source_lead_id long, first_name string, email string, "
                                    "lost_reason string")
     rows = spark.createDataFrame([(0, 10, "Anna", None, 1), (0, 10, "Old", "o@o", 0), (0, 11, "Bob", "b@b", 2)],
-                                 "box_id int, arbox_lead_id long, first_name string, email string, feed_pos long")
-    out = I.upsert(target, rows, ["box_id", "arbox_lead_id"],
-                   defaults={"id": I.surrogate("_key_box_id", "_key_arbox_lead_id")})
-    got = {r["arbox_lead_id"]: r.asDict() for r in out.collect()}
-    assert got[10] == {"id": 1, "box_id": 0, "arbox_lead_id": 10, "first_name": "Anna", "email": None,
+                                 "box_id int, source_lead_id long, first_name string, email string, feed_pos long")
+    out = I.upsert(target, rows, ["box_id", "source_lead_id"],
+                   defaults={"id": I.surrogate("_key_box_id", "_key_source_lead_id")})
+    got = {r["source_lead_id"]: r.asDict() for r in out.collect()}
+    assert got[10] == {"id": 1, "box_id": 0, "source_lead_id": 10, "first_name": "Anna", "email": None,
                        "lost_reason": "lost_reason_kept"}
     assert got[11]["id"] == 11 and got[11]["lost_reason"] is None
-    again = I.upsert(out, rows, ["box_id", "arbox_lead_id"],
-                     defaults={"id": I.surrogate("_key_box_id", "_key_arbox_lead_id")})
+    again = I.upsert(out, rows, ["box_id", "source_lead_id"],
+                     defaults={"id": I.surrogate("_key_box_id", "_key_source_lead_id")})
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))   # idempotent
 
 

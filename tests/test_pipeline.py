@@ -76,7 +76,7 @@ def test_streaming_upsert_matches_batch(spark):
     target = AD.canonical_from_raw(raw)["payments"]
     mmap = I.member_map(AD.canonical_from_raw(raw)["members"])
     keys = I.UPSERT_KEYS["payments"]
-    defaults = {"id": I.surrogate("_key_box_id", "_key_arbox_payment_id")}
+    defaults = {"id": I.surrogate("_key_box_id", "_key_source_payment_id")}
     v = run_upsert_stream(spark, f"{base}/landing", sales.schema, target, f"{base}/table", f"{base}/ckpt", keys,
                           prepare=lambda b: I.build_payments(b, mmap), defaults=defaults)
     assert v >= 0
