@@ -36,6 +36,18 @@ l_fct_att AS (
 )"""
 
 
+def _sql_functions(t):
+    """A3: the same rules through the SQL surface (temp views + SQL functions)."""
+    from studiolake.plans.sql_api import register_functions, register_views
+    spark = t["members"].sparkSession
+    register_functions(spark)
+    register_views(t, D)
+    return spark.sql("""SELECT member_id, sl_phone_key(phone) AS phone_key, sl_intl_phone(phone) AS intl_phone,
+                               sl_week_start(join_date) AS week_start, sl_dow0(join_date) AS dow0,
+                               sl_pct_half_up(member_id % 7, 7) AS renewal_pct
+                        FROM stg_members""")
+
+
 def _top(src: str, cols: str, order: str, k: int) -> str:
     return (f"SELECT {cols}, rank FROM (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY {order}) AS rank "
             f"FROM {src}) WHERE rank <= {k}")
@@ -108,6 +120,15 @@ ENTRIES = [
     _e("avg_attendance", L.avg_attendance, "box_id:l, sessions:l, checkins:l, avg_attendance:d",
        f"SELECT box_id, count(*) AS sessions, sum(checkins) AS checkins, "
        f"({hu('sum(checkins) * 10', 'count(*)')}) / 10.0 AS avg_attendance FROM h_sessions GROUP BY box_id"),
+    _e("sql_functions", _sql_functions,
+       "member_id:l, phone_key:s, intl_phone:s, week_start:t, dow0:l, renewal_pct:d",
+       """SELECT id AS member_id,
+                 CASE WHEN regexp_replace(phone, '[^0-9]', '', 'g') = '' THEN NULL
+                      ELSE right(regexp_replace(phone, '[^0-9]', '', 'g'), 9) END AS phone_key,
+                 '972' || regexp_replace(regexp_replace(phone, '^0', ''), '[-\\s]', '', 'g') AS intl_phone,
+                 CAST(date_trunc('week', join_date) AS DATE) AS week_start, dayofweek(join_date) AS dow0,
+                 CAST((id % 7 * 2000 + 7) // 14 AS DOUBLE) / 10.0 AS renewal_pct
+          FROM members"""),
     _e("gen_classes", G.gen_classes, "box_id:l, name:s, coach:s, scheduled_at:ts, max_capacity:l",
        """SELECT s.box_id, tp.name, tp.coach, CAST(d.class_date AS TIMESTAMP) + tp.hour * INTERVAL 1 HOUR AS scheduled_at,
                  20 AS max_capacity

@@ -85,3 +85,13 @@ def test_streaming_upsert_matches_batch(spark):
     cols = sorted(batch.columns)
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert streamed.count() == batch.count()
+
+
+def test_run_models_writes_every_mart(spark, tables):
+    from studiolake.operators.build import run_models
+    out = tempfile.mkdtemp(prefix="models-")
+    paths = run_models(spark, tables, out, AD.AS_OF, AD.AS_OF_LEADS)
+    assert len(paths) == 17
+    hs = spark.read.parquet(paths["mart_health_scores"])
+    assert hs.count() == tables["members"].count()
+    assert spark.read.parquet(paths["mart_monetization"]).filter("record_type = 'summary'").count() > 0
