@@ -288,11 +288,14 @@ def monetization(t: Tables, as_of: dt.date) -> DataFrame:
       the summary's current / last / previous / complete-month figures; the
       84-day weekly slice and the current month's overdue members are two
       filtered aggregates (pushed-down date predicates);
-    * memberships and holds: every row is exploded into the record keys it
-      contributes to (by plan / summary; by reason, by plan, start month,
-      start week, summary, and each overlapped calendar month);
-    * one final aggregate merges all contributions by (record type, key).
-    All shuffles carry partially aggregated rows; nothing is re-read per branch.
+    * memberships: one (box, plan) aggregate feeds by-plan rows and the
+      summary's MRR / new-member figures;
+    * holds: one aggregate keyed by every combination a hold feeds (reason,
+      plan, start month / week inside their windows, active today), plus the
+      month-overlap explode aggregated by (box, month).
+    Each aggregated row is exploded into the record keys it contributes to and
+    one final aggregate merges all contributions by (record type, key).  All
+    shuffles carry partially aggregated rows; nothing is re-read per branch.
     """
     d = X.lit_date(as_of)
     m0, m1, mm1, mm2 = _months(as_of, 0), _months(as_of, 1), _months(as_of, -1), _months(as_of, -2)
@@ -330,36 +333,45 @@ def monetization(t: Tables, as_of: dt.date) -> DataFrame:
                                member_phone=F.col("member_phone"), overdue_amount=F.col("overdue_amount"),
                                overdue_since=F.col("overdue_since"))])
 
-    # -- memberships -------------------------------------------------------------
+    # -- memberships: (box, plan) aggregate, then its rows feed by_plan + summary --
     ms = S.stg_memberships(t, as_of)
     active = F.col("status") == "active"
     new = active & (F.col("start_date") >= mm1) & (F.col("start_date") < m0)
-    ms_c = _contrib(ms, [
-        F.when(active, _item("by_plan", box, plan_type=F.col("plan_type"), n=F.lit(1), price=F.col("price"))),
-        _item("summary", box, act_n=F.when(active, F.lit(1)), act_sum=F.when(active, F.col("price")),
-              new_n=F.when(new, F.lit(1)), new_sum=F.when(new, F.col("price")))])
-
-    # -- holds -------------------------------------------------------------------
+    msa = ms.groupBy("box_id", "plan_type").agg(
+        F.count_if(active).alias("act_n"), F.sum(F.when(active, F.col("price"))).alias("act_sum"),
+        F.count_if(new).alias("new_n"), F.sum(F.when(new, F.col("price"))).alias("new_sum"))
+    ms_c = _contrib(msa, [
+        F.when(F.col("act_n") > 0, _item("by_plan", box, plan_type=F.col("plan_type"), n=F.col("act_n"),
+                                         price=F.col("act_sum"))),
+        _item("summary", box, act_n=F.col("act_n"), act_sum=F.col("act_sum"), new_n=F.col("new_n"),
+              new_sum=F.col("new_sum"))])
+
+    # -- holds: one aggregate over every key combination a hold feeds --------------
     f = S.stg_freezes(t, as_of)
-    fs, fe, days, price = F.col("freeze_start"), F.col("freeze_end"), F.col("total_days"), F.col("price")
-    dn = F.when(days.isNotNull(), F.lit(1))
+    fs, fe = F.col("freeze_start"), F.col("freeze_end")
+    fa = f.groupBy(
+        "box_id", F.coalesce(F.col("reason"), F.lit("Other")).alias("r"),
+        F.coalesce(F.col("plan_type"), F.lit("Unknown")).alias("pl"),
+        F.when(fs >= c365, X.month_start(fs)).alias("sm"), F.when(fs >= c84, X.week_start(fs)).alias("sw"),
+        F.coalesce(F.col("is_active"), F.lit(False)).alias("act")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_days").alias("days"), F.count("total_days").alias("days_n"),
+        F.sum("price").alias("price"))
+    n, days, dn, price = F.col("n"), F.col("days"), F.col("days_n"), F.col("price")
+    f_c = _contrib(fa, [
+        _item("freeze_by_reason", box, reason=F.col("r"), n=n, days=days, days_n=dn),
+        _item("freeze_by_plan", box, plan_type=F.col("pl"), n=n, days=days, days_n=dn, price=price),
+        F.when(F.col("sm").isNotNull(), _item("freeze_monthly", box, period_start=F.col("sm"), n=n, days=days)),
+        F.when(F.col("sw").isNotNull(), _item("freeze_weekly", box, period_start=F.col("sw"), n=n, days=days)),
+        F.when(F.col("act"), _item("summary", box, fz_n=n, fz_price=price, fz_days=days, fz_days_n=dn)),
+    ])
     lo, hi = X.month_start(F.add_months(d, -11)), X.month_start(d)
     first, last = F.greatest(X.month_start(fs), lo), F.least(X.month_start(fe), hi)
-    overlap = F.when(fs.isNotNull() & fe.isNotNull() & (first <= last),
-                     F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))).otherwise(F.array().cast("array<date>"))
-    f_items = [
-        _item("freeze_by_reason", box, reason=F.coalesce(F.col("reason"), F.lit("Other")), n=F.lit(1), days=days,
-              days_n=dn),
-        _item("freeze_by_plan", box, plan_type=F.coalesce(F.col("plan_type"), F.lit("Unknown")), n=F.lit(1),
-              days=days, days_n=dn, price=price),
-        F.when(fs >= c365, _item("freeze_monthly", box, period_start=X.month_start(fs), n=F.lit(1), days=days)),
-        F.when(fs >= c84, _item("freeze_weekly", box, period_start=X.week_start(fs), n=F.lit(1), days=days)),
-        F.when(F.col("is_active"), _item("summary", box, fz_n=F.lit(1), fz_price=price, fz_days=days,
-                                         fz_days_n=dn)),
-    ]
-    f_c = _contrib(f, f_items)
-    fm_c = _contrib(f.select("box_id", "price", F.explode(overlap).alias("m")),
-                    [_item("frozen_mrr_monthly", box, period_start=F.col("m"), n=F.lit(1), price=F.col("price"))])
+    spans = f.filter(fs.isNotNull() & fe.isNotNull()).select("box_id", "price", first.alias("a"), last.alias("b")) \
+             .filter(F.col("a") <= F.col("b"))
+    fm = spans.select("box_id", "price", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("m")) \
+              .groupBy("box_id", "m").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"))
+    fm_c = _contrib(fm, [_item("frozen_mrr_monthly", box, period_start=F.col("m"), n=F.col("n"),
+                               price=F.col("price"))])
 
     allc = pay_c.unionByName(week_c).unionByName(ovd_c).unionByName(om_c).unionByName(ms_c) \
                 .unionByName(f_c).unionByName(fm_c)

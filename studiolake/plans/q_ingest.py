@@ -188,6 +188,7 @@ def _raw(fn):
         t = AD.canonical_from_raw(raw)
         f = FD.all_feeds(raw)
         return fn(t, f)
+    build.inner = fn   # (canonical tables, feeds) -> result, for stored inputs
     return build
 
 
