@@ -180,8 +180,7 @@ def freeze_total(t: Tables, as_of: dt.date) -> DataFrame:
 
 def freeze_funnel(t: Tables, as_of: dt.date) -> DataFrame:
     """Completed -> returned / at_risk / churned steps with % of completed."""
-    o = J.freeze_outcomes(t, as_of)
-    tot = o.select("box_id", "total_completed", "total_returned", "total_at_risk", "total_churned").distinct()
+    tot = J.freeze_outcome_totals(J.classified_freezes(t, as_of))
     def step(i, name, c):
         return F.struct(F.lit(i).alias("ord"), F.lit(name).alias("step"), F.col(c).alias("count"))
 

@@ -76,9 +76,8 @@ def last_checkins(t: Tables) -> DataFrame:
     return b.groupBy("box_id", "member_id").agg(F.max("booked_date").alias("last_checkin"))
 
 
-def freeze_outcomes(t: Tables, as_of: dt.date) -> DataFrame:
-    """Completed holds classified returned / unknown / churned / at_risk,
-    with box totals and the return rate on every row."""
+def classified_freezes(t: Tables, as_of: dt.date) -> DataFrame:
+    """Completed holds with the return test and the outcome."""
     f = S.stg_freezes(t, as_of).filter((F.col("is_active") == F.lit(False)) & F.col("freeze_end").isNotNull())
     m = S.stg_members(t).select("member_id", "box_id", F.col("name").alias("member_name"),
                                 F.col("status").alias("member_status"))
@@ -88,16 +87,26 @@ def freeze_outcomes(t: Tables, as_of: dt.date) -> DataFrame:
     c = j.select("box_id", "freeze_id", "member_id", "member_name", "member_status", "plan_type", "price",
                  "freeze_start", "freeze_end", "total_days", "reason", returned.alias("returned"),
                  since.alias("days_since_ended"))
-    c = c.withColumn("outcome", F.when(F.col("returned"), "returned")
-                                 .when(F.col("days_since_ended") <= 14, "unknown")
-                                 .when(F.col("member_status") == "inactive", "churned").otherwise("at_risk"))
+    return c.withColumn("outcome", F.when(F.col("returned"), "returned")
+                                    .when(F.col("days_since_ended") <= 14, "unknown")
+                                    .when(F.col("member_status") == "inactive", "churned").otherwise("at_risk"))
+
+
+def freeze_outcome_totals(classified: DataFrame) -> DataFrame:
+    """Per-box outcome counts and return rate (one row per box)."""
     o = F.col("outcome")
-    totals = c.groupBy("box_id").agg(
+    totals = classified.groupBy("box_id").agg(
         F.count_if(o == "returned").alias("total_returned"), F.count_if(o == "churned").alias("total_churned"),
         F.count_if(o == "at_risk").alias("total_at_risk"),
         F.count_if(o.isin("returned", "churned", "at_risk")).alias("total_completed"))
-    totals = totals.withColumn("return_rate_pct", X.pct_half_up("total_returned", "total_completed", 1))
-    return c.join(totals, "box_id", "left").select(
+    return totals.withColumn("return_rate_pct", X.pct_half_up("total_returned", "total_completed", 1))
+
+
+def freeze_outcomes(t: Tables, as_of: dt.date) -> DataFrame:
+    """Completed holds classified returned / unknown / churned / at_risk,
+    with box totals and the return rate on every row."""
+    c = classified_freezes(t, as_of)
+    return c.join(freeze_outcome_totals(c), "box_id", "left").select(
         "box_id", "freeze_id", "member_id", "member_name", "member_status", "plan_type", "price", "freeze_start",
         "freeze_end", "total_days", "reason", "outcome", "returned", "days_since_ended", "total_returned",
         "total_churned", "total_at_risk", "total_completed", "return_rate_pct")
