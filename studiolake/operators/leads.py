@@ -6,8 +6,10 @@ Plan notes
 * Nested outputs: lost-reason and source lists hold one element per distinct
   reason / source of a (box, period) - aggregated first, so their length is
   the category vocabulary, not the row count.  Upcoming trials grow with the
-  data, so they are produced as flat rows with an explicit order column
-  (``upcoming_trials``) instead of one array per box.
+  data, so they are produced as flat rows (``upcoming_trials``) instead of
+  one array per box.
+* ``leads_mart`` reads the lead periods once: each row is exploded into its
+  funnel / reason / source keys and counted in one aggregate.
 """
 
 from __future__ import annotations
@@ -112,8 +114,8 @@ def lead_sources(t: Tables, as_of: dt.date, periods: DataFrame | None = None) ->
 
 
 def upcoming_trials(t: Tables, as_of: dt.date) -> DataFrame:
-    """I8: trial_booked leads with a trial in [as_of, as_of + 7], one row each,
-    ordered per box by trial date (``position`` from 1)."""
+    """I8: trial_booked leads with a trial in [as_of, as_of + 7], one row each
+    (read them per box ordered by ``trial_date``, as the reference's list is)."""
     lead = S.stg_leads(t, as_of)
     d = X.lit_date(as_of)
     return (lead.filter((F.col("status") == "trial_booked")
@@ -122,14 +124,66 @@ def upcoming_trials(t: Tables, as_of: dt.date) -> DataFrame:
 
 
 def leads_mart(t: Tables, as_of: dt.date) -> DataFrame:
-    """Funnel rows with the lost-reason and source lists; trials per box
-    are joined as a count (the rows themselves are ``upcoming_trials``)."""
+    """I9 in one pass over the lead-period rows: each row is exploded into
+    the keys it feeds - the (box, period) funnel, its lost reason, its source
+    - one aggregate counts every key, and a second (per box and period, over
+    already aggregated rows) assembles the funnel columns and the two ordered
+    lists.  Trials per box are joined as a count (the rows themselves are
+    ``upcoming_trials``)."""
     pl = lead_periods(t, as_of)
+    st, days = F.col("status"), F.col("days_in_pipeline")
+    conv = st == "converted"
+    null_s = F.lit(None).cast("string")
+    keys = F.array(F.struct(F.lit("funnel").alias("kind"), null_s.alias("label")),
+                   F.when(F.col("lost_reason").isNotNull(),
+                          F.struct(F.lit("reason").alias("kind"), F.col("lost_reason").alias("label"))),
+                   F.struct(F.lit("source").alias("kind"), F.col("source").alias("label")))
+    e = pl.select("box_id", "record_type", "status", "days_in_pipeline",
+                  F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("*", "k.*").drop("k")
+    g = e.groupBy("box_id", "record_type", "kind", "label").agg(
+        F.count(F.lit(1)).alias("total_leads"),
+        F.count_if(st == "new").alias("new_leads"), F.count_if(st == "in_progress").alias("in_progress"),
+        F.count_if(st == "trial_booked").alias("trial_booked"), F.count_if(conv).alias("converted"),
+        F.count_if(st == "lost").alias("lost"), F.count_if(st != "new").alias("_non_new"),
+        F.sum(F.when(conv, days)).alias("_conv_days"), F.count(F.when(conv, days)).alias("_conv_n"),
+        F.count_if(conv & (days == 0)).alias("same_day"), F.count_if(conv & days.between(1, 3)).alias("1_3d"),
+        F.count_if(conv & days.between(4, 7)).alias("4_7d"), F.count_if(conv & days.between(8, 30)).alias("8_30d"),
+        F.count_if(conv & (days > 30)).alias("30plus"))
+    kind = F.col("kind")
+
+    def fun(c):
+        return F.max(F.when(kind == "funnel", F.col(c))).alias(c)
+
+    measures = ["total_leads", "new_leads", "in_progress", "trial_booked", "converted", "lost", "_non_new",
+                "_conv_days", "_conv_n", "same_day", "1_3d", "4_7d", "8_30d", "30plus"]
+    reason_item = F.struct((-F.col("total_leads")).alias("_k1"), F.coalesce("label", F.lit("null")).alias("_k2"),
+                           F.col("label").alias("reason"), F.col("total_leads").alias("count"))
+    source_item = F.struct((-F.col("total_leads")).alias("_k1"), F.coalesce("label", F.lit("null")).alias("_k2"),
+                           F.col("label").alias("source"), F.col("total_leads").alias("total"),
+                           F.col("converted").alias("converted"))
+    m = g.groupBy("box_id", "record_type").agg(
+        *[fun(c) for c in measures],
+        F.array_sort(F.collect_list(F.when(kind == "reason", reason_item))).alias("_lr"),
+        F.array_sort(F.collect_list(F.when(kind == "source", source_item))).alias("_sb"))
+    m = m.select("*",
+                 F.when(F.size("_lr") > 0, F.transform("_lr", lambda x: F.struct(x["reason"].alias("reason"),
+                                                                                 x["count"].alias("count"))))
+                  .alias("lost_reasons"),
+                 F.transform("_sb", lambda x: F.struct(x["source"].alias("source"), x["total"].alias("total"),
+                                                       x["converted"].alias("converted"))).alias("source_breakdown"))
     trials = upcoming_trials(t, as_of).groupBy("box_id").agg(F.count(F.lit(1)).alias("upcoming_trial_count"))
-    return (lead_funnel(t, as_of, pl)
-            .join(lost_reasons(t, as_of, pl), ["box_id", "record_type"], "left")
-            .join(lead_sources(t, as_of, pl), ["box_id", "record_type"], "left")
-            .join(trials, "box_id", "left"))
+    j = m.join(avg_mrr(t), "box_id", "left").join(trials, "box_id", "left")
+    mrr0 = F.coalesce(F.col("avg_mrr"), F.lit(0))
+    return j.select(
+        "box_id", "record_type", "total_leads", "new_leads", "in_progress", "trial_booked", "converted", "lost",
+        X.pct_half_up("converted", "_non_new", 1).alias("conversion_rate_pct"),
+        X.half_up_ratio("_conv_days", "_conv_n").alias("avg_days_to_convert"),
+        "avg_mrr",
+        (F.col("trial_booked") * mrr0).alias("pipeline_value"),
+        (F.col("converted") * mrr0).alias("won_revenue"),
+        (F.col("lost") * mrr0).alias("lost_revenue_est"),
+        F.struct("same_day", "1_3d", "4_7d", "8_30d", "30plus").alias("convert_time_buckets"),
+        "lost_reasons", "source_breakdown", "upcoming_trial_count")
 
 
 def leads_detail(t: Tables, as_of: dt.date) -> DataFrame:
