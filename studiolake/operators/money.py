@@ -270,15 +270,37 @@ _KEYS = [("record_type", "string"), ("box_id", "bigint"), ("plan_type", "string"
          ("reason", "string"), ("member_id", "bigint")]
 
 
-def _contrib(df: DataFrame, items: list[F.Column]) -> DataFrame:
-    """Explode each row into (key, contribution) structs; NULL items are skipped."""
-    return df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("c")).select("c.*")
+class _Item:
+    """One contribution of an aggregated row: a record key plus measures."""
 
+    def __init__(self, record_type: str, box, cols: dict):
+        self.record_type, self.box, self.cols, self.cond = record_type, box, cols, None
 
-def _item(record_type: str, box, **cols) -> F.Column:
-    """One contribution: the full key + contribution record, NULL where not given."""
-    given = {"record_type": F.lit(record_type), "box_id": box, **cols}
-    return F.struct(*[(given[n] if n in given else F.lit(None)).cast(ty).alias(n) for n, ty in _KEYS + _CONTRIB])
+
+def _item(record_type: str, box, **cols) -> _Item:
+    return _Item(record_type, box, cols)
+
+
+def _when(cond, item: _Item) -> _Item:
+    item.cond = cond
+    return item
+
+
+_TYPES = dict(_KEYS + _CONTRIB)
+
+
+def _contrib(df: DataFrame, items: list[_Item]) -> DataFrame:
+    """Explode each row into its contributions (skipping those whose condition
+    is false).  The struct carries only the fields these items use, which keeps
+    the expressions small; the union fills the other columns with NULL."""
+    used = {n for it in items for n in it.cols}
+    names = ["record_type", "box_id"] + [n for n, _ in _KEYS[2:] + _CONTRIB if n in used]
+    structs = []
+    for it in items:
+        given = {"record_type": F.lit(it.record_type), "box_id": it.box, **it.cols}
+        st = F.struct(*[(given[n] if n in given else F.lit(None)).cast(_TYPES[n]).alias(n) for n in names])
+        structs.append(F.when(it.cond, st) if it.cond is not None else st)
+    return df.select(F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("c")).select("c.*")
 
 
 def monetization(t: Tables, as_of: dt.date) -> DataFrame:
@@ -313,7 +335,7 @@ def monetization(t: Tables, as_of: dt.date) -> DataFrame:
         F.sum(F.when(pd >= c365, _paid())).alias("paid_365"), F.count_if(pd >= c365).alias("rows_365"))
     mo = F.col("payment_month")
     pay_c = _contrib(pm, [
-        F.when(F.col("rows_365") > 0, _item("monthly_revenue", box, period_start=mo, revenue=F.col("paid_365"))),
+        _when(F.col("rows_365") > 0, _item("monthly_revenue", box, period_start=mo, revenue=F.col("paid_365"))),
         _item("summary", box,
               cur_paid=F.when(mo == m0, F.col("paid")), cur_pending=F.when(mo == m0, F.col("pending")),
               cur_overdue=F.when(mo == m0, F.col("overdue")), cur_amount=F.when(mo == m0, F.col("amount")),
@@ -341,7 +363,7 @@ def monetization(t: Tables, as_of: dt.date) -> DataFrame:
         F.count_if(active).alias("act_n"), F.sum(F.when(active, F.col("price"))).alias("act_sum"),
         F.count_if(new).alias("new_n"), F.sum(F.when(new, F.col("price"))).alias("new_sum"))
     ms_c = _contrib(msa, [
-        F.when(F.col("act_n") > 0, _item("by_plan", box, plan_type=F.col("plan_type"), n=F.col("act_n"),
+        _when(F.col("act_n") > 0, _item("by_plan", box, plan_type=F.col("plan_type"), n=F.col("act_n"),
                                          price=F.col("act_sum"))),
         _item("summary", box, act_n=F.col("act_n"), act_sum=F.col("act_sum"), new_n=F.col("new_n"),
               new_sum=F.col("new_sum"))])
@@ -360,9 +382,9 @@ def monetization(t: Tables, as_of: dt.date) -> DataFrame:
     f_c = _contrib(fa, [
         _item("freeze_by_reason", box, reason=F.col("r"), n=n, days=days, days_n=dn),
         _item("freeze_by_plan", box, plan_type=F.col("pl"), n=n, days=days, days_n=dn, price=price),
-        F.when(F.col("sm").isNotNull(), _item("freeze_monthly", box, period_start=F.col("sm"), n=n, days=days)),
-        F.when(F.col("sw").isNotNull(), _item("freeze_weekly", box, period_start=F.col("sw"), n=n, days=days)),
-        F.when(F.col("act"), _item("summary", box, fz_n=n, fz_price=price, fz_days=days, fz_days_n=dn)),
+        _when(F.col("sm").isNotNull(), _item("freeze_monthly", box, period_start=F.col("sm"), n=n, days=days)),
+        _when(F.col("sw").isNotNull(), _item("freeze_weekly", box, period_start=F.col("sw"), n=n, days=days)),
+        _when(F.col("act"), _item("summary", box, fz_n=n, fz_price=price, fz_days=days, fz_days_n=dn)),
     ])
     lo, hi = X.month_start(F.add_months(d, -11)), X.month_start(d)
     first, last = F.greatest(X.month_start(fs), lo), F.least(X.month_start(fe), hi)
@@ -373,8 +395,10 @@ def monetization(t: Tables, as_of: dt.date) -> DataFrame:
     fm_c = _contrib(fm, [_item("frozen_mrr_monthly", box, period_start=F.col("m"), n=F.col("n"),
                                price=F.col("price"))])
 
-    allc = pay_c.unionByName(week_c).unionByName(ovd_c).unionByName(om_c).unionByName(ms_c) \
-                .unionByName(f_c).unionByName(fm_c)
+    allc = pay_c
+    for part in [week_c, ovd_c, om_c, ms_c, f_c, fm_c]:
+        allc = allc.unionByName(part, allowMissingColumns=True)
+    allc = allc.select(*[F.col(n).cast(ty).alias(n) for n, ty in _KEYS + _CONTRIB])
     s = lambda c: F.sum(c).alias(c)
     g = allc.groupBy(*[k for k, _ in _KEYS]).agg(
         *[s(c) for c, ty in _CONTRIB if ty != "string" and c != "overdue_since"],
