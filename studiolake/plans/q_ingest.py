@@ -182,12 +182,17 @@ MEMBER_SPEC = ("id:l, box_id:l, source_member_id:l, name:s, email:s, phone:s, st
                "created_at:ts")
 
 
+_DERIVED: dict[int, tuple] = {}   # lazy canonical tables + feeds per raw-table dict (plan objects only)
+
+
 def _raw(fn):
     """Builder over the driver tables: canonical store + feeds."""
     def build(raw):
-        t = AD.canonical_from_raw(raw)
-        f = FD.all_feeds(raw)
-        return fn(t, f)
+        hit = _DERIVED.get(id(raw))
+        if hit is None or hit[0] is not raw:
+            hit = (raw, AD.canonical_from_raw(raw), FD.all_feeds(raw))
+            _DERIVED[id(raw)] = hit
+        return fn(hit[1], hit[2])
     build.inner = fn   # (canonical tables, feeds) -> result, for stored inputs
     return build
 

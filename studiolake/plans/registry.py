@@ -21,14 +21,27 @@ class Entry:
     sources: str = "canonical"        # "canonical" | "raw" (driver tables)
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        from studiolake.sources.adapter import canonical, read_driver
-        if self.sources == "raw":
-            t = read_driver(spark, sf_dir)
-        else:
-            t = canonical(spark, sf_dir)
-        return SP.to_spec(self.build(t), self.spec)
+        return SP.to_spec(self.build(_inputs(spark, sf_dir, self.sources)), self.spec)
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
         return with_base(SP.sql_select(self.spec), *self.ctes, f"result AS (\n{self.sql}\n)")
+
+
+# Lazy input DataFrames per (session, directory, kind).  Building the adapter's
+# DataFrames is pure plan construction (no data is read), so sharing them
+# between queries only saves driver-side planning calls.
+_INPUTS: dict[tuple, tuple] = {}
+
+
+def _inputs(spark: SparkSession, sf_dir: str, kind: str) -> dict[str, DataFrame]:
+    from studiolake.sources.adapter import canonical, read_driver
+    key = (id(spark), sf_dir, kind)
+    hit = _INPUTS.get(key)
+    if hit is not None and hit[0] is spark and spark.sparkContext._jsc is not None:
+        return hit[1]
+    t = read_driver(spark, sf_dir) if kind == "raw" else canonical(spark, sf_dir)
+    _INPUTS[key] = (spark, t)
+    return t
+
