@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from studiolake.functions import exprs as X
 from studiolake.operators import ingest as I
+from studiolake.operators import quality as Q
 from studiolake.plans.oracle_base import AS_OF
 from studiolake.plans.oracle_feeds import FEED_CTES
 from studiolake.plans.registry import Entry
@@ -339,6 +340,40 @@ ENTRIES = [
     _e("retention_payments", lambda t, f: I.retention_window(t["payments"], "created_at", 90, D),
        "id:l, box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
        f"SELECT * FROM payments WHERE created_at >= {AS_OF_TS} - INTERVAL 90 DAY"),
+    _e("dq_not_null_ingested", lambda t, f: Q.dq_not_null(
+           {"memberships": I.upsert(t["memberships"], I.build_memberships(f["memberships"], _mmap(t, f)),
+                                    I.UPSERT_KEYS["memberships"],
+                                    defaults={"id": I.surrogate("_key_box_id", "_key_source_membership_id")}),
+            "payments": I.upsert(t["payments"], I.build_payments(f["sales"], _mmap(t, f)), I.UPSERT_KEYS["payments"],
+                                 defaults={"id": I.surrogate("_key_box_id", "_key_source_payment_id")})},
+           {"memberships": ["box_id", "member_id", "source_membership_id", "status", "created_at", "start_date"],
+            "payments": ["box_id", "member_id", "source_payment_id", "amount", "status", "created_at",
+                         "payment_date"]}),
+       "table_name:s, check:s, key:s, n:l",
+       """SELECT * FROM (
+            SELECT 'memberships' AS table_name, 'not_null' AS "check", k AS key, n FROM (
+              SELECT count(*) FILTER (WHERE box_id IS NULL) AS box_id, count(*) FILTER (WHERE member_id IS NULL) AS member_id,
+                     count(*) FILTER (WHERE source_membership_id IS NULL) AS source_membership_id,
+                     count(*) FILTER (WHERE status IS NULL) AS status, count(*) FILTER (WHERE created_at IS NULL) AS created_at,
+                     count(*) FILTER (WHERE start_date IS NULL) AS start_date
+              FROM (""" + _upsert_sql("memberships", "in_ms_rows", ["box_id", "source_membership_id"],
+                                      MS_ROW_COLS[1:2] + MS_ROW_COLS[3:],
+                                      ["id", "box_id", "member_id", "source_membership_id", "plan_type", "price",
+                                       "start_date", "end_date", "status", "created_at"],
+                                      {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_membership_id"}) + """))
+              UNPIVOT (n FOR k IN (box_id, member_id, source_membership_id, status, created_at, start_date))
+            UNION ALL
+            SELECT 'payments', 'not_null', k, n FROM (
+              SELECT count(*) FILTER (WHERE box_id IS NULL) AS box_id, count(*) FILTER (WHERE member_id IS NULL) AS member_id,
+                     count(*) FILTER (WHERE source_payment_id IS NULL) AS source_payment_id,
+                     count(*) FILTER (WHERE amount IS NULL) AS amount, count(*) FILTER (WHERE status IS NULL) AS status,
+                     count(*) FILTER (WHERE created_at IS NULL) AS created_at,
+                     count(*) FILTER (WHERE payment_date IS NULL) AS payment_date
+              FROM (""" + _upsert_sql("payments", "in_pay_rows", ["box_id", "source_payment_id"],
+                                      ["member_id", "amount", "status", "payment_date", "created_at"], PAY_COLS,
+                                      {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_payment_id"}) + """))
+              UNPIVOT (n FOR k IN (box_id, member_id, source_payment_id, amount, status, created_at, payment_date))
+          ) WHERE n > 0"""),
     _e("purge_seed_members", lambda t, f: I.purge_seed(t["members"], "source_member_id", PURGE_BOX), MEMBER_SPEC,
        f"SELECT * FROM members WHERE NOT coalesce(box_id = {PURGE_BOX} AND source_member_id < {I.SEED_ID_LIMIT}, false)"),
     _e("purge_seed_attendance", lambda t, f: I.purge_seed(t["attendance"], None, PURGE_BOX),
