@@ -58,6 +58,16 @@ def tenant_scope(df: DataFrame, t: Tables, token: str) -> DataFrame:
     return df.join(F.broadcast(resolve_box(t, token)), "box_id", "left_semi")
 
 
+def scope_inputs(t: Tables, token: str) -> Tables:
+    """A12 applied to the inputs: every table with a ``box_id`` is semi-joined
+    with the one-row box lookup, so on box-partitioned storage each scan reads
+    only the caller's partition (dynamic partition pruning), and any operator
+    run on the result touches one tenant's data.  Assumes child rows carry
+    their member's box (checked by ``dq_orphans`` style rules)."""
+    box = F.broadcast(resolve_box(t, token))
+    return {n: (df.join(box, "box_id", "left_semi") if "box_id" in df.columns else df) for n, df in t.items()}
+
+
 # ---- K1-K4 revenue tab ---------------------------------------------------------
 
 def plan_arpu(t: Tables, as_of: dt.date) -> DataFrame:

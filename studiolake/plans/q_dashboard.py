@@ -62,6 +62,8 @@ ENTRIES = [
        f"SELECT id AS box_id FROM boxes WHERE access_token = '{TOKEN}' LIMIT 1"),
     _e("tenant_scope", lambda t: K.tenant_scope(H.health_scores(t, D), t, TOKEN), HEALTH_SPEC,
        f"SELECT * FROM k_health WHERE box_id IN (SELECT id FROM boxes WHERE access_token = '{TOKEN}' LIMIT 1)"),
+    _e("tenant_scoped_health", lambda t: H.health_scores(K.scope_inputs(t, TOKEN), D), HEALTH_SPEC,
+       f"SELECT * FROM k_health WHERE box_id IN (SELECT id FROM boxes WHERE access_token = '{TOKEN}' LIMIT 1)"),
     _e("plan_arpu", lambda t: K.plan_arpu(t, D), "box_id:l, name:s, value:d, members:l, arpu:l",
        f"SELECT box_id, plan_type AS name, plan_revenue AS value, plan_member_count AS members, "
        f"CASE WHEN plan_member_count > 0 THEN {jsr('plan_revenue * 100', 'plan_member_count * 100')} ELSE 0 END "
