@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studiolake.llm import tokens
+from studiolake.llm import mixing, tokens
 
-MODULES = [tokens]
+MODULES = [tokens, mixing]
 
 
 def queries() -> dict:
