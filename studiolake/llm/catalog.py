@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studiolake.llm import mixing, tokens
+from studiolake.llm import mixing, quality, tokens
 
-MODULES = [tokens, mixing]
+MODULES = [tokens, mixing, quality]
 
 
 def queries() -> dict:
