@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studiolake.llm import mixing, quality, tokens
+from studiolake.llm import langid, mixing, quality, tokens
 
-MODULES = [tokens, mixing, quality]
+MODULES = [tokens, mixing, quality, langid]
 
 
 def queries() -> dict:
