@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studiolake.llm import langid, mixing, quality, tokens
+from studiolake.llm import langid, mixing, quality, tokens, urls
 
-MODULES = [tokens, mixing, quality, langid]
+MODULES = [tokens, mixing, quality, langid, urls]
 
 
 def queries() -> dict:
