@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studiolake.llm import chat, langid, mixing, quality, tokens, urls
+from studiolake.llm import chat, langid, mixing, pii, quality, tokens, urls
 
-MODULES = [tokens, mixing, quality, langid, urls, chat]
+MODULES = [tokens, mixing, quality, langid, urls, chat, pii]
 
 
 def queries() -> dict:
