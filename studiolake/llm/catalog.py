@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studiolake.llm import chat, decontaminate, langid, mixing, pii, quality, tokens, urls
+from studiolake.llm import chat, decontaminate, langid, minhash, mixing, pii, quality, tokens, urls
 
-MODULES = [tokens, mixing, quality, decontaminate, langid, urls, chat, pii]
+MODULES = [tokens, mixing, quality, decontaminate, langid, minhash, urls, chat, pii]
 
 
 def queries() -> dict:
