@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,13 +46,14 @@ class Encoder(dict):
     The table of words seen is bounded: it is emptied when it has ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.model, self.limit = self.whole.model, limit
         self.bytes_as = _byte_letters()
+        self.forget()
         self.check = self._direct_agrees()
         self.forget()
 
@@ -64,27 +66,25 @@ class Encoder(dict):
 
     def _direct(self, word: str) -> list[int]:
         letters, marks = _REGULAR.fullmatch(word).groups()
-        out = []
-        for piece in (letters.lower(), marks):
-            if piece:
-                out += [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(self.bytes_as[b] for b in piece.encode()))]
-        return out
+        return self._piece(letters.lower()) + self._piece(marks)
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else "".join([self.bytes_as[b] for b in piece.encode()])
+            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)] if piece else []
+        return ids
 
     def forget(self) -> None:
         self.clear()
-        self.flat, self.ends, self.size = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
+        self.pieces: dict[str, list[int]] = {}
+        self.flat, self.ends = array("I"), array("q", [0])
 
     def __missing__(self, word: bytes) -> int:
         w = word.decode("utf-8", "replace")
-        ids = self._direct(w) if self.check and _REGULAR.fullmatch(w) else self.whole.encode(w, add_special_tokens=False).ids
-        end = self.size + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[self.size:end] = ids
-        k = self[word] = len(self)
-        if k + 1 >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        self.ends[k + 1] = self.size = end
+        self.flat.extend(self._direct(w) if self.check and _REGULAR.fullmatch(w) else self.whole.encode(w, add_special_tokens=False).ids)
+        self.ends.append(len(self.flat))
+        k = self[word] = len(self.ends) - 2
         return k
 
     def encode(self, text: bytes) -> np.ndarray:
@@ -92,8 +92,10 @@ class Encoder(dict):
             self.forget()
         words = text.split()
         ks = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        first = self.ends[ks]
-        return self.flat[_spread(first, self.ends[ks + 1] - first)]
+        ends = np.frombuffer(self.ends, np.int64)
+        first, last = ends[ks], ends[ks + 1]
+        del ends  # an array with a view on it can't grow
+        return np.frombuffer(self.flat, np.uint32)[_spread(first, last - first)] if len(self.flat) else np.empty(0, np.uint32)
 
 
 def _byte_letters() -> list[str]:
