@@ -99,7 +99,8 @@ def plan(measured: DataFrame, folder: str, weights: tuple[int, ...] = WEIGHTS, m
     return thresholds(measured, shares, folder, budgets, most)
 
 
-_COPIES = F.col("repeats") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
+def copies() -> Column:
+    return F.col("repeats") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, budget: float = 1.0) -> DataFrame:
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     folder = C.scratch(docs.sparkSession, "mixing")
     cuts = plan(measure(docs, folder), folder, weights, most, (budget,)).select("source", "repeats", "threshold")
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), hash_of(F.col("doc_id"), F.col("text")).alias("h"))
-    taken = C.join_small(own, cuts, ["source"]).withColumn("copy", F.explode(F.array_repeat(F.lit(1), _COPIES.cast("int"))))
+    taken = C.join_small(own, cuts, ["source"]).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))))
     return taken.select("row.*")
 
 
@@ -115,7 +116,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = C.scratch(spark, "mixing")
     measured = measure(C.read(spark, sf_dir, "documents"), folder)
     cuts = plan(measured, folder).drop("budget")
-    return C.join_small(measured, cuts, ["source"]).select("doc_id", "size", "source_size", "target", (F.col("size") * _COPIES).alias("taken"))
+    return C.join_small(measured, cuts, ["source"]).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 
 # One pass that sorts each source by hash; the operator never does.
