@@ -4,17 +4,19 @@ Everything is a column expression, an equi join on keys or an aggregate:
 * per-row helpers (date sanitising, status mapping, phone keys) are native
   expressions from ``functions.exprs`` - no Python UDF;
 * "last row wins" de-duplication is ``max_by(struct(row), feed_pos)`` - a
-  partial (map-side) aggregate, so a key repeated millions of times is
-  combined before the shuffle;
+  partial aggregate, so a key repeated millions of times is combined before
+  the shuffle (a sort aggregate, as the struct holds strings);
 * the keyed upsert is one full outer join on the business key with a
   row-presence flag, so a *supplied* NULL overwrites while a column the feed
-  does not carry keeps its stored value;
+  does not carry keeps its stored value; as in a unique constraint, rows with
+  a NULL key part match nothing and stay apart;
 * the member map is a projection of the members table joined on
   (box_id, user_id) - a shuffle join on a composite key, not a driver dict.
 
-Surrogate ids are a deterministic function of the business key
-(``box_id * 10^10 + source id``) instead of random UUIDs, so a re-run after
-an executor loss produces identical rows (idempotent).
+Surrogate ids are a hash of the business key in a range of their own (60 bits
+of MD5 above 2^60) instead of random UUIDs: a re-run after an executor loss
+gives identical rows, ids of two boxes or of stored rows don't meet, and a
+source id may be text.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from studiolake.functions import exprs as X
 Tables = dict[str, DataFrame]
 
 SEED_ID_LIMIT = 10000       # fixed: source ids below this are synthetic seed rows
-KEY_SPACE = 10_000_000_000  # surrogate id = box_id * KEY_SPACE + source id
+NEW_IDS = 1 << 60            # ids made here start at this number
 UPSERT_KEYS = {
     "members": ["box_id", "source_member_id"],
     "memberships": ["box_id", "source_membership_id"],
@@ -42,13 +44,23 @@ UPSERT_KEYS = {
 
 
 def surrogate(box_id, source_id) -> F.Column:
-    return X.col(box_id).cast("bigint") * KEY_SPACE + X.col(source_id).cast("bigint")
+    digest = F.md5(F.concat(X.col(box_id).cast("string"), F.lit("|"), X.col(source_id).cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") + F.lit(NEW_IDS)
+
+
+def has_id(column: str) -> F.Column:
+    """A row without an id, or with id 0, is no row of the report."""
+    return F.coalesce(F.col(column) != 0, F.lit(False))
 
 
 def last_wins(df: DataFrame, keys: list[str], pos: str = "feed_pos") -> DataFrame:
-    """One row per key: the one latest in feed order (max ``pos``)."""
+    """One row per key: the one latest in feed order (max ``pos``).  Rows with a
+    NULL key part are all kept."""
     others = [c for c in df.columns if c not in keys]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(pos)).alias("_r"))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    return (df.groupBy(*keys, F.when(~whole, F.col(pos)).alias("_apart")).agg(F.max_by(F.struct(*others), F.col(pos)).alias("_r"))
               .select(*keys, "_r.*"))
 
 
@@ -66,10 +78,9 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], pos: str | None
     r = rows.select(*[F.col(k).alias(f"_key_{k}") for k in keys],
                     *[F.col(c).alias(f"_new_{c}") for c in supplied], F.lit(True).alias("_present"))
     tg = target.select("*", F.lit(True).alias("_old"))
-    # null-safe key match: a re-run with a NULL key part updates, not duplicates
     cond = None
     for k in keys:
-        e = tg[k].eqNullSafe(r[f"_key_{k}"])
+        e = tg[k] == r[f"_key_{k}"]
         cond = e if cond is None else (cond & e)
     j = tg.join(r, cond, "full_outer")
     defaults = defaults or {}
@@ -88,8 +99,17 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], pos: str | None
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Append rows whose key is not present yet (ON CONFLICT DO NOTHING)."""
-    new = rows.join(target.select(*keys).distinct(), keys, "left_anti")
+    """Append rows whose key is not present yet (ON CONFLICT DO NOTHING);
+    of several new rows with one key the first in feed order (``feed_pos``, or
+    any where the feed has none) is taken."""
+    others = [c for c in rows.columns if c not in keys]
+    place = F.col("feed_pos") if "feed_pos" in rows.columns else F.monotonically_increasing_id()
+    apart = F.lit(False)
+    for k in keys:
+        apart = apart | F.col(k).isNull()
+    r = rows.withColumn("_place", place)
+    first = r.groupBy(*keys, F.when(apart, F.col("_place")).alias("_apart")).agg(F.min_by(F.struct(*others), "_place").alias("_r")).select(*keys, "_r.*")
+    new = first.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(new.select(*[c for c in new.columns if c in target.columns]),
                               allowMissingColumns=True)
 
@@ -103,15 +123,6 @@ def update_col(target: DataFrame, patch: DataFrame, keys: list[str], column: str
                       for c in target.columns])
 
 
-def set_where_in(target: DataFrame, ids: DataFrame, id_col: str, column: str, value) -> DataFrame:
-    """Bulk ``UPDATE ... SET column = value WHERE id IN (ids)``."""
-    s = ids.select(F.col(id_col).alias("_id")).distinct().withColumn("_hit", F.lit(True))
-    j = target.join(s, target[id_col] == s["_id"], "left")
-    return j.select(*[F.when(F.col("_hit").isNotNull(), F.lit(value)).otherwise(F.col(c))
-                      .cast(target.schema[c].dataType).alias(c) if c == column else F.col(c)
-                      for c in target.columns])
-
-
 def retention_window(df: DataFrame, ts_col: str, days: int, as_of: dt.date) -> DataFrame:
     """Keep rows with ``ts_col >= as_of - days``.  A literal bound on the
     raw column, so it prunes row groups / partitions at the scan."""
@@ -144,7 +155,7 @@ def build_members(props: DataFrame, active: DataFrame) -> DataFrame:
     """Member rows from the profile feed; active iff in the active feed."""
     act = active.filter(F.col("user_id").isNotNull()).select("box_id", "user_id").distinct() \
                 .withColumn("_active", F.lit(True))
-    p = props.filter(F.col("user_id").isNotNull())
+    p = props.filter(has_id("user_id"))
     j = p.join(act, ["box_id", "user_id"], "left")
     return j.select("box_id", F.col("user_id").alias("source_member_id"),
                     F.coalesce(F.col("name"), F.lit("Unknown")).alias("name"), "email", "phone",
@@ -199,7 +210,7 @@ def build_payments(raw: DataFrame, mmap: DataFrame) -> DataFrame:
 def build_classes(raw: DataFrame) -> DataFrame:
     """Sessions with a timestamp from date + start time, trimmed coach,
     name fallback class -> series -> 'WOD', capacity default 20."""
-    r = raw.filter(F.col("schedule_id").isNotNull())
+    r = raw.filter(has_id("schedule_id"))
     d = F.coalesce(F.col("date"), F.lit(""))
     sched = F.when(d == "", F.lit(None).cast("timestamp_ntz")).otherwise(
         F.try_to_timestamp(F.concat(d, F.lit("T"), F.coalesce(F.col("start_time"), F.lit("00:00")), F.lit(":00")),
@@ -216,7 +227,7 @@ def build_bookings(raw: DataFrame, mmap: DataFrame) -> DataFrame:
     """Client rows only (role client / empty / absent); left join on the
     member map; yes/no flags; sessions_left only when all digits."""
     role = F.coalesce(F.col("user_role"), F.lit("client"))
-    r = raw.filter(F.col("user_id").isNotNull() & role.isin("client", ""))
+    r = raw.filter(has_id("user_id") & role.isin("client", ""))
     j = r.join(mmap, ["box_id", "user_id"], "left")
     return j.select("box_id", "member_id", F.col("user_id").alias("source_user_id"), "class_name", "space_name",
                     X.null_if_blank("staff_member").alias("coach"), X.clean_date("date").alias("booked_date"),
@@ -228,7 +239,7 @@ def build_bookings(raw: DataFrame, mmap: DataFrame) -> DataFrame:
 
 def build_leads(raw: DataFrame) -> DataFrame:
     """Open pipeline leads; names default to ''; status normalised."""
-    r = raw.filter(F.col("user_id").isNotNull())
+    r = raw.filter(has_id("user_id"))
     return r.select("box_id", F.col("user_id").alias("source_lead_id"),
                     F.coalesce(F.col("first_name"), F.lit("")).alias("first_name"),
                     F.coalesce(F.col("last_name"), F.lit("")).alias("last_name"), "email", "phone",
@@ -238,17 +249,18 @@ def build_leads(raw: DataFrame) -> DataFrame:
 
 def classify_vanished(leads: DataFrame, feed: DataFrame, members: DataFrame) -> DataFrame:
     """B14 + A8: open stored leads missing from the current feed become
-    'converted' when their phone key matches a member's, else 'lost'."""
-    in_feed = feed.filter(F.col("user_id").isNotNull()).select("box_id", F.col("user_id").alias("source_lead_id"))
-    open_ = leads.filter(~F.col("status").isin("converted", "lost"))
-    gone = open_.join(in_feed, ["box_id", "source_lead_id"], "left_anti")
+    'converted' when their phone key matches a member's, else 'lost'.
+    One pass over the leads; a lead without a usable phone probes with a value
+    of its own that no key has, so such leads stay spread over all tasks."""
+    in_feed = feed.filter(has_id("user_id")).select("box_id", F.col("user_id").alias("source_lead_id")).distinct() \
+                  .withColumn("_seen", F.lit(True))
     keys = members.filter(F.col("phone").isNotNull()).select("box_id", X.phone_key("phone").alias("_pk")) \
                   .filter(F.col("_pk").isNotNull()).distinct().withColumn("_match", F.lit(True))
-    g = gone.select("id", "box_id", X.phone_key("phone").alias("_pk")).join(keys, ["box_id", "_pk"], "left")
-    verdict = g.select("id", F.when(F.col("_match").isNotNull(), "converted").otherwise("lost").alias("_new"))
-    j = leads.join(verdict, "id", "left")
-    return j.select(*[F.coalesce(F.col("_new"), F.col("status")).alias("status") if c == "status" else F.col(c)
-                      for c in leads.columns])
+    probe = F.coalesce(X.phone_key("phone"), F.concat(F.lit("no phone "), F.col("id").cast("string")))
+    j = leads.join(in_feed, ["box_id", "source_lead_id"], "left").withColumn("_pk", probe).join(keys, ["box_id", "_pk"], "left")
+    gone = F.col("_seen").isNull() & ~F.coalesce(F.col("status").isin("converted", "lost"), F.lit(True))
+    verdict = F.when(~gone, F.col("status")).when(F.col("_match").isNotNull(), "converted").otherwise("lost")
+    return j.select(*[verdict.alias(c) if c == "status" else F.col(c) for c in leads.columns])
 
 
 def dedupe_holds(raw: DataFrame) -> DataFrame:

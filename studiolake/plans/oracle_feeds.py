@@ -80,12 +80,12 @@ fd_bookings AS (
          CASE WHEN l_linenumber = 4 AND l_orderkey % 3 = 0 THEN '0000-00-00'
               ELSE {_ds(f"{AS_OF} - CAST((l_orderkey * 31 + l_linenumber * 17) % 364 AS INTEGER)")} END AS date,
          lpad(CAST(6 + l_suppkey % 3 * 6 AS VARCHAR), 2, '0') || ':00' AS time,
-         CASE WHEN l_returnflag <> 'R' THEN 'Yes' ELSE 'no' END AS check_in,
+         CASE WHEN l_returnflag <> 'R' AND o_custkey % 8 <> 0 THEN 'Yes' ELSE 'no' END AS check_in,
          CASE WHEN l_linenumber = 1 THEN 'YES' ELSE 'No' END AS is_first_session,
          CAST(NULL AS VARCHAR) AS membership_type_name,
          CASE l_partkey % 4 WHEN 0 THEN '5' WHEN 1 THEN '' WHEN 2 THEN 'n/a' WHEN 3 THEN '12' END AS sessions_left,
          feed_pos
-  FROM fd_li WHERE o_custkey % 8 <> 0
+  FROM fd_li
 ),
 fd_leads AS (
   SELECT CAST(user_id % 5 AS INTEGER) AS box_id, CASE WHEN event_id % 211 = 0 THEN NULL ELSE event_id END AS user_id,
@@ -102,8 +102,9 @@ fd_leads AS (
               WHEN 3 THEN 'Referral' END AS lead_source,
          strftime(CAST(ts AS DATE) - CAST(event_id % 400 AS INTEGER), '%Y-%m-%d %H:%M:%S') AS created_time,
          event_id AS feed_pos
-  FROM events WHERE event_id % 4 <> 0
+  FROM events
 ),
+fd_later_leads AS (SELECT * FROM fd_leads WHERE feed_pos % 4 <> 0),
 fd_holds AS (
   SELECT box_id,
          CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 AND l_orderkey % 5 = 0 THEN 0
@@ -119,5 +120,5 @@ fd_holds AS (
          CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 1000) AS DOUBLE) END AS price,
          feed_pos
   FROM (SELECT *, {AS_OF} - CAST(l_orderkey * 11 % 397 AS INTEGER) + CAST(10 + l_linenumber AS INTEGER) AS st
-        FROM fd_li WHERE l_orderkey % 6 = 0)
+        FROM fd_li)
 )"""

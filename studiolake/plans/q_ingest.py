@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from studiolake.functions import exprs as X
@@ -18,7 +16,11 @@ from studiolake.sources import feeds as FD
 from studiolake.sources.adapter import AS_OF as D
 
 PURGE_BOX = 2
-KS = I.KEY_SPACE
+
+
+def new_id(box: str, source: str) -> str:
+    """60 bits of the key's MD5, in the numbers above 2^60."""
+    return f"(('0x' || substr(md5({box} || '|' || {source}), 1, 15))::BIGINT + {2 ** 60})"
 
 
 def _junk(x: str) -> str:
@@ -52,7 +54,7 @@ def yes_sql(x: str) -> str:
 
 def _upsert_sql(target: str, rows: str, keys: list[str], supplied: list[str], cols: list[str],
                 defaults: dict[str, str]) -> str:
-    on = " AND ".join(f"t.{k} IS NOT DISTINCT FROM r.{k}" for k in keys)
+    on = " AND ".join(f"t.{k} = r.{k}" for k in keys)
     sel = []
     for c in cols:
         if c in keys:
@@ -68,7 +70,8 @@ def _upsert_sql(target: str, rows: str, keys: list[str], supplied: list[str], co
 
 
 def _last(src: str, keys: list[str], cols: list[str]) -> str:
-    k = ", ".join(keys)
+    loose = " OR ".join(f"{c} IS NULL" for c in keys)
+    k = ", ".join([*keys, f"CASE WHEN {loose} THEN feed_pos END"])
     return (f"SELECT {', '.join(cols)} FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY feed_pos DESC) "
             f"AS _rn FROM {src}) WHERE _rn = 1")
 
@@ -87,13 +90,13 @@ in_member_rows AS (
                  CASE WHEN a.user_id IS NOT NULL THEN 'active' ELSE 'inactive' END AS status,
                  CAST(NULL AS DATE) AS join_date, p.feed_pos
           FROM fd_props p LEFT JOIN (SELECT DISTINCT box_id, user_id FROM fd_active WHERE user_id IS NOT NULL) a
-            ON p.box_id = a.box_id AND p.user_id = a.user_id WHERE p.user_id IS NOT NULL)''',
+            ON p.box_id = a.box_id AND p.user_id = a.user_id WHERE p.user_id <> 0)''',
          ["box_id", "source_member_id"], ["box_id", "source_member_id", "name", "email", "phone", "status", "join_date"])}
 ),
 in_members AS (
   {_upsert_sql("members", "in_member_rows", ["box_id", "source_member_id"],
                ["name", "email", "phone", "status", "join_date"], MEMBER_COLS,
-               {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_member_id", "created_at": AS_OF_TS})}
+               {"id": new_id('r.box_id', 'r.source_member_id'), "created_at": AS_OF_TS})}
 ),
 in_map AS (SELECT box_id, source_member_id AS user_id, id AS member_id FROM in_members),
 in_ms_rows AS (
@@ -134,7 +137,7 @@ in_classes AS (
          CASE WHEN coalesce(date, '') = '' THEN NULL
               ELSE TRY_CAST(date || ' ' || coalesce(start_time, '00:00') || ':00' AS TIMESTAMP) END AS scheduled_at,
          CAST(coalesce(nullif(max_participants, 0), 20) AS INTEGER) AS max_capacity
-  FROM fd_classes WHERE schedule_id IS NOT NULL
+  FROM fd_classes WHERE schedule_id <> 0
 ),
 in_booking_rows AS (
   {_last(f'''(SELECT f.box_id, m.member_id, f.user_id AS source_user_id, f.class_name, f.space_name,
@@ -144,7 +147,7 @@ in_booking_rows AS (
                  CASE WHEN regexp_full_match(f.sessions_left, '[0-9]+') THEN TRY_CAST(f.sessions_left AS INTEGER) END
                    AS sessions_left, f.feed_pos
           FROM fd_bookings f LEFT JOIN in_map m ON f.box_id = m.box_id AND f.user_id = m.user_id
-          WHERE f.user_id IS NOT NULL AND coalesce(f.user_role, 'client') IN ('client', ''))''',
+          WHERE f.user_id <> 0 AND coalesce(f.user_role, 'client') IN ('client', ''))''',
          ["box_id", "source_user_id", "booked_date", "booked_time", "class_name"],
          ["box_id", "member_id", "source_user_id", "class_name", "space_name", "coach", "booked_date", "booked_time",
           "checked_in", "is_first_session", "membership_type", "sessions_left"])}
@@ -153,14 +156,14 @@ in_lead_rows AS (
   {_last(f'''(SELECT box_id, user_id AS source_lead_id, coalesce(first_name, '') AS first_name,
                  coalesce(last_name, '') AS last_name, email, phone, {lead_status_sql('lead_status')} AS status,
                  lead_source AS source, {cts('created_time')} AS created_at, feed_pos
-          FROM fd_leads WHERE user_id IS NOT NULL)''',
+          FROM fd_leads WHERE user_id <> 0)''',
          ["box_id", "source_lead_id"],
          ["box_id", "source_lead_id", "first_name", "last_name", "email", "phone", "status", "source", "created_at"])}
 ),
 in_leads AS (
   {_upsert_sql("leads", "in_lead_rows", ["box_id", "source_lead_id"],
                ["first_name", "last_name", "email", "phone", "status", "source", "created_at"], LEAD_COLS,
-               {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_lead_id"})}
+               {"id": new_id('r.box_id', 'r.source_lead_id')})}
 ),
 in_vanished AS (
   SELECT l.id, CASE WHEN k.pk IS NOT NULL THEN 'converted' ELSE 'lost' END AS new_status
@@ -169,7 +172,7 @@ in_vanished AS (
              WHERE phone IS NOT NULL AND {phone_key_sql('phone')} IS NOT NULL) k
     ON l.box_id = k.box_id AND {phone_key_sql('l.phone')} = k.pk
   WHERE l.status NOT IN ('converted', 'lost')
-    AND NOT EXISTS (SELECT 1 FROM fd_leads f WHERE f.user_id IS NOT NULL AND f.box_id = l.box_id
+    AND NOT EXISTS (SELECT 1 FROM fd_later_leads f WHERE f.user_id <> 0 AND f.box_id = l.box_id
                     AND f.user_id = l.source_lead_id)
 ),
 in_holds AS (
@@ -225,8 +228,7 @@ def _leads(t, f):
 
 
 def _vanished(t, f):
-    members = I.backfill_join_date(_members(t, f), f["memberships"])
-    return I.classify_vanished(_leads(t, f), f["leads"], members)
+    return I.classify_vanished(_leads(t, f), f["later_leads"], _members(t, f))
 
 
 def _e(name, build, spec, sql):
@@ -287,7 +289,7 @@ ENTRIES = [
        _upsert_sql("memberships", "in_ms_rows", ["box_id", "source_membership_id"], MS_ROW_COLS[1:2] + MS_ROW_COLS[3:],
                    ["id", "box_id", "member_id", "source_membership_id", "plan_type", "price", "start_date",
                     "end_date", "status", "created_at"],
-                   {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_membership_id"})),
+                   {"id": new_id('r.box_id', 'r.source_membership_id')})),
     _e("backfill_join_date", lambda t, f: I.backfill_join_date(_members(t, f), f["memberships"]), MEMBER_SPEC,
        "SELECT * FROM in_backfilled"),
     _e("build_payments", _pay_rows,
@@ -299,13 +301,13 @@ ENTRIES = [
        "id:l, box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
        _upsert_sql("payments", "in_pay_rows", ["box_id", "source_payment_id"],
                    ["member_id", "amount", "status", "payment_date", "created_at"], PAY_COLS,
-                   {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_payment_id"})),
+                   {"id": new_id('r.box_id', 'r.source_payment_id')})),
     _e("insert_ignore_payments", lambda t, f: I.insert_ignore(
            t["payments"], _pay_rows(t, f).withColumn("id", I.surrogate("box_id", "source_payment_id")),
            I.UPSERT_KEYS["payments"]),
        "id:l, box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
        f"""SELECT * FROM payments UNION ALL
-           SELECT CAST(r.box_id AS BIGINT) * {KS} + r.source_payment_id AS id, r.box_id, r.member_id, r.source_payment_id,
+           SELECT {new_id('r.box_id', 'r.source_payment_id')} AS id, r.box_id, r.member_id, r.source_payment_id,
                   r.amount, r.status, r.payment_date, r.created_at
            FROM in_pay_rows r WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.box_id = r.box_id
                                                 AND p.source_payment_id = r.source_payment_id)"""),
@@ -360,7 +362,7 @@ ENTRIES = [
                                       MS_ROW_COLS[1:2] + MS_ROW_COLS[3:],
                                       ["id", "box_id", "member_id", "source_membership_id", "plan_type", "price",
                                        "start_date", "end_date", "status", "created_at"],
-                                      {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_membership_id"}) + """))
+                                      {"id": new_id('r.box_id', 'r.source_membership_id')}) + """))
               UNPIVOT (n FOR k IN (box_id, member_id, source_membership_id, status, created_at, start_date))
             UNION ALL
             SELECT 'payments', 'not_null', k, n FROM (
@@ -371,7 +373,7 @@ ENTRIES = [
                      count(*) FILTER (WHERE payment_date IS NULL) AS payment_date
               FROM (""" + _upsert_sql("payments", "in_pay_rows", ["box_id", "source_payment_id"],
                                       ["member_id", "amount", "status", "payment_date", "created_at"], PAY_COLS,
-                                      {"id": f"CAST(r.box_id AS BIGINT) * {KS} + r.source_payment_id"}) + """))
+                                      {"id": new_id('r.box_id', 'r.source_payment_id')}) + """))
               UNPIVOT (n FOR k IN (box_id, member_id, source_payment_id, amount, status, created_at, payment_date))
           ) WHERE n > 0"""),
     _e("purge_seed_members", lambda t, f: I.purge_seed(t["members"], "source_member_id", PURGE_BOX), MEMBER_SPEC,
@@ -381,4 +383,3 @@ ENTRIES = [
        f"SELECT * FROM attendance WHERE NOT coalesce(box_id = {PURGE_BOX}, false)"),
 ]
 
-_ = dt

@@ -3,7 +3,8 @@
 A report is fetched page by page; each page lands as one JSON object
 ``{"page": n, "data": [...rows...], "extra": {"pagination": {"total_pages": N}}}``.
 Reading is ``spark.read.schema(envelope).json(dir)`` (never schema inference)
-plus ``explode(data)``; a page without ``data`` contributes no rows.
+plus ``explode(data)``; a page without ``data`` contributes no rows, a broken
+page or a missing one is an error.
 
 ``land_pages`` is the inverse used by tests and the streaming example: page
 numbers come from a scalable sequential numbering (no single-task window),
@@ -19,6 +20,10 @@ from pyspark.sql import types as T
 from studiolake.operators.datagen import sequential_ids
 
 
+class IncompleteReport(ValueError):
+    """Fewer pages landed than the report announces."""
+
+
 def envelope_schema(row_schema: T.StructType) -> T.StructType:
     return T.StructType([
         T.StructField("page", T.IntegerType()),
@@ -47,15 +52,21 @@ def land_pages(rows: DataFrame, path: str, page_size: int = 200, order_cols: lis
 
 
 def read_pages(spark: SparkSession, path: str, row_schema: T.StructType, with_page: bool = False) -> DataFrame:
-    """Concatenate ``data`` over all landed pages with a fixed row schema."""
-    env = spark.read.schema(envelope_schema(row_schema)).json(path)
+    """Concatenate ``data`` over all landed pages with a fixed row schema.
+
+    A page that cannot be parsed whole is an error, and so is a report with
+    fewer pages than it announces (``IncompleteReport`` names how many)."""
+    state = page_completeness(spark, path, row_schema).first()
+    if not state["complete"]:
+        raise IncompleteReport(f"{path}: {state['pages_landed']} of {state['total_pages']} pages landed")
+    env = spark.read.schema(envelope_schema(row_schema)).option("mode", "FAILFAST").json(path)
     out = env.select("page", F.explode("data").alias("r")).select("page", "r.*")
     return out if with_page else out.drop("page")
 
 
 def page_completeness(spark: SparkSession, path: str, row_schema: T.StructType) -> DataFrame:
     """One row: pages landed vs pages announced, and whether the report is whole."""
-    env = spark.read.schema(envelope_schema(row_schema)).json(path)
+    env = spark.read.schema(envelope_schema(row_schema)).option("mode", "FAILFAST").json(path)
     return env.agg(F.count_distinct("page").alias("pages_landed"),
                    F.max("extra.pagination.total_pages").alias("total_pages")) \
-              .withColumn("complete", F.col("pages_landed") == F.col("total_pages"))
+              .withColumn("complete", F.coalesce(F.col("pages_landed") == F.col("total_pages"), F.lit(True)))
