@@ -11,66 +11,42 @@ def _t(num: str, den: str) -> str:
     return hu(f"CAST({num} AS HUGEINT) * 1000", den, 0)
 
 
-def _avg(c: str) -> str:
-    return f"({hu(f'sum({c})', f'count({c})')}) / 10.0"
-
-
-CLASS_CTES = f"""
-h_enriched AS (
-  SELECT b.box_id, b.member_id, b.class_name, b.coach, b.booked_date, b.booked_time, b.booked_week,
-         b.day_of_week, b.hour_of_day, b.checked_in, b.is_first_session, c.max_capacity
-  FROM stg_bookings b JOIN stg_classes c
-    ON b.booked_date = c.class_date AND b.booked_time = c.class_time
-   AND b.class_name = c.class_name AND b.box_id = c.box_id
+# Sessions once, then every report as one grouping set over them; a coach's usual class is the head of an ordered list.
+USAGE = f"""
+us_seats AS (
+  SELECT box_id, class_name, class_date AS booked_date, class_time AS booked_time, max_capacity FROM stg_classes
 ),
-h_sessions0 AS (
+us_visits AS (SELECT * FROM stg_bookings JOIN us_seats USING (box_id, class_name, booked_date, booked_time)),
+us_sessions AS (
   SELECT box_id, class_name, coach, booked_date, booked_time, booked_week, day_of_week, hour_of_day, max_capacity,
-         count(*) AS registrations,
-         sum(CASE WHEN checked_in THEN 1 ELSE 0 END) AS checkins,
-         sum(CASE WHEN is_first_session THEN 1 ELSE 0 END) AS first_timers
-  FROM h_enriched
-  GROUP BY box_id, class_name, coach, booked_date, booked_time, booked_week, day_of_week, hour_of_day, max_capacity
+         count(*) AS registrations, count_if(checked_in) AS checkins, count_if(is_first_session) AS first_timers
+  FROM us_visits GROUP BY ALL
 ),
-h_sessions AS (
-  SELECT *, {_t('checkins', 'max_capacity')} AS fill_t, {_t('registrations', 'max_capacity')} AS reg_t,
-         {_t('checkins', 'registrations')} AS show_t
-  FROM h_sessions0
+us_rates AS (
+  SELECT *, {_t('checkins', 'max_capacity')} AS fill, {_t('registrations', 'max_capacity')} AS booked, {_t('checkins', 'registrations')} AS shown
+  FROM us_sessions
 ),
-h_summary AS (
-  SELECT box_id, count(*) AS total_sessions, sum(registrations) AS total_registrations,
-         sum(checkins) AS total_checkins, sum(first_timers) AS total_first_timers,
-         {_avg('fill_t')} AS avg_fill_rate, {_avg('reg_t')} AS avg_registration_rate,
+us_reports AS (
+  SELECT box_id, coach, class_name, booked_week, day_of_week, hour_of_day,
+         grouping_id(coach, class_name, booked_week, day_of_week) AS report,
+         count(*) AS total_sessions, sum(registrations) AS total_registrations, sum(checkins) AS total_checkins,
+         sum(first_timers) AS total_first_timers, {hu('sum(fill)', 'count(fill)')} / 10.0 AS avg_fill_rate,
+         {hu('sum(booked)', 'count(booked)')} / 10.0 AS avg_registration_rate,
          {pct('sum(checkins)', 'sum(registrations)', 1)} AS avg_showup_rate
-  FROM h_sessions GROUP BY box_id
-),
-h_coach_mode AS (
-  SELECT box_id, coach, first(class_name ORDER BY n DESC, class_name ASC) AS top_class FROM (
-    SELECT box_id, coach, class_name, count(*) AS n FROM h_sessions
-    WHERE coach IS NOT NULL AND coach <> '' GROUP BY ALL) GROUP BY box_id, coach
+  FROM us_rates
+  GROUP BY GROUPING SETS ((box_id), (box_id, coach), (box_id, class_name), (box_id, booked_week), (box_id, day_of_week, hour_of_day))
 ),
-h_coach AS (
-  SELECT s.box_id, s.coach AS label, count(*) AS total_sessions, sum(registrations) AS total_registrations,
-         sum(checkins) AS total_checkins, {_avg('fill_t')} AS avg_fill_rate,
-         {pct('sum(checkins)', 'sum(registrations)', 1)} AS avg_showup_rate, any_value(m.top_class) AS top_class
-  FROM h_sessions s JOIN h_coach_mode m ON s.box_id = m.box_id AND s.coach = m.coach
-  WHERE s.coach IS NOT NULL AND s.coach <> '' GROUP BY s.box_id, s.coach
-),
-h_types AS (
-  SELECT box_id, class_name AS label, count(*) AS total_sessions, sum(registrations) AS total_registrations,
-         sum(checkins) AS total_checkins, {_avg('fill_t')} AS avg_fill_rate,
-         {pct('sum(checkins)', 'sum(registrations)', 1)} AS avg_showup_rate
-  FROM h_sessions GROUP BY box_id, class_name
+us_usual AS (
+  SELECT box_id, coach, list(class_name ORDER BY n DESC, class_name)[1] AS top_class
+  FROM (SELECT box_id, coach, class_name, count(*) AS n FROM us_sessions GROUP BY ALL) GROUP BY box_id, coach
 ),
-h_weekly AS (
-  SELECT box_id, booked_week AS period_start, count(*) AS total_sessions, sum(registrations) AS total_registrations,
-         sum(checkins) AS total_checkins, {_avg('fill_t')} AS avg_fill_rate
-  FROM h_sessions GROUP BY box_id, booked_week
+us_summary AS (SELECT * FROM us_reports WHERE report = 15),
+us_coaches AS (
+  SELECT r.* EXCLUDE (class_name), coach AS label, top_class FROM us_reports r JOIN us_usual USING (box_id, coach) WHERE report = 7 AND coach <> ''
 ),
-h_heatmap AS (
-  SELECT box_id, day_of_week, hour_of_day, count(*) AS total_sessions, sum(checkins) AS total_checkins,
-         {_avg('fill_t')} AS avg_fill_rate
-  FROM h_sessions GROUP BY box_id, day_of_week, hour_of_day
-)"""
+us_kinds AS (SELECT *, class_name AS label FROM us_reports WHERE report = 11),
+us_weeks AS (SELECT *, booked_week AS period_start FROM us_reports WHERE report = 13),
+us_hours AS (SELECT * FROM us_reports WHERE report = 14)"""
 
 SESSION_SPEC = ("box_id:l, class_name:s, coach:s, booked_date:t, booked_time:s, booked_week:t, day_of_week:l, "
                 "hour_of_day:l, max_capacity:l, registrations:l, checkins:l, first_timers:l, fill_rate:d, "
@@ -91,40 +67,39 @@ def _union_sql() -> str:
 
     common = ["box_id", "total_sessions", "total_registrations", "total_checkins", "avg_fill_rate"]
     return "\nUNION ALL\n".join([
-        branch("summary", "h_summary", common + ["total_first_timers", "avg_showup_rate"]),
-        branch("by_coach", "h_coach", common + ["label", "avg_showup_rate", "top_class"]),
-        branch("by_class_type", "h_types", common + ["label", "avg_showup_rate"]),
-        branch("weekly_trend", "h_weekly", common + ["period_start"]),
-        branch("heatmap", "h_heatmap", ["box_id", "total_sessions", "total_checkins", "avg_fill_rate",
+        branch("summary", "us_summary", common + ["total_first_timers", "avg_showup_rate"]),
+        branch("by_coach", "us_coaches", common + ["label", "avg_showup_rate", "top_class"]),
+        branch("by_class_type", "us_kinds", common + ["label", "avg_showup_rate"]),
+        branch("weekly_trend", "us_weeks", common + ["period_start"]),
+        branch("heatmap", "us_hours", ["box_id", "total_sessions", "total_checkins", "avg_fill_rate",
                                         "day_of_week", "hour_of_day"]),
     ])
 
 
 def _e(name, build, spec, sql):
-    return Entry(name, build, spec, sql, (CLASS_CTES,))
+    return Entry(name, build, spec, sql, (USAGE,))
 
 
 ENTRIES = [
     _e("enriched_bookings", C.enriched_bookings,
        "box_id:l, member_id:l, class_name:s, coach:s, booked_date:t, booked_time:s, booked_week:t, day_of_week:l, "
-       "hour_of_day:l, checked_in:b, is_first_session:b, max_capacity:l", "SELECT * FROM h_enriched"),
+       "hour_of_day:l, checked_in:b, is_first_session:b, max_capacity:l", "SELECT * FROM us_visits"),
     _e("class_sessions", C.class_sessions, SESSION_SPEC,
-       "SELECT *, fill_t / 10.0 AS fill_rate, reg_t / 10.0 AS registration_rate, show_t / 10.0 AS showup_rate "
-       "FROM h_sessions"),
+       "SELECT *, fill / 10.0 AS fill_rate, booked / 10.0 AS registration_rate, shown / 10.0 AS showup_rate FROM us_rates"),
     _e("class_summary", C.class_summary,
        "box_id:l, total_sessions:l, total_registrations:l, total_checkins:l, total_first_timers:l, "
-       "avg_fill_rate:d, avg_registration_rate:d, avg_showup_rate:d", "SELECT * FROM h_summary"),
+       "avg_fill_rate:d, avg_registration_rate:d, avg_showup_rate:d", "SELECT * FROM us_summary"),
     _e("coach_leaderboard", C.coach_leaderboard,
        "box_id:l, label:s, total_sessions:l, total_registrations:l, total_checkins:l, avg_fill_rate:d, "
-       "avg_showup_rate:d, top_class:s", "SELECT * FROM h_coach"),
+       "avg_showup_rate:d, top_class:s", "SELECT * FROM us_coaches"),
     _e("class_types", C.class_types,
        "box_id:l, label:s, total_sessions:l, total_registrations:l, total_checkins:l, avg_fill_rate:d, "
-       "avg_showup_rate:d", "SELECT * FROM h_types"),
+       "avg_showup_rate:d", "SELECT * FROM us_kinds"),
     _e("class_weekly", C.class_weekly,
        "box_id:l, period_start:t, total_sessions:l, total_registrations:l, total_checkins:l, avg_fill_rate:d",
-       "SELECT * FROM h_weekly"),
+       "SELECT * FROM us_weeks"),
     _e("class_heatmap", C.class_heatmap,
        "box_id:l, day_of_week:l, hour_of_day:l, total_sessions:l, total_checkins:l, avg_fill_rate:d",
-       "SELECT * FROM h_heatmap"),
+       "SELECT * FROM us_hours"),
     _e("classes", C.classes_mart, CLASSES_SPEC, _union_sql()),
 ]

@@ -13,9 +13,9 @@ from studiolake.operators import dashboard as K
 from studiolake.operators import health as H
 from studiolake.operators import money as M
 from studiolake.plans.oracle_base import AS_OF, AS_OF_LEADS
-from studiolake.plans.q_classes import CLASS_CTES
+from studiolake.plans.q_classes import USAGE
 from studiolake.plans.q_core import HEALTH_SPEC
-from studiolake.plans.q_freezes import J_CTES
+from studiolake.plans.q_freezes import LIFECYCLE
 from studiolake.plans.q_leads import LEAD_CTES
 from studiolake.plans.q_money import MONEY_CTES
 from studiolake.plans.registry import Entry
@@ -44,13 +44,13 @@ k_snapshot AS (
   SELECT *, CAST(date_trunc('week', join_date) AS DATE) AS join_week,
          CAST(date_trunc('month', join_date) AS DATE) AS join_month FROM activity WHERE member_status = 'active'
 ),
-k_fe AS (SELECT * FROM j_freeze_events)"""
+k_fe AS (SELECT * FROM lc_events)"""
 
 DRILL_FREEZE_SPEC = ("box_id:l, member_name:s, plan_type:s, health_tier:s, health_score:l, freeze_start:t, "
                      "freeze_end:t, total_days:l, reason:s, price:d, is_active:b")
 DRILL_FREEZE_SQL = ("SELECT box_id, member_name, plan_type, health_tier, health_score, freeze_start, freeze_end, "
                     "total_days, reason, price, is_active FROM k_fe")
-ALL = (MONEY_CTES, CLASS_CTES, LEAD_CTES, J_CTES, DASH_CTES)
+ALL = (MONEY_CTES, USAGE, LEAD_CTES, LIFECYCLE, DASH_CTES)
 
 
 def _e(name, build, spec, sql):
@@ -84,15 +84,15 @@ ENTRIES = [
        "box_id:l, plan_type:s, member_count:l, avg_price:d, avg_tenure_months:d, avg_ltv:d, active_count:l, "
        "past_count:l, rank:l",
        "SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY avg_ltv DESC NULLS LAST, plan_type ASC NULLS LAST) "
-       "AS rank FROM j_ltv"),
+       "AS rank FROM lc_ltv"),
     _e("tier_counts", lambda t: K.tier_counts(t, D), "box_id:l, healthy:l, at_risk:l, critical:l, avg:l",
        f"SELECT box_id, count(*) FILTER (WHERE health_tier = 'healthy') AS healthy, "
        f"count(*) FILTER (WHERE health_tier = 'at_risk') AS at_risk, "
        f"count(*) FILTER (WHERE health_tier = 'critical') AS critical, "
        f"{jsr('sum(coalesce(health_score, 0))', 'count(*)')} AS avg FROM k_health GROUP BY box_id"),
     _e("plan_change_kpis", lambda t: K.plan_change_kpis(t, D), "box_id:l, upgrades:l, downgrades:l, gain:d, lost:d",
-       "SELECT DISTINCT box_id, total_upgrades AS upgrades, total_downgrades AS downgrades, "
-       "coalesce(upgrade_revenue_gain, 0) AS gain, coalesce(downgrade_revenue_lost, 0) AS lost FROM j_plan_changes"),
+       "SELECT box_id, total_upgrades AS upgrades, total_downgrades AS downgrades, "
+       "coalesce(upgrade_revenue_gain, 0) AS gain, coalesce(downgrade_revenue_lost, 0) AS lost FROM lc_move_totals"),
     _e("drill_members_week", lambda t: K.drill_members(t, D, "weekly", DRILL_WEEK),
        "box_id:l, name:s, plan_type:s, health_tier:s, health_score:l",
        f"SELECT box_id, name, plan_type, health_tier, health_score FROM k_snapshot WHERE join_week = DATE '{DRILL_WEEK}'"),
@@ -118,19 +118,19 @@ ENTRIES = [
        f"""SELECT box_id, step_order, step, cnt AS count,
                   CASE WHEN step_order = 0 THEN 100 WHEN total_completed > 0 THEN {jsr('cnt * 100', 'total_completed')}
                        ELSE 0 END AS pct
-           FROM (SELECT DISTINCT box_id, total_completed, total_returned, total_at_risk, total_churned FROM j_outcomes) o,
+           FROM lc_outcome_totals o,
                 LATERAL (VALUES (0, 'completed', o.total_completed), (1, 'returned', o.total_returned),
                                 (2, 'at_risk', o.total_at_risk), (3, 'churned', o.total_churned)) s(step_order, step, cnt)"""),
     _e("freeze_funnel_drill_at_risk", lambda t: K.freeze_funnel_drill(t, D, "at_risk"),
        "box_id:l, freeze_id:l, member_id:l, member_name:s, outcome:s, days_since_ended:l",
-       "SELECT box_id, freeze_id, member_id, member_name, outcome, days_since_ended FROM j_outcomes "
+       "SELECT box_id, freeze_id, member_id, member_name, outcome, days_since_ended FROM lc_outcome "
        "WHERE outcome = 'at_risk'"),
     _e("top_classes_checkins", lambda t: K.top_classes(t, "checkins", 10),
        "box_id:l, rank:l, label:s, value:d, bar_pct:l",
        f"""SELECT box_id, rank, label, v AS value, {jsr('v * 100', 'mx')} AS bar_pct FROM (
              SELECT box_id, label, total_checkins AS v, max(total_checkins) OVER (PARTITION BY box_id) AS mx,
                     row_number() OVER (PARTITION BY box_id ORDER BY total_checkins DESC NULLS LAST, label) AS rank
-             FROM h_types) WHERE rank <= 10"""),
+             FROM us_kinds) WHERE rank <= 10"""),
     _e("top_classes_fill", lambda t: K.top_classes(t, "fill_rate", 10),
        "box_id:l, rank:l, label:s, value:d, bar_pct:l",
        f"""SELECT box_id, rank, label, v / 10.0 AS value, {jsr('v * 100', 'mx')} AS bar_pct FROM (
@@ -138,19 +138,19 @@ ENTRIES = [
                     max(CAST(round(avg_fill_rate * 10) AS BIGINT)) OVER (PARTITION BY box_id) AS mx,
                     row_number() OVER (PARTITION BY box_id ORDER BY CAST(round(avg_fill_rate * 10) AS BIGINT)
                                        DESC NULLS LAST, label) AS rank
-             FROM h_types) WHERE rank <= 10"""),
+             FROM us_kinds) WHERE rank <= 10"""),
     _e("coach_ranking", K.coach_ranking,
        "box_id:l, label:s, total_sessions:l, total_registrations:l, total_checkins:l, avg_fill_rate:d, "
-       "avg_showup_rate:d, top_class:s", "SELECT * FROM h_coach"),
+       "avg_showup_rate:d, top_class:s", "SELECT * FROM us_coaches"),
     _e("heatmap_intensity", K.heatmap_intensity, "box_id:l, day_of_week:l, hour_of_day:l, fill_rate:d, intensity:d",
        """SELECT box_id, day_of_week, hour_of_day, coalesce(avg_fill_rate, 0.0) AS fill_rate,
                  coalesce(avg_fill_rate, 0.0) / greatest(max(avg_fill_rate) OVER (PARTITION BY box_id), 1.0)
-                   AS intensity FROM h_heatmap"""),
+                   AS intensity FROM us_hours"""),
     _e("checkins_by_hour", K.checkins_by_hour, "box_id:l, hour:l, checkins:l",
        """SELECT b.box_id, h.hour, coalesce(sum(m.total_checkins), 0) AS checkins
-          FROM (SELECT DISTINCT box_id FROM h_heatmap WHERE day_of_week BETWEEN 0 AND 6) b
+          FROM (SELECT DISTINCT box_id FROM us_hours WHERE day_of_week BETWEEN 0 AND 6) b
           CROSS JOIN generate_series(6, 21) h(hour)
-          LEFT JOIN h_heatmap m ON m.box_id = b.box_id AND m.hour_of_day = h.hour AND m.day_of_week BETWEEN 0 AND 6
+          LEFT JOIN us_hours m ON m.box_id = b.box_id AND m.hour_of_day = h.hour AND m.day_of_week BETWEEN 0 AND 6
           GROUP BY b.box_id, h.hour"""),
     _e("funnel_stages", lambda t: K.funnel_stages(t, DL), "box_id:l, record_type:s, stage:s, value:l",
        """SELECT box_id, record_type, stage, value FROM i_funnel

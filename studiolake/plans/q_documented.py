@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from studiolake.operators import datagen as G
 from studiolake.operators import documented as L
 from studiolake.plans.oracle_base import AS_OF, hu, pct
-from studiolake.plans.q_classes import CLASS_CTES
+from studiolake.plans.q_classes import USAGE
 from studiolake.plans.q_money import MONEY_CTES
 from studiolake.plans.registry import Entry
 from studiolake.sources.adapter import AS_OF as D
@@ -54,7 +54,7 @@ def _top(src: str, cols: str, order: str, k: int) -> str:
 
 
 def _e(name, build, spec, sql):
-    return Entry(name, build, spec, sql, (MONEY_CTES, CLASS_CTES, DOC_CTES))
+    return Entry(name, build, spec, sql, (MONEY_CTES, USAGE, DOC_CTES))
 
 
 ENTRIES = [
@@ -88,13 +88,13 @@ ENTRIES = [
        _top("(SELECT * FROM stg_members WHERE join_date IS NOT NULL)", "box_id, member_id, name, join_date",
             "join_date DESC, member_id DESC", 10)),
     _e("top_coaches", lambda t: L.top_coaches(t, 5), "box_id:l, coach:s, total_checkins:l, rank:l",
-       _top("(SELECT box_id, label AS coach, total_checkins FROM h_coach)", "box_id, coach, total_checkins",
+       _top("(SELECT box_id, label AS coach, total_checkins FROM us_coaches)", "box_id, coach, total_checkins",
             "total_checkins DESC, coach", 5)),
     _e("top_active", lambda t: L.top_active(t, D, 10), "box_id:l, member_id:l, name:s, total_checkins_90d:l, rank:l",
        _top("activity", "box_id, member_id, name, total_checkins_90d", "total_checkins_90d DESC, member_id", 10)),
     _e("popular_class", L.popular_class, "box_id:l, class_name:s, checkins:l",
        "SELECT box_id, arg_min(label, (-total_checkins, label)) AS class_name, max(total_checkins) AS checkins "
-       "FROM h_types GROUP BY box_id"),
+       "FROM us_kinds GROUP BY box_id"),
     _e("busiest_day", L.busiest_day, "box_id:l, day_of_week:l, checkins:l",
        "SELECT box_id, arg_min(day_of_week, (-checkins, day_of_week)) AS day_of_week, max(checkins) AS checkins "
        "FROM (SELECT box_id, day_of_week, count(*) AS checkins FROM stg_bookings WHERE checked_in GROUP BY ALL) "
@@ -119,7 +119,7 @@ ENTRIES = [
        "SELECT box_id, day_of_week, count(*) AS checkins FROM stg_bookings WHERE checked_in GROUP BY ALL"),
     _e("avg_attendance", L.avg_attendance, "box_id:l, sessions:l, checkins:l, avg_attendance:d",
        f"SELECT box_id, count(*) AS sessions, sum(checkins) AS checkins, "
-       f"({hu('sum(checkins) * 10', 'count(*)')}) / 10.0 AS avg_attendance FROM h_sessions GROUP BY box_id"),
+       f"({hu('sum(checkins) * 10', 'count(*)')}) / 10.0 AS avg_attendance FROM us_rates GROUP BY box_id"),
     _e("sql_functions", _sql_functions,
        "member_id:l, phone_key:s, intl_phone:s, week_start:t, dow0:l, renewal_pct:d",
        """SELECT id AS member_id,
