@@ -232,30 +232,6 @@ def _shape(df: DataFrame, record_type: str | None) -> DataFrame:
         .cast(ty).alias(n) for n, ty in MONETIZATION_COLUMNS])
 
 
-def monetization_by_branch(t: Tables, as_of: dt.date) -> DataFrame:
-    """G17 as the literal union of the ten record-type queries (reference
-    shape).  Each branch re-reads its source; kept for comparison - use
-    :func:`monetization`, which computes the same rows in one pass per source."""
-    fm = freeze_monthly(t, as_of)
-    parts = [
-        _shape(monetization_summary(t, as_of), "summary"),
-        _shape(revenue_by_plan(t, as_of), "by_plan"),
-        _shape(weekly_revenue(t, as_of), "weekly_revenue"),
-        _shape(monthly_revenue(t, as_of), "monthly_revenue"),
-        _shape(freeze_by_reason(t, as_of), "freeze_by_reason"),
-        _shape(fm, "freeze_monthly"),
-        _shape(overdue_members(t), "overdue_members"),
-        _shape(freeze_weekly(t, as_of), "freeze_weekly"),
-        _shape(freeze_by_plan(t, as_of), "freeze_by_plan"),
-        _shape(frozen_mrr_monthly(t, as_of), "frozen_mrr_monthly"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-# Contribution columns of the one-pass monetisation plan (name, type).
 _CONTRIB = [
     ("act_n", "bigint"), ("act_sum", "decimal(20,2)"), ("new_n", "bigint"), ("new_sum", "decimal(20,2)"),
     ("cur_paid", "decimal(20,2)"), ("cur_pending", "decimal(20,2)"), ("cur_overdue", "decimal(20,2)"),

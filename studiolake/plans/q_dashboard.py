@@ -16,8 +16,8 @@ from studiolake.plans.oracle_base import AS_OF, AS_OF_LEADS
 from studiolake.plans.q_classes import USAGE
 from studiolake.plans.q_core import HEALTH_SPEC
 from studiolake.plans.q_freezes import LIFECYCLE
-from studiolake.plans.q_leads import LEAD_CTES
-from studiolake.plans.q_money import MONEY_CTES
+from studiolake.plans.q_leads import FUNNEL
+from studiolake.plans.q_money import LEDGER
 from studiolake.plans.registry import Entry
 from studiolake.sources.adapter import AS_OF as D, AS_OF_LEADS as DL
 
@@ -50,7 +50,7 @@ DRILL_FREEZE_SPEC = ("box_id:l, member_name:s, plan_type:s, health_tier:s, healt
                      "freeze_end:t, total_days:l, reason:s, price:d, is_active:b")
 DRILL_FREEZE_SQL = ("SELECT box_id, member_name, plan_type, health_tier, health_score, freeze_start, freeze_end, "
                     "total_days, reason, price, is_active FROM k_fe")
-ALL = (MONEY_CTES, USAGE, LEAD_CTES, LIFECYCLE, DASH_CTES)
+ALL = (LEDGER, USAGE, FUNNEL, LIFECYCLE, DASH_CTES)
 
 
 def _e(name, build, spec, sql):
@@ -67,19 +67,19 @@ ENTRIES = [
     _e("plan_arpu", lambda t: K.plan_arpu(t, D), "box_id:l, name:s, value:d, members:l, arpu:l",
        f"SELECT box_id, plan_type AS name, plan_revenue AS value, plan_member_count AS members, "
        f"CASE WHEN plan_member_count > 0 THEN {jsr('plan_revenue * 100', 'plan_member_count * 100')} ELSE 0 END "
-       f"AS arpu FROM g_by_plan"),
+       f"AS arpu FROM mo_plans"),
     _e("mom_delta", lambda t: K.mom_delta(t, D), "box_id:l, last_month_collected:d, prev_month_collected:d, mo_delta:l",
        f"SELECT box_id, last_month_collected, prev_month_collected, CASE WHEN prev_month_collected > 0 THEN "
        f"{jsr('(last_month_collected - prev_month_collected) * 10000', 'prev_month_collected * 100')} END AS mo_delta "
-       f"FROM g_summary"),
+       f"FROM mo_summary"),
     _e("series_weekly_revenue",
        lambda t: K.record_type_series(M.monetization(t, D), "weekly_revenue", ["period_revenue"]),
-       "box_id:l, period_start:t, period_revenue:d", "SELECT box_id, period_start, period_revenue FROM g_weekly"),
+       "box_id:l, period_start:t, period_revenue:d", "SELECT box_id, period_start, period_revenue FROM mo_week_income"),
     _e("series_freeze_by_reason",
        lambda t: K.record_type_series(M.monetization(t, D), "freeze_by_reason", ["freeze_count", "avg_freeze_days"],
                                       order_col="reason"),
        "box_id:l, reason:s, freeze_count:l, avg_freeze_days:d",
-       "SELECT box_id, reason, freeze_count, avg_freeze_days FROM g_freason"),
+       "SELECT box_id, reason, freeze_count, avg_freeze_days FROM mo_by_reason"),
     _e("ltv_rank", lambda t: K.ltv_rank(t, D),
        "box_id:l, plan_type:s, member_count:l, avg_price:d, avg_tenure_months:d, avg_ltv:d, active_count:l, "
        "past_count:l, rank:l",
@@ -113,7 +113,7 @@ ENTRIES = [
     _e("drill_freeze_month", lambda t: K.drill_freeze_period(t, D, "monthly", DRILL_MONTH), DRILL_FREEZE_SPEC,
        DRILL_FREEZE_SQL + f" WHERE freeze_start BETWEEN DATE '{DRILL_MONTH}' AND last_day(DATE '{DRILL_MONTH}')"),
     _e("freeze_total", lambda t: K.freeze_total(t, D), "box_id:l, total:l",
-       "SELECT box_id, sum(freeze_count) AS total FROM g_freason GROUP BY box_id"),
+       "SELECT box_id, sum(freeze_count) AS total FROM mo_by_reason GROUP BY box_id"),
     _e("freeze_funnel", lambda t: K.freeze_funnel(t, D), "box_id:l, step_order:l, step:s, count:l, pct:l",
        f"""SELECT box_id, step_order, step, cnt AS count,
                   CASE WHEN step_order = 0 THEN 100 WHEN total_completed > 0 THEN {jsr('cnt * 100', 'total_completed')}
@@ -153,7 +153,7 @@ ENTRIES = [
           LEFT JOIN us_hours m ON m.box_id = b.box_id AND m.hour_of_day = h.hour AND m.day_of_week BETWEEN 0 AND 6
           GROUP BY b.box_id, h.hour"""),
     _e("funnel_stages", lambda t: K.funnel_stages(t, DL), "box_id:l, record_type:s, stage:s, value:l",
-       """SELECT box_id, record_type, stage, value FROM i_funnel
+       """SELECT box_id, record_type, stage, value FROM ld_funnel
           UNPIVOT (value FOR stage IN (new_leads, in_progress, trial_booked, converted, lost))"""),
     _e("drill_leads_converted_30d", lambda t: K.drill_leads(t, DL, "converted", 30),
        "box_id:l, lead_id:l, full_name:s, phone:s, email:s, source:s, status:s, trial_date:t, created_at:ts, "
@@ -169,15 +169,15 @@ ENTRIES = [
                   source, total, converted,
                   CASE WHEN total > 0 THEN {jsr('converted * 100', 'total')} ELSE 0 END AS win_pct
            FROM (SELECT box_id, record_type, source, count(*) AS total,
-                        count(*) FILTER (WHERE status = 'converted') AS converted FROM i_periods GROUP BY ALL)"""),
+                        count(*) FILTER (WHERE status = 'converted') AS converted FROM ld_seen GROUP BY ALL)"""),
     _e("lost_reason_value", lambda t: K.lost_reason_value(t, DL),
        "box_id:l, record_type:s, pos:l, reason:s, count:l, value:d",
        """SELECT r.box_id, r.record_type,
                  row_number() OVER (PARTITION BY r.box_id, r.record_type ORDER BY cnt DESC, reason) - 1 AS pos,
                  reason, cnt AS count, cnt * coalesce(a.avg_mrr, 0) AS value
-          FROM (SELECT box_id, record_type, lost_reason AS reason, count(*) AS cnt FROM i_periods
-                WHERE lost_reason IS NOT NULL GROUP BY ALL) r LEFT JOIN i_avg_mrr a ON a.box_id = r.box_id"""),
+          FROM (SELECT box_id, record_type, lost_reason AS reason, count(*) AS cnt FROM ld_seen
+                WHERE lost_reason IS NOT NULL GROUP BY ALL) r LEFT JOIN ld_ticket a ON a.box_id = r.box_id"""),
     _e("stage_value", lambda t: K.stage_value(t, DL), "box_id:l, record_type:s, converted_value:d, lost_value:d",
        "SELECT box_id, record_type, converted * coalesce(avg_mrr, 0) AS converted_value, "
-       "lost * coalesce(avg_mrr, 0) AS lost_value FROM i_funnel"),
+       "lost * coalesce(avg_mrr, 0) AS lost_value FROM ld_funnel"),
 ]

@@ -8,7 +8,7 @@ from studiolake.operators import datagen as G
 from studiolake.operators import documented as L
 from studiolake.plans.oracle_base import AS_OF, hu, pct
 from studiolake.plans.q_classes import USAGE
-from studiolake.plans.q_money import MONEY_CTES
+from studiolake.plans.q_money import LEDGER
 from studiolake.plans.registry import Entry
 from studiolake.sources.adapter import AS_OF as D
 
@@ -54,7 +54,7 @@ def _top(src: str, cols: str, order: str, k: int) -> str:
 
 
 def _e(name, build, spec, sql):
-    return Entry(name, build, spec, sql, (MONEY_CTES, USAGE, DOC_CTES))
+    return Entry(name, build, spec, sql, (LEDGER, USAGE, DOC_CTES))
 
 
 ENTRIES = [
@@ -82,7 +82,7 @@ ENTRIES = [
     _e("top_overdue", lambda t: L.top_overdue(t, 10),
        "box_id:l, member_id:l, member_name:s, member_email:s, member_phone:s, overdue_amount:d, overdue_since:t, "
        "rank:l",
-       _top("g_overdue", "box_id, member_id, member_name, member_email, member_phone, overdue_amount, overdue_since",
+       _top("mo_overdue", "box_id, member_id, member_name, member_email, member_phone, overdue_amount, overdue_since",
             "overdue_amount DESC, member_id", 10)),
     _e("top_newest", lambda t: L.top_newest(t, 10), "box_id:l, member_id:l, name:s, join_date:t, rank:l",
        _top("(SELECT * FROM stg_members WHERE join_date IS NOT NULL)", "box_id, member_id, name, join_date",
@@ -104,7 +104,7 @@ ENTRIES = [
     _e("avg_revenue_per_member", lambda t: L.avg_revenue_per_member(t, D),
        "box_id:l, mrr:d, active_members:l, avg_revenue_per_member:d",
        f"SELECT g.box_id, g.mrr, a.n AS active_members, ({hu('g.mrr * 100', 'a.n')}) / 100.0 AS avg_revenue_per_member "
-       f"FROM g_mrr g LEFT JOIN (SELECT box_id, count(*) AS n FROM members WHERE status = 'active' GROUP BY box_id) a "
+       f"FROM mo_mrr g LEFT JOIN (SELECT box_id, count(*) AS n FROM members WHERE status = 'active' GROUP BY box_id) a "
        f"ON g.box_id = a.box_id"),
     _e("churn_rate", lambda t: L.churn_rate(t, D),
        "box_id:l, churned_this_month:l, active_members:l, churn_rate_pct:d",

@@ -13,58 +13,49 @@ from studiolake.plans.oracle_base import AS_OF_LEADS, hu, pct
 from studiolake.plans.registry import Entry
 from studiolake.sources.adapter import AS_OF_LEADS as DL
 
-LEAD_CTES = f"""
-i_avg_mrr AS (
-  SELECT box_id, {hu("sum(CAST(price * 100 AS HUGEINT))", "count(price) * 100")} AS avg_mrr
-  FROM memberships WHERE status = 'active' AND price > 0 GROUP BY box_id
+# Leads are counted once into cells of (window, status, age class, reason, source); every report sums cells.
+FUNNEL = f"""
+ld_ticket AS (
+  SELECT box_id, {hu('sum(cents)', 'count(*) * 100')} AS avg_mrr
+  FROM (SELECT box_id, CAST(price * 100 AS HUGEINT) AS cents FROM memberships WHERE status = 'active') WHERE cents > 0 GROUP BY ALL
 ),
-i_periods AS (
-  SELECT l.*, p.record_type, p.since_date FROM stg_leads l
-  CROSS JOIN (VALUES ('last_30d', {AS_OF_LEADS} - 30), ('last_60d', {AS_OF_LEADS} - 60),
-                     ('last_90d', {AS_OF_LEADS} - 90), ('all_time', DATE '2000-01-01')) AS p(record_type, since_date)
-  WHERE CAST(l.created_at AS DATE) >= p.since_date
+ld_windows AS (
+  SELECT ifnull('last_' || span || 'd', 'all_time') AS record_type, ifnull({AS_OF_LEADS} - span, DATE '2000-01-01') AS since_date
+  FROM (SELECT unnest([30, 60, 90, NULL]) AS span)
 ),
-i_main AS (
-  SELECT pl.box_id, pl.record_type, count(*) AS total_leads,
-    count(*) FILTER (WHERE status = 'new') AS new_leads,
-    count(*) FILTER (WHERE status = 'in_progress') AS in_progress,
-    count(*) FILTER (WHERE status = 'trial_booked') AS trial_booked,
-    count(*) FILTER (WHERE status = 'converted') AS converted,
-    count(*) FILTER (WHERE status = 'lost') AS lost,
-    {pct("count(*) FILTER (WHERE status = 'converted')", "count(*) FILTER (WHERE status != 'new')", 1)}
-      AS conversion_rate_pct,
-    {hu("sum(days_in_pipeline) FILTER (WHERE status = 'converted')",
-        "count(days_in_pipeline) FILTER (WHERE status = 'converted')")} AS avg_days_to_convert,
-    count(*) FILTER (WHERE status = 'converted' AND days_in_pipeline = 0) AS b_same_day,
-    count(*) FILTER (WHERE status = 'converted' AND days_in_pipeline BETWEEN 1 AND 3) AS b_1_3d,
-    count(*) FILTER (WHERE status = 'converted' AND days_in_pipeline BETWEEN 4 AND 7) AS b_4_7d,
-    count(*) FILTER (WHERE status = 'converted' AND days_in_pipeline BETWEEN 8 AND 30) AS b_8_30d,
-    count(*) FILTER (WHERE status = 'converted' AND days_in_pipeline > 30) AS b_30plus,
-    am.avg_mrr
-  FROM i_periods pl LEFT JOIN i_avg_mrr am ON am.box_id = pl.box_id
-  GROUP BY pl.box_id, pl.record_type, am.avg_mrr
+ld_seen AS (SELECT * FROM stg_leads JOIN ld_windows ON since_date <= CAST(created_at AS DATE)),
+ld_cells AS (
+  SELECT box_id, record_type, status, lost_reason, source, days_in_pipeline AS age, count(*) AS n FROM ld_seen GROUP BY ALL
 ),
-i_funnel AS (
-  SELECT *, trial_booked * coalesce(avg_mrr, 0) AS pipeline_value, converted * coalesce(avg_mrr, 0) AS won_revenue,
-         lost * coalesce(avg_mrr, 0) AS lost_revenue_est FROM i_main
+ld_counts AS (
+  SELECT box_id, record_type, sum(n) AS total_leads,
+         {', '.join(f"sum(if(status = '{s}', n, 0)) AS {c}" for s, c in (('new', 'new_leads'), ('in_progress', 'in_progress'), ('trial_booked', 'trial_booked'), ('converted', 'converted'), ('lost', 'lost')))},
+         sum(if(status = 'converted', n * age, NULL)) AS days, sum(if(status = 'converted' AND age IS NOT NULL, n, NULL)) AS dated,
+         {', '.join(f"sum(if(status = 'converted' AND age BETWEEN {lo} AND {hi}, n, 0)) AS {c}" for c, lo, hi in (('b_same_day', 0, 0), ('b_1_3d', 1, 3), ('b_4_7d', 4, 7), ('b_8_30d', 8, 30), ('b_30plus', 31, 10 ** 6)))}
+  FROM ld_cells GROUP BY ALL
 ),
-i_lost AS (
-  SELECT box_id, record_type,
-         string_agg(reason || '=' || cnt, ';' ORDER BY cnt DESC, coalesce(reason, 'null') ASC) AS lost_reasons
-  FROM (SELECT box_id, record_type, lost_reason AS reason, count(*) AS cnt FROM i_periods
-        WHERE lost_reason IS NOT NULL GROUP BY ALL) GROUP BY box_id, record_type
+ld_funnel AS (
+  SELECT *, {pct('converted', 'total_leads - new_leads', 1)} AS conversion_rate_pct, {hu('days', 'dated')} AS avg_days_to_convert,
+         trial_booked * ifnull(avg_mrr, 0) AS pipeline_value, converted * ifnull(avg_mrr, 0) AS won_revenue, lost * ifnull(avg_mrr, 0) AS lost_revenue_est
+  FROM ld_counts LEFT JOIN ld_ticket USING (box_id)
 ),
-i_sources AS (
-  SELECT box_id, record_type,
-         string_agg(coalesce(source, 'null') || '=' || total || '/' || converted, ';'
-                    ORDER BY total DESC, coalesce(source, 'null') ASC) AS source_breakdown
-  FROM (SELECT box_id, record_type, source, count(*) AS total,
-               count(*) FILTER (WHERE status = 'converted') AS converted FROM i_periods GROUP BY ALL)
-  GROUP BY box_id, record_type
+ld_reasons AS (SELECT box_id, record_type, lost_reason AS label, sum(n) AS n FROM ld_cells WHERE lost_reason IS NOT NULL GROUP BY ALL),
+ld_origins AS (
+  SELECT box_id, record_type, ifnull(source, 'null') AS label, sum(n) AS n, sum(if(status = 'converted', n, 0)) AS won FROM ld_cells GROUP BY box_id, record_type, source
 ),
-i_trials AS (
+ld_lost AS (
+  SELECT box_id, record_type, array_to_string(list(label || '=' || n ORDER BY n DESC, label), ';') AS lost_reasons FROM ld_reasons GROUP BY ALL
+),
+ld_sources AS (
+  SELECT box_id, record_type, array_to_string(list(label || '=' || n || '/' || won ORDER BY n DESC, label), ';') AS source_breakdown FROM ld_origins GROUP BY ALL
+),
+ld_trials AS (
   SELECT box_id, full_name AS name, phone, trial_date, source, lead_id FROM stg_leads
-  WHERE status = 'trial_booked' AND trial_date BETWEEN {AS_OF_LEADS} AND {AS_OF_LEADS} + 7
+  WHERE status = 'trial_booked' AND trial_date - {AS_OF_LEADS} BETWEEN 0 AND 7
+),
+ld_days AS (
+  SELECT box_id, CAST(created_at AS DATE) AS day, created_at, if(status = 'converted', 1, 0) AS won, if(status = 'lost', 1, 0) AS gone, if(status = 'trial_booked', 1, 0) AS tried
+  FROM stg_leads
 )"""
 
 FUNNEL_SPEC = ("box_id:l, record_type:s, total_leads:l, new_leads:l, in_progress:l, trial_booked:l, converted:l, "
@@ -104,28 +95,25 @@ def _mart(t):
 
 
 def _e(name, build, spec, sql):
-    return Entry(name, build, spec, sql, (LEAD_CTES,))
+    return Entry(name, build, spec, sql, (FUNNEL,))
 
 
 ENTRIES = [
-    _e("avg_mrr", L.avg_mrr, "box_id:l, avg_mrr:d", "SELECT * FROM i_avg_mrr"),
+    _e("avg_mrr", L.avg_mrr, "box_id:l, avg_mrr:d", "SELECT * FROM ld_ticket"),
     _e("lead_periods", lambda t: L.lead_periods(t, DL),
        "lead_id:l, box_id:l, status:s, created_at:ts, days_in_pipeline:l, record_type:s, since_date:t",
-       "SELECT * FROM i_periods"),
-    _e("lead_funnel", lambda t: _flat_funnel(L.lead_funnel(t, DL)), FUNNEL_SPEC, "SELECT * FROM i_funnel"),
+       "SELECT * FROM ld_seen"),
+    _e("lead_funnel", lambda t: _flat_funnel(L.lead_funnel(t, DL)), FUNNEL_SPEC, "SELECT * FROM ld_funnel"),
     _e("lost_reasons", lambda t: _lost_str(L.lost_reasons(t, DL)), "box_id:l, record_type:s, lost_reasons:s",
-       "SELECT * FROM i_lost"),
+       "SELECT * FROM ld_lost"),
     _e("lead_sources", lambda t: _src_str(L.lead_sources(t, DL)), "box_id:l, record_type:s, source_breakdown:s",
-       "SELECT * FROM i_sources"),
+       "SELECT * FROM ld_sources"),
     _e("upcoming_trials", lambda t: L.upcoming_trials(t, DL),
-       "box_id:l, name:s, phone:s, trial_date:t, source:s, lead_id:l", "SELECT * FROM i_trials"),
+       "box_id:l, name:s, phone:s, trial_date:t, source:s, lead_id:l", "SELECT * FROM ld_trials"),
     _e("leads_mart", _mart,
        FUNNEL_SPEC + ", lost_reasons:s, source_breakdown:s, upcoming_trial_count:l",
-       """SELECT f.*, l.lost_reasons, s.source_breakdown, tr.upcoming_trial_count FROM i_funnel f
-          LEFT JOIN i_lost l ON f.box_id = l.box_id AND f.record_type = l.record_type
-          LEFT JOIN i_sources s ON f.box_id = s.box_id AND f.record_type = s.record_type
-          LEFT JOIN (SELECT box_id, count(*) AS upcoming_trial_count FROM i_trials GROUP BY box_id) tr
-            ON f.box_id = tr.box_id"""),
+       "SELECT * FROM ld_funnel LEFT JOIN ld_lost USING (box_id, record_type) LEFT JOIN ld_sources USING (box_id, record_type) "
+       "LEFT JOIN (SELECT box_id, count(*) AS upcoming_trial_count FROM ld_trials GROUP BY ALL) USING (box_id)"),
     _e("leads_detail", lambda t: L.leads_detail(t, DL),
        "lead_id:l, box_id:l, full_name:s, first_name:s, last_name:s, phone:s, email:s, source:s, status:s, "
        "lost_reason:s, trial_date:t, created_at:ts, days_in_pipeline:l",
@@ -133,23 +121,15 @@ ENTRIES = [
        "trial_date, created_at, days_in_pipeline FROM stg_leads"),
     _e("leads_weekly", lambda t: L.leads_weekly(t, DL),
        "box_id:l, week_start:t, total_leads:l, converted:l, conversion_rate_pct:d",
-       f"""SELECT box_id, CAST(date_trunc('week', created_at) AS DATE) AS week_start, count(*) AS total_leads,
-                  count(*) FILTER (WHERE status = 'converted') AS converted,
-                  {pct("count(*) FILTER (WHERE status = 'converted')", "count(*)", 1)} AS conversion_rate_pct
-           FROM stg_leads WHERE created_at >= {AS_OF_LEADS} - 84 GROUP BY ALL"""),
+       f"SELECT box_id, day - CAST(isodow(day) - 1 AS INTEGER) AS week_start, count(*) AS total_leads, sum(won) AS converted, "
+       f"{pct('sum(won)', 'count(*)', 1)} AS conversion_rate_pct FROM ld_days WHERE created_at >= {AS_OF_LEADS} - 84 GROUP BY ALL"),
     _e("leads_monthly", lambda t: L.leads_monthly(t, DL),
        "box_id:l, month_start:t, total_leads:l, converted:l, lost:l, trial_booked:l, conversion_rate_pct:d, "
        "won_revenue:d, lost_revenue_est:d",
-       f"""SELECT l.box_id, CAST(date_trunc('month', l.created_at) AS DATE) AS month_start, count(*) AS total_leads,
-                  count(*) FILTER (WHERE status = 'converted') AS converted,
-                  count(*) FILTER (WHERE status = 'lost') AS lost,
-                  count(*) FILTER (WHERE status = 'trial_booked') AS trial_booked,
-                  {pct("count(*) FILTER (WHERE status = 'converted')", "count(*)", 1)} AS conversion_rate_pct,
-                  count(*) FILTER (WHERE status = 'converted') * coalesce(am.avg_mrr, 0) AS won_revenue,
-                  count(*) FILTER (WHERE status = 'lost') * coalesce(am.avg_mrr, 0) AS lost_revenue_est
-           FROM stg_leads l LEFT JOIN i_avg_mrr am ON am.box_id = l.box_id
-           WHERE l.created_at >= {AS_OF_LEADS} - INTERVAL 12 MONTH
-           GROUP BY l.box_id, CAST(date_trunc('month', l.created_at) AS DATE), am.avg_mrr"""),
+       f"SELECT *, {pct('converted', 'total_leads', 1)} AS conversion_rate_pct, converted * ifnull(avg_mrr, 0) AS won_revenue, "
+       f"lost * ifnull(avg_mrr, 0) AS lost_revenue_est FROM (SELECT box_id, make_date(year(day), month(day), 1) AS month_start, count(*) AS total_leads, "
+       f"sum(won) AS converted, sum(gone) AS lost, sum(tried) AS trial_booked FROM ld_days WHERE created_at >= {AS_OF_LEADS} - INTERVAL 12 MONTH "
+       f"GROUP BY ALL) LEFT JOIN ld_ticket USING (box_id)"),
     _e("lead_summary", L.lead_summary,
        "box_id:l, total_leads:l, converted:l, lost:l, trial_booked:l, in_progress:l, new:l, conversion_rate_pct:d",
        f"""SELECT box_id, count(*) AS total_leads, count(*) FILTER (WHERE status = 'converted') AS converted,
