@@ -2,8 +2,8 @@
 
 The activity model is materialised first (written, then read back) - four
 marts read it, so it is computed once and its lineage is cut; every mart is
-then written as its own box-partitioned table.  Writes go to a run folder, so
-a failed run never leaves a half-replaced mart behind.
+then written as its own box-partitioned table.  A mart's new version is
+committed when it is whole; a failed run leaves the earlier one in place.
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ def run_models(spark: SparkSession, tables: dict[str, DataFrame], out: str, as_o
     la = leads_as_of or as_of
     paths = {}
     act_path = f"{out}/int_member_activity"
-    write_table(A.member_activity(tables, as_of), act_path)
-    activity = spark.read.parquet(act_path)
+    activity = write_table(A.member_activity(tables, as_of), act_path)
     paths["int_member_activity"] = act_path
     marts = {
         "mart_health_scores": H.health_scores(tables, as_of, activity),

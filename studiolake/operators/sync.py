@@ -1,11 +1,10 @@
 """Full and partial sync pipelines.
 
 Plain function chaining of the ingest operators.  Each stage's result is
-written to the store (a new table version) before the next stage reads it:
-that cuts the lineage (an executor loss re-runs one stage, not the whole
-sync) and makes every stage's output durable.  A stage reads the previous
-version of its table and writes the next one to a fresh path, so no job reads
-and overwrites the same files.
+written to the store (a new table version, then its commit) before the next
+stage reads it: that cuts the lineage (an executor loss re-runs one stage, not
+the whole sync) and makes every stage's output durable.  A stage reads the
+previous version of its table, which stays as it is.
 """
 
 from __future__ import annotations
@@ -19,49 +18,53 @@ from studiolake.operators import ingest as I
 from studiolake.sources.tables import write_table
 
 
-def _next(spark: SparkSession, store: str, name: str, df: DataFrame, version: str) -> DataFrame:
-    path = f"{store}/{name}/v={version}"
-    write_table(df, path)
-    return spark.read.parquet(path)
+SEED_IDS = {"members": "source_member_id", "memberships": "source_membership_id", "payments": "source_payment_id",
+            "classes": "source_class_id", "leads": "source_lead_id", "attendance": None}
+
+
+def purge(current: dict[str, DataFrame], box_id) -> dict[str, DataFrame]:
+    """The first step of a full sync: one box's synthetic rows go."""
+    return {n: I.purge_seed(df, SEED_IDS[n], box_id) if n in SEED_IDS else df for n, df in current.items()}
 
 
 def sync(spark: SparkSession, feeds: dict[str, DataFrame], current: dict[str, DataFrame], store: str,
-         as_of: dt.date, version: str, partial: bool = False) -> dict[str, DataFrame]:
-    """Run one sync.  ``current`` holds the store's tables before the run;
-    returns the tables after it (each written under ``store/<name>/v=<version>``).
-    The partial sync skips members and memberships and reuses the stored map."""
+         as_of: dt.date, partial: bool = False, purge_box=None) -> dict[str, DataFrame]:
+    """Run one sync.  ``current`` holds the store's tables before the run; returns the tables after it (each written
+    as the current version of ``store/<name>``).  A full sync first drops the synthetic rows of ``purge_box``.  The
+    partial sync skips that, members and memberships, and reuses the stored map."""
+    if not partial and purge_box is not None:
+        current = purge(current, purge_box)
     out = dict(current)
     ts = F.lit(as_of).cast("timestamp_ntz")
     if not partial:
         rows = I.build_members(feeds["member_props"], feeds["active_members"])
         members = I.upsert(current["members"], rows, I.UPSERT_KEYS["members"],
                            defaults={"id": I.surrogate("_key_box_id", "_key_source_member_id"), "created_at": ts})
-        out["members"] = _next(spark, store, "members", members, version)
+        out["members"] = write_table(members, f"{store}/members")
     mmap = I.member_map(out["members"])
     if not partial:
         ms = I.upsert(current["memberships"], I.build_memberships(feeds["memberships"], mmap),
                       I.UPSERT_KEYS["memberships"],
                       defaults={"id": I.surrogate("_key_box_id", "_key_source_membership_id")})
-        out["memberships"] = _next(spark, store, "memberships", ms, version)
-        out["members"] = _next(spark, store, "members", I.backfill_join_date(out["members"], feeds["memberships"]),
-                               version + "b")
+        out["memberships"] = write_table(ms, f"{store}/memberships")
+        out["members"] = write_table(I.backfill_join_date(out["members"], feeds["memberships"]), f"{store}/members")
         mmap = I.member_map(out["members"])
     pay = I.upsert(current["payments"], I.build_payments(feeds["sales"], mmap), I.UPSERT_KEYS["payments"],
                    defaults={"id": I.surrogate("_key_box_id", "_key_source_payment_id")})
-    out["payments"] = _next(spark, store, "payments", pay, version)
+    out["payments"] = write_table(pay, f"{store}/payments")
     cls = I.upsert(current["classes"], I.build_classes(feeds["classes"]), I.UPSERT_KEYS["classes"],
                    defaults={"id": I.surrogate("_key_box_id", "_key_source_class_id")})
-    out["classes"] = _next(spark, store, "classes", cls, version)
+    out["classes"] = write_table(cls, f"{store}/classes")
     bk = I.upsert(current["bookings"], I.build_bookings(feeds["bookings"], mmap), I.UPSERT_KEYS["bookings"],
-                  defaults={"id": F.concat_ws("-", "_key_box_id", "_key_source_user_id", "_key_booked_date",
-                                              "_key_booked_time", "_key_class_name")})
-    out["bookings"] = _next(spark, store, "bookings", bk, version)
+                  defaults={"id": F.concat_ws("-", *(F.coalesce(F.col(f"_key_{k}").cast("string"), F.lit("?"))
+                                                     for k in I.UPSERT_KEYS["bookings"]))})
+    out["bookings"] = write_table(bk, f"{store}/bookings")
     leads = I.upsert(current["leads"], I.build_leads(feeds["leads"]), I.UPSERT_KEYS["leads"],
                      defaults={"id": I.surrogate("_key_box_id", "_key_source_lead_id")})
     leads = I.classify_vanished(leads, feeds["leads"], out["members"])
-    out["leads"] = _next(spark, store, "leads", leads, version)
+    out["leads"] = write_table(leads, f"{store}/leads")
     frz = I.upsert(current["freezes"], I.build_freezes(I.dedupe_holds(feeds["holds"]), mmap),
                    I.UPSERT_KEYS["freezes"], defaults={"id": I.surrogate("_key_box_id", "_key_source_hold_id"),
                                                        "synced_at": ts})
-    out["freezes"] = _next(spark, store, "freezes", frz, version)
+    out["freezes"] = write_table(frz, f"{store}/freezes")
     return out

@@ -1,35 +1,73 @@
 """A2 / A4: canonical table storage.
 
-Tables are parquet directories partitioned by ``box_id``: a tenant-scoped
-read (``box_id = ...`` or a semi join against one resolved box) prunes to one
-partition directory, which is what the reference's per-tenant indexes did.
-Writes replace a table atomically per run (``mode("overwrite")``): a failed
-job leaves the previous version in place rather than a half-written table.
+A table is a folder with ``data/<version>`` (parquet, partitioned by ``box_id``)
+and ``commits``, an append-only parquet log with one row per finished version:
+its number, folder and schema.  A write first makes a new version folder and
+then appends its commit; readers take the version of the latest commit, with
+the schema that was stored, so partition values keep their type (a text box id
+``'007'`` stays text).  A job that fails before its commit leaves the table as
+it was, and the current version is found by any later process.  A version is
+never changed, so a job can read the table that it replaces.
+
+A tenant-scoped read (``box_id = ...``) prunes to one partition folder.  Rows
+are dealt by ``box_id`` and a salt before writing, so a version has at most
+``FILES_PER_BOX`` files per box instead of one per task and box.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CANONICAL_TABLES = ["boxes", "members", "memberships", "payments", "classes", "freezes", "attendance",
                     "leads", "bookings"]
+FILES_PER_BOX = 8
+_COMMIT = "number long, version string, schema string"
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
+    """The latest commit (one row)."""
+    try:
+        commits = spark.read.schema(_COMMIT).parquet(f"{path}/commits")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    row = commits.orderBy(F.desc("number"), "version").first()
+    return (row["number"], row["version"], row["schema"]) if row else None
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table."""
+    latest = _latest(spark, path)
+    if latest is None:
+        raise FileNotFoundError(f"{path} has no finished version")
+    _, version, schema = latest
+    return spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{path}/data/{version}")
 
 
 def load(spark: SparkSession, store: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """A2: the canonical tables of a store directory."""
-    return {n: spark.read.parquet(f"{store}/{n}") for n in (names or CANONICAL_TABLES)}
+    return {n: read_table(spark, f"{store}/{n}") for n in (names or CANONICAL_TABLES)}
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = "box_id") -> None:
-    """A4: replace a table; partitioned by tenant when the column exists."""
-    w = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, partition_by: str | None = "box_id") -> DataFrame:
+    """A4: replace a table; returns the new version as read back."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    before = _latest(spark, path)
     if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-
-
-def write_mart(df: DataFrame, store: str, name: str) -> None:
-    write_table(df, f"{store}/marts/{name}")
+        dealt = df.withColumn("_salt", (F.rand(1) * FILES_PER_BOX).cast("int")).repartition(partition_by, "_salt").drop("_salt")
+        dealt.write.partitionBy(partition_by).parquet(f"{path}/data/{version}")
+    else:
+        df.write.parquet(f"{path}/data/{version}")
+    commit = [((before[0] if before else 0) + 1, version, df.schema.json())]
+    spark.createDataFrame(commit, _COMMIT).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return read_table(spark, path)
 
 
 def save_all(tables: dict[str, DataFrame], store: str) -> None:

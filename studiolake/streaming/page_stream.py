@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from studiolake.operators.ingest import upsert
 from studiolake.sources.pages import envelope_schema
-from studiolake.sources.tables import write_table
 
 
 def version_path(table_dir: str, n: int) -> str:
@@ -49,7 +48,7 @@ def run_upsert_stream(spark: SparkSession, landing_dir: str, row_schema: T.Struc
         current = base["df"] if epoch == 0 else spark.read.parquet(version_path(table_dir, epoch - 1))
         rows = prepare(batch) if prepare else batch
         merged = upsert(current, rows, keys, pos=pos, defaults=defaults)
-        write_table(merged, version_path(table_dir, epoch))
+        merged.write.mode("overwrite").parquet(version_path(table_dir, epoch))
         last["v"] = epoch
 
     q = (page_rows_stream(spark, landing_dir, row_schema).writeStream

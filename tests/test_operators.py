@@ -110,23 +110,35 @@ def test_upsert_supplied_null_overwrites_absent_persists(spark):  # A5
     got = {r["source_lead_id"]: r.asDict() for r in out.collect()}
     assert got[10] == {"id": 1, "box_id": 0, "source_lead_id": 10, "first_name": "Anna", "email": None,
                        "lost_reason": "lost_reason_kept"}
-    assert got[11]["id"] == 11 and got[11]["lost_reason"] is None
+    assert got[11]["id"] >= I.NEW_IDS and got[11]["lost_reason"] is None
     again = I.upsert(out, rows, ["box_id", "source_lead_id"],
                      defaults={"id": I.surrogate("_key_box_id", "_key_source_lead_id")})
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))   # idempotent
 
 
-def test_upsert_null_key_part_is_idempotent(spark):
-    target = spark.createDataFrame([], "box_id int, k long, d date, v string")
-    rows = spark.createDataFrame([(0, 1, None, "a", 1)], "box_id int, k long, d date, v string, feed_pos long")
-    once = I.upsert(target, rows, ["box_id", "k", "d"])
-    twice = I.upsert(once, rows, ["box_id", "k", "d"])
-    assert twice.count() == 1
+def test_upsert_keeps_null_key_rows_apart(spark):
+    """As a unique constraint: a NULL key part equals nothing, so no row is lost or merged."""
+    target = spark.createDataFrame([(0, 1, None, "old")], "box_id int, k long, d date, v string")
+    rows = spark.createDataFrame([(0, 1, None, "a", 1), (0, 1, None, "b", 2), (0, 2, D(2026, 1, 1), "c", 3), (0, 2, D(2026, 1, 1), "d", 4)],
+                                 "box_id int, k long, d date, v string, feed_pos long")
+    assert sorted(r["v"] for r in I.upsert(target, rows, ["box_id", "k", "d"]).collect()) == ["a", "b", "d", "old"]
+
+
+def test_new_ids_do_not_meet(spark):
+    rows = spark.createDataFrame([("0", "5"), ("1", "5"), ("10", "5"), ("1", "05"), ("1", "abc"), ("1", "99999999999999999999")], "b string, s string")
+    ids = [r[0] for r in rows.select(I.surrogate("b", "s")).collect()]
+    assert len(set(ids)) == 6 and min(ids) >= I.NEW_IDS
+
+
+def test_id_zero_is_no_row(spark):
+    raw = spark.createDataFrame([(0, 0, "A"), (0, None, "B"), (0, 7, "C")], "box_id int, user_id long, name string") \
+               .withColumn("email", F.lit("e")).withColumn("phone", F.lit("p")).withColumn("feed_pos", F.lit(1))
+    assert [r["source_member_id"] for r in I.build_members(raw, raw.select("box_id", "user_id")).collect()] == [7]
 
 
 def test_insert_ignore_keeps_existing(spark):  # A6
     target = spark.createDataFrame([(0, 1, "old")], "box_id int, k long, v string")
-    rows = spark.createDataFrame([(0, 1, "new"), (0, 2, "new")], "box_id int, k long, v string")
+    rows = spark.createDataFrame([(0, 1, "new", 1), (0, 2, "later", 3), (0, 2, "new", 2)], "box_id int, k long, v string, feed_pos long")
     got = sorted(map(tuple, I.insert_ignore(target, rows, ["box_id", "k"]).collect()))
     assert got == [(0, 1, "old"), (0, 2, "new")]
 
