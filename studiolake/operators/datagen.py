@@ -21,11 +21,11 @@ Tables = dict[str, DataFrame]
 
 # The daily class template (name, coach, hour), days Sun..Fri.
 CLASS_TEMPLATE = [
-    ("WOD 06:00", "Oren", 6),
-    ("WOD 07:00", "Oren", 7),
-    ("WOD 12:00", "Tamar", 12),
-    ("WOD 18:00", "Oren", 18),
-    ("WOD 19:00", "Tamar", 19),
+    ("Dawn lift", "Coach one", 6),
+    ("Early row", "Coach one", 7),
+    ("Noon mobility", "Coach two", 12),
+    ("Evening lift", "Coach one", 18),
+    ("Late row", "Coach two", 19),
 ]
 TEMPLATE_CAPACITY = 20
 

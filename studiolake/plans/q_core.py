@@ -60,21 +60,20 @@ ENTRIES = [
     # D1-D4 building blocks
     Entry("latest_membership", lambda t: A.latest_membership(t, D),
           "member_id:l, plan_type:s, price:d, end_date:t, days_until_expiry:l, membership_status:s",
-          "SELECT member_id, plan_type, price, end_date, days_until_expiry, membership_status FROM ms_latest"),
+          "SELECT member_id, plan_type, price, end_date, days_until_expiry, membership_status FROM mb_latest"),
     Entry("payment_rollup", lambda t: A.payment_rollup(t),
           "member_id:l, last_payment_date:t, total_payments:l, total_paid:d, total_overdue:d, has_overdue:l",
-          "SELECT * FROM pay_roll"),
+          "SELECT * FROM mb_money"),
     Entry("checkin_rollup", lambda t: A.checkin_rollup(t, D),
           "member_id:l, checkins_last_7d:l, checkins_last_30d:l, checkins_last_90d:l, checkins_ytd:l, "
           "last_checkin_date:t",
-          "SELECT member_id, c7 AS checkins_last_7d, c30 AS checkins_last_30d, c90 AS checkins_last_90d, "
-          "cytd AS checkins_ytd, last_checkin_date FROM chk_roll"),
-    Entry("frozen_now", lambda t: A.frozen_now(t, D), "member_id:l", "SELECT * FROM frozen_now"),
+          "SELECT * FROM mb_visits"),
+    Entry("frozen_now", lambda t: A.frozen_now(t, D), "member_id:l", "SELECT member_id FROM mb_frozen"),
     Entry("plan_capacity", lambda t: A.latest_membership(t, D).select(
               "member_id", A.X.plan_capacity("plan_type").alias("monthly_capacity")),
           "member_id:l, monthly_capacity:l",
           "SELECT a.member_id, a.plan_monthly_capacity AS monthly_capacity FROM activity a "
-          "JOIN ms_latest m ON a.member_id = m.member_id"),
+          "JOIN mb_latest m ON a.member_id = m.member_id"),
     Entry("member_activity", lambda t: A.member_activity(t, D), ACTIVITY_SPEC, "SELECT * FROM activity"),
     Entry("health_scores", lambda t: H.health_scores(t, D), HEALTH_SPEC,
           "SELECT *, CASE WHEN days_since_last_checkin >= 14 THEN true ELSE false END AS alert_inactive, "
@@ -89,19 +88,13 @@ ENTRIES = [
     Entry("retention", lambda t: H.retention(t, D),
           "box_id:l, total_active:l, frozen_count:l, new_this_month:l, cancelled_count:l, churned_90d:l, "
           "retention_rate_pct:d, healthy_count:l, at_risk_count:l, critical_count:l, avg_health_score:l",
-          f"""SELECT box_id, ta AS total_active, fc AS frozen_count, ntm AS new_this_month, cc AS cancelled_count,
-                churned_90d, {pct('ta', 'ta + cc', 1)} AS retention_rate_pct,
-                hc AS healthy_count, ac AS at_risk_count, cr AS critical_count, {hu('ss', 'ta')} AS avg_health_score
-              FROM (SELECT box_id,
-                count(*) FILTER (WHERE member_status = 'active' AND NOT is_frozen) AS ta,
-                count(*) FILTER (WHERE member_status = 'active' AND is_frozen) AS fc,
-                count(*) FILTER (WHERE member_status = 'active' AND NOT is_frozen
-                                 AND join_date >= date_trunc('month', {AS_OF}) AND join_date IS NOT NULL) AS ntm,
-                count(*) FILTER (WHERE membership_status = 'cancelled') AS cc,
-                count(*) FILTER (WHERE member_status = 'inactive' AND last_payment_date >= {AS_OF} - 90) AS churned_90d,
-                count(*) FILTER (WHERE health_tier = 'healthy' AND member_status = 'active' AND NOT is_frozen) AS hc,
-                count(*) FILTER (WHERE health_tier = 'at_risk' AND member_status = 'active' AND NOT is_frozen) AS ac,
-                count(*) FILTER (WHERE health_tier = 'critical' AND member_status = 'active' AND NOT is_frozen) AS cr,
-                sum(health_score) FILTER (WHERE member_status = 'active' AND NOT is_frozen) AS ss
-              FROM activity GROUP BY box_id) r"""),
+          # members as zeros and ones, then sums of them
+          f"""SELECT box_id, sum(live) AS total_active, sum(held) AS frozen_count, sum(live * fresh) AS new_this_month, sum(ended) AS cancelled_count,
+                     sum(lapsed) AS churned_90d, {pct('sum(live)', 'sum(live) + sum(ended)', 1)} AS retention_rate_pct,
+                     sum(if(health_tier = 'healthy', live, 0)) AS healthy_count, sum(if(health_tier = 'at_risk', live, 0)) AS at_risk_count,
+                     sum(if(health_tier = 'critical', live, 0)) AS critical_count, {hu('sum(live * health_score)', 'sum(live)')} AS avg_health_score
+              FROM (SELECT box_id, health_tier, health_score, if(member_status = 'active' AND NOT is_frozen, 1, 0) AS live,
+                           if(member_status = 'active' AND is_frozen, 1, 0) AS held, if(join_date >= date_trunc('month', {AS_OF}), 1, 0) AS fresh,
+                           if(membership_status = 'cancelled', 1, 0) AS ended,
+                           if(member_status = 'inactive' AND {AS_OF} - last_payment_date <= 90, 1, 0) AS lapsed FROM activity) GROUP BY box_id"""),
 ]

@@ -135,8 +135,8 @@ ENTRIES = [
           FROM (SELECT box_id, min(booked_date) AS d0, max(booked_date) AS d1 FROM stg_bookings GROUP BY box_id) s,
                LATERAL (SELECT CAST(unnest(generate_series(CAST(s.d0 AS TIMESTAMP), CAST(s.d1 AS TIMESTAMP),
                                                            INTERVAL 1 DAY)) AS DATE) AS class_date) d,
-               (VALUES ('WOD 06:00', 'Oren', 6), ('WOD 07:00', 'Oren', 7), ('WOD 12:00', 'Tamar', 12),
-                       ('WOD 18:00', 'Oren', 18), ('WOD 19:00', 'Tamar', 19)) tp(name, coach, hour)
+               (VALUES ('Dawn lift', 'Coach one', 6), ('Early row', 'Coach one', 7), ('Noon mobility', 'Coach two', 12),
+                       ('Evening lift', 'Coach one', 18), ('Late row', 'Coach two', 19)) tp(name, coach, hour)
           WHERE dayofweek(d.class_date) BETWEEN 0 AND 5"""),
     _e("sequential_ids", lambda t: G.sequential_ids(t["payments"].select("id", "box_id", "payment_date"),
                                                     [F.col("payment_date"), F.col("id")]),
