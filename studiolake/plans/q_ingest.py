@@ -130,6 +130,10 @@ in_pay_rows AS (
          ["box_id", "source_payment_id"],
          ["box_id", "member_id", "source_payment_id", "amount", "status", "payment_date", "created_at"])}
 ),
+in_pay_rows_stored AS (
+  SELECT r.* REPLACE (m.id AS member_id) FROM in_pay_rows r JOIN in_members i ON i.id = r.member_id
+  JOIN members m ON m.box_id = i.box_id AND m.source_member_id = i.source_member_id
+),
 in_classes AS (
   SELECT box_id, schedule_id AS source_class_id,
          coalesce(nullif(class_name, ''), nullif(series_name, ''), 'WOD') AS name,
@@ -339,9 +343,6 @@ ENTRIES = [
                   {cd('h.start_suspend_time')} AS freeze_start, {cd('h.end_suspend_time')} AS freeze_end, h.total_days,
                   h.suspend_reason AS reason, h.task_status, CAST(coalesce(h.price, 0.0) AS DECIMAL(10,2)) AS price
            FROM in_holds h LEFT JOIN in_map m ON h.box_id = m.box_id AND h.user_id = m.user_id"""),
-    _e("retention_payments", lambda t, f: I.retention_window(t["payments"], "created_at", 90, D),
-       "id:l, box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts",
-       f"SELECT * FROM payments WHERE created_at >= {AS_OF_TS} - INTERVAL 90 DAY"),
     _e("dq_not_null_ingested", lambda t, f: Q.dq_not_null(
            {"memberships": I.upsert(t["memberships"], I.build_memberships(f["memberships"], _mmap(t, f)),
                                     I.UPSERT_KEYS["memberships"],
@@ -376,10 +377,63 @@ ENTRIES = [
                                       {"id": new_id('r.box_id', 'r.source_payment_id')}) + """))
               UNPIVOT (n FOR k IN (box_id, member_id, source_payment_id, amount, status, created_at, payment_date))
           ) WHERE n > 0"""),
-    _e("purge_seed_members", lambda t, f: I.purge_seed(t["members"], "source_member_id", PURGE_BOX), MEMBER_SPEC,
-       f"SELECT * FROM members WHERE NOT coalesce(box_id = {PURGE_BOX} AND source_member_id < {I.SEED_ID_LIMIT}, false)"),
-    _e("purge_seed_attendance", lambda t, f: I.purge_seed(t["attendance"], None, PURGE_BOX),
-       "id:s, box_id:l, member_id:l, class_id:l, checked_in:b, attended_at:ts, created_at:ts",
-       f"SELECT * FROM attendance WHERE NOT coalesce(box_id = {PURGE_BOX}, false)"),
 ]
 
+_PAYMENTS = "id:l, box_id:l, member_id:l, source_payment_id:l, amount:d, status:s, payment_date:t, created_at:ts"
+STORED = {   # table -> (output spec, column of the source id)
+    "members": (MEMBER_SPEC, "source_member_id"),
+    "memberships": ("id:l, box_id:l, member_id:l, source_membership_id:l, plan_type:s, price:d, start_date:t, end_date:t, status:s, created_at:ts",
+                    "source_membership_id"),
+    "payments": (_PAYMENTS, "source_payment_id"),
+    "classes": ("id:l, box_id:l, source_class_id:l, name:s, coach:s, scheduled_at:ts, max_capacity:l, created_at:ts", "source_class_id"),
+    "attendance": ("id:s, box_id:l, member_id:l, class_id:l, checked_in:b, attended_at:ts, created_at:ts", None),
+    "leads": ("id:l, box_id:l, source_lead_id:l, first_name:s, last_name:s, email:s, phone:s, source:s, status:s, lost_reason:s, trial_date:t, created_at:ts",
+              "source_lead_id"),
+}
+RETAINED = ["attendance", "payments", "memberships", "classes", "members"]
+
+
+def _retained(table):
+    return lambda t, f: I.retention_window(t[table], "created_at", 90, D)
+
+
+def _purged(table, column):
+    return lambda t, f: I.purge_seed(t[table], column, PURGE_BOX)
+
+
+def _scratch(df, name):
+    import uuid
+
+    from studiolake.session import checkpoint_dir
+    return f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(t, f):
+    from studiolake.sources.tables import load, write_table
+    store = _scratch(t["members"], "store")
+    write_table(t["members"].limit(0), f"{store}/members")
+    write_table(t["members"], f"{store}/members")
+    return load(t["members"].sparkSession, store, ["members"])["members"]
+
+
+def _synced(table, partial=False):
+    def run(t, f):
+        from studiolake.operators.sync import sync
+        from studiolake.sources.tables import load
+        store, spark = _scratch(t["members"], "sync"), t["members"].sparkSession
+        sync(spark, f, t, store, D, partial=partial)
+        return load(spark, store, [table])[table]
+    return run
+
+
+for _t in RETAINED:
+    ENTRIES.append(_e(f"retention_{_t}", _retained(_t), STORED[_t][0], f"SELECT * FROM {_t} WHERE created_at >= {AS_OF_TS} - INTERVAL 90 DAY"))
+for _t, (_spec, _id) in STORED.items():
+    _seed = f"ifnull(box_id = {PURGE_BOX}" + (f" AND {_id} < 10000" if _id else "") + ", false)"
+    ENTRIES.append(_e(f"purge_seed_{_t}", _purged(_t, _id), _spec, f"SELECT * FROM {_t} WHERE NOT {_seed}"))
+ENTRIES.append(_e("store_members", _stored, MEMBER_SPEC, "SELECT * FROM members"))
+ENTRIES.append(_e("sync_members", _synced("members"), MEMBER_SPEC, "SELECT * FROM in_backfilled"))
+ENTRIES.append(_e("sync_payments", _synced("payments", partial=True), _PAYMENTS,
+                  _upsert_sql("payments", """(SELECT r.* FROM in_pay_rows_stored r)""", ["box_id", "source_payment_id"],
+                              ["member_id", "amount", "status", "payment_date", "created_at"], PAY_COLS,
+                              {"id": new_id("r.box_id", "r.source_payment_id")})))

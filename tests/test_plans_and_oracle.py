@@ -3,6 +3,8 @@
 import datetime as dt
 import decimal
 import math
+import re
+import tempfile
 
 import duckdb
 import pytest
@@ -33,8 +35,12 @@ def test_no_python_udf_in_any_plan(spark):
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark, tables):
-    p = _plan(M.weekly_revenue(tables, AS_OF))
-    assert "PushedFilters" in p
+    """The window's bound reaches the scan of the stored payments, and only the used columns are read."""
+    from studiolake.sources.tables import write_table
+    stored = write_table(tables["payments"], tempfile.mkdtemp(prefix="plan-") + "/payments")
+    p = _plan(M.weekly_revenue(tables | {"payments": stored}, AS_OF))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(payment_date,2001-05-09\)", p)
+    assert "source_payment_id" not in re.search(r"ReadSchema: (\S+)", p)[1]
 
 
 def test_entry_smoke(spark):
