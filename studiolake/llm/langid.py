@@ -31,7 +31,7 @@ from studiolake.llm import common as C
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, MAX_LANGUAGES = 200, 4096, 200
 BLOCK, SHORT = 16 << 10, 2000
-LEVEL, SHORT_LEVEL = 4, 12
+LEVEL, SHORT_LEVEL = 6, 12
 LEAST_MARGIN = 0.01
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
