@@ -91,8 +91,11 @@ def disclosing(docs: DataFrame, candidates: DataFrame, base: DataFrame, folder:
     joint = C.stored(joint.filter(F.col("n_joint") >= SUPPORT), f"{folder}/joint")
     entities = spans.select("entity", F.col("t").alias("th")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     wanted = C.stored(joint.select("term").distinct(), f"{folder}/terms")
-    everywhere = docs.select(F.xxhash64("text").alias("th"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    terms = C.join_small(everywhere, wanted, ["term"], "inner").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    # copies of one text count once: each row weighs one part of its text's copies, and the sums are whole numbers again
+    copies = C.stored(docs.select(F.xxhash64("text").alias("th")).groupBy("th").count().filter("count > 1"), f"{folder}/copies")
+    weight = (1 / F.coalesce(F.col("count"), F.lit(1))).alias("weight")
+    rows = C.join_small(docs.select(F.xxhash64("text").alias("th"), "text"), copies, ["th"]).select(weight, F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    terms = C.join_small(rows, wanted, ["term"], "inner").groupBy("term").agg(F.round(F.sum("weight")).alias("n_term"))
     total = docs.select(F.xxhash64("text").alias("th")).filter("th IS NOT NULL").distinct().count()
     known = joint.join(entities, "entity").join(terms, "term")
     pmi = F.log2(F.col("n_joint") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
