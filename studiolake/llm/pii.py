@@ -2,7 +2,7 @@
 
 Base spans: e-mail, IP, card and phone by pattern, leftmost and non-overlapping per kind; matches that fail their check
 are dropped.  Method: an entity is the value of a base span.  Over distinct texts the corpus tells how often a term
-(run of letters and digits, folded) stands near an entity (``NEAR_TERMS`` on each side) and how often it stands anywhere.
+(run of letters and digits, folded) stands in an entity's texts, outside base spans, and how often it stands anywhere.
 PMI(t; e) = log2(n(t, e) * N / (n(t) * n(e))) is the information that t gives about e; IC(e) = log2(N / n(e)) is all there
 is.  A term with n(t, e) >= ``SUPPORT`` and PMI >= ``GENERALISE`` * IC is generalised in the texts that hold e (to
 ``[NUMBER]`` or ``[WORD]``), and with PMI >= ``REMOVE`` * IC removed.
@@ -31,7 +31,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "term"]
-NEAR_TERMS, NEAR_CHARS = 8, 160
 SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.97
 _TERM = r"[\p{L}\p{N}]+"
@@ -79,25 +78,33 @@ def _entity() -> Column:
 
 def disclosing(docs: DataFrame, candidates: DataFrame, base: DataFrame, folder: str) -> DataFrame:
     """(entity, term, pmi, ic): terms that disclose an entity by the corpus' counts."""
-    entity = _entity()
-    spans = base.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "start", "end", entity.alias("entity"))
-    texts = candidates.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    # the outermost term may be cut by the window's edge and is left out there
-    before = F.substring("text", F.greatest(F.lit(1), F.col("start") - NEAR_CHARS + 1), F.least(F.col("start"), F.lit(NEAR_CHARS)))
-    after = F.substring("text", F.col("end") + 1, F.lit(NEAR_CHARS))
-    left, right = _terms(before), _terms(after)
-    near = F.concat(F.slice(left, F.greatest(F.lit(2), F.size(left) - NEAR_TERMS + 1), F.lit(NEAR_TERMS)), F.slice(right, 1, F.least(F.greatest(F.size(right) - 1, F.lit(0)), F.lit(NEAR_TERMS))))
-    joint = texts.select("entity", "th", F.explode(F.array_distinct(near)).alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_joint"))
-    joint = C.stored(joint.filter(F.col("n_joint") >= SUPPORT), f"{folder}/joint")
-    entities = spans.select("entity", F.col("t").alias("th")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    wanted = C.stored(joint.select("term").distinct(), f"{folder}/terms")
+    total = docs.select(F.xxhash64("text").alias("th")).filter("th IS NOT NULL").distinct().count()
+    spans = base.select("th", _entity().alias("entity")).distinct()
+    n = F.count("*").alias("n_entity")
+    entities = C.stored(spans.groupBy("entity").agg(n).filter(f"n_entity >= {SUPPORT} AND n_entity < {total}"), f"{folder}/entities")
+    spans = C.stored(C.join_small(spans, entities, ["entity"], "inner").select("th", "entity", "n_entity"), f"{folder}/entity_texts")
+    # the terms of each distinct text that holds an entity, outside its base spans
+    w = Window.partitionBy("th").orderBy("start", "end")
+    far = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = base.select("th", "start", "end").distinct().withColumn("far", far).withColumn("last", F.max("end").over(Window.partitionBy("th")))
+    cuts = cuts.groupBy("th").agg(F.sort_array(F.collect_list(F.struct("start", "end", "far"))).alias("cuts"), F.first("last").alias("last"))
+    cuts = cuts.join(spans.select("th").distinct(), "th", "left_semi")
+    own = candidates.select("th", "text").dropDuplicates(["th"]).join(cuts, "th")
+    pieces = F.transform("cuts", lambda x: F.substring(F.col("text"), x["far"] + 1, F.greatest(x["start"] - x["far"], F.lit(0))))
+    rest = F.concat_ws(" ", pieces, F.substring(F.col("text"), F.col("last") + 1, F.length("text")))
+    held = C.stored(own.select("th", F.explode(F.array_distinct(_terms(rest))).alias("term")), f"{folder}/held")
+    wanted = C.stored(held.groupBy("term").count().filter(f"count >= {SUPPORT}").select("term"), f"{folder}/terms")
     # copies of one text count once: each row weighs one part of its text's copies, and the sums are whole numbers again
     copies = C.stored(docs.select(F.xxhash64("text").alias("th")).groupBy("th").count().filter("count > 1"), f"{folder}/copies")
     weight = (1 / F.coalesce(F.col("count"), F.lit(1))).alias("weight")
     rows = C.join_small(docs.select(F.xxhash64("text").alias("th"), "text"), copies, ["th"]).select(weight, F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     terms = C.join_small(rows, wanted, ["term"], "inner").groupBy("term").agg(F.round(F.sum("weight")).alias("n_term"))
-    total = docs.select(F.xxhash64("text").alias("th")).filter("th IS NOT NULL").distinct().count()
-    known = joint.join(entities, "entity").join(terms, "term")
+    terms = C.stored(terms, f"{folder}/n_terms")
+    # n(t, e) <= n(e), so a term in more texts than this can't reach the share: such pairs needn't be counted
+    most = F.lit(float(total)) * F.pow(F.col("n_entity") / F.lit(float(total)), F.lit(GENERALISE)) * (1 + 1e-9)
+    pairs = spans.join(C.join_small(held, terms, ["term"], "inner").select("th", "term", "n_term"), "th").filter(F.col("n_term") <= most)
+    known = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_joint"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    known = known.filter(F.col("n_joint") >= SUPPORT)
     pmi = F.log2(F.col("n_joint") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     known = known.withColumn("pmi", pmi).withColumn("ic", F.log2(F.lit(float(total)) / F.col("n_entity")))
     return C.stored(known.filter((F.col("ic") > 0) & (F.col("pmi") >= GENERALISE * F.col("ic"))).select("entity", "term", "pmi", "ic"), f"{folder}/disclosing")
