@@ -237,3 +237,16 @@ def test_terms_that_disclose(spark):
         assert got[i].spans == ",".join([*plain_spans(t), *terms]) and got[i].n_term == len(terms)
     clean = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
     assert "mail   at [EMAIL]" in clean[0] and clean[150] == rows[55][1]
+
+
+def test_terms_far_off_and_at_the_ends_disclose(spark):
+    """Where a term stands in its entity's text doesn't matter: first, last, beside the address or far from it."""
+    far = " ".join(words(60, 3, 50))
+    texts = ["Zebulon jo@ex.org", "jo@ex.org Zebulon", "Mr Zebulon jo@ex.org rings Quillon", f"Mr rings jo@ex.org {far} Quillon Zebulon", f"Quillon {far} rings jo@ex.org Mr jo"]
+    rows = [*enumerate(texts), *((100 + i, " ".join(words(60, i + 7, 50)) + " Mr rings") for i in range(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in P.report(docs).collect()}
+    for i, t in enumerate(texts):
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer("Zebulon|Quillon", t)]
+        assert got[i].split(",") == [*plain_spans(t), *terms]
+    assert all(got[i] == "" for i, _ in rows[len(texts):])
