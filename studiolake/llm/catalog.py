@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studiolake.llm import chat, decontaminate, langid, lm, minhash, mixing, pii, quality, tokens, urls
+from studiolake.llm import chat, decontaminate, langid, lm, minhash, mixing, periodic, pii, quality, tokens, urls
 
-MODULES = [tokens, mixing, quality, decontaminate, langid, minhash, urls, chat, lm, pii]
+MODULES = [tokens, mixing, quality, decontaminate, langid, minhash, urls, chat, lm, pii, periodic]
 
 
 def queries() -> dict:
