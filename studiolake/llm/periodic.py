@@ -21,7 +21,8 @@ each give a row; an empty table gives no rows; further columns are carried whate
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -33,7 +34,7 @@ from studiolake.llm import common as C
 
 LEAST_WORDS, LEAST_PERIODS = 6, 4
 #: Words that are searched together: texts of a batch are put one after another up to this number (a longer text alone).
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 100_000
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
 
@@ -132,26 +133,29 @@ def _rows(row: pa.Array, texts: list[list[bytes]]) -> pa.RecordBatch:
         pa.array(collapsed, pa.binary()).cast(pa.string())], ["row", "n_words", "runs", "collapsed"])
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        held, begin, words = [], 0, 0
-        for t in map(bytes.split, C.texts(b["text"])):
-            if held and words + len(t) > WORDS_AT_ONCE:
-                yield _rows(b["row"].slice(begin, len(held)), held)
-                held, begin, words = [], begin + len(held), 0
-            held.append(t)
-            words += len(t)
-        if held:
-            yield _rows(b["row"].slice(begin), held)
-
-
-def find_runs(docs: DataFrame, text: Column | str = "text") -> DataFrame:
-    """All rows with ``row`` (a struct of their columns), ``n_words``, ``runs`` (array of start, length, period by start,
-    then period, in words) and ``collapsed`` (the text's words without those that a run repeats, one space between)."""
+def find_runs(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
+              edit: Callable[[dict, list[bytes]], list[bytes]] | None = None) -> DataFrame:
+    """All rows with ``row`` (a struct of their columns, or those of ``keep``), ``n_words``, ``runs`` (array of start, length, period by start,
+    then period, in words) and ``collapsed`` (the text's words without those that a run repeats, one space between).
+    ``edit`` gets each row and its words and returns the words to search."""
     C.small_batches(docs.sparkSession)
-    held = docs.select(F.struct(*docs.columns).alias("row"), (F.col(text) if isinstance(text, str) else text).cast("string").alias("text"))
+    held = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text).cast("string").alias("text"))
     kind = held.schema["row"].dataType.simpleString()
-    return held.mapInArrow(_search, f"row {kind}, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed string")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, begin, words = [], 0, 0
+            for i, t in enumerate(map(bytes.split, C.texts(b["text"]))):
+                t = edit(b["row"][i].as_py(), t) if edit else t
+                if held and words + len(t) > WORDS_AT_ONCE:
+                    yield _rows(b["row"].slice(begin, len(held)), held)
+                    held, begin, words = [], begin + len(held), 0
+                held.append(t)
+                words += len(t)
+            if held:
+                yield _rows(b["row"].slice(begin), held)
+
+    return held.mapInArrow(search, f"row {kind}, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed string")
 
 
 def strongest(found: Column) -> Column:
@@ -163,24 +167,19 @@ def strongest(found: Column) -> Column:
     return F.aggregate(found, none, better)
 
 
-def planted(doc_id: Column, text: Column) -> Column:
+def planted(row: dict, words: list[bytes]) -> list[bytes]:
     """The contract's texts: with h = crc32 of the decimal id, every tenth text repeats from some word on."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(f"({C.WORD})"), F.lit(1))
-
-    def repeated(w: Column) -> Column:
-        n = F.size(w)
-        a = (g % n).cast("int")
-        p = F.floor((n - a) / (3 + g % 8)).cast("int") + 1
-        return F.when(n == 0, text).otherwise(F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " "))
-    # The words are held by a one-element array, so that the expression is computed once per text.
-    return F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(text)
+    n = len(words)
+    g, tenth = divmod(zlib.crc32(str(row["doc_id"]).encode()), 10)
+    if row["doc_id"] is None or tenth or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_runs(docs, planted(F.col("doc_id"), F.col("text"))).withColumn("best", strongest(F.col("runs")))
+    found = find_runs(C.read(spark, sf_dir, "documents"), keep=["doc_id"], edit=planted).withColumn("best", strongest(F.col("runs")))
     line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
     return found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
