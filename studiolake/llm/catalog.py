@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from studiolake.llm import chat, decontaminate, langid, lm, minhash, mixing, periodic, pii, quality, tokens, trie, urls
+from studiolake.llm import chat, decontaminate, langid, lm, maxscore, minhash, mixing, periodic, pii, quality, tokens, trie, urls
 
-MODULES = [tokens, mixing, quality, decontaminate, langid, minhash, urls, chat, lm, pii, periodic, trie]
+MODULES = [tokens, mixing, quality, decontaminate, langid, minhash, urls, chat, lm, pii, periodic, trie, maxscore]
 
 
 def queries() -> dict:
