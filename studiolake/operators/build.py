@@ -4,6 +4,12 @@ The activity model is materialised first (written, then read back) - four
 marts read it, so it is computed once and its lineage is cut; every mart is
 then written as its own box-partitioned table.  A mart's new version is
 committed when it is whole; a failed run leaves the earlier one in place.
+
+``refresh_models`` keeps the models of a stored set of tables up to date: it
+notes which commit of every table the models stand for, takes the boxes whose
+folders changed since, computes the models from these boxes' folders only and
+replaces these boxes in every mart.  Every model is computed box by box, so
+the rows of other boxes stay what they are.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType
 
 from studiolake.operators import activity as A
 from studiolake.operators import classes as C
@@ -19,17 +26,16 @@ from studiolake.operators import leads as L
 from studiolake.operators import lifecycle as J
 from studiolake.operators import money as M
 from studiolake.operators import trends as T
+from studiolake.sources import tables as S
 from studiolake.sources.tables import write_table
 
+ACTIVITY = "int_member_activity"
 
-def run_models(spark: SparkSession, tables: dict[str, DataFrame], out: str, as_of: dt.date,
-               leads_as_of: dt.date | None = None) -> dict[str, str]:
-    la = leads_as_of or as_of
-    paths = {}
-    act_path = f"{out}/int_member_activity"
-    activity = write_table(A.member_activity(tables, as_of), act_path)
-    paths["int_member_activity"] = act_path
-    marts = {
+
+def models(tables: dict[str, DataFrame], as_of: dt.date, leads_as_of: dt.date, activity: DataFrame) -> dict[str, DataFrame]:
+    """All marts, lazy."""
+    la = leads_as_of
+    return {
         "mart_health_scores": H.health_scores(tables, as_of, activity),
         "mart_members_snapshot": H.members_snapshot(tables, as_of, activity),
         "mart_retention": H.retention(tables, as_of, activity),
@@ -47,8 +53,40 @@ def run_models(spark: SparkSession, tables: dict[str, DataFrame], out: str, as_o
         "mart_freeze_outcomes": J.freeze_outcomes(tables, as_of),
         "mart_ltv_by_plan": J.ltv_by_plan(tables, as_of),
     }
-    for name, df in marts.items():
-        p = f"{out}/{name}"
-        write_table(df, p)
-        paths[name] = p
+
+
+def run_models(spark: SparkSession, tables: dict[str, DataFrame], out: str, as_of: dt.date,
+               leads_as_of: dt.date | None = None) -> dict[str, str]:
+    """Build every model whole."""
+    activity = write_table(A.member_activity(tables, as_of), f"{out}/{ACTIVITY}")
+    paths = {ACTIVITY: f"{out}/{ACTIVITY}"}
+    for name, df in models(tables, as_of, leads_as_of or as_of, activity).items():
+        paths[name] = f"{out}/{name}"
+        write_table(df, paths[name])
     return paths
+
+
+def refresh_models(spark: SparkSession, store: str, out: str, as_of: dt.date, leads_as_of: dt.date | None = None) -> list[str] | None:
+    """Bring the models in ``out`` up to the store's tables.  Returns the boxes (as text) that were computed, or None
+    where all were: on the first run, for other dates, and where the boxes table itself changed."""
+    la, note = leads_as_of or as_of, f"{out}/refreshed"
+    now = {n: S.version(spark, f"{store}/{n}") for n in S.CANONICAL_TABLES}
+    stamp = spark.createDataFrame([(n, v, as_of, la) for n, v in now.items()], "name string, number long, as_of date, leads_as_of date")
+    known = S.read_table(spark, note).collect() if S.version(spark, note) else []  # one row per table
+    then = {r.name: r.number for r in known if (r.as_of, r.leads_as_of) == (as_of, la)}
+    if set(then) != set(now) or then["boxes"] != now["boxes"]:
+        run_models(spark, S.load(spark, store), out, as_of, la)
+        write_table(stamp, note)
+        return None
+    changed = {b for n in now if n != "boxes" and now[n] != then[n] for b in S.changed_boxes(spark, f"{store}/{n}", then[n])}
+    if changed:
+        kind = S.read_table(spark, f"{store}/members").schema[S.BOX].dataType
+        ids = [None if b is None else (b if isinstance(kind, StringType) else int(b)) for b in sorted(changed, key=lambda b: (b is not None, b))]
+        tables = S.load(spark, store, boxes=ids)
+        path = f"{out}/{ACTIVITY}"
+        S.replace_boxes(A.member_activity(tables, as_of), path, ids)
+        activity = S.read_table(spark, path, ids)
+        for name, df in models(tables, as_of, la, activity).items():
+            S.replace_boxes(df, f"{out}/{name}", ids)
+    write_table(stamp, note)
+    return sorted(changed, key=lambda b: (b is not None, b))

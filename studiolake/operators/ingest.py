@@ -53,6 +53,14 @@ def has_id(column: str) -> F.Column:
     return F.coalesce(F.col(column) != 0, F.lit(False))
 
 
+def given(df: DataFrame, column: str, default) -> F.Column:
+    """The field's value; the default where the report's row does not have the field.  An explicit null stays null.
+    ``absent`` (see ``sources.pages``) names a row's missing fields; a feed without that column misses none."""
+    if "absent" not in df.columns:
+        return F.col(column)
+    return F.when(F.array_contains("absent", column), F.lit(default)).otherwise(F.col(column))
+
+
 def last_wins(df: DataFrame, keys: list[str], pos: str = "feed_pos") -> DataFrame:
     """One row per key: the one latest in feed order (max ``pos``).  Rows with a
     NULL key part are all kept."""
@@ -124,9 +132,10 @@ def update_col(target: DataFrame, patch: DataFrame, keys: list[str], column: str
 
 
 def retention_window(df: DataFrame, ts_col: str, days: int, as_of: dt.date) -> DataFrame:
-    """Keep rows with ``ts_col >= as_of - days``.  A literal bound on the
-    raw column, so it prunes row groups / partitions at the scan."""
-    return df.filter(F.col(ts_col) >= F.date_sub(X.lit_date(as_of), days).cast("timestamp_ntz"))
+    """Drop rows with ``ts_col < as_of - days``; rows without a time stay.  A
+    literal bound on the raw column, so it prunes row groups at the scan
+    (``sources.tables.retire`` does it on a stored table)."""
+    return df.filter(F.col(ts_col).isNull() | (F.col(ts_col) >= F.lit(as_of - dt.timedelta(days=days)).cast("timestamp_ntz")))
 
 
 def purge_seed(df: DataFrame, id_col: str | None, box_id, limit: int = SEED_ID_LIMIT) -> DataFrame:
@@ -158,7 +167,7 @@ def build_members(props: DataFrame, active: DataFrame) -> DataFrame:
     p = props.filter(has_id("user_id"))
     j = p.join(act, ["box_id", "user_id"], "left")
     return j.select("box_id", F.col("user_id").alias("source_member_id"),
-                    F.coalesce(F.col("name"), F.lit("Unknown")).alias("name"), "email", "phone",
+                    given(p, "name", "Unknown").alias("name"), "email", "phone",
                     F.when(F.col("_active").isNotNull(), "active").otherwise("inactive").alias("status"),
                     F.lit(None).cast("date").alias("join_date"), "feed_pos")
 
@@ -169,14 +178,14 @@ def member_map(members: DataFrame) -> DataFrame:
 
 
 def build_memberships(raw: DataFrame, mmap: DataFrame) -> DataFrame:
-    """Inner join on the member map; status folding; price default 0."""
+    """Inner join on the member map; status folding; price 0 where the row has none, null where it says null."""
     j = raw.join(mmap, ["box_id", "user_id"])
     st = F.lower(F.col("status"))
     status = (F.when(st.isin("cancelled", "cancel"), "cancelled").when(st == "expired", "expired")
               .otherwise("active"))
     return j.select("box_id", "member_id", F.col("membership_user_id").alias("source_membership_id"),
                     F.col("membership_type_name").alias("plan_type"),
-                    F.coalesce(F.col("price"), F.lit(0.0)).cast("decimal(10,2)").alias("price"),
+                    given(raw, "price", 0.0).cast("decimal(10,2)").alias("price"),
                     X.clean_date("start_date").alias("start_date"), X.clean_date("end_date").alias("end_date"),
                     status.alias("status"), X.clean_ts("purchase_date").alias("created_at"), "feed_pos")
 
@@ -224,10 +233,10 @@ def build_classes(raw: DataFrame) -> DataFrame:
 
 
 def build_bookings(raw: DataFrame, mmap: DataFrame) -> DataFrame:
-    """Client rows only (role client / empty / absent); left join on the
-    member map; yes/no flags; sessions_left only when all digits."""
-    role = F.coalesce(F.col("user_role"), F.lit("client"))
-    r = raw.filter(has_id("user_id") & role.isin("client", ""))
+    """Client rows only (role client / empty / absent; a null role is none
+    of them); left join on the member map; yes/no flags; sessions_left only
+    when all digits."""
+    r = raw.filter(has_id("user_id") & given(raw, "user_role", "client").isin("client", ""))
     j = r.join(mmap, ["box_id", "user_id"], "left")
     return j.select("box_id", "member_id", F.col("user_id").alias("source_user_id"), "class_name", "space_name",
                     X.null_if_blank("staff_member").alias("coach"), X.clean_date("date").alias("booked_date"),
@@ -270,7 +279,7 @@ def dedupe_holds(raw: DataFrame) -> DataFrame:
 
 
 def build_freezes(holds: DataFrame, mmap: DataFrame) -> DataFrame:
-    """Hold rows; left join on the member map; price default 0."""
+    """Hold rows; left join on the member map; price as in B8."""
     j = holds.join(mmap, ["box_id", "user_id"], "left")
     return j.select("box_id", "member_id", F.col("membership_hold_id").alias("source_hold_id"),
                     F.col("membership_user_id").alias("source_membership_id"),
@@ -278,4 +287,4 @@ def build_freezes(holds: DataFrame, mmap: DataFrame) -> DataFrame:
                     X.clean_date("start_suspend_time").alias("freeze_start"),
                     X.clean_date("end_suspend_time").alias("freeze_end"), "total_days",
                     F.col("suspend_reason").alias("reason"), "task_status",
-                    F.coalesce(F.col("price"), F.lit(0.0)).cast("decimal(10,2)").alias("price"), "feed_pos")
+                    given(holds, "price", 0.0).cast("decimal(10,2)").alias("price"), "feed_pos")

@@ -1,10 +1,10 @@
-"""Full and partial sync pipelines.
+"""Full and partial sync pipelines on a store.
 
-Plain function chaining of the ingest operators.  Each stage's result is
-written to the store (a new table version, then its commit) before the next
-stage reads it: that cuts the lineage (an executor loss re-runs one stage, not
-the whole sync) and makes every stage's output durable.  A stage reads the
-previous version of its table, which stays as it is.
+Each step merges one report into its stored table (``sources.tables.merge``:
+only the folders that hold a key of the report are rewritten) and commits
+before the next step reads it: that cuts the lineage (an executor loss re-runs
+one step, not the whole sync) and makes every step durable.  A failed sync is
+run again from its start; steps that were done find nothing new.
 """
 
 from __future__ import annotations
@@ -15,56 +15,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studiolake.operators import ingest as I
-from studiolake.sources.tables import write_table
+from studiolake.sources import tables as S
 
+SEED_IDS = {"attendance": None, "payments": "source_payment_id", "classes": "source_class_id",
+            "memberships": "source_membership_id", "members": "source_member_id", "leads": "source_lead_id"}
+#: Fixed: what the removal of a member does to its rows, and of a class to its attendance.
+ON_DELETE = [("memberships", "member_id", "members", "delete"), ("payments", "member_id", "members", "delete"),
+             ("attendance", "member_id", "members", "delete"), ("freezes", "member_id", "members", "null"),
+             ("attendance", "class_id", "classes", "delete")]
 
-SEED_IDS = {"members": "source_member_id", "memberships": "source_membership_id", "payments": "source_payment_id",
-            "classes": "source_class_id", "leads": "source_lead_id", "attendance": None}
 
+def purge(spark: SparkSession, store: str, box) -> dict[str, S.Change]:
+    """The first step of a full sync: one box's synthetic rows go, with what hangs on them.  (Bookings keep the number of a
+    removed member: they have no reference to it.)"""
+    before = {n: S.version(spark, f"{store}/{n}") for n in ("members", "classes")}
+    done = {n: S.remove(spark, f"{store}/{n}", box, column, None if column is None else I.SEED_ID_LIMIT) for n, column in SEED_IDS.items()}
+    for child, fk, parent, mode in ON_DELETE:
+        path = f"{store}/{parent}"
+        if not done[parent].gone:
+            continue
+        left = S.read_table(spark, path, boxes=[box]).select(F.col("id").alias("_gone"))
+        removed = S.read_table(spark, path, boxes=[box], number=before[parent]).select(F.col("id").alias("_gone")).join(left, "_gone", "left_anti")
+        removed = removed.distinct()
 
-def purge(current: dict[str, DataFrame], box_id) -> dict[str, DataFrame]:
-    """The first step of a full sync: one box's synthetic rows go."""
-    return {n: I.purge_seed(df, SEED_IDS[n], box_id) if n in SEED_IDS else df for n, df in current.items()}
+        def hit(rows: DataFrame, fk=fk, removed=removed) -> DataFrame:
+            return rows.join(removed, rows[fk] == removed["_gone"], "left_semi")
 
+        def cut(rows: DataFrame, fk=fk, mode=mode, removed=removed) -> DataFrame:
+            if mode == "delete":
+                return rows.join(removed, rows[fk] == removed["_gone"], "left_anti")
+            j = rows.join(removed, rows[fk] == removed["_gone"], "left")
+            return j.select(*(F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == fk else F.col(c) for c in rows.columns))
+        done[f"{child}.{fk}"] = S.edit(spark, f"{store}/{child}", hit, cut, boxes=[box])
+    return done
 
-def sync(spark: SparkSession, feeds: dict[str, DataFrame], current: dict[str, DataFrame], store: str,
-         as_of: dt.date, partial: bool = False, purge_box=None) -> dict[str, DataFrame]:
-    """Run one sync.  ``current`` holds the store's tables before the run; returns the tables after it (each written
-    as the current version of ``store/<name>``).  A full sync first drops the synthetic rows of ``purge_box``.  The
-    partial sync skips that, members and memberships, and reuses the stored map."""
+
+def sync(spark: SparkSession, feeds: dict[str, DataFrame], store: str, as_of: dt.date, partial: bool = False,
+         purge_box=None, boxes: list | None = None) -> dict[str, S.Change]:
+    """Run one sync of the store's tables; returns the change of each step.  A full sync first drops the synthetic rows of
+    ``purge_box``.  The partial sync skips that, members and memberships, and reuses the stored map.  ``boxes``: the boxes
+    whose reports these are (none given: all), whose open leads count as gone when their report lacks them."""
+    done: dict[str, S.Change] = {}
     if not partial and purge_box is not None:
-        current = purge(current, purge_box)
-    out = dict(current)
+        done |= {f"purge {n}": c for n, c in purge(spark, store, purge_box).items()}
     ts = F.lit(as_of).cast("timestamp_ntz")
+
+    def table(name: str) -> DataFrame:
+        return S.read_table(spark, f"{store}/{name}", boxes)
+
+    def take(name: str, rows: DataFrame, defaults: dict | None = None) -> None:
+        done[name] = S.merge(f"{store}/{name}", rows, I.UPSERT_KEYS[name], defaults=defaults)
+
+    def own_id(column: str) -> dict:
+        return {"id": I.surrogate("_key_box_id", f"_key_{column}")}
+
     if not partial:
-        rows = I.build_members(feeds["member_props"], feeds["active_members"])
-        members = I.upsert(current["members"], rows, I.UPSERT_KEYS["members"],
-                           defaults={"id": I.surrogate("_key_box_id", "_key_source_member_id"), "created_at": ts})
-        out["members"] = write_table(members, f"{store}/members")
-    mmap = I.member_map(out["members"])
-    if not partial:
-        ms = I.upsert(current["memberships"], I.build_memberships(feeds["memberships"], mmap),
-                      I.UPSERT_KEYS["memberships"],
-                      defaults={"id": I.surrogate("_key_box_id", "_key_source_membership_id")})
-        out["memberships"] = write_table(ms, f"{store}/memberships")
-        out["members"] = write_table(I.backfill_join_date(out["members"], feeds["memberships"]), f"{store}/members")
-        mmap = I.member_map(out["members"])
-    pay = I.upsert(current["payments"], I.build_payments(feeds["sales"], mmap), I.UPSERT_KEYS["payments"],
-                   defaults={"id": I.surrogate("_key_box_id", "_key_source_payment_id")})
-    out["payments"] = write_table(pay, f"{store}/payments")
-    cls = I.upsert(current["classes"], I.build_classes(feeds["classes"]), I.UPSERT_KEYS["classes"],
-                   defaults={"id": I.surrogate("_key_box_id", "_key_source_class_id")})
-    out["classes"] = write_table(cls, f"{store}/classes")
-    bk = I.upsert(current["bookings"], I.build_bookings(feeds["bookings"], mmap), I.UPSERT_KEYS["bookings"],
-                  defaults={"id": F.concat_ws("-", *(F.coalesce(F.col(f"_key_{k}").cast("string"), F.lit("?"))
-                                                     for k in I.UPSERT_KEYS["bookings"]))})
-    out["bookings"] = write_table(bk, f"{store}/bookings")
-    leads = I.upsert(current["leads"], I.build_leads(feeds["leads"]), I.UPSERT_KEYS["leads"],
-                     defaults={"id": I.surrogate("_key_box_id", "_key_source_lead_id")})
-    leads = I.classify_vanished(leads, feeds["leads"], out["members"])
-    out["leads"] = write_table(leads, f"{store}/leads")
-    frz = I.upsert(current["freezes"], I.build_freezes(I.dedupe_holds(feeds["holds"]), mmap),
-                   I.UPSERT_KEYS["freezes"], defaults={"id": I.surrogate("_key_box_id", "_key_source_hold_id"),
-                                                       "synced_at": ts})
-    out["freezes"] = write_table(frz, f"{store}/freezes")
-    return out
+        take("members", I.build_members(feeds["member_props"], feeds["active_members"]), own_id("source_member_id") | {"created_at": ts})
+        take("memberships", I.build_memberships(feeds["memberships"], I.member_map(table("members"))), own_id("source_membership_id"))
+        members = table("members")
+        was = members.select("box_id", "source_member_id", F.col("join_date").alias("_was"))
+        patch = I.join_date_patch(feeds["memberships"], I.member_map(members)).join(was, ["box_id", "source_member_id"])
+        patch = patch.filter(~F.col("join_date").eqNullSafe(F.col("_was"))).drop("_was")
+        done["join dates"] = S.merge(f"{store}/members", patch, I.UPSERT_KEYS["members"], pos=None, insert=False)
+    mmap = I.member_map(table("members"))
+    take("payments", I.build_payments(feeds["sales"], mmap), own_id("source_payment_id"))
+    take("classes", I.build_classes(feeds["classes"]), own_id("source_class_id"))
+    take("bookings", I.build_bookings(feeds["bookings"], mmap),
+         {"id": F.concat_ws("-", *(F.coalesce(F.col(f"_key_{k}").cast("string"), F.lit("?")) for k in I.UPSERT_KEYS["bookings"]))})
+    take("leads", I.build_leads(feeds["leads"]), own_id("source_lead_id"))
+    verdict = I.classify_vanished(table("leads").withColumn("_was", F.col("status")), feeds["leads"], table("members"))
+    verdict = verdict.filter(~F.col("status").eqNullSafe(F.col("_was"))).select("box_id", "source_lead_id", "status")
+    done["vanished leads"] = S.merge(f"{store}/leads", verdict, I.UPSERT_KEYS["leads"], pos=None, insert=False)
+    take("freezes", I.build_freezes(I.dedupe_holds(feeds["holds"]), mmap), own_id("source_hold_id") | {"synced_at": ts})
+    return done

@@ -22,7 +22,7 @@ fd_props AS (
          CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE c_name END AS name,
          CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'c' || c_custkey || '@example.test' END AS email,
          '05' || (c_custkey % 10) || '-' || lpad(CAST(c_custkey * 7919 % 10000000 AS VARCHAR), 7, '0') AS phone,
-         c_custkey AS feed_pos
+         c_custkey % 46 = 0 AS name_absent, c_custkey AS feed_pos
   FROM cust_box
 ),
 fd_memberships AS (
@@ -40,7 +40,7 @@ fd_memberships AS (
               ELSE {_ds(f"{AS_OF} - CAST(o_orderkey * 13 % 800 AS INTEGER)")} || ' 10:30:00' END AS purchase_date,
          CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN ''
               ELSE {_ds(f"{AS_OF} - CAST(o_custkey * 7 % 900 + o_orderkey % 5 AS INTEGER)")} END AS member_since,
-         o_orderkey AS feed_pos
+         o_orderkey % 82 = 0 AS price_absent, o_orderkey AS feed_pos
   FROM ob
 ),
 fd_li AS (
@@ -73,7 +73,7 @@ fd_classes AS (
 fd_bookings AS (
   SELECT box_id, CASE WHEN l_orderkey % 59 = 0 THEN NULL ELSE o_custkey END AS user_id,
          CASE WHEN l_linenumber = 7 THEN 'coach' WHEN l_linenumber = 6 THEN '' WHEN l_linenumber = 5 THEN NULL
-              ELSE 'client' END AS user_role,
+              ELSE 'client' END AS user_role, l_linenumber = 5 AND l_orderkey % 2 = 0 AS role_absent,
          'Class ' || (l_partkey % 3) AS class_name, CAST(NULL AS VARCHAR) AS space_name,
          CASE WHEN l_partkey % 3 = 2 AND l_suppkey % 3 = 2 THEN '  '
               ELSE 'Coach ' || ((l_partkey % 3 + l_suppkey % 3) % 3) || ' ' END AS staff_member,
@@ -118,7 +118,7 @@ fd_holds AS (
          CASE l_partkey % 4 WHEN 0 THEN 'taskNone' WHEN 1 THEN 'taskToday' WHEN 2 THEN 'taskFuture'
               WHEN 3 THEN 'taskPast' END AS task_status,
          CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 1000) AS DOUBLE) END AS price,
-         feed_pos
+         l_orderkey % 82 = 0 AS price_absent, feed_pos
   FROM (SELECT *, {AS_OF} - CAST(l_orderkey * 11 % 397 AS INTEGER) + CAST(10 + l_linenumber AS INTEGER) AS st
         FROM fd_li)
 )"""

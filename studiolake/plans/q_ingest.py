@@ -86,7 +86,7 @@ AS_OF_TS = f"CAST({AS_OF} AS TIMESTAMP)"
 
 INGEST_CTES = f"""
 in_member_rows AS (
-  {_last('''(SELECT p.box_id, p.user_id AS source_member_id, coalesce(p.name, 'Unknown') AS name, p.email, p.phone,
+  {_last('''(SELECT p.box_id, p.user_id AS source_member_id, CASE WHEN p.name_absent THEN 'Unknown' ELSE p.name END AS name, p.email, p.phone,
                  CASE WHEN a.user_id IS NOT NULL THEN 'active' ELSE 'inactive' END AS status,
                  CAST(NULL AS DATE) AS join_date, p.feed_pos
           FROM fd_props p LEFT JOIN (SELECT DISTINCT box_id, user_id FROM fd_active WHERE user_id IS NOT NULL) a
@@ -101,7 +101,7 @@ in_members AS (
 in_map AS (SELECT box_id, source_member_id AS user_id, id AS member_id FROM in_members),
 in_ms_rows AS (
   {_last(f'''(SELECT f.box_id, m.member_id, f.membership_user_id AS source_membership_id,
-                 f.membership_type_name AS plan_type, CAST(coalesce(f.price, 0.0) AS DECIMAL(10,2)) AS price,
+                 f.membership_type_name AS plan_type, CAST(CASE WHEN f.price_absent THEN 0.0 ELSE f.price END AS DECIMAL(10,2)) AS price,
                  {cd('f.start_date')} AS start_date, {cd('f.end_date')} AS end_date,
                  CASE WHEN lower(f.status) IN ('cancelled', 'cancel') THEN 'cancelled'
                       WHEN lower(f.status) = 'expired' THEN 'expired' ELSE 'active' END AS status,
@@ -151,7 +151,7 @@ in_booking_rows AS (
                  CASE WHEN regexp_full_match(f.sessions_left, '[0-9]+') THEN TRY_CAST(f.sessions_left AS INTEGER) END
                    AS sessions_left, f.feed_pos
           FROM fd_bookings f LEFT JOIN in_map m ON f.box_id = m.box_id AND f.user_id = m.user_id
-          WHERE f.user_id <> 0 AND coalesce(f.user_role, 'client') IN ('client', ''))''',
+          WHERE f.user_id <> 0 AND (f.role_absent OR f.user_role IN ('client', '')))''',
          ["box_id", "source_user_id", "booked_date", "booked_time", "class_name"],
          ["box_id", "member_id", "source_user_id", "class_name", "space_name", "coach", "booked_date", "booked_time",
           "checked_in", "is_first_session", "membership_type", "sessions_left"])}
@@ -183,7 +183,7 @@ in_holds AS (
   {_last('(SELECT * FROM fd_holds WHERE membership_hold_id IS NOT NULL AND membership_hold_id <> 0)',
          ["box_id", "membership_hold_id"],
          ["box_id", "membership_hold_id", "user_id", "membership_user_id", "membership_type_name",
-          "start_suspend_time", "end_suspend_time", "total_days", "suspend_reason", "task_status", "price"])}
+          "start_suspend_time", "end_suspend_time", "total_days", "suspend_reason", "task_status", "price", "price_absent"])}
 )"""
 
 MEMBER_SPEC = ("id:l, box_id:l, source_member_id:l, name:s, email:s, phone:s, status:s, join_date:t, "
@@ -341,7 +341,7 @@ ENTRIES = [
        f"""SELECT h.box_id, m.member_id, h.membership_hold_id AS source_hold_id,
                   h.membership_user_id AS source_membership_id, h.membership_type_name AS plan_type,
                   {cd('h.start_suspend_time')} AS freeze_start, {cd('h.end_suspend_time')} AS freeze_end, h.total_days,
-                  h.suspend_reason AS reason, h.task_status, CAST(coalesce(h.price, 0.0) AS DECIMAL(10,2)) AS price
+                  h.suspend_reason AS reason, h.task_status, CAST(CASE WHEN h.price_absent THEN 0.0 ELSE h.price END AS DECIMAL(10,2)) AS price
            FROM in_holds h LEFT JOIN in_map m ON h.box_id = m.box_id AND h.user_id = m.user_id"""),
     _e("dq_not_null_ingested", lambda t, f: Q.dq_not_null(
            {"memberships": I.upsert(t["memberships"], I.build_memberships(f["memberships"], _mmap(t, f)),
@@ -408,6 +408,15 @@ def _scratch(df, name):
     return f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
+def _store(t, names):
+    """The tables, written to a store of their own."""
+    from studiolake.sources.tables import write_table
+    store = _scratch(t["members"], "store")
+    for n in names:
+        write_table(t[n], f"{store}/{n}")
+    return store
+
+
 def _stored(t, f):
     from studiolake.sources.tables import load, write_table
     store = _scratch(t["members"], "store")
@@ -416,18 +425,79 @@ def _stored(t, f):
     return load(t["members"].sparkSession, store, ["members"])["members"]
 
 
+def _pay_defaults():
+    return {"id": I.surrogate("_key_box_id", "_key_source_payment_id")}
+
+
+def _merged_payments(t, f):
+    from studiolake.sources.tables import load, merge
+    store = _store(t, ["payments"])
+    merge(f"{store}/payments", I.build_payments(f["sales"], _mmap(t, f)), I.UPSERT_KEYS["payments"], defaults=_pay_defaults())
+    return load(t["payments"].sparkSession, store, ["payments"])["payments"]
+
+
+def _streamed_payments(t, f):
+    from studiolake.sources.pages import land_pages
+    from studiolake.sources.tables import load
+    from studiolake.streaming.page_stream import run_upsert_stream
+    store, spark, mmap = _store(t, ["payments"]), t["payments"].sparkSession, _mmap(t, f)
+    land_pages(f["sales"], f"{store}/landing", order_cols=["feed_pos"])
+    run_upsert_stream(spark, f"{store}/landing", f["sales"].schema, f"{store}/payments", f"{store}/checkpoint", I.UPSERT_KEYS["payments"], "sales",
+                      prepare=lambda b: I.build_payments(b, mmap), defaults=_pay_defaults())
+    return load(spark, store, ["payments"])["payments"]
+
+
+def _retired(table):
+    def run(t, f):
+        from studiolake.sources.tables import load, retire
+        store, spark = _store(t, [table]), t[table].sparkSession
+        retire(spark, f"{store}/{table}", "created_at", 90, D)
+        return load(spark, store, [table])[table]
+    return run
+
+
+def _paged(feed, build):
+    """A feed landed as pages and read back with absent fields told from nulls."""
+    def run(t, f):
+        from studiolake.sources.pages import AMBIGUOUS, land_pages, read_pages
+        rows = f[feed]
+        path = f"{_scratch(rows, 'landing')}/{feed}"
+        land_pages(rows, path, order_cols=["feed_pos"])
+        return build(t, f | {feed: read_pages(rows.sparkSession, path, rows.schema, absent=AMBIGUOUS)})
+    return run
+
+
 def _synced(table, partial=False):
     def run(t, f):
         from studiolake.operators.sync import sync
-        from studiolake.sources.tables import load
-        store, spark = _scratch(t["members"], "sync"), t["members"].sparkSession
-        sync(spark, f, t, store, D, partial=partial)
+        from studiolake.sources.tables import LAYOUTS, load
+        store, spark = _store(t, LAYOUTS), t["members"].sparkSession
+        sync(spark, f, store, D, partial=partial)
         return load(spark, store, [table])[table]
     return run
 
 
+def _purged_store(table):
+    def run(t, f):
+        from studiolake.operators.sync import SEED_IDS, purge
+        from studiolake.sources.tables import load
+        spark, hit = t["members"].sparkSession, _PURGED.get(id(t))
+        if hit is None or hit[0] is not t:  # four queries look at one purged store
+            hit = _PURGED[id(t)] = (t, _store(t, [*SEED_IDS, "freezes"]))
+            purge(spark, hit[1], PURGE_BOX)
+        return load(spark, hit[1], [table])[table]
+    return run
+
+
+_PURGED: dict[int, tuple] = {}   # store written for the canonical tables (held here, so that the id stays theirs)
+
+
+_MERGED_PAYMENTS = _upsert_sql("payments", "in_pay_rows", ["box_id", "source_payment_id"], ["member_id", "amount", "status", "payment_date", "created_at"], PAY_COLS,
+                               {"id": new_id("r.box_id", "r.source_payment_id")})
+_SEED_MEMBERS = f"(SELECT id FROM members WHERE box_id = {PURGE_BOX} AND source_member_id < 10000)"
+_FREEZE_SPEC = "id:l, box_id:l, member_id:l, source_hold_id:l, source_membership_id:l, plan_type:s, freeze_start:t, freeze_end:t, total_days:l, reason:s, task_status:s, price:d"
 for _t in RETAINED:
-    ENTRIES.append(_e(f"retention_{_t}", _retained(_t), STORED[_t][0], f"SELECT * FROM {_t} WHERE created_at >= {AS_OF_TS} - INTERVAL 90 DAY"))
+    ENTRIES.append(_e(f"retention_{_t}", _retained(_t), STORED[_t][0], f"SELECT * FROM {_t} WHERE NOT coalesce(created_at < {AS_OF_TS} - INTERVAL 90 DAY, false)"))
 for _t, (_spec, _id) in STORED.items():
     _seed = f"ifnull(box_id = {PURGE_BOX}" + (f" AND {_id} < 10000" if _id else "") + ", false)"
     ENTRIES.append(_e(f"purge_seed_{_t}", _purged(_t, _id), _spec, f"SELECT * FROM {_t} WHERE NOT {_seed}"))
@@ -437,3 +507,18 @@ ENTRIES.append(_e("sync_payments", _synced("payments", partial=True), _PAYMENTS,
                   _upsert_sql("payments", """(SELECT r.* FROM in_pay_rows_stored r)""", ["box_id", "source_payment_id"],
                               ["member_id", "amount", "status", "payment_date", "created_at"], PAY_COLS,
                               {"id": new_id("r.box_id", "r.source_payment_id")})))
+ENTRIES.append(_e("merge_payments", _merged_payments, _PAYMENTS, _MERGED_PAYMENTS))
+ENTRIES.append(_e("stream_payments", _streamed_payments, _PAYMENTS, _MERGED_PAYMENTS))
+for _t in ["payments", "attendance"]:
+    ENTRIES.append(_e(f"retire_{_t}", _retired(_t), STORED[_t][0], f"SELECT * FROM {_t} WHERE NOT coalesce(created_at < {AS_OF_TS} - INTERVAL 90 DAY, false)"))
+# A full purge: the box's synthetic rows go, the rows of removed members with them; holds lose their member.
+for _t in ["memberships", "payments", "attendance"]:
+    _seed = f"ifnull(box_id = {PURGE_BOX}" + (f" AND {STORED[_t][1]} < 10000" if STORED[_t][1] else "") + ", false)"
+    ENTRIES.append(_e(f"purge_store_{_t}", _purged_store(_t), STORED[_t][0],
+                      f"SELECT * FROM {_t} WHERE NOT {_seed} AND NOT ifnull(box_id = {PURGE_BOX} AND member_id IN {_SEED_MEMBERS}, false)"))
+ENTRIES.append(_e("purge_store_freezes", _purged_store("freezes"), _FREEZE_SPEC,
+                  f"SELECT * REPLACE (CASE WHEN box_id = {PURGE_BOX} AND member_id IN {_SEED_MEMBERS} THEN NULL ELSE member_id END AS member_id) FROM freezes"))
+_BUILT = {e.name: e for e in ENTRIES}
+for _n, _feed, _rows in [("memberships", "memberships", lambda t, f: _ms_rows(t, f)), ("bookings", "bookings", lambda t, f: _BUILT["build_bookings"].build.inner(t, f)),
+                         ("members", "member_props", lambda t, f: _BUILT["build_members"].build.inner(t, f)), ("freezes", "holds", lambda t, f: _BUILT["build_freezes"].build.inner(t, f))]:
+    ENTRIES.append(_e(f"read_pages_{_n}", _paged(_feed, _rows), _BUILT[f"build_{_n}"].spec, _BUILT[f"build_{_n}"].sql))

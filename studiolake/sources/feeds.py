@@ -6,7 +6,8 @@ Values arrive as the reports deliver them: dates as text (with junk such as
 free-text statuses, duplicate keys across overlapping monthly chunks.  Each
 feed row carries ``box_id`` (the tenant it was landed for) and ``feed_pos``
 (its position in the feed: any orderable value, here a number or a struct of
-the source key).
+the source key); ``absent`` names the fields that a row does not have at all,
+where other nulls are explicit.
 
 Fixed values of the mapping are listed together below; the SQL twin lives in
 ``plans.oracle_feeds``.
@@ -48,6 +49,11 @@ def _pick(k, values):
     return out
 
 
+def _absent(rows, field: str) -> F.Column:
+    """``absent`` of a feed row: the fields that the report's row does not have (their column is null)."""
+    return F.when(rows, F.array(F.lit(field))).alias("absent")
+
+
 def _cust_box(raw):
     c, n = raw["customer"], raw["nation"]
     return c.join(n.select("n_nationkey", "n_regionkey"), c.c_nationkey == n.n_nationkey) \
@@ -67,7 +73,7 @@ def member_props_feed(raw) -> DataFrame:
         F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(F.col("c_name")).alias("name"),
         F.when(k % 11 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@example.test"))).alias("email"),
-        AD._phone("05", k).alias("phone"), k.alias("feed_pos"))
+        AD._phone("05", k).alias("phone"), _absent(k % 46 == 0, "name"), k.alias("feed_pos"))
 
 
 def memberships_feed(raw) -> DataFrame:
@@ -89,7 +95,7 @@ def memberships_feed(raw) -> DataFrame:
          .otherwise(F.concat(_ds(start), F.lit(" 10:30:00"))).alias("purchase_date"),
         F.when(k % 3 == 0, F.lit(None).cast("string")).when(k % 3 == 1, F.lit("")).otherwise(_ds(since))
          .alias("member_since"),
-        k.alias("feed_pos"))
+        _absent(k % 82 == 0, "price"), k.alias("feed_pos"))
 
 
 def _lineitem_orders(raw) -> DataFrame:
@@ -150,7 +156,7 @@ def bookings_feed(raw) -> DataFrame:
         F.when(ln == 1, F.lit("YES")).otherwise(F.lit("No")).alias("is_first_session"),
         F.lit(None).cast("string").alias("membership_type_name"),
         _pick(F.col("l_partkey"), SESSIONS_LEFT_TEXT).alias("sessions_left"),
-        _li_pos().alias("feed_pos"))
+        _absent((ln == 5) & (ok % 2 == 0), "user_role"), _li_pos().alias("feed_pos"))
 
 
 def leads_feed(raw) -> DataFrame:
@@ -197,7 +203,7 @@ def holds_feed(raw) -> DataFrame:
         _pick(F.col("l_partkey"), TASK_STATUS).alias("task_status"),
         F.when(ok % 41 == 0, F.lit(None).cast("double")).otherwise(F.floor(F.col("o_totalprice") / 1000).cast("double"))
          .alias("price"),
-        _li_pos().alias("feed_pos"))
+        _absent(ok % 82 == 0, "price"), _li_pos().alias("feed_pos"))
 
 
 def all_feeds(raw) -> dict[str, DataFrame]:

@@ -1,15 +1,19 @@
 """Incremental ingest with Structured Streaming.
 
-The reference syncs once a day by re-pulling reports.  The streaming form:
-landed report pages (see ``sources.pages``) arrive in a folder; a file
-stream with a fixed envelope schema explodes each page into rows, and
-``foreachBatch`` merges every micro-batch into the target table with the
-keyed upsert (last row wins within the batch).
-
-Exactly-once: batch ``n`` reads table version ``n-1`` and writes version
-``n`` to its own folder.  The upsert is deterministic, so if a batch is
-replayed after a failure it rewrites the same version with the same rows;
-the stream checkpoint records which files each batch consumed.
+Landed report pages (see ``sources.pages``) arrive in a folder; a file stream
+with a fixed envelope schema explodes each page into rows, and
+``foreachBatch`` merges every micro-batch into a stored table with the keyed
+merge of ``sources.tables`` (last row wins within the batch; only folders with
+a key of the batch are rewritten).
+
+Exactly-once: the merge commits (stream, epoch) with its rows, so a batch that
+is run again after a failure finds its epoch in the commit log and does
+nothing.  The stream's name belongs to one checkpoint folder: a new checkpoint
+counts its epochs from 0 and needs a new name.
+
+A page that cannot be parsed fails the stream; when the folder is drained, a
+report with fewer pages than it announces is an error (its rows so far are
+in the table, and the next run takes up the pages that land later).
 """
 
 from __future__ import annotations
@@ -18,41 +22,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studiolake.operators.ingest import upsert
-from studiolake.sources.pages import envelope_schema
-
-
-def version_path(table_dir: str, n: int) -> str:
-    return f"{table_dir}/v={n}"
+from studiolake.sources import tables as S
+from studiolake.sources.pages import check_whole, envelope_schema, row_fields, typed
 
 
 def page_rows_stream(spark: SparkSession, landing_dir: str, row_schema: T.StructType,
-                     max_files_per_trigger: int | None = None) -> DataFrame:
+                     max_files_per_trigger: int | None = None, absent: list[str] | None = None) -> DataFrame:
     """Streaming DataFrame of report rows from landed page files."""
-    r = spark.readStream.schema(envelope_schema(row_schema))
+    r = spark.readStream.schema(envelope_schema(row_fields(row_schema, absent or []))).option("mode", "FAILFAST")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     env = r.json(landing_dir)
-    return env.select(F.explode("data").alias("r")).select("r.*")
+    return typed(env.select(F.explode("data").alias("r")).select("r.*"), row_schema, absent or [])
 
 
-def run_upsert_stream(spark: SparkSession, landing_dir: str, row_schema: T.StructType, initial: DataFrame,
-                      table_dir: str, checkpoint: str, keys: list[str], prepare=None,
-                      defaults=None, pos: str = "feed_pos") -> int:
-    """Drain the landing folder (``availableNow``) into versioned table
-    folders; returns the last version written (-1 if none)."""
-    last = {"v": -1}
-    base = {"df": initial}
+def run_upsert_stream(spark: SparkSession, landing_dir: str, row_schema: T.StructType, table: str, checkpoint: str,
+                      keys: list[str], stream: str, prepare=None, defaults=None, pos: str = "feed_pos",
+                      max_files_per_trigger: int | None = None, absent: list[str] | None = None) -> list[S.Change]:
+    """Drain the landing folder (``availableNow``) into the stored table; returns the change of each batch."""
+    changes: list[S.Change] = []
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        current = base["df"] if epoch == 0 else spark.read.parquet(version_path(table_dir, epoch - 1))
+    def take(batch: DataFrame, epoch: int) -> None:
         rows = prepare(batch) if prepare else batch
-        merged = upsert(current, rows, keys, pos=pos, defaults=defaults)
-        merged.write.mode("overwrite").parquet(version_path(table_dir, epoch))
-        last["v"] = epoch
+        changes.append(S.merge(table, rows, keys, pos=pos, defaults=defaults, stream=stream, epoch=epoch))
 
-    q = (page_rows_stream(spark, landing_dir, row_schema).writeStream
-         .foreachBatch(merge).option("checkpointLocation", checkpoint)
+    q = (page_rows_stream(spark, landing_dir, row_schema, max_files_per_trigger, absent).writeStream
+         .foreachBatch(take).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return last["v"]
+    check_whole(spark, landing_dir, row_schema)
+    return changes

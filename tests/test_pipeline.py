@@ -1,5 +1,6 @@
 """Sources, sinks, the sync pipeline and the streaming upsert."""
 
+import os
 import re
 import tempfile
 
@@ -7,12 +8,15 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from studiolake.operators import build
 from studiolake.operators import ingest as I
+from studiolake.operators.build import refresh_models, run_models
 from studiolake.operators.datagen import sequential_ids
 from studiolake.operators.sync import sync
 from studiolake.sources import adapter as AD
 from studiolake.sources import feeds as FD
-from studiolake.sources.pages import IncompleteReport, land_pages, page_completeness, read_pages
+from studiolake.sources import tables as S
+from studiolake.sources.pages import AMBIGUOUS, IncompleteReport, land_pages, page_completeness, read_pages
 from studiolake.sources.tables import load, read_table, save_all, write_table
 from studiolake.streaming.page_stream import run_upsert_stream
 
@@ -90,55 +94,120 @@ def test_broken_and_missing_pages_are_errors(spark):
         read_pages(spark, f"{base}/broken", schema).collect()
 
 
-def test_full_sync_is_idempotent(spark):
+SYNCED = ["members", "memberships", "payments", "classes", "bookings", "leads", "freezes"]
+
+
+@pytest.fixture(scope="module")
+def synced(spark):
+    """A store after a full sync with a purge: feeds, tables before, store, changes."""
     raw = AD.read_driver(spark, SF)
-    feeds = FD.all_feeds(raw)
-    current = AD.canonical_from_raw(raw)
-    store = tempfile.mkdtemp(prefix="sync-")
-    as_of = AD.AS_OF
-    first = sync(spark, feeds, current, store, as_of, purge_box=2)
-    assert first["members"].filter("box_id = 2 AND source_member_id < 10000 AND id < 10000").count() == 0
-    second = sync(spark, feeds, first, store, as_of)
-    for name in ["members", "memberships", "payments", "classes", "bookings", "leads", "freezes"]:
+    feeds, current, store = FD.all_feeds(raw), AD.canonical_from_raw(raw), tempfile.mkdtemp(prefix="sync-")
+    save_all(current, store)
+    return feeds, current, store, sync(spark, feeds, store, AD.AS_OF, purge_box=2)
+
+
+def test_full_sync_purges_what_hangs_on_seed_members(spark, synced):
+    feeds, current, store, done = synced
+    after = load(spark, store)
+    assert after["attendance"].filter("box_id = 2").count() == 0 < current["attendance"].filter("box_id = 2").count()
+    assert after["attendance"].filter("box_id <> 2").count() == current["attendance"].filter("box_id <> 2").count()
+    seeds = current["members"].filter("box_id = 2 AND source_member_id < 10000").select(F.col("id").alias("member_id"))
+    assert seeds.count() > 0 and after["members"].join(seeds.withColumnRenamed("member_id", "id"), "id").count() == 0
+    for child in ["memberships", "payments", "freezes"]:
+        assert after[child].join(seeds, "member_id").count() == 0, child
+    assert after["freezes"].count() >= current["freezes"].count()
+    assert done["purge attendance"].looked_up == [] and all("box_id=2/" in f for f in done["purge members"].gone)
+
+
+def test_a_second_sync_changes_no_row(spark, synced):
+    feeds, _, store, _ = synced
+    before = {n: S.version(spark, f"{store}/{n}") for n in SYNCED}
+    sync(spark, feeds, store, AD.AS_OF)
+    for name in SYNCED:
         # rows with a NULL key part match nothing, so each sync adds them again
         whole = " AND ".join(f"{k} IS NOT NULL" for k in I.UPSERT_KEYS[name])
-        a, b = first[name].filter(whole), second[name].filter(whole)
+        a, b = read_table(spark, f"{store}/{name}", number=before[name]).filter(whole), read_table(spark, f"{store}/{name}").filter(whole)
         assert a.count() == b.count(), name
         assert a.exceptAll(b).count() == 0, name
-        assert load(spark, store, [name])[name].count() == second[name].count()
-
-
-def test_partial_sync_keeps_members(spark):
-    raw = AD.read_driver(spark, SF)
-    feeds = FD.all_feeds(raw)
-    current = AD.canonical_from_raw(raw)
-    store = tempfile.mkdtemp(prefix="psync-")
-    out = sync(spark, feeds, current, store, AD.AS_OF, partial=True)
-    assert out["members"] is current["members"]
-    assert out["payments"].count() >= current["payments"].count()
 
 
-def test_streaming_upsert_matches_batch(spark):
+def test_models_follow_the_boxes_that_changed(spark, tables, monkeypatch):
+    store, out, whole = (tempfile.mkdtemp(prefix=p) for p in ("store-", "models-", "whole-"))
+    save_all(tables, store)
+    assert refresh_models(spark, store, out, AD.AS_OF, AD.AS_OF_LEADS) is None
+    assert refresh_models(spark, store, out, AD.AS_OF, AD.AS_OF_LEADS) == []
+    names = [n for n in os.listdir(out) if n != "refreshed"]
+    assert len(names) == 17
+    before = {n: set(S._names(S.manifest(spark, f"{out}/{n}"))) for n in names}
+    some = tables["payments"].filter("box_id = 3").orderBy("id").limit(3).select("box_id", "source_payment_id", F.lit("overdue").alias("status"))
+    S.merge(f"{store}/payments", some, I.UPSERT_KEYS["payments"], pos=None, insert=False)
+    assert refresh_models(spark, store, out, AD.AS_OF, AD.AS_OF_LEADS) == ["3"]
+    run_models(spark, load(spark, store), whole, AD.AS_OF, AD.AS_OF_LEADS)
+    for n in names:
+        differ = before[n] ^ set(S._names(S.manifest(spark, f"{out}/{n}")))
+        assert all("/box_id=3/" in f for f in differ), n
+        got, want = read_table(spark, f"{out}/{n}").collect(), read_table(spark, f"{whole}/{n}").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), n
+    built = []
+    monkeypatch.setattr(build, "run_models", lambda *a: built.append(a[3]))
+    assert refresh_models(spark, store, out, AD.AS_OF_LEADS, AD.AS_OF_LEADS) is None and built == [AD.AS_OF_LEADS]  # another date: all
+
+
+def _payment_stream(spark, base, rows, schema, table, mmap, **more):
+    return run_upsert_stream(spark, f"{base}/landing", schema, table, f"{base}/ckpt", I.UPSERT_KEYS["payments"], "sales",
+                             prepare=lambda b: I.build_payments(b, mmap), defaults={"id": I.surrogate("_key_box_id", "_key_source_payment_id")}, **more)
+
+
+def test_streaming_merge_matches_batch_and_replays_once(spark):
     raw = AD.read_driver(spark, SF)
-    sales = FD.sales_feed(raw)
+    sales, t = FD.sales_feed(raw), AD.canonical_from_raw(raw)
     base = tempfile.mkdtemp(prefix="stream-")
     land_pages(sales, f"{base}/landing", page_size=500, order_cols=["feed_pos"])
-    target = AD.canonical_from_raw(raw)["payments"]
-    mmap = I.member_map(AD.canonical_from_raw(raw)["members"])
-    keys = I.UPSERT_KEYS["payments"]
-    defaults = {"id": I.surrogate("_key_box_id", "_key_source_payment_id")}
-    v = run_upsert_stream(spark, f"{base}/landing", sales.schema, target, f"{base}/table", f"{base}/ckpt", keys,
-                          prepare=lambda b: I.build_payments(b, mmap), defaults=defaults)
-    assert v >= 0
-    streamed = spark.read.parquet(f"{base}/table/v={v}")
-    batch = I.upsert(target, I.build_payments(sales, mmap), keys, defaults=defaults)
-    cols = sorted(batch.columns)
-    assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
-    assert streamed.count() == batch.count()
+    table, mmap = f"{base}/payments", I.member_map(t["members"])
+    write_table(t["payments"], table)
+    changes = _payment_stream(spark, base, sales, sales.schema, table, mmap)
+    batch = I.upsert(t["payments"], I.build_payments(sales, mmap), I.UPSERT_KEYS["payments"], defaults={"id": I.surrogate("_key_box_id", "_key_source_payment_id")})
+    streamed = read_table(spark, table).select(batch.columns)
+    assert changes and streamed.exceptAll(batch).count() == 0 and streamed.count() == batch.count()
+    # The stream fails after its commit: the last epoch's own record is lost, the batch comes again and does nothing.
+    number = S.version(spark, table)
+    for n in sorted(os.listdir(f"{base}/ckpt/commits")):
+        if n.strip(".").split(".")[0] == str(len(changes) - 1):
+            os.remove(f"{base}/ckpt/commits/{n}")
+    again = _payment_stream(spark, base, sales, sales.schema, table, mmap)
+    assert [c.repeated for c in again] == [True] and S.version(spark, table) == number
+    assert read_table(spark, table).count() == batch.count()
+
+
+@pytest.mark.parametrize(("lines", "error"), [([1, 3], "pages landed"), ([1, 2, -3], "MALFORMED|Malformed|FAILED_READ_FILE")])
+def test_a_broken_or_missing_page_fails_the_stream(spark, lines, error):
+    base, schema = tempfile.mkdtemp(prefix="stream-"), T.StructType([T.StructField("box_id", T.IntegerType()), T.StructField("v", T.LongType())])
+    text = ['{"page": %d, "data": [{"box_id": 1, "v": %d}], "extra": {"pagination": {"total_pages": 3}}}' % (abs(k), k) for k in lines]
+    spark.createDataFrame([(x if k > 0 else x[:40],) for x, k in zip(text, lines, strict=True)], "value string").coalesce(1).write.text(f"{base}/landing")
+    write_table(spark.createDataFrame([], schema), f"{base}/t")
+    with pytest.raises(Exception, match=error):
+        run_upsert_stream(spark, f"{base}/landing", schema, f"{base}/t", f"{base}/ckpt", ["box_id", "v"], "s", pos=None)
+
+
+def test_absent_fields_and_explicit_nulls(spark):
+    path = tempfile.mkdtemp(prefix="pages-") + "/p"
+    rows = ['{"user_id": 1, "price": null}', '{"user_id": 2}', '{"user_id": 3, "price": 4.5, "user_role": null}', '{"user_id": 4, "price": 0, "user_role": "client"}']
+    spark.createDataFrame([('{"page": 1, "data": [%s]}' % ",".join(rows),)], "value string").write.text(path)
+    schema = T.StructType.fromDDL("user_id bigint, price double, user_role string")
+    got = read_pages(spark, path, schema, absent=AMBIGUOUS)  # no number of pages: one
+    seen = {r.user_id: (r.price, r.user_role, r.absent) for r in got.collect()}
+    assert seen == {1: (None, None, ["user_role"]), 2: (None, None, ["price", "user_role"]), 3: (4.5, None, None), 4: (0.0, "client", None)}
+    price = {r.user_id: r.p for r in got.select("user_id", I.given(got, "price", 0.0).alias("p")).collect()}
+    assert price == {1: None, 2: 0.0, 3: 4.5, 4: 0.0}
+    kept = [r.user_id for r in got.filter(I.given(got, "user_role", "client").isin("client", "")).collect()]
+    assert sorted(kept) == [1, 2, 4]
+    assert "absent" not in read_pages(spark, path, schema).columns
+    spark.createDataFrame([('{"page": 2, "data": []}',)], "value string").write.mode("append").text(path)
+    with pytest.raises(IncompleteReport):  # two pages, none of which says so
+        read_pages(spark, path, schema)
 
 
 def test_run_models_writes_every_mart(spark, tables):
-    from studiolake.operators.build import run_models
     out = tempfile.mkdtemp(prefix="models-")
     paths = run_models(spark, tables, out, AD.AS_OF, AD.AS_OF_LEADS)
     assert len(paths) == 17
