@@ -139,7 +139,8 @@ def spans(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span generalised or removed; overlapping spans go as one, by the first's label."""
+    """``docs`` with every span generalised or removed; overlapping spans go as one, by the first's label.  All columns
+    are carried, whatever they are called."""
     folder = C.scratch(docs.sparkSession, "pii")
     _, every = spans(docs, folder)
     w = Window.partitionBy("doc_id", "th").orderBy("start", F.desc("end"), "kind")
@@ -147,12 +148,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     run = every.withColumn("group", F.sum(F.when(far.isNull() | (F.col("start") >= far), 1).otherwise(0)).over(w))
     merged = run.groupBy("doc_id", "th", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("replacement", F.struct("start", -F.col("end"), "kind")).alias("label"))
     lists = merged.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("_spans"))
-    own = docs.withColumn("_th", F.xxhash64("text"))
-    joined = own.join(lists, own["doc_id"].eqNullSafe(F.col("d")) & (own["_th"] == F.col("t")), "left")
-    s = F.col("_spans")
-    piece = F.transform(s, lambda x, i: F.concat(F.substring("text", F.when(i == 0, 0).otherwise(F.element_at(s, i).getField("end")) + 1, x["start"] - F.when(i == 0, 0).otherwise(F.element_at(s, i).getField("end"))), x["label"]))
-    text = F.when(s.isNull(), F.col("text")).otherwise(F.concat(F.array_join(piece, ""), F.substring("text", F.element_at(s, -1)["end"] + 1, F.length("text"))))
-    return joined.select(*(text.alias(c) if c == "text" else own[c] for c in docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_th"))
+    joined = rows.join(lists, rows["own_id"].eqNullSafe(F.col("d")) & (rows["own_th"] == F.col("t")), "left")
+    s, whole = F.col("_spans"), F.col("row").getField("text")
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.element_at(s, i).getField("end"))
+    piece = F.transform(s, lambda x, i: F.concat(F.substring(whole, begin(i) + 1, x["start"] - begin(i)), x["label"]))
+    text = F.when(s.isNull(), whole).otherwise(F.concat(F.array_join(piece, ""), F.substring(whole, F.element_at(s, -1)["end"] + 1, F.length(whole))))
+    return joined.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:

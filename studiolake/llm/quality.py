@@ -113,13 +113,14 @@ def verdicts(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, least_left: fl
 
 
 def clean(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, least_left: float = LEAST_LEFT) -> DataFrame:
-    """The kept documents with the frequent lines taken out of their texts."""
+    """The kept documents with the frequent lines taken out of their texts; all columns are carried, whatever they are called."""
     v = verdicts(docs, max_documents, least_left).filter("kept").groupBy("doc_id", "source", "text_hash").agg(F.first("lines_removed").alias("gone"))
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    on = own["doc_id"].eqNullSafe(v["doc_id"]) & own["source"].eqNullSafe(v["source"]) & (own["_text_hash"] == v["text_hash"])
-    lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("gone", i.cast("long")), F.lit(False)))
-    kept = own.join(v.select("gone", *(v[c] for c in ("doc_id", "source", "text_hash"))), on).withColumn("_clean", F.when(F.col("gone").isNull(), own["text"]).otherwise(F.array_join(lines, "\n")))
-    return kept.select(*(F.col("_clean").alias(c) if c == "text" else own[c] for c in docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.xxhash64("text").alias("own_hash"))
+    on = rows["own_id"].eqNullSafe(v["doc_id"]) & rows["own_source"].eqNullSafe(v["source"]) & (rows["own_hash"] == v["text_hash"])
+    whole = F.col("row").getField("text")
+    lines = F.filter(F.split(whole, "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("gone", i.cast("long")), F.lit(False)))
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(lines, "\n"))
+    return rows.join(v, on).select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
