@@ -4,8 +4,7 @@ Plan notes
 * Bookings join classes on the four session keys (date, time text, name,
   box); the composite key spreads evenly even when one box dominates.
 * The session rollup (H2) feeds five aggregates.  The union mart (H8) builds
-  them in one pass (each session exploded into its group keys, one
-  aggregate), so the rollup is computed once; the single-type functions
+  them in one pass (grouping sets), so the rollup is computed once; the single-type functions
   (H3-H7) remain for callers that need one record type.
 * Per-session rates are kept as integer tenths of a percent so that the
   averages of already-rounded rates (double rounding) are exact.
@@ -13,7 +12,7 @@ Plan notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from studiolake.functions import exprs as X
@@ -126,46 +125,49 @@ def _shape(df: DataFrame, record_type: str | None) -> DataFrame:
         .cast(ty).alias(n) for n, ty in CLASSES_COLUMNS])
 
 
+#: Grouping columns of the mart and, by grouping_id over them, its record types; the last set counts a coach's classes.
+_GROUPS = ["coach", "class_name", "booked_week", "day_of_week", "hour_of_day"]
+_SETS = {"summary": [], "by_coach": ["coach"], "by_class_type": ["class_name"], "weekly_trend": ["booked_week"],
+         "heatmap": ["day_of_week", "hour_of_day"], "coach_class": ["coach", "class_name"]}
+
+
+def _grouping_id(columns: list[str]) -> int:
+    return sum(1 << (len(_GROUPS) - 1 - i) for i, c in enumerate(_GROUPS) if c not in columns)
+
+
 def classes_mart(t: Tables) -> DataFrame:
     """H8: the five record types in ONE pass over the session rollup.
 
-    Each session row is exploded into the (at most five) group keys it feeds
-    - box summary, coach, class type, week, day x hour - and a single
-    aggregate computes every group (partial aggregation map-side, so the
-    per-box summary key is combined before the shuffle even for a dominant
-    box).  This is grouping sets written out: one scan, one join, two
-    shuffles, instead of recomputing the rollup for each union branch.
+    ``GROUPING SETS`` over the session rows (an Expand, then one hash aggregate
+    with partial sums before the shuffle, so the per-box summary key of a
+    dominant box is combined first).  A sixth set counts each coach's classes;
+    the coach's most frequent class (ties: first by name) is the head of those
+    few rows, taken by a window over the aggregated rows.
     """
     s = class_sessions(t, keep_tenths=True)
-    null_s, null_d, null_i = F.lit(None).cast("string"), F.lit(None).cast("date"), F.lit(None).cast("int")
-
-    def key(rt, label=null_s, period=null_d, dow=null_i, hour=null_i):
-        return F.struct(F.lit(rt).alias("record_type"), label.alias("label"), period.alias("period_start"),
-                        dow.alias("day_of_week"), hour.alias("hour_of_day"))
-
-    has_coach = F.col("coach").isNotNull() & (F.col("coach") != "")
-    keys = F.array(key("summary"),
-                   F.when(has_coach, key("by_coach", F.col("coach"))),
-                   key("by_class_type", F.col("class_name")),
-                   key("weekly_trend", period=F.col("booked_week")),
-                   key("heatmap", dow=F.col("day_of_week").cast("int"), hour=F.col("hour_of_day").cast("int")))
-    e = s.select("box_id", "class_name", "registrations", "checkins", "first_timers", "fill_t",
-                 F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("*", "k.*").drop("k")
-    g = e.groupBy("record_type", "box_id", "label", "period_start", "day_of_week", "hour_of_day").agg(
-        F.count(F.lit(1)).alias("total_sessions"), F.sum("registrations").alias("total_registrations"),
+    sets = [[F.col(c) for c in ["box_id", *columns]] for columns in _SETS.values()]
+    g = s.groupingSets(sets, "box_id", *_GROUPS).agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("total_sessions"), F.sum("registrations").alias("total_registrations"),
         F.sum("checkins").alias("total_checkins"), F.sum("first_timers").alias("total_first_timers"),
-        _avg_tenths("fill_t").alias("avg_fill_rate"), _showup().alias("avg_showup_rate"),
-        F.mode("class_name", True).alias("top_class"))
+        _avg_tenths("fill_t").alias("avg_fill_rate"), _showup().alias("avg_showup_rate"))
+    kind = F.lit(None).cast("string")
+    for name, columns in _SETS.items():
+        kind = F.when(F.col("gid") == _grouping_id(columns), F.lit(name)).otherwise(kind)
+    g = g.withColumn("record_type", kind).filter(~F.col("record_type").isin("by_coach", "coach_class") | (F.coalesce(F.col("coach"), F.lit("")) != ""))
     rt = F.col("record_type")
+    # A coach's own row comes after its class rows, the most frequent first.
+    about = F.when(rt.isin("by_coach", "coach_class"), F.lit("coach")).otherwise(rt)
+    order = Window.partitionBy("box_id", about, "coach").orderBy(rt == "by_coach", F.desc("total_sessions"), "class_name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = g.withColumn("top_class", F.first("class_name").over(order)).filter(rt != "coach_class")
 
     def only(c, *types):
         return F.when(rt.isin(*types), F.col(c))
 
     return _shape(g.select(
-        "record_type", "box_id", "label", "total_sessions",
+        "record_type", "box_id", F.when(rt == "by_coach", F.col("coach")).when(rt == "by_class_type", F.col("class_name")).alias("label"), "total_sessions",
         only("total_registrations", "summary", "by_coach", "by_class_type", "weekly_trend")
         .alias("total_registrations"),
         "total_checkins", only("total_first_timers", "summary").alias("total_first_timers"), "avg_fill_rate",
         only("avg_showup_rate", "summary", "by_coach", "by_class_type").alias("avg_showup_rate"),
-        "period_start", "day_of_week", "hour_of_day", only("top_class", "by_coach").alias("top_class")),
+        F.col("booked_week").alias("period_start"), "day_of_week", "hour_of_day", only("top_class", "by_coach").alias("top_class")),
         None)

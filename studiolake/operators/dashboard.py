@@ -59,13 +59,15 @@ def tenant_scope(df: DataFrame, t: Tables, token: str) -> DataFrame:
 
 
 def scope_inputs(t: Tables, token: str) -> Tables:
-    """A12 applied to the inputs: every table with a ``box_id`` is semi-joined
-    with the one-row box lookup, so on box-partitioned storage each scan reads
-    only the caller's partition (dynamic partition pruning), and any operator
-    run on the result touches one tenant's data.  Assumes child rows carry
+    """A12 applied to the inputs, in two phases: the box is looked up first (at
+    most one row comes to the driver), then every table with a ``box_id`` is
+    filtered by that literal.  On box-partitioned storage each scan is pruned
+    while the query is planned, and any operator run on the result touches one
+    tenant's folders; an unknown token reads none.  Assumes child rows carry
     their member's box (checked by ``dq_orphans`` style rules)."""
-    box = F.broadcast(resolve_box(t, token))
-    return {n: (df.join(box, "box_id", "left_semi") if "box_id" in df.columns else df) for n, df in t.items()}
+    row = resolve_box(t, token).first()
+    own = F.lit(False) if row is None or row["box_id"] is None else F.col("box_id") == F.lit(row["box_id"])
+    return {n: (df.filter(own) if "box_id" in df.columns else df) for n, df in t.items()}
 
 
 # ---- K1-K4 revenue tab ---------------------------------------------------------
@@ -95,6 +97,19 @@ def record_type_series(mart: DataFrame, record_type: str, measures: list[str],
     return s.orderBy("box_id", F.col(order_col).desc() if descending else F.col(order_col))
 
 
+#: Record types of the monetisation mart and the operator that computes each by itself.
+SERIES = {"weekly_revenue": M.weekly_revenue, "monthly_revenue": M.monthly_revenue, "by_plan": M.revenue_by_plan,
+          "freeze_by_reason": M.freeze_by_reason, "freeze_by_plan": M.freeze_by_plan, "freeze_monthly": M.freeze_monthly,
+          "freeze_weekly": M.freeze_weekly, "frozen_mrr_monthly": M.frozen_mrr_monthly}
+
+
+def series(t: Tables, as_of: dt.date, record_type: str, measures: list[str], order_col: str = "period_start",
+           descending: bool = False) -> DataFrame:
+    """K3 from the tables: only the operator of the record type runs, not the whole mart."""
+    own = SERIES[record_type](t, as_of).withColumn("record_type", F.lit(record_type))
+    return record_type_series(own, record_type, measures, order_col, descending)
+
+
 def ltv_rank(t: Tables, as_of: dt.date) -> DataFrame:
     """K4: plans ranked by LTV within their box."""
     l = J.ltv_by_plan(t, as_of)
@@ -206,7 +221,7 @@ def freeze_funnel(t: Tables, as_of: dt.date) -> DataFrame:
 
 def freeze_funnel_drill(t: Tables, as_of: dt.date, outcome: str) -> DataFrame:
     """K14 drill: the completed holds with the clicked outcome."""
-    return J.freeze_outcomes(t, as_of).filter(F.col("outcome") == outcome)
+    return J.classified_freezes(t, as_of).filter(F.col("outcome") == outcome)
 
 
 # ---- K15-K17 classes tab --------------------------------------------------------

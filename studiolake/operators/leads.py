@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from studiolake.functions import exprs as X
@@ -113,6 +113,34 @@ def lead_sources(t: Tables, as_of: dt.date, periods: DataFrame | None = None) ->
                         ["source", "total", "converted"], "source_breakdown")
 
 
+def _ranked(counts: DataFrame, label: str, measures: list[str], k: int) -> DataFrame:
+    """Per (box, period) the ``k`` labels of most rows (ties: by name, a missing one as 'null'), each with its rank, and
+    one row without a rank for all others: rows of one label each, however many free-text labels a box has."""
+    keys, first = ["box_id", "record_type"], measures[0]
+    w = Window.partitionBy(*keys).orderBy(F.desc(first), F.coalesce(F.col(label), F.lit("null")))
+    top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    whole = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(m).alias(m) for m in measures))
+    taken = top.groupBy(*keys).agg(*(F.sum(m).alias(f"_{m}") for m in measures))
+    rest = whole.filter(F.col("_n") > k).join(taken, keys)
+    return top.select(*keys, "rank", F.coalesce(F.col(label), F.lit("null")).alias("label"), F.lit(1).cast("long").alias("n_labels"), *measures).unionByName(
+        rest.select(*keys, F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("label"), (F.col("_n") - k).alias("n_labels"),
+                    *((F.col(m) - F.col(f"_{m}")).alias(m) for m in measures)))
+
+
+def lost_reason_rows(t: Tables, as_of: dt.date, k: int = 20) -> DataFrame:
+    """I6 as rows: per (box, period) the ``k`` most frequent lost reasons, and the rest as one."""
+    counts = (lead_periods(t, as_of).filter(F.col("lost_reason").isNotNull())
+              .groupBy("box_id", "record_type", "lost_reason").agg(F.count(F.lit(1)).alias("total")))
+    return _ranked(counts, "lost_reason", ["total"], k)
+
+
+def lead_source_rows(t: Tables, as_of: dt.date, k: int = 20) -> DataFrame:
+    """I7 as rows: per (box, period) the ``k`` most frequent sources with their conversions, and the rest as one."""
+    counts = lead_periods(t, as_of).groupBy("box_id", "record_type", "source").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "converted").alias("converted"))
+    return _ranked(counts, "source", ["total", "converted"], k)
+
+
 def upcoming_trials(t: Tables, as_of: dt.date) -> DataFrame:
     """I8: trial_booked leads with a trial in [as_of, as_of + 7], one row each
     (read them per box ordered by ``trial_date``, as the reference's list is)."""

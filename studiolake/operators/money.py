@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from studiolake.functions import exprs as X
@@ -240,7 +240,6 @@ _CONTRIB = [
     ("ovd_members", "bigint"), ("fz_n", "bigint"), ("fz_price", "decimal(20,2)"), ("fz_days", "bigint"),
     ("fz_days_n", "bigint"), ("n", "bigint"), ("price", "decimal(20,2)"), ("days", "bigint"), ("days_n", "bigint"),
     ("revenue", "decimal(20,2)"), ("overdue_amount", "decimal(20,2)"), ("overdue_since", "date"),
-    ("member_name", "string"), ("member_email", "string"), ("member_phone", "string"),
 ]
 _KEYS = [("record_type", "string"), ("box_id", "bigint"), ("plan_type", "string"), ("period_start", "date"),
          ("reason", "string"), ("member_id", "bigint")]
@@ -282,10 +281,11 @@ def _contrib(df: DataFrame, items: list[_Item]) -> DataFrame:
 def monetization(t: Tables, as_of: dt.date) -> DataFrame:
     """The ten record types of the monetisation mart, one pass per source.
 
-    * payments: one (box, month) aggregate feeds the monthly-revenue rows and
-      the summary's current / last / previous / complete-month figures; the
-      84-day weekly slice and the current month's overdue members are two
-      filtered aggregates (pushed-down date predicates);
+    * payments are read twice: a ledger of (box, month, week) feeds the
+      monthly and weekly revenue and the summary's current / last / previous /
+      complete-month figures; debts by member feed the overdue rows and the
+      current month's count.  Names are joined to the debts after the merge, so
+      it aggregates numbers and dates only (a hash aggregate);
     * memberships: one (box, plan) aggregate feeds by-plan rows and the
       summary's MRR / new-member figures;
     * holds: one aggregate keyed by every combination a hold feeds (reason,
@@ -300,36 +300,35 @@ def monetization(t: Tables, as_of: dt.date) -> DataFrame:
     c365, c84 = F.date_sub(d, 365), F.date_sub(d, 84)
     box = F.col("box_id")
 
-    # -- payments ----------------------------------------------------------------
+    # -- payments: one ledger of (box, month, week), and debts by member -----------
     p = S.stg_payments(t)
     st, amt, pd = F.col("status"), F.col("amount"), F.col("payment_date")
-    pm = p.groupBy("box_id", "payment_month").agg(
+    ledger = p.groupBy("box_id", "payment_month", X.week_start("payment_date").alias("wk")).agg(
         F.sum(_paid()).alias("paid"), F.count(F.lit(1)).alias("rows"),
         F.sum(F.when(st == "pending", amt).otherwise(_zero())).alias("pending"),
         F.sum(F.when(st == "overdue", amt).otherwise(_zero())).alias("overdue"),
         F.sum(amt).alias("amount"),
-        F.sum(F.when(pd >= c365, _paid())).alias("paid_365"), F.count_if(pd >= c365).alias("rows_365"))
+        F.sum(F.when(pd >= c365, _paid())).alias("paid_365"), F.count_if(pd >= c365).alias("rows_365"),
+        F.sum(F.when(pd >= c84, _paid())).alias("paid_84"), F.count_if(pd >= c84).alias("rows_84"))
+    first = F.row_number().over(Window.partitionBy("box_id", "payment_month").orderBy("wk")) == 1
     mo = F.col("payment_month")
-    pay_c = _contrib(pm, [
+    pay_c = _contrib(ledger.withColumn("first", first), [
         _when(F.col("rows_365") > 0, _item("monthly_revenue", box, period_start=mo, revenue=F.col("paid_365"))),
+        _when(F.col("rows_84") > 0, _item("weekly_revenue", box, period_start=F.col("wk"), revenue=F.col("paid_84"))),
         _item("summary", box,
               cur_paid=F.when(mo == m0, F.col("paid")), cur_pending=F.when(mo == m0, F.col("pending")),
               cur_overdue=F.when(mo == m0, F.col("overdue")), cur_amount=F.when(mo == m0, F.col("amount")),
               cur_rows=F.when(mo == m0, F.col("rows")),
               last_paid=F.when(mo == mm1, F.col("paid")), last_rows=F.when(mo == mm1, F.col("rows")),
               prev_paid=F.when(mo == mm2, F.col("paid")), prev_rows=F.when(mo == mm2, F.col("rows")),
-              comp_paid=F.when(mo < m0, F.col("paid")), comp_months=F.when(mo < m0, F.lit(1)))])
-    wk = (p.filter(pd >= c84).groupBy("box_id", X.week_start("payment_date").alias("wk"))
-           .agg(F.sum(_paid()).alias("paid")))
-    week_c = _contrib(wk, [_item("weekly_revenue", box, period_start=F.col("wk"), revenue=F.col("paid"))])
-    ovd = (p.filter((pd >= m0) & (pd < m1) & (st == "overdue")).groupBy("box_id")
-            .agg(F.count_distinct("member_id").alias("k")))
-    ovd_c = _contrib(ovd, [_item("summary", box, ovd_members=F.col("k"))])
-    om = overdue_members(t)
-    om_c = _contrib(om, [_item("overdue_members", box, member_id=F.col("member_id"),
-                               member_name=F.col("member_name"), member_email=F.col("member_email"),
-                               member_phone=F.col("member_phone"), overdue_amount=F.col("overdue_amount"),
-                               overdue_since=F.col("overdue_since"))])
+              comp_paid=F.when(mo < m0, F.col("paid")), comp_months=F.when((mo < m0) & F.col("first"), F.lit(1)))])
+    debts = (p.filter((st == "overdue") & F.col("member_id").isNotNull()).groupBy("box_id", "member_id")
+              .agg(F.sum("amount").alias("owed"), F.min("payment_date").alias("since"),
+                   F.max(((pd >= m0) & (pd < m1)).cast("int")).alias("now")))
+    debt_c = _contrib(debts, [
+        _item("overdue_members", box, member_id=F.col("member_id"), overdue_amount=F.col("owed"),
+              overdue_since=F.col("since")),
+        _when(F.col("now") == 1, _item("summary", box, ovd_members=F.lit(1)))])
 
     # -- memberships: (box, plan) aggregate, then its rows feed by_plan + summary --
     ms = S.stg_memberships(t, as_of)
@@ -372,14 +371,16 @@ def monetization(t: Tables, as_of: dt.date) -> DataFrame:
                                price=F.col("price"))])
 
     allc = pay_c
-    for part in [week_c, ovd_c, om_c, ms_c, f_c, fm_c]:
+    for part in [debt_c, ms_c, f_c, fm_c]:
         allc = allc.unionByName(part, allowMissingColumns=True)
     allc = allc.select(*[F.col(n).cast(ty).alias(n) for n, ty in _KEYS + _CONTRIB])
     s = lambda c: F.sum(c).alias(c)
     g = allc.groupBy(*[k for k, _ in _KEYS]).agg(
-        *[s(c) for c, ty in _CONTRIB if ty != "string" and c != "overdue_since"],
-        F.min("overdue_since").alias("overdue_since"),
-        *[F.first(c, ignorenulls=True).alias(c) for c, ty in _CONTRIB if ty == "string"])
+        *[s(c) for c, _ in _CONTRIB if c != "overdue_since"], F.min("overdue_since").alias("overdue_since"))
+    # Names come to the debts after the merge; all other rows have no member.
+    m = S.stg_members(t).select(F.col("member_id").alias("_id"), F.col("name").alias("member_name"),
+                                F.col("email").alias("member_email"), F.col("phone").alias("member_phone"))
+    g = g.join(m, F.col("member_id") == F.col("_id"), "left").filter(F.col("member_id").isNull() | F.col("_id").isNotNull())
 
     rt = F.col("record_type")
     is_sum = rt == "summary"

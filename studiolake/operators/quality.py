@@ -2,7 +2,7 @@
 
 Spark does not enforce keys, NOT NULL, CHECK or foreign keys on parquet, so
 each constraint becomes a query returning its violations.  Every check is one
-aggregate (or one anti join) per table; results are tiny and unioned.
+aggregate per table (references: one anti join for all); results are tiny and unioned.
 """
 
 from __future__ import annotations
@@ -100,16 +100,20 @@ def dq_accepted_values(t: Tables, spec=ACCEPTED) -> DataFrame:
 
 
 def dq_orphans(t: Tables, fks=FOREIGN_KEYS) -> DataFrame:
-    """Child rows whose (non-NULL) reference has no parent: (table, value, n)."""
-    parts = []
-    for child, c, parent, pk in fks:
-        ch = t[child].filter(F.col(c).isNotNull())
-        keys = t[parent].select(F.col(pk).alias(c)).distinct()
-        orph = ch.join(keys, c, "left_anti")
-        parts.append(orph.groupBy(F.col(c).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-                         .select(F.lit(child).alias("table_name"), F.lit(f"references:{c}->{parent}").alias("check"),
-                                 "key", "n"))
-    return _union(parts)
+    """Child rows whose (non-NULL) reference has no parent: (table, value, n).
+
+    Each child is read once: its references are unpivoted to (reference, parent,
+    value) and counted, so a hot parent is one row per task before the shuffle.
+    Each parent is read once as (parent, key), and one anti join finds the rest."""
+    refs, keys = [], []
+    for child in dict.fromkeys(c for c, *_ in fks):
+        own = [F.struct(F.lit(f"references:{c}->{parent}").alias("check"), F.lit(parent).alias("parent"), F.col(c).cast("string").alias("key"))
+               for table, c, parent, _ in fks if table == child]
+        refs.append(t[child].select(F.lit(child).alias("table_name"), F.inline(F.array(*own))).filter(F.col("key").isNotNull()))
+    for parent, pk in dict.fromkeys((p, k) for _, _, p, k in fks):
+        keys.append(t[parent].select(F.lit(parent).alias("parent"), F.col(pk).cast("string").alias("key")))
+    counted = _union(refs).groupBy("table_name", "check", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(_union(keys), ["parent", "key"], "left_anti").select("table_name", "check", "key", "n")
 
 
 def dq_match_rate(t: Tables) -> DataFrame:

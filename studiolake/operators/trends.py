@@ -99,24 +99,41 @@ def active_months(t: Tables) -> DataFrame:
     return b.select("box_id", "member_id", F.col("booked_month").alias("active_month")).distinct()
 
 
+PERIODS = 12   # fixed: months after the cohort's own that are followed
+
+
+def month_bits(t: Tables, first: dt.date, months: int) -> DataFrame:
+    """Per (box, member) one number whose bit i says that there was a check-in in the i-th month from ``first``: a
+    bit-or aggregate, so a member's visits are combined before the shuffle.  The bounds are literals on the booking date."""
+    end = _plus_months(first, months)
+    b = S.stg_bookings(t).filter(F.col("checked_in") & F.col("member_id").isNotNull() & (F.col("booked_date") >= F.lit(first)) & (F.col("booked_date") < F.lit(end)))
+    place = X.month_diff("booked_month", F.lit(first))
+    return b.groupBy("box_id", "member_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
+
+
 def cohort_retention(t: Tables, as_of: dt.date) -> DataFrame:
     """retained members per cohort and month offset 1..12, plus the
-    synthetic 100 % period 0."""
+    synthetic 100 % period 0.
+
+    A member is one row: its months as bits, shifted so that bit 0 is the month
+    after its cohort's; one aggregate per cohort counts the members and each bit."""
+    first = _plus_months(as_of, -13)
     c = cohort_members(t, as_of)
-    am = active_months(t)
-    j = c.join(am, ["member_id", "box_id"]).filter(F.col("active_month") > F.col("cohort_month"))
-    raw = (j.select("box_id", "cohort_month", "member_id",
-                    X.month_diff("active_month", "cohort_month").alias("period_number"))
-            .filter(F.col("period_number").between(1, 12))
-            .groupBy("box_id", "cohort_month", "period_number")
-            .agg(F.count_distinct("member_id").alias("retained_members")))
-    sizes = cohort_sizes(t, as_of)
-    later = raw.join(sizes, ["box_id", "cohort_month"]).select(
-        "box_id", "cohort_month", "cohort_size", "period_number", "retained_members",
-        X.pct_half_up("retained_members", "cohort_size", 1).alias("retention_pct"))
-    m0 = sizes.select("box_id", "cohort_month", "cohort_size", F.lit(0).alias("period_number"),
-                      F.col("cohort_size").alias("retained_members"), F.lit(100.0).alias("retention_pct"))
-    return m0.unionByName(later)
+    bits = month_bits(t, first, 13 + PERIODS + 1)
+    after = F.call_function("shiftrightunsigned", F.coalesce("bits", F.lit(0).cast("long")), X.month_diff("cohort_month", F.lit(first)) + 1)
+    counts = [F.sum(F.call_function("shiftrightunsigned", F.col("after"), F.lit(p - 1)).bitwiseAND(F.lit(1))).alias(f"r{p}") for p in range(1, PERIODS + 1)]
+    g = c.join(bits, ["box_id", "member_id"], "left").withColumn("after", after) \
+         .groupBy("box_id", "cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"), *counts)
+    cells = F.array(F.struct(F.lit(0).alias("period_number"), F.col("cohort_size").alias("retained_members")),
+                    *(F.struct(F.lit(p).alias("period_number"), F.col(f"r{p}").alias("retained_members")) for p in range(1, PERIODS + 1)))
+    r = g.select("box_id", "cohort_month", "cohort_size", F.inline(cells)).filter((F.col("period_number") == 0) | (F.col("retained_members") > 0))
+    return r.withColumn("retention_pct", X.pct_half_up("retained_members", "cohort_size", 1))
+
+
+def _plus_months(day: dt.date, n: int) -> dt.date:
+    """First of the month n months on."""
+    m = day.year * 12 + day.month - 1 + n
+    return dt.date(m // 12, m % 12 + 1, 1)
 
 
 def cohort_matrix(t: Tables, as_of: dt.date) -> DataFrame:

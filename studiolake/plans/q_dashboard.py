@@ -73,11 +73,10 @@ ENTRIES = [
        f"{jsr('(last_month_collected - prev_month_collected) * 10000', 'prev_month_collected * 100')} END AS mo_delta "
        f"FROM mo_summary"),
     _e("series_weekly_revenue",
-       lambda t: K.record_type_series(M.monetization(t, D), "weekly_revenue", ["period_revenue"]),
+       lambda t: K.series(t, D, "weekly_revenue", ["period_revenue"]),
        "box_id:l, period_start:t, period_revenue:d", "SELECT box_id, period_start, period_revenue FROM mo_week_income"),
     _e("series_freeze_by_reason",
-       lambda t: K.record_type_series(M.monetization(t, D), "freeze_by_reason", ["freeze_count", "avg_freeze_days"],
-                                      order_col="reason"),
+       lambda t: K.series(t, D, "freeze_by_reason", ["freeze_count", "avg_freeze_days"], order_col="reason"),
        "box_id:l, reason:s, freeze_count:l, avg_freeze_days:d",
        "SELECT box_id, reason, freeze_count, avg_freeze_days FROM mo_by_reason"),
     _e("ltv_rank", lambda t: K.ltv_rank(t, D),

@@ -36,11 +36,11 @@ def cts(x: str) -> str:
 
 
 def lead_status_sql(x: str) -> str:
-    low = f"lower({x})"
-    groups = [(s, ws) for s, ws in X.LEAD_STATUS_WORDS]
-    whens = " ".join(
-        f"WHEN " + " OR ".join(f"contains({low}, '{w}')" for w in ws) + f" THEN '{s}'" for s, ws in groups)
-    return f"(CASE {whens} ELSE 'new' END)"
+    """The words that tell a lead's status, written out for the SQL side; the first hit counts."""
+    return f"""(CASE WHEN regexp_matches(lower({x}), 'converted|הפך|member') THEN 'converted'
+                     WHEN regexp_matches(lower({x}), 'lost|אבד|לא רלוונטי') THEN 'lost'
+                     WHEN regexp_matches(lower({x}), 'trial|נסיון|ניסיון') THEN 'trial_booked'
+                     WHEN regexp_matches(lower({x}), 'process|בתהליך|follow') THEN 'in_progress' ELSE 'new' END)"""
 
 
 def phone_key_sql(x: str) -> str:

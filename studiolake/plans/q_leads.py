@@ -140,3 +140,20 @@ ENTRIES = [
                   {pct("count(*) FILTER (WHERE status = 'converted')", "count(*)", 1)} AS conversion_rate_pct
            FROM leads GROUP BY box_id"""),
 ]
+
+
+def _ranked_sql(source: str, measures: list[str], k: int) -> str:
+    """Every label ranked by window, and the sum of those beyond."""
+    sums = ", ".join(f"sum({m}) AS {m}" for m in measures)
+    return f"""
+  WITH r AS (SELECT *, row_number() OVER (PARTITION BY box_id, record_type ORDER BY total DESC, label) AS place FROM {source})
+  SELECT box_id, record_type, place AS rank, label, 1 AS n_labels, {", ".join(measures)} FROM r WHERE place <= {k}
+  UNION ALL SELECT box_id, record_type, NULL, NULL, count(*), {sums} FROM r WHERE place > {k} GROUP BY box_id, record_type"""
+
+
+ENTRIES += [
+    _e("lost_reason_rows", lambda t: L.lost_reason_rows(t, DL, 2), "box_id:l, record_type:s, rank:l, label:s, n_labels:l, total:l",
+       _ranked_sql("(SELECT box_id, record_type, label, n AS total FROM ld_reasons)", ["total"], 2)),
+    _e("lead_source_rows", lambda t: L.lead_source_rows(t, DL, 3), "box_id:l, record_type:s, rank:l, label:s, n_labels:l, total:l, converted:l",
+       _ranked_sql("(SELECT box_id, record_type, label, n AS total, won AS converted FROM ld_origins)", ["total", "converted"], 3)),
+]

@@ -43,6 +43,56 @@ def test_scan_prunes_columns_and_pushes_filters(spark, tables):
     assert "source_payment_id" not in re.search(r"ReadSchema: (\S+)", p)[1]
 
 
+@pytest.fixture(scope="module")
+def stored(spark, tables):
+    """The tables in a store, so that scans show in plans as they would in use."""
+    from studiolake.sources.tables import load, save_all
+    store = tempfile.mkdtemp(prefix="plans-")
+    save_all(tables, store)
+    return load(spark, store)
+
+
+def _scans(plan: str, column: str) -> int:
+    return len(re.findall(rf"FileScan parquet \[[^\]]*\b{column}#", plan))
+
+
+def test_monetization_reads_payments_twice_and_aggregates_by_hash(stored):
+    p = _plan(M.monetization(stored, AS_OF))
+    assert _scans(p, "payment_date") == 2 and "SortAggregate" not in p
+
+
+def test_classes_are_grouping_sets(stored):
+    from studiolake.operators.classes import classes_mart
+    p = _plan(classes_mart(stored))
+    assert "Expand" in p and "ObjectHashAggregate" not in p and "SortAggregate" not in p and "Generate" not in p
+    assert _scans(p, "booked_date") == 1
+
+
+def test_cohorts_are_one_row_a_member_within_literal_bounds(stored):
+    from studiolake.operators.trends import cohort_retention
+    p = _plan(cohort_retention(stored, AS_OF))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(booked_date,2000-07-01\)[^\]]*LessThan\(booked_date,2002-09-01\)", p)
+    assert _scans(p, "booked_date") == 1 and _scans(p, "join_date") == 1 and "distinct" not in p
+
+
+def test_tenant_reads_are_pruned_by_a_literal(spark, stored):
+    from studiolake.operators import dashboard as K
+    from studiolake.operators.health import health_scores
+    token = stored["boxes"].orderBy("id").first()["access_token"]
+    p = _plan(health_scores(K.scope_inputs(stored, token), AS_OF))
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", p)
+    assert len(filters) >= 4 and all(re.search(r"box_id#\d+ = \d+", f) for f in filters)
+    assert "ubquery" not in p and "dynamicpruning" not in p
+    assert health_scores(K.scope_inputs(stored, "no such token"), AS_OF).count() == 0
+
+
+def test_references_are_checked_in_one_pass(stored):
+    from studiolake.operators import quality as Q
+    p = _plan(Q.dq_orphans(stored))
+    joins = re.findall(r"LeftAnti", p)
+    assert len(joins) == 1 and len(re.findall("FileScan", p)) == len({c for c, *_ in Q.FOREIGN_KEYS}) + len({x for _, _, x, _ in Q.FOREIGN_KEYS})
+
+
 def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     assert df.count() > 0
