@@ -2,7 +2,7 @@
 
 Spark does not enforce keys, NOT NULL, CHECK or foreign keys on parquet, so
 each constraint becomes a query returning its violations.  Every check is one
-aggregate per table (references: one anti join for all); results are tiny and unioned.
+aggregate per table (references: one join for all); results are tiny and unioned.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def dq_orphans(t: Tables, fks=FOREIGN_KEYS) -> DataFrame:
 
     Each child is read once: its references are unpivoted to (reference, parent,
     value) and counted, so a hot parent is one row per task before the shuffle.
-    Each parent is read once as (parent, key), and one anti join finds the rest."""
+    Each parent is read once as (parent, key), and one join finds the rest."""
     refs, keys = [], []
     for child in dict.fromkeys(c for c, *_ in fks):
         own = [F.struct(F.lit(f"references:{c}->{parent}").alias("check"), F.lit(parent).alias("parent"), F.col(c).cast("string").alias("key"))
@@ -113,7 +113,9 @@ def dq_orphans(t: Tables, fks=FOREIGN_KEYS) -> DataFrame:
     for parent, pk in dict.fromkeys((p, k) for _, _, p, k in fks):
         keys.append(t[parent].select(F.lit(parent).alias("parent"), F.col(pk).cast("string").alias("key")))
     counted = _union(refs).groupBy("table_name", "check", "parent", "key").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(_union(keys), ["parent", "key"], "left_anti").select("table_name", "check", "key", "n")
+    # An outer join: an anti join would be pushed below the union, one for each child.
+    known = _union(keys).withColumn("_known", F.lit(True))
+    return counted.join(known, ["parent", "key"], "left").filter(F.col("_known").isNull()).select("table_name", "check", "key", "n")
 
 
 def dq_match_rate(t: Tables) -> DataFrame:
