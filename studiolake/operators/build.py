@@ -1,7 +1,9 @@
 """E2 lifecycle: build the models into a store.
 
-The activity model is materialised first (written, then read back) - four
-marts read it, so it is computed once and its lineage is cut; every mart is
+The shared models are materialised first (written, then read back): the
+activity model, which four marts read, and the price changes and classified
+holds, whose marts carry box totals on every row.  Each is computed once and
+its lineage is cut; every mart is
 then written as its own box-partitioned table.  A mart's new version is
 committed when it is whole; a failed run leaves the earlier one in place.
 
@@ -29,12 +31,18 @@ from studiolake.operators import trends as T
 from studiolake.sources import tables as S
 from studiolake.sources.tables import write_table
 
-ACTIVITY = "int_member_activity"
+def shared(tables: dict[str, DataFrame], as_of: dt.date) -> dict[str, DataFrame]:
+    """The models that marts share, lazy."""
+    return {
+        "int_member_activity": A.member_activity(tables, as_of),
+        "int_membership_changes": J.membership_changes(tables, as_of),
+        "int_classified_freezes": J.classified_freezes(tables, as_of),
+    }
 
 
-def models(tables: dict[str, DataFrame], as_of: dt.date, leads_as_of: dt.date, activity: DataFrame) -> dict[str, DataFrame]:
-    """All marts, lazy."""
-    la = leads_as_of
+def models(tables: dict[str, DataFrame], as_of: dt.date, la: dt.date, stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All marts, lazy, over the shared models as stored."""
+    activity = stored["int_member_activity"]
     return {
         "mart_health_scores": H.health_scores(tables, as_of, activity),
         "mart_members_snapshot": H.members_snapshot(tables, as_of, activity),
@@ -49,8 +57,8 @@ def models(tables: dict[str, DataFrame], as_of: dt.date, leads_as_of: dt.date, a
         "mart_leads_detail": L.leads_detail(tables, la),
         "mart_leads_weekly_trend": L.leads_weekly(tables, la),
         "mart_leads_monthly_trend": L.leads_monthly(tables, la),
-        "mart_plan_changes": J.plan_changes(tables, as_of),
-        "mart_freeze_outcomes": J.freeze_outcomes(tables, as_of),
+        "mart_plan_changes": J.plan_changes(tables, as_of, stored["int_membership_changes"]),
+        "mart_freeze_outcomes": J.freeze_outcomes(tables, as_of, stored["int_classified_freezes"]),
         "mart_ltv_by_plan": J.ltv_by_plan(tables, as_of),
     }
 
@@ -58,12 +66,11 @@ def models(tables: dict[str, DataFrame], as_of: dt.date, leads_as_of: dt.date, a
 def run_models(spark: SparkSession, tables: dict[str, DataFrame], out: str, as_of: dt.date,
                leads_as_of: dt.date | None = None) -> dict[str, str]:
     """Build every model whole."""
-    activity = write_table(A.member_activity(tables, as_of), f"{out}/{ACTIVITY}")
-    paths = {ACTIVITY: f"{out}/{ACTIVITY}"}
-    for name, df in models(tables, as_of, leads_as_of or as_of, activity).items():
-        paths[name] = f"{out}/{name}"
-        write_table(df, paths[name])
-    return paths
+    stored = {n: write_table(df, f"{out}/{n}") for n, df in shared(tables, as_of).items()}
+    marts = models(tables, as_of, leads_as_of or as_of, stored)
+    for name, df in marts.items():
+        write_table(df, f"{out}/{name}")
+    return {n: f"{out}/{n}" for n in [*stored, *marts]}
 
 
 def refresh_models(spark: SparkSession, store: str, out: str, as_of: dt.date, leads_as_of: dt.date | None = None) -> list[str] | None:
@@ -83,10 +90,10 @@ def refresh_models(spark: SparkSession, store: str, out: str, as_of: dt.date, le
         kind = S.read_table(spark, f"{store}/members").schema[S.BOX].dataType
         ids = [None if b is None else (b if isinstance(kind, StringType) else int(b)) for b in sorted(changed, key=lambda b: (b is not None, b))]
         tables = S.load(spark, store, boxes=ids)
-        path = f"{out}/{ACTIVITY}"
-        S.replace_boxes(A.member_activity(tables, as_of), path, ids)
-        activity = S.read_table(spark, path, ids)
-        for name, df in models(tables, as_of, la, activity).items():
+        for name, df in shared(tables, as_of).items():
+            S.replace_boxes(df, f"{out}/{name}", ids)
+        stored = {n: S.read_table(spark, f"{out}/{n}", ids) for n in shared(tables, as_of)}
+        for name, df in models(tables, as_of, la, stored).items():
             S.replace_boxes(df, f"{out}/{name}", ids)
     write_table(stamp, note)
     return sorted(changed, key=lambda b: (b is not None, b))

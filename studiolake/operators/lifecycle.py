@@ -49,9 +49,10 @@ def plan_change_totals(changes: DataFrame) -> DataFrame:
         F.sum(F.when(down, F.abs("revenue_delta"))).alias("downgrade_revenue_lost"))
 
 
-def plan_changes(t: Tables, as_of: dt.date) -> DataFrame:
-    """Change rows with member contact and box totals on every row."""
-    c = membership_changes(t, as_of)
+def plan_changes(t: Tables, as_of: dt.date, changes: DataFrame | None = None) -> DataFrame:
+    """Change rows with member contact and box totals on every row.  ``changes``: J1/J2 as stored, so that rows and
+    totals don't compute them twice (``operators.build``)."""
+    c = changes if changes is not None else membership_changes(t, as_of)
     m = S.stg_members(t).select("member_id", "name", "email", "phone")
     return (c.join(m, "member_id").join(plan_change_totals(c), "box_id", "left")
              .select("box_id", "member_id", "name", "email", "phone", "change_type", "prev_plan", "new_plan",
@@ -102,10 +103,11 @@ def freeze_outcome_totals(classified: DataFrame) -> DataFrame:
     return totals.withColumn("return_rate_pct", X.pct_half_up("total_returned", "total_completed", 1))
 
 
-def freeze_outcomes(t: Tables, as_of: dt.date) -> DataFrame:
+def freeze_outcomes(t: Tables, as_of: dt.date, classified: DataFrame | None = None) -> DataFrame:
     """Completed holds classified returned / unknown / churned / at_risk,
-    with box totals and the return rate on every row."""
-    c = classified_freezes(t, as_of)
+    with box totals and the return rate on every row.  ``classified``: J5/J6 as
+    stored, as in ``plan_changes``."""
+    c = classified if classified is not None else classified_freezes(t, as_of)
     return c.join(freeze_outcome_totals(c), "box_id", "left").select(
         "box_id", "freeze_id", "member_id", "member_name", "member_status", "plan_type", "price", "freeze_start",
         "freeze_end", "total_days", "reason", "outcome", "returned", "days_since_ended", "total_returned",

@@ -42,7 +42,7 @@ CANONICAL_TABLES = ["boxes", "members", "memberships", "payments", "classes", "f
 BOX = "box_id"
 MANY_FOLDERS = 8
 _COMMIT = "number long, manifest string, schema string, layout string, stream string, epoch long"
-_MANIFEST = "folder string, write string, box string, part string, n long, lo date, hi date, undated long, key_lo long, key_hi long"
+_MANIFEST = "folder string, write string, box string, part string, n long, lo date, hi date, undated long, key_lo long, key_hi long, unkeyed long"
 
 
 @dataclass(frozen=True)
@@ -162,7 +162,7 @@ def _write(df: DataFrame, path: str, layout: Layout) -> tuple[str, DataFrame]:
     by = [BOX, "part"] if _boxed(df.schema) else ["part"]
     dealt = df.withColumn("part", layout.part()).hint("rebalance", *(F.col(c) for c in by))
     dealt.write.partitionBy(*by).parquet(f"{path}/data/w={write}")
-    kept = [df.schema[c] for c in {layout.month, layout.key, BOX} & set(df.columns)] + [T.StructField("part", T.StringType())]
+    kept = [df.schema[c] for c in sorted({layout.month, layout.key, BOX} - {None} & set(df.columns))] + [T.StructField("part", T.StringType())]
     try:
         back = spark.read.schema(T.StructType(kept)).parquet(f"{path}/data/w={write}")
     except AnalysisException:
@@ -170,12 +170,13 @@ def _write(df: DataFrame, path: str, layout: Layout) -> tuple[str, DataFrame]:
     numeric = layout.key in df.columns and isinstance(df.schema[layout.key].dataType, T.IntegralType)
     date = F.col(layout.month).cast("date") if layout.month in df.columns else F.lit(None).cast("date")
     key = F.col(layout.key).cast("long") if numeric else F.lit(None).cast("long")
+    no_key = F.col(layout.key).isNull() if layout.key in df.columns else F.lit(False)
     name = F.expr("url_decode(replace(regexp_extract(_metadata.file_path, '/data/(w=.*)/[^/]*$', 1), '+', '%2B'))")
     box = F.col(BOX).cast("string") if _boxed(df.schema) else F.lit(None).cast("string")
-    return write, back.select(name.alias("folder"), F.lit(write).alias("write"), box.alias("box"), "part", date.alias("d"), key.alias("k")) \
+    return write, back.select(name.alias("folder"), F.lit(write).alias("write"), box.alias("box"), "part", date.alias("d"), key.alias("k"), no_key.alias("u")) \
                .groupBy("folder", "write", "box", "part").agg(
                    F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.count_if(F.col("d").isNull()).alias("undated"),
-                   F.min("k").alias("key_lo"), F.max("k").alias("key_hi"))
+                   F.min("k").alias("key_lo"), F.max("k").alias("key_hi"), F.count_if("u").alias("unkeyed"))
 
 
 def _names(folders: DataFrame) -> list[str]:
@@ -252,7 +253,9 @@ def save_all(tables: dict[str, DataFrame], store: str) -> None:
 def merge(path: str, rows: DataFrame, keys: list[str], pos: str | None = "feed_pos", defaults: dict[str, Column] | None = None,
           insert: bool = True, stream: str | None = None, epoch: int | None = None) -> Change:
     """A5 on a stored table (semantics of ``operators.ingest.upsert``): only folders that hold a key of ``rows`` are
-    rewritten.  With ``insert=False`` rows of unknown keys are left out (A7, A8).  With a stream and an epoch the change is
+    rewritten.  A row with a NULL key part matches nothing, but is added only where the table has no such row with the same
+    values, so that a feed that comes again adds nothing.  With ``insert=False`` rows of unknown keys are left out (A7, A8).
+    With a stream and an epoch the change is
     made once: a batch that comes again after a failure finds its commit and does nothing."""
     from studiolake.operators.ingest import last_wins, upsert
 
@@ -262,10 +265,12 @@ def merge(path: str, rows: DataFrame, keys: list[str], pos: str | None = "feed_p
         return Change(state.number, repeated=True)
     # The feed, one row per key, written once: the steps below read it three times.
     feed = last_wins(rows, keys, pos).drop(pos) if pos is not None and pos in rows.columns else rows
+    feed = feed.select(*(F.col(c).cast(state.schema[c].dataType).alias(c) for c in feed.columns if c in state.schema.names))
     staged = f"{path}/staged/{uuid.uuid4().hex}"
     feed.write.parquet(staged)
     feed = spark.read.schema(feed.schema).parquet(staged)
     folders = manifest(spark, path, state.number)
+    feed = _unknown(spark, path, state, folders, feed, keys) if insert else feed
     # Folders that can hold a key: by box, by bucket, by range of ids.
     parts = [F.col(BOX).cast("string").alias("_box")] if _boxed(state.schema) else [F.lit(None).cast("string").alias("_box")]
     bucket = state.layout.bucket if state.layout.bucket in keys else None
@@ -302,6 +307,24 @@ def merge(path: str, rows: DataFrame, keys: list[str], pos: str | None = "feed_p
     return Change(number, looked_up, sorted(gone), _new(spark, path, number, write))
 
 
+def _unknown(spark: SparkSession, path: str, state: _State, folders: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
+    """The feed without the rows with a NULL key part that the table holds already, value for value."""
+    loose = F.lit(False)
+    for k in keys:
+        loose = loose | F.col(k).isNull()
+    if not feed.filter(loose).limit(1).count():
+        return feed
+    box = F.col(BOX).cast("string") if _boxed(state.schema) else F.lit(None).cast("string")
+    near = folders.join(feed.filter(loose).select(box.alias("_box")).distinct(), F.col("box").eqNullSafe(F.col("_box")), "left_semi")
+    if set(keys) <= {BOX, state.layout.key, state.layout.month}:
+        near = near.filter((F.col("unkeyed") > 0) | (F.col("undated") > 0) | F.col("box").isNull())
+    held = _read(spark, path, state.schema, _names(near)).filter(loose).select(*(F.col(c).alias(f"_{c}") for c in feed.columns)).distinct()
+    same = F.lit(True)
+    for c in feed.columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return feed.filter(~loose).unionByName(feed.filter(loose).join(held, same, "left_anti"))
+
+
 # ---- deletes ------------------------------------------------------------------------------
 
 def _cut(spark: SparkSession, path: str, whole: Column, partly: Column, keep: Column) -> Change:

@@ -71,6 +71,15 @@ def test_new_keys_only_rewrite_nothing(spark, path):
     assert S.read_table(spark, path, boxes=[3]).filter("source_payment_id >= 5000").count() == 10 + S.MANY_FOLDERS + 1
 
 
+def test_rows_without_a_whole_key_come_once(spark, path):
+    rows = feed(spark, [(1, None, 2.0, day(1), 1), (1, None, 2.0, day(1), 2), (1, None, None, None, 3), (None, None, 4.0, day(2), 4), (2, None, 2.0, day(1), 5)])
+    S.merge(path, rows, KEYS)
+    assert S.read_table(spark, path).count() == 60 + 5
+    assert S.merge(path, rows, KEYS).gone == [] and S.read_table(spark, path).count() == 60 + 5
+    S.merge(path, feed(spark, [(1, None, 3.0, day(1), 1), (1, None, 2.0, day(1), 2)]), KEYS)
+    assert S.read_table(spark, path).count() == 60 + 6
+
+
 def test_update_only(spark, path):
     patch = spark.createDataFrame([(1, 102, "overdue"), (1, 98765, "overdue")], "box_id int, source_payment_id long, status string")
     S.merge(path, patch, KEYS, pos=None, insert=False)
