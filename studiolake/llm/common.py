@@ -121,12 +121,14 @@ SALTS = 32
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe join of a large table with hot keys to a (stored) table with one row per key: broadcast while that has at
-    most ``BROADCAST_ROWS`` rows; beyond, the large side is salted and the other repeated for each salt."""
+    most ``BROADCAST_ROWS`` rows; beyond, the large side is salted by its plain columns (so a repeated task deals its rows as
+    before) and the other repeated for each salt."""
     side = small.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in small.columns if c not in keys))
     on = [big[k].eqNullSafe(side[f"_{k}"]) for k in keys]
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(side), on, how).drop(*(f"_{k}" for k in keys))
     side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = big.withColumn("_own_salt", (F.rand(7) * SALTS).cast("int"))
+    plain = [F.col(c) for c, kind in big.dtypes if not kind.startswith(("struct", "array", "map", "variant"))]
+    salted = big.withColumn("_own_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
     on = [salted[k].eqNullSafe(side[f"_{k}"]) for k in keys] + [salted["_own_salt"] == side["_salt"]]
     return salted.join(side, on, how).drop("_salt", "_own_salt", *(f"_{k}" for k in keys))

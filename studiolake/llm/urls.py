@@ -1,12 +1,13 @@
 """Operator 7: URL filters by hashed host-suffix and path-prefix expressions. DataFrame functions only.
 
 A rule is (host, path, verdict); it fits its host and all subdomains where the URL's path starts with the rule's path.
-Every URL is expanded into expressions: each suffix of its host at a dot, with each prefix of its path of a length that
-some rule's path has.  Expressions and rules are digested (SHA-256); they are joined on the first ``PREFIX_BYTES`` of the
+Every URL is expanded into expressions: each suffix of its host with as many labels as some rule's host has, with each
+prefix of its path of a length that some rule's path has.  Expressions and rules are digested (SHA-256); they are joined on the first ``PREFIX_BYTES`` of the
 digest, hits are confirmed by the whole digest, and the longest rule wins (equal length: longer host, then block).
 
 The rules are broadcast while they are few (counted), else expressions are salted and rules repeated, as one expression
-(``com/``) can stand in a third of all URLs.  Equal URLs of one page id are judged once and counted.
+(``com/``) can stand in a third of all URLs.  Equal URLs of one page id are counted, judged once for every ``COPIES`` of
+them and given back as rows, so no row holds more than ``COPIES`` copies and their chunks spread over tasks.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#`` or
 the end.  Cases: null URL or one without ``://`` has empty host and path and fits no rule; URLs that no rule fits get the
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from studiolake.llm import common as C
 
 PREFIX_BYTES = 4
+COPIES = 4096
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -39,6 +41,10 @@ def parts(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("host", C.ascii_lower(host)).withColumn("path", F.substring(bare, F.length(host) + 1, F.length(bare)))
 
 
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
 def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
@@ -53,17 +59,25 @@ def digested(rules: DataFrame) -> DataFrame:
     r = r.groupBy("host", "path").agg(F.max("verdict").alias("rule_verdict"))
     d = _digest(F.col("host"), F.col("path"))
     return r.select(F.substring(d, 1, 2 * PREFIX_BYTES).alias("short"), d.alias("rule_digest"), F.concat("host", "path").alias("rule_text"), F.length("host").alias("host_length"), "rule_verdict",
-                    F.length("path").alias("path_length"))
+                    F.length("path").alias("path_length"), _labels(F.col("host")).alias("labels"))
+
+
+def chunked(counted: DataFrame) -> DataFrame:
+    """copies -> rows of at most ``COPIES`` copies, numbered by high and low; an array here holds at most ``COPIES`` numbers
+    for each ``COPIES ** 3`` copies."""
+    first = counted.withColumn("high", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES ** 2}"))))
+    first = first.withColumn("copies", F.least(F.lit(COPIES ** 2), F.col("copies") - F.col("high") * COPIES ** 2))
+    both = first.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))))
+    return both.withColumn("copies", F.least(F.lit(COPIES), F.col("copies") - F.col("low") * COPIES))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     spark = pages.sparkSession
     table = C.stored(digested(rules), f"{C.scratch(spark, 'url-rules')}/rules")
-    # lengths of rule paths: distinct numbers, at most as many as the longest path has characters
-    lengths = [r[0] for r in table.select("path_length").distinct().orderBy("path_length").collect()]
-    own = parts(pages.select(key, url).groupBy(key, url).agg(F.count("*").alias("copies")), url)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # lengths of rule paths and hosts' labels: distinct numbers, at most as many as the longest has characters
+    lengths, labels = (sorted(r[0] for r in table.select(c).distinct().collect()) for c in ("path_length", "labels"))
+    own = chunked(parts(pages.select(key, url).groupBy(key, url).agg(F.count("*").alias("copies")), url))
+    suffixes = F.array_compact(F.array(*(F.when(_labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in labels or [1])))
     prefixes = F.filter(F.transform(F.array(*map(F.lit, lengths or [0])), lambda n: F.when(n <= F.length("path"), F.substring(F.col("path"), F.lit(1), n))), lambda p: p.isNotNull())
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
     e = own.withColumn("e", F.explode_outer(F.when(F.col("host") != "", expressions)))
@@ -71,7 +85,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str =
     e = e.withColumn("digest", digest).withColumn("short", F.substring("digest", 1, 2 * PREFIX_BYTES)).drop("e")
     hits = C.join_small(e, table, ["short"])
     sure = F.when(F.col("digest") == F.col("rule_digest"), F.struct(F.length("rule_text").alias("length"), "host_length", F.col("rule_verdict").alias("verdict"), F.col("rule_text").alias("rule")))
-    best = hits.groupBy(key, url, "host", "path", "copies").agg(F.max(sure).alias("best"))
+    best = hits.groupBy(key, url, "host", "path", "high", "low", "copies").agg(F.max(sure).alias("best"))
     out = best.select(key, url, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), "copies")
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy")
 
