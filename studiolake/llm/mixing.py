@@ -8,10 +8,12 @@ sorted by document.  All budgets use one hash, so a smaller mix is contained in
 Shares: sources by code point (null last) weigh 1, 2, 3, repeating.  A target stops at ``most`` times its source's size;
 what it leaves is shared again by weight among the others.  A source of size s and target t takes each document
 floor(t / s) times, and once more those under the threshold; the document at the threshold counts when that brings the
-sum nearer.
+sum nearer.  Where the threshold falls on rows of equal id and text, these have one hash: they alone are dealt again, by
+a hash of their place in a stored table, and the same refinement says how many of them count.
 
-Cases: null text has size 0; null source is a source; equal rows (same id and text) are taken together; a source of
-size 0 has target 0; empty table: no rows.  Further columns are carried by ``mix`` and ignored otherwise.
+Cases: null text has size 0; null source is a source; of equal rows (same id and text) as many are taken as bring the sum
+nearest (which of them: not defined); a source of size 0 has target 0; empty table: no rows.  Further columns are carried
+by ``mix`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -47,18 +49,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", F.coalesce(F.least(full, F.col("share") * F.col("w")), full).alias("target"))
 
 
-def thresholds(measured: DataFrame, shares: DataFrame, folder: str, budgets: tuple[float, ...] = (1.0,), most: int = MOST) -> DataFrame:
-    """Per source and budget: repeats, and the threshold up to which documents are taken once more.
+def cut(measured: DataFrame, ask: DataFrame, folder: str) -> DataFrame:
+    """Where the rest of each (source, budget) ends: source, budget, rest, sum_before, and of the hash there its sum and rows.
 
-    measured: source, size, h (stored).  shares: source, source_size, target (stored)."""
-    times = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("goal") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
-    ask = (shares.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).withColumn("goal", F.col("target") * F.col("budget"))
-           .withColumn("repeats", times)
-           .withColumn("rest", F.when(F.col("repeats") >= most, F.lit(0.0)).otherwise(F.col("goal") - F.col("repeats") * F.col("source_size")))
-           .select("source", "source_size", "target", "budget", "repeats", "rest"))
-    ask = C.stored(ask, f"{folder}/ask")
-    # (source, budget, rest of the budget, sum before the open bucket); level 0's open bucket is the whole source
-    open_ = ask.filter("rest > 0").select("source", "budget", "rest", F.lit(0).cast("long").alias("open"), F.lit(0).cast("long").alias("sum_before"))
+    measured: source, size, h (stored).  ask: source, budget, rest (stored; rests above 0)."""
+    # open: the bucket in which the rest ends; level 0's is the whole source
+    open_ = ask.select("source", "budget", "rest", F.lit(0).cast("long").alias("open"), F.lit(0).cast("long").alias("sum_before"))
     done = None
     for level in range(1, HASH_BITS // LEVEL_BITS + 1):
         shift = HASH_BITS - level * LEVEL_BITS
@@ -66,27 +62,64 @@ def thresholds(measured: DataFrame, shares: DataFrame, folder: str, budgets: tup
         if level > 1:
             one = open_.select(F.col("source").alias("s"), F.col("open").alias("o")).distinct()
             rows = rows.join(one, F.col("source").eqNullSafe(F.col("s")) & (F.shiftrightunsigned("h", shift + LEVEL_BITS) == F.col("o")), "left_semi")
-        hist = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"), F.min("h").alias("low"), F.max("h").alias("high"))
+        hist = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"), F.count("*").alias("rows"), F.min("h").alias("low"), F.max("h").alias("high"))
         hist = C.stored(hist.withColumn("parent", F.shiftrightunsigned("bucket", LEVEL_BITS)), f"{folder}/hist{level}")
         # at most 2**LEVEL_BITS buckets in a window
         w = Window.partitionBy("source", "parent").orderBy("bucket")
-        hist = hist.withColumn("upto", F.sum("sum").over(w)).select(F.col("source").alias("s"), "bucket", "parent", "sum", "low", "high", (F.col("upto") - F.col("sum")).alias("prior"))
+        hist = hist.withColumn("upto", F.sum("sum").over(w)).select(F.col("source").alias("s"), "bucket", "parent", "sum", "rows", "low", "high", (F.col("upto") - F.col("sum")).alias("prior"))
         step = open_.join(hist, F.col("source").eqNullSafe(F.col("s")) & (F.col("open") == F.col("parent")))
         before = F.col("sum_before") + F.col("prior")
         step = step.filter((before < F.col("rest")) & (before + F.col("sum") >= F.col("rest")))
-        step = step.select("source", "budget", "rest", F.col("bucket").alias("open"), before.alias("sum_before"), "sum", "low", "high")
+        step = step.select("source", "budget", "rest", F.col("bucket").alias("open"), before.alias("sum_before"), "sum", "rows", "low", "high")
         step = C.stored(step, f"{folder}/open{level}")
         single = F.col("low") == F.col("high")
-        ends = step.filter(single).select(F.col("source").alias("s"), F.col("budget").alias("b"),
-                                          F.when(2 * (F.col("rest") - F.col("sum_before")) > F.col("sum"), F.col("low")).otherwise(F.col("low") - 1).alias("threshold"))
+        ends = step.filter(single).select("source", "budget", "rest", "sum_before", "sum", "rows", F.col("low").alias("at"))
         done = ends if done is None else done.unionByName(ends)
         open_ = step.filter(~single).select("source", "budget", "rest", "open", "sum_before")
         if open_.isEmpty():
             break
+    return done
+
+
+def _nearest() -> Column:
+    """The last hash taken, so that the sum comes nearest."""
+    return F.when(2 * (F.col("rest") - F.col("sum_before")) > F.col("sum"), F.col("at")).otherwise(F.col("at") - 1)
+
+
+def thresholds(measured: DataFrame, shares: DataFrame, folder: str, budgets: tuple[float, ...] = (1.0,), most: int = MOST) -> DataFrame:
+    """Per source and budget: repeats, and the threshold up to which documents are taken once more; where it falls on
+    several rows of one hash, tie is that hash and tie_rest what they share.
+
+    measured: source, size, h (stored).  shares: source, source_size, target (stored)."""
+    times = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("goal") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
+    ask = (shares.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).withColumn("goal", F.col("target") * F.col("budget"))
+           .withColumn("repeats", times)
+           .withColumn("rest", F.when(F.col("repeats") >= most, F.lit(0.0)).otherwise(F.col("goal") - F.col("repeats") * F.col("source_size")))
+           .select("source", "source_size", "target", "budget", "repeats", "rest"))
+    ask = C.stored(ask, f"{folder}/ask")
+    tied = F.col("rows") > 1
+    done = cut(measured, ask.filter("rest > 0"), folder).select(
+        F.col("source").alias("s"), F.col("budget").alias("b"), F.when(tied, F.col("at") - 1).otherwise(_nearest()).alias("threshold"),
+        F.when(tied, F.col("at")).alias("tie"), F.when(tied, F.col("rest") - F.col("sum_before")).alias("tie_rest"))
     # a rest that rounding left above the sum of all: everything
     found = ask.join(done, F.col("source").eqNullSafe(F.col("s")) & (F.col("budget") == F.col("b")), "left")
     reach = F.when(F.col("rest") > 0, F.coalesce(F.col("threshold"), F.lit((1 << HASH_BITS) - 1))).otherwise(F.lit(-1))
-    return C.stored(found.select("source", "source_size", "target", "budget", "repeats", reach.alias("threshold")), f"{folder}/thresholds")
+    return C.stored(found.select("source", "source_size", "target", "budget", "repeats", reach.alias("threshold"), "tie", "tie_rest"), f"{folder}/thresholds")
+
+
+def placed(table: DataFrame) -> DataFrame:
+    """A stored table with copy: a hash of each row's file and place in it."""
+    return table.withColumn("copy", F.shiftrightunsigned(F.xxhash64("_metadata.file_path", "_metadata.row_index"), 64 - HASH_BITS))
+
+
+def tie_cuts(rows: DataFrame, cuts: DataFrame, folder: str) -> DataFrame:
+    """Per source with a tie: last, the highest copy that is taken once more.  rows: source, size, h, copy of placed rows."""
+    ties = cuts.filter("tie IS NOT NULL")
+    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("h") == F.col("tie"))
+    own = rows.join(F.broadcast(ties.select(F.col("source").alias("s"), "tie")) if ties.count() <= C.BROADCAST_ROWS else ties.select(F.col("source").alias("s"), "tie"), on)
+    own = C.stored(own.select("source", "size", F.col("copy").alias("h")), f"{folder}/tied")
+    ends = cut(own, ties.select("source", "budget", F.col("tie_rest").alias("rest")), f"{folder}/ties")
+    return C.stored(ends.select("source", _nearest().alias("last")), f"{folder}/last")
 
 
 def measure(docs: DataFrame, folder: str) -> DataFrame:
@@ -103,20 +136,34 @@ def copies() -> Column:
     return F.col("repeats") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
 
 
+def tied_copies() -> Column:
+    return copies() + F.when((F.col("h") == F.col("tie")) & (F.col("copy") <= F.col("last")), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, budget: float = 1.0) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
     folder = C.scratch(docs.sparkSession, "mixing")
-    cuts = plan(measure(docs, folder), folder, weights, most, (budget,)).select("source", "repeats", "threshold")
+    cuts = plan(measure(docs, folder), folder, weights, most, (budget,)).select("source", "budget", "repeats", "threshold", "tie", "tie_rest")
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), hash_of(F.col("doc_id"), F.col("text")).alias("h"))
-    taken = C.join_small(own, cuts, ["source"]).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))))
-    return taken.select("row.*")
+    own = C.join_small(own, cuts, ["source"])
+    repeated = lambda rows, n: rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select("row.*")
+    if cuts.filter("tie IS NOT NULL").isEmpty():
+        return repeated(own, copies())
+    at_tie = F.coalesce(F.col("h") == F.col("tie"), F.lit(False))
+    ties = placed(C.stored(own.filter(at_tie).withColumn("size", C.n_words(F.col("row.text"))), f"{folder}/tied-rows"))
+    ties = C.join_small(ties, tie_cuts(ties.select("source", "size", "h", "copy"), cuts, folder), ["source"])
+    return repeated(own.filter(~at_tie), copies()).unionByName(repeated(ties, tied_copies()))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = C.scratch(spark, "mixing")
     measured = measure(C.read(spark, sf_dir, "documents"), folder)
-    cuts = plan(measured, folder).drop("budget")
-    return C.join_small(measured, cuts, ["source"]).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    cuts = plan(measured, folder)
+    rows, times = C.join_small(measured, cuts, ["source"]), copies()
+    if not cuts.filter("tie IS NOT NULL").isEmpty():
+        own = placed(measured)
+        rows, times = C.join_small(C.join_small(own, cuts, ["source"]), tie_cuts(own, cuts, folder), ["source"]), tied_copies()
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
 
 
 # One pass that sorts each source by hash; the operator never does.
@@ -138,14 +185,12 @@ mx_targets AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, share * w
 mx_goal AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS repeats FROM mx_targets),
 mx_rest AS (SELECT *, CASE WHEN repeats >= 3 THEN 0.0 ELSE target - repeats * source_size END AS rest FROM mx_goal),
-mx_hashes AS (SELECT source, h, sum(size)::BIGINT AS size FROM mx_docs GROUP BY source, h),
-mx_run AS (SELECT source, h, size, (sum(size) OVER (PARTITION BY source ORDER BY h))::BIGINT - size AS before FROM mx_hashes)
+mx_numbered AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS copy FROM mx_docs),
+mx_run AS (SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY h, copy))::BIGINT - size AS before FROM mx_numbered)
 """
 
 ORACLES = {"op2_mixing": "WITH " + MIX_CTES + """
-SELECT d.doc_id, d.size, t.source_size, t.target,
-       d.size * (t.repeats + CASE WHEN 2 * (t.rest - r.before) > r.size THEN 1 ELSE 0 END) AS taken
-FROM mx_docs d
-JOIN mx_rest t ON d.source IS NOT DISTINCT FROM t.source
-JOIN mx_run r ON d.source IS NOT DISTINCT FROM r.source AND d.h = r.h"""}
+SELECT r.doc_id, r.size, t.source_size, t.target,
+       r.size * (t.repeats + CASE WHEN 2 * (t.rest - r.before) > r.size THEN 1 ELSE 0 END) AS taken
+FROM mx_run r JOIN mx_rest t ON r.source IS NOT DISTINCT FROM t.source"""}
 QUERIES = {"op2_mixing": op2_mixing}

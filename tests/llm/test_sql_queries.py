@@ -31,6 +31,18 @@ def test_mix_repeats_rows_and_nested_budgets(spark):
     assert small and small <= large
 
 
+def test_mixing_takes_as_many_equal_rows_as_the_target_asks_for(against_sql, spark):
+    rows = [(1, "a b c d e f g h", "x", i) for i in range(30)] + [(2, "one two", "y", i) for i in range(90)] + [(10 + i, "w " * (i % 5), None, i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    got = against_sql("op2_mixing", documents=docs)
+    for i, words_each in ((1, 8), (2, 2)):
+        own = got[got.doc_id == i]
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= words_each / 2 and own.taken.sum() > 0
+    out = mixing.mix(docs).toPandas()
+    assert out[out.doc_id == 1].shape[0] * 8 == got[got.doc_id == 1].taken.sum() and out[out.doc_id == 2].shape[0] * 2 == got[got.doc_id == 2].taken.sum()
+    assert list(out.columns) == docs.columns
+
+
 def test_quality(against_sql, edge):
     got = against_sql("op3_quality", documents=edge)
     assert not got[got.base_failed].kept.any()
@@ -62,6 +74,16 @@ def test_urls(against_sql, spark):
     assert len(got) == len(URLS) + 3
 
 
+def test_urls_repeated_and_with_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(urls, "COPIES", 3)
+    dots = "http://" + "s." * 500_000 + "example.com/en/x"
+    pages = spark.createDataFrame([(1, "http://b.net/fr/")] * 100 + [(None, "http://b.net/fr/")] * 28 + [(2, dots), (2, "http://b.net/es")], "page_id long, url string")
+    got = urls.judge(pages, urls.rule_table(spark, urls.RULES)).groupBy("page_id", "rule", "verdict").count().collect()
+    assert {tuple(r) for r in got} == {(1, "net/fr/", "block", 100), (None, "net/fr/", "block", 28), (2, "example.com/en/", "block", 1), (2, None, "allow", 1)}
+    sizes = urls.chunked(spark.sql("SELECT id AS k, id AS copies FROM range(1, 200)"))
+    assert sizes.groupBy("k").sum("copies").filter("k <> `sum(copies)`").isEmpty() and sizes.filter("copies > 3 OR copies < 1").isEmpty()
+
+
 def test_urls_empty(against_sql, spark):
     assert not len(against_sql("op7_url_filter", pages=spark.createDataFrame([], "page_id long, url string, html string")))
 
