@@ -1,12 +1,11 @@
 """Operator 9: language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: one per previous word that stands in at least ``sqrt(N) / 2`` of the N training tokens; their parents, shared,
-are the restaurants of the previous word's class (31 classes by its last byte, and the text's start), where the tokens
-after all rarer words sit as well; all classes share the unigram restaurant as parent; its base spells a word byte by byte,
-by restaurants for contexts of 3, 2, 1 and 0 bytes, each with the next shorter as parent, over a uniform base of 257
-symbols.  The number of word contexts grows with the corpus, and is at most ``2 * sqrt(N)``.  A restaurant that never saw a
-word asks its parent.  All words that weren't learnt are one event, unknown, with the probability that the model gives to
-all of them together.
+Restaurants: one per previous word that was learnt; their parents, shared, are the restaurants of the previous word's class
+(31 classes by its last byte, and the text's start), where the tokens after the text's start sit as well; all classes share
+the unigram restaurant as parent; its base spells a word byte by byte, by restaurants for contexts of 3, 2, 1 and 0 bytes,
+each with the next shorter as parent, over a uniform base of 257 symbols.  A restaurant that never saw a word asks its
+parent.  All words that weren't learnt are one event, unknown, with the probability that the model gives to all of them
+together.
 
 Seating is sampled by Gibbs: given all else, the number of tables of a dish with c customers has probability
 proportional to b^t S(c, t), where b is the new table's weight and S the generalised Stirling numbers; it is drawn
@@ -15,13 +14,14 @@ is a customer of the parent.  A sweep re-seats all restaurants; the predictive p
 ``SWEEPS`` sweeps are averaged.  Restaurants' totals are those of the sweep before.
 
 Work is dealt twice.  Tasks turn documents into stored batches of about ``BATCH_TOKENS`` tokens: their words and the stream
-of word numbers.  The words' counts give N, the vocabulary's size and the contexts.  A batch then asks for its distinct
-(word, context) types, dealt by ranges of the word's hash into parts, whose number follows the vocabulary.  Counts are
-folded ``FAN`` batches at a time; a part seats its words and answers ``FAN`` batches at a time, so that what a task holds
-does not grow with the number of batches.  Answers return to the batch, which adds them up per document.  A word in a third
-of all texts is a few types per batch.  Through the driver go the contexts with two totals each (at most ``2 * sqrt(N)``) and the
-spelling model, which has a fixed number of context slots (at most ``SLOTS3`` * 258 numbers).  Words are told apart by 64-bit
-hashes, contexts by 59 bits and the class.
+of word numbers.  The words' counts give N and the vocabulary's size.  A batch then asks for its distinct (word, context)
+types, dealt by ranges of the word's hash into parts, whose number follows the vocabulary.  Counts are folded ``FAN`` batches
+at a time; a part seats its words and answers ``FAN`` batches at a time, so that what a task holds does not grow with the
+number of batches.  A word's tables as a context lie with the words that follow it, in many parts: after each sweep the part
+of the context's own word adds them up and sends them to the parts that hold types of it.  Its customers are its own count.
+A batch is told both with its words' counts, and adds its answers up per document.  A word in a third of all texts is a few
+types per batch.  Through the driver go totals of the classes and the spelling model, which has a fixed number of context
+slots (at most ``SLOTS3`` * 258 numbers).  Words are told apart by 64-bit hashes, contexts by 59 bits and the class.
 
 Cases: null text is empty and has only its end; null ids learn (they aren't held out) and are scored; equal rows each
 count; with nothing to learn from, the base alone scores; empty table: no rows.  Further columns are ignored.
@@ -52,8 +52,9 @@ CONTEXT_PARAMETERS, CLASS_PARAMETERS, WORD_PARAMETERS, SPELL_PARAMETERS = (0.8,
 SYMBOLS, STOP, BEGIN = 258, 256, 257  # bytes, the word's end, and what stands before its first byte
 SLOTS2, SLOTS3 = 1 << 12, 1 << 14
 SEED = 11
-CONTEXT_BITS = 25  # a type is word << CONTEXT_BITS | context; 2 * sqrt(N) contexts fit up to 2.8e14 tokens
+CONTEXT_BITS = 32  # a type is word << CONTEXT_BITS | context, both numbered within a batch or a part
 CONTEXT_MASK = (1 << CONTEXT_BITS) - 1
+CLASS_NUMBERS = np.arange(CLASSES)
 
 
 # ---------------------------------------------------------------- seating
@@ -260,50 +261,36 @@ def _context_keys(data: np.ndarray, lens: np.ndarray, hashes: np.ndarray) -> np.
     return (hashes & ~np.uint64(CLASSES - 1)) | word_class(last).astype(np.uint64)
 
 
-class Contexts:
-    """Numbers of contexts: classes first, then the words with a restaurant of their own, frequent ones first."""
-
-    def __init__(self, keys: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], order + CLASSES
-        self.cls = np.concatenate([np.arange(CLASSES), (keys & np.uint64(CLASSES - 1)).astype(np.int64)])
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        own = (keys & np.uint64(CLASSES - 1)).astype(np.int64)
-        if not len(self.keys):
-            return own
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], own)
-
-
-def contexts_of(batches: DataFrame, least: int) -> tuple[int, Contexts]:
-    """The vocabulary's size, and the words learnt at least ``least`` times: at most N / least."""
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def vocabulary(batches: DataFrame) -> int:
+    """How many words are learnt."""
+    def learnt(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
-                n = _unpack(r["seen"], np.int64)
-                keys = _context_keys(*_words_of(r))
-                yield pa.RecordBatch.from_pydict({"k": pa.array(keys[n > 0].view(np.int64)), "n": pa.array(n[n > 0])})
+                keys = _context_keys(*_words_of(r))[_unpack(r["seen"], np.int64) > 0]
+                yield pa.RecordBatch.from_pydict({"k": pa.array(keys.view(np.int64))})
 
-    words = batches.select("words", "lens", "seen").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    found = words.agg(F.count("*").alias("size"), F.collect_list(F.when(F.col("n") >= least, F.struct("n", "k"))).alias("often")).first()
-    often = sorted(((r["n"], r["k"]) for r in found["often"]), reverse=True)
-    return found["size"], Contexts(np.array([k for _, k in often], np.int64).view(np.uint64))
+    return batches.select("words", "lens", "seen").mapInArrow(learnt, "k long").distinct().count()
 
 
-def types_of_batch(r: dict, contexts: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (bytes, lengths, hashes), the sorted types (word << CONTEXT_BITS | context), each token's type, sizes."""
+def types_of_batch(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (bytes, lengths, hashes), the sorted types (word << CONTEXT_BITS | context: 0 for the text's start, else 1 + the
+    word before), each token's type, sizes."""
     data, lens, h = _words_of(r)
-    stream, sizes = _unpack(r["stream"], np.uint32), _unpack(r["sizes"], np.uint32).astype(np.int64)
+    stream, sizes = _unpack(r["stream"], np.uint32).astype(np.int64), _unpack(r["sizes"], np.uint32).astype(np.int64)
     before = np.empty(len(stream), np.int64)
-    before[1:] = contexts.of(_context_keys(data, lens, h))[stream[:-1]]
+    before[1:] = 1 + stream[:-1]
     before[np.cumsum(sizes) - sizes] = 0
-    before |= stream.astype(np.int64) << CONTEXT_BITS
-    kinds, which = np.unique(before, return_inverse=True)
+    kinds, which = np.unique(before | stream << CONTEXT_BITS, return_inverse=True)
     return data, lens, h, kinds, which, sizes
 
 
-_ASK = "batch long, part long, words binary, lens binary, type_word binary, type_context binary, counts binary"
+def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of hashes; a context's key lies where its word does."""
+    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+# contexts: keys of the previous words; a type's context is CLASSES + its place there, or 0: the text's start
+_ASK = "batch long, part long, words binary, lens binary, type_word binary, type_context binary, contexts binary, counts binary"
 
 
 def _table(values: list[tuple], schema: str) -> dict:
@@ -311,19 +298,23 @@ def _table(values: list[tuple], schema: str) -> dict:
     return {name: pa.array([v[i] for v in values], pa.int64() if kind == "long" else pa.binary()) for i, (name, kind) in enumerate(fields)}
 
 
-def asked_by(batches: DataFrame, contexts: Broadcast, parts: int) -> DataFrame:
+def asked_by(batches: DataFrame, parts: int) -> DataFrame:
     """What each batch asks of each part: its types there, and how often each is learnt."""
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
-                data, lens, h, kinds, which, sizes = types_of_batch(r, contexts.value)
+                data, lens, h, kinds, which, sizes = types_of_batch(r)
                 n = np.bincount(which, np.repeat(~np.array(r["held"]), sizes), len(kinds)).astype(np.int64)
-                word, ends = kinds >> CONTEXT_BITS, np.r_[0, np.cumsum(lens)]
-                word_at = np.searchsorted(((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+                word, ends, keys = kinds >> CONTEXT_BITS, np.r_[0, np.cumsum(lens)], _context_keys(data, lens, h)
+                word_at = np.searchsorted(_part_of(h, parts), np.arange(parts + 1, dtype=np.uint64))
                 kind_at = np.searchsorted(word, word_at)
                 for p in np.flatnonzero(np.diff(word_at)):
                     a, z, k, m = word_at[p], word_at[p + 1], kind_at[p], kind_at[p + 1]
-                    row = (r["batch"], int(p), zstandard.compress(data[ends[a]:ends[z]].tobytes(), 3), _pack(lens[a:z].astype(np.uint32)), *_pack_types(word[k:m] - a, kinds[k:m] & CONTEXT_MASK), _pack(n[k:m]))
+                    context = (kinds[k:m] & CONTEXT_MASK) - 1
+                    own = context >= 0
+                    used, at = np.unique(context[own], return_inverse=True)
+                    context[own], context[~own] = at + CLASSES, 0
+                    row = (r["batch"], int(p), zstandard.compress(data[ends[a]:ends[z]].tobytes(), 3), _pack(lens[a:z].astype(np.uint32)), *_pack_types(word[k:m] - a, context), _pack_keys(keys[used]), _pack(n[k:m]))
                     yield pa.RecordBatch.from_pydict(_table([row], _ASK))
 
     return batches.select("batch", "words", "lens", "held", "sizes", "stream").mapInArrow(ask, _ASK)
@@ -347,19 +338,33 @@ def _types_of(r: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(_unpack(r["type_word"], np.uint32).astype(np.int64)), _unpack(r["type_context"], np.uint32).astype(np.int64)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(raw: bytes | None) -> np.ndarray:
+    return np.cumsum(_unpack(raw or b"", np.uint64), dtype=np.uint64)
+
+
+def _contexts_of(r: dict) -> np.ndarray:
+    """Keys of a row's previous words."""
+    return _unpack_keys(r.get("contexts"))
+
+
 def _gather(data: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words at some positions."""
     start, n = (np.cumsum(lens) - lens)[at], lens[at]
     return data[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
 
-_STATE = ("part long, words binary, lens binary, type_word binary, type_context binary, counts binary, tables binary, "
-          "class_tables binary, word_tables binary")
+_STATE = ("part long, words binary, lens binary, type_word binary, type_context binary, contexts binary, own binary, counts binary, "
+          "tables binary, class_tables binary, word_tables binary")
 
 
-def _summed(t: pa.Table) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The learnt types of several rows of one part: packed words by hash and lengths, then words, contexts and counts of the types."""
-    datas, lens, hashes, words, contexts, counts, n = [], [], [], [], [], [], 0
+def _summed(t: pa.Table) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The learnt types of several rows of one part: packed words by hash and lengths, then words, contexts and counts of the
+    types, and the contexts' keys, ascending."""
+    datas, lens, hashes, words, contexts, keys, counts, n, m = [], [], [], [], [], [], [], 0, 0
     for r in t.to_pylist():
         data, size, h = _words_of(r)
         word, context = _types_of(r)
@@ -367,28 +372,34 @@ def _summed(t: pa.Table) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarr
         lens.append(size)
         hashes.append(h)
         words.append(word + n)
-        contexts.append(context)
+        contexts.append(np.where(context >= CLASSES, context + m, context))
+        keys.append(_contexts_of(r))
         counts.append(_unpack(r["counts"], np.int64))
-        n += len(size)
+        n, m = n + len(size), m + len(keys[-1])
     _, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    kinds, kind_of = np.unique(which[np.concatenate(words)] << CONTEXT_BITS | np.concatenate(contexts), return_inverse=True)
+    known, number = np.unique(np.concatenate(keys), return_inverse=True)
+    context = np.r_[CLASS_NUMBERS, number + CLASSES][np.concatenate(contexts)]
+    kinds, kind_of = np.unique(which[np.concatenate(words)] << CONTEXT_BITS | context, return_inverse=True)
     c = np.zeros(len(kinds), np.int64)
     np.add.at(c, kind_of, np.concatenate(counts))
     learnt = np.flatnonzero(c)
     kinds, c = kinds[learnt], c[learnt]
     used, word = np.unique(kinds >> CONTEXT_BITS, return_inverse=True)
     data, size = _gather(np.concatenate(datas), np.concatenate(lens), first[used])
-    return zstandard.compress(data.tobytes(), 3), _pack(size.astype(np.uint32)), word, kinds & CONTEXT_MASK, c
+    context = kinds & CONTEXT_MASK
+    some, at = np.unique(context[context >= CLASSES], return_inverse=True)
+    context[context >= CLASSES] = at + CLASSES
+    return zstandard.compress(data.tobytes(), 3), _pack(size.astype(np.uint32)), word, context, c, known[some - CLASSES]
 
 
-def states_of(asked: DataFrame, batches: int, contexts: Broadcast) -> DataFrame:
+def states_of(asked: DataFrame, batches: int) -> DataFrame:
     """One row per part with the counts of all batches, and one table per dish to begin with."""
     def fold(key: tuple, t: pa.Table) -> pa.Table:
-        words, lens, word, context, c = _summed(t)
-        return pa.table(_table([(key[1].as_py(), key[0].as_py(), words, lens, *_pack_types(word, context), _pack(c))], _ASK))
+        words, lens, word, context, c, keys = _summed(t)
+        return pa.table(_table([(key[1].as_py(), key[0].as_py(), words, lens, *_pack_types(word, context), _pack_keys(keys), _pack(c))], _ASK))
 
     def merged(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.table(_table([first_state(key[0].as_py(), t, contexts.value.cls)], _STATE))
+        return pa.table(_table([first_state(key[0].as_py(), t, CLASS_NUMBERS)], _STATE))
 
     while batches > FAN:
         batches = -(-batches // FAN)
@@ -397,69 +408,119 @@ def states_of(asked: DataFrame, batches: int, contexts: Broadcast) -> DataFrame:
 
 
 def first_state(part: int, t: pa.Table, cls: np.ndarray) -> tuple:
-    words, lens, word, context, c = _summed(t)
-    dishes = len(np.unique(word * CLASSES + cls[context]))
+    words, lens, word, context, c, keys = _summed(t)
+    dishes = len(np.unique(word * CLASSES + classes_of(cls, keys)[context]))
     ones = lambda n: _pack(np.ones(n, np.int64))
-    return (part, words, lens, *_pack_types(word, context), _pack(c), ones(len(c)), ones(dishes), ones(len(np.unique(word))))
+    return (part, words, lens, *_pack_types(word, context), _pack_keys(keys), _pack(np.ones(len(keys), bool)), _pack(c), ones(len(c)), ones(dishes), ones(len(np.unique(word))))
+
+
+def classes_of(cls: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Classes of a row's contexts: the classes themselves, then the previous words."""
+    return np.concatenate([cls, (keys & np.uint64(CLASSES - 1)).astype(np.int64)])
 
 
 class Part:
-    """One stored row of a part: types (word, context), dishes (word, class) and words, each by number."""
+    """One stored row of a part: types (word, context), dishes (word, class) and words, each by number.  ``own``: types whose
+    context has a restaurant of its own."""
 
     def __init__(self, r: dict, cls: np.ndarray):
         self.part = r["part"]
         self.words, self.lens, self.hashes = _words_of(r)
         self.word, self.context = _types_of(r)
         self.counts, self.tables, self.class_tables, self.word_tables = (_unpack(r[c], np.int64) for c in ("counts", "tables", "class_tables", "word_tables"))  # 64 bits: "the" passes 2^32
-        self.own = self.context >= CLASSES
-        self.dishes, self.dish = np.unique(self.word * CLASSES + cls[self.context], return_inverse=True)
+        self.keys = _contexts_of(r)
+        self.own = np.r_[np.zeros(CLASSES, bool), _unpack(r["own"], np.bool_)][self.context]
+        self.dishes, self.dish = np.unique(self.word * CLASSES + classes_of(cls, self.keys)[self.context], return_inverse=True)
         self.dish_word, self.dish_class = self.dishes // CLASSES, self.dishes % CLASSES
         self.seated()
 
+    def by_context(self, n: np.ndarray) -> np.ndarray:
+        """Sums of a number of the types over each of the contexts' keys."""
+        own = self.context >= CLASSES
+        return np.bincount(self.context[own] - CLASSES, n[own], len(self.keys)).astype(np.int64)
+
     def seated(self) -> None:
         """Customers of the classes and of the unigram: the tables below, and tokens after words without a restaurant."""
         self.class_customers = np.bincount(self.dish, np.where(self.own, self.tables, self.counts), len(self.dishes)).astype(np.int64)
         self.customers = np.bincount(self.dish_word, self.class_tables, len(self.lens)).astype(np.int64)
 
 
-def totals(state: DataFrame, contexts: Broadcast, learnt: int) -> dict:
-    """Sums over all restaurants: customers and tables by context; tables of the unigram; N and V."""
+_CONTEXTS = "part long, place long, keys binary, n binary"
+
+
+def context_sums(state: DataFrame, parts: int, what: str, path: str) -> DataFrame:
+    """Sums of the types' ``what`` (counts, tables) over all parts, by context.  Each part adds up its own; the part of the
+    context's word adds these up (``place``: the part that asked) and sends to each, in the order of its keys, what it asked
+    for, and keeps all of its own words' (``place`` -1)."""
+    def own(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for r in b.to_pylist():
+                p = Part(r, CLASS_NUMBERS)
+                n, at = p.by_context(getattr(p, what)), np.searchsorted(_part_of(p.keys, parts), np.arange(parts + 1, dtype=np.uint64))
+                rows_ = [(int(q), p.part, _pack_keys(p.keys[at[q]:at[q + 1]]), _pack(n[at[q]:at[q + 1]])) for q in np.flatnonzero(np.diff(at))]
+                yield pa.RecordBatch.from_pydict(_table(rows_, _CONTEXTS))
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        asked = [(r["place"], _unpack_keys(r["keys"]), _unpack(r["n"], np.int64)) for r in t.to_pylist()]
+        keys, which = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, which, np.concatenate([x for _, _, x in asked]))
+        ends = np.cumsum([len(k) for _, k, _ in asked])
+        out = [(place, key[0].as_py(), b"", _pack(n[which[e - len(k):e]])) for (place, k, _), e in zip(asked, ends, strict=True)]
+        return pa.table(_table([*out, (key[0].as_py(), -1, _pack_keys(keys), _pack(n))], _CONTEXTS))
+
+    return C.stored(state.mapInArrow(own, _CONTEXTS).groupBy("part").applyInArrow(add, _CONTEXTS), path)
+
+
+def told(t: pa.Table) -> np.ndarray:
+    """For each of a part's contexts the sum that came back."""
+    rows = sorted(((r["place"], r) for r in t.to_pylist() if r["place"] >= 0), key=lambda x: x[0])  # ranges of keys, ascending
+    return np.concatenate([_unpack(r["n"], np.int64) for _, r in rows]) if rows else np.zeros(0, np.int64)
+
+
+def with_own(state: DataFrame, parts: int, least: int, folder: str) -> DataFrame:
+    """Only previous words that were learnt ``least`` times have a restaurant of their own."""
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        return pa.table(_table([tuple((r | {"own": _pack(told(right) >= least)}).values()) for r in rows], _STATE))
+
+    sums = context_sums(state, parts, "counts", f"{folder}/often").filter("place >= 0")
+    return C.stored(state.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(cut, _STATE), f"{folder}/owning")
+
+
+def totals(state: DataFrame, learnt: int) -> dict:
+    """Sums over all restaurants of the classes: customers and tables; tables of the unigram; N and V."""
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = contexts.value.cls
         for b in rows:
             for r in b.to_pylist():
-                p = Part(r, cls)
-                at = np.concatenate([p.context[p.own], p.dish_class])
-                n = [np.bincount(at, np.concatenate(x), len(cls)).astype(np.int64) for x in ((p.counts[p.own], p.class_customers), (p.tables[p.own], p.class_tables))]
-                some = np.flatnonzero(n[0])
-                yield pa.RecordBatch.from_pydict({"at": pa.array(np.r_[some, -1]), "customers": pa.array(np.r_[n[0][some], len(p.lens)]), "tables": pa.array(np.r_[n[1][some], p.word_tables.sum()])})
+                p = Part(r, CLASS_NUMBERS)
+                n = [np.bincount(p.dish_class, x, CLASSES).astype(np.int64) for x in (p.class_customers, p.class_tables)]
+                yield pa.RecordBatch.from_pydict({"at": pa.array(np.r_[CLASS_NUMBERS, -1]), "customers": pa.array(np.r_[n[0], len(p.lens)]), "tables": pa.array(np.r_[n[1], p.word_tables.sum()])})
 
     got = state.mapInArrow(add, "at long, customers long, tables long").groupBy("at").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).toArrow()
     at = got["at"].to_numpy()
     out = {"N": learnt, "V": 0, "parent_tables": 0}
     for c in ("customers", "tables"):
-        n = np.zeros(len(contexts.value.cls) + 1, np.int64)
+        n = np.zeros(CLASSES + 1, np.int64)
         n[at] = got[c].to_numpy()  # -1 is the last place
         out[c], out[{"customers": "V", "tables": "parent_tables"}[c]] = n[:-1], int(n[-1])
     return out
 
 
-def known_mass(state: DataFrame, model: dict) -> float:
+def known_mass(state: DataFrame, model: Broadcast) -> float:
     """How much of the spelling model's probability lies on learnt words."""
-    shared = state.sparkSession.sparkContext.broadcast(model["log"])
-
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
                 words, lens, _ = _words_of(r)
-                yield pa.RecordBatch.from_pydict({"p": pa.array([float(np.exp(spelled(words, lens, shared.value)).sum())], pa.float64())})
+                yield pa.RecordBatch.from_pydict({"p": pa.array([float(np.exp(spelled(words, lens, model.value)).sum())], pa.float64())})
 
     return min(1.0, state.select("words", "lens").mapInArrow(add, "p double").agg(F.sum("p")).first()[0] or 0.0)
 
 
 def unigram(customers: np.ndarray, tables: np.ndarray, base: np.ndarray, sums: dict) -> np.ndarray:
     d, strength = WORD_PARAMETERS
-    return (customers - d * tables + (strength + d * sums["parent_tables"]) * base) / (strength + sums["tables"][:CLASSES].sum())
+    return (customers - d * tables + (strength + d * sums["parent_tables"]) * base) / (strength + sums["tables"].sum())
 
 
 def predictive(customers: np.ndarray, tables: np.ndarray, at: np.ndarray, up: np.ndarray, sums: dict, parameters: tuple[float, float]) -> np.ndarray:
@@ -468,29 +529,27 @@ def predictive(customers: np.ndarray, tables: np.ndarray, at: np.ndarray, up: np
     return (customers - d * tables + (strength + d * sums["tables"][at]) * up) / (strength + sums["customers"][at])
 
 
-def sweep(state: DataFrame, contexts: Broadcast, sums: dict, model: np.ndarray | None, number: int, folder: str) -> DataFrame:
-    """Re-seat the restaurants of words, classes and the unigram."""
-    shared = state.sparkSession.sparkContext.broadcast((sums, model))
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, spell = shared.value
+def sweep(state: DataFrame, contexts: DataFrame, known: dict, model: Broadcast | None, number: int, folder: str) -> DataFrame:
+    """Re-seat the restaurants of words, classes and the unigram.  contexts: the tables of the words' restaurants."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (d2, s2), (d1, s1), (d0, s0) = CONTEXT_PARAMETERS, CLASS_PARAMETERS, WORD_PARAMETERS
-        for b in rows:
-            for r in b.to_pylist():
-                p, rng = Part(r, contexts.value.cls), np.random.default_rng([SEED, number, r["part"]])
-                base = np.exp(spelled(p.words, p.lens, spell)) if spell is not None else np.full(len(p.lens), 1 / (known["V"] + 1))
-                up0 = unigram(p.customers, p.word_tables, base, known)[p.dish_word]
-                up1 = predictive(p.class_customers, p.class_tables, p.dish_class, up0, known, CLASS_PARAMETERS)
-                own, p.tables = np.flatnonzero(p.own), p.tables.copy()
-                p.tables[own] = seat(p.counts[own], (s2 + d2 * known["tables"][p.context[own]]) * up1[p.dish[own]], d2, rng)
-                p.seated()
-                p.class_tables = seat(p.class_customers, (s1 + d1 * known["tables"][p.dish_class]) * up0, d1, rng)
-                p.seated()
-                p.word_tables = seat(p.customers, (s0 + d0 * known["parent_tables"]) * base, d0, rng)
-                out = r | {"tables": _pack(p.tables), "class_tables": _pack(p.class_tables), "word_tables": _pack(p.word_tables)}
-                yield pa.RecordBatch.from_pydict(_table([tuple(out.values())], _STATE))
-
-    return C.stored(state.mapInArrow(run, _STATE), f"{folder}/state{number}")
+        done = []
+        for r in left.to_pylist():
+            p, rng = Part(r, CLASS_NUMBERS), np.random.default_rng([SEED, number, r["part"]])
+            base = np.exp(spelled(p.words, p.lens, model.value)) if model else np.full(len(p.lens), 1 / (known["V"] + 1))
+            up0 = unigram(p.customers, p.word_tables, base, known)[p.dish_word]
+            up1 = predictive(p.class_customers, p.class_tables, p.dish_class, up0, known, CLASS_PARAMETERS)
+            own, p.tables = np.flatnonzero(p.own), p.tables.copy()
+            p.tables[own] = seat(p.counts[own], (s2 + d2 * told(right)[p.context[own] - CLASSES]) * up1[p.dish[own]], d2, rng)
+            p.seated()
+            p.class_tables = seat(p.class_customers, (s1 + d1 * known["tables"][p.dish_class]) * up0, d1, rng)
+            p.seated()
+            p.word_tables = seat(p.customers, (s0 + d0 * known["parent_tables"]) * base, d0, rng)
+            done.append(tuple((r | {"tables": _pack(p.tables), "class_tables": _pack(p.class_tables), "word_tables": _pack(p.word_tables)}).values()))
+        return pa.table(_table(done, _STATE))
+
+    run_on = state.groupBy("part").cogroup(contexts.filter("place >= 0").groupBy("part"))
+    return C.stored(run_on.applyInArrow(run, _STATE), f"{folder}/state{number}")
 
 
 def spelling(state: DataFrame, old: dict | None, number: int) -> dict:
@@ -513,7 +572,9 @@ def spelling(state: DataFrame, old: dict | None, number: int) -> dict:
 # ---------------------------------------------------------------- scores
 
 
-_REPLY = "batch long, part long, log10 binary, counts binary"
+# of each type its customers in its own restaurant, and, one sample after the other, its tables there and its parent's
+# probability; of each word its training count, and, one sample after the other, its tables as a context
+_REPLY = "batch long, part long, held binary, seats binary, above binary, counts binary, tables binary"
 
 
 def _found(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -528,61 +589,76 @@ def _at(values: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
     return np.where(there, values[at], 0) if len(values) else np.zeros(len(at), np.int64)
 
 
-def probabilities(p: Part, data: np.ndarray, size: np.ndarray, h: np.ndarray, word: np.ndarray, context: np.ndarray, cls: np.ndarray,
-                  sums: dict, model: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the asked types their predictive probability, and of the asked words the training counts."""
+def probabilities(p: Part, data: np.ndarray, size: np.ndarray, h: np.ndarray, word: np.ndarray, context: np.ndarray, keys: np.ndarray,
+                  sums: dict, model: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the asked types their customers and tables in their own restaurant, and their probability in its parent; of the asked
+    words the training counts."""
     at, hit = _found(p.hashes, h)
     base = np.where(hit, np.exp(spelled(data, size, model)), unknown)
     up0 = unigram(_at(p.customers, at, hit), _at(p.word_tables, at, hit), base, sums)[word]
-    dish, there = _found(p.dishes, at[word] * CLASSES + cls[context])
+    cls = classes_of(CLASS_NUMBERS, keys)[context]
+    dish, there = _found(p.dishes, at[word] * CLASSES + cls)
     there &= hit[word]
-    up1 = predictive(_at(p.class_customers, dish, there), _at(p.class_tables, dish, there), cls[context], up0, sums, CLASS_PARAMETERS)
-    kind, there = _found(p.word << CONTEXT_BITS | p.context, at[word] << CONTEXT_BITS | context)
+    up1 = predictive(_at(p.class_customers, dish, there), _at(p.class_tables, dish, there), cls, up0, sums, CLASS_PARAMETERS)
+    place, known = _found(p.keys, keys)
+    number = np.r_[CLASS_NUMBERS, np.where(known, place + CLASSES, CONTEXT_MASK)][context]
+    kind, there = _found(p.word << CONTEXT_BITS | p.context, at[word] << CONTEXT_BITS | number)
     there &= hit[word]
-    up2 = predictive(_at(p.counts, kind, there), _at(p.tables, kind, there), context, up1, sums, CONTEXT_PARAMETERS)
     seen = np.zeros(len(p.lens), np.int64)
     np.add.at(seen, p.word, p.counts)
-    return np.where(context >= CLASSES, up2, up1), _at(seen, at, hit)
+    return _at(p.counts, kind, there), _at(p.tables, kind, there), up1, _at(seen, at, hit)
 
 
-def answers(asked: DataFrame, batches: int, contexts: Broadcast, samples: list[tuple[DataFrame, dict, dict]]) -> DataFrame:
-    """For every batch and part: log10 probability of each type it asked for, and the words' training counts."""
-    spark = asked.sparkSession
-    shared = spark.sparkContext.broadcast([(sums, model["log"], max(1 - known_mass(state, model), 1e-12)) for state, sums, model in samples])
+def answers(asked: DataFrame, batches: int, samples: list[tuple[DataFrame, DataFrame, dict, Broadcast]]) -> DataFrame:
+    """For every batch and part what it needs to score each type it asked for, and the words' training counts."""
+    shared = [(sums, model, max(1 - known_mass(state, model), 1e-12)) for state, _, sums, model in samples]
     states = None
-    for k, (s, _, _) in enumerate(samples):
-        one = s.withColumn("sample", F.lit(k))
+    for k, (s, contexts, _, _) in enumerate(samples):
+        own = contexts.filter("place = -1").select(F.col("part").alias("_part"), F.col("keys").alias("after"), F.col("n").alias("after_tables"))
+        one = s.join(own, F.col("part") == F.col("_part"), "left").drop("_part").withColumn("sample", F.lit(k))
         states = one if states is None else states.unionByName(one)
     groups = -(-batches // FAN)
     states = states.withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        cls = contexts.value.cls
-        own = [Part(r, cls) for r in right.sort_by("sample").to_pylist()]
+        own = [(Part(r, CLASS_NUMBERS), _unpack_keys(r["after"]), _unpack(r["after_tables"] or b"", np.int64)) for r in right.sort_by("sample").to_pylist()]
         out: list[tuple] = []
         for r in left.to_pylist() if own else []:
             data, size, h = _words_of(r)
             word, context = _types_of(r)
-            total, count = np.zeros(len(word)), np.zeros(len(size), np.int64)
-            for p, (sums, model, unknown) in zip(own, shared.value, strict=True):
-                one, count = probabilities(p, data, size, h, word, context, cls, sums, model, unknown)
-                total += one
-            out.append((r["batch"], r["part"], _pack(np.log10(np.maximum(total / len(own), 1e-300)).astype(np.float32)), _pack(count)))
+            mine, seats, above, tables = _context_keys(data, size, h), [], [], []
+            for (p, after, after_tables), (sums, model, unknown) in zip(own, shared, strict=True):
+                held, one, up, count = probabilities(p, data, size, h, word, context, _contexts_of(r), sums, model.value, unknown)
+                seats.append(one)
+                above.append(np.log(np.maximum(up, 1e-300)).astype(np.float32))
+                tables.append(_at(after_tables, *_found(after, mine)))
+            out.append((r["batch"], r["part"], _pack(held), _pack(np.concatenate(seats)), _pack(np.concatenate(above)), _pack(count), _pack(np.concatenate(tables))))
         return pa.table(_table(out, _REPLY))
 
-    asked = asked.withColumn("some", F.pmod(F.xxhash64("batch"), F.lit(groups)))
+    asked = asked.drop("counts").withColumn("some", F.pmod(F.xxhash64("batch"), F.lit(groups)))
     return asked.groupBy("part", "some").cogroup(states.groupBy("part", "some")).applyInArrow(answer, _REPLY)
 
 
-def scored(batches: DataFrame, replies: DataFrame, contexts: Broadcast, sums: dict) -> DataFrame:
+def scored(batches: DataFrame, replies: DataFrame, samples: int, least: int, sums: dict) -> DataFrame:
     n, v = sums["N"], sums["V"]
     kind = dict(batches.dtypes)["ids"][6:-1]
+    d, strength = CONTEXT_PARAMETERS
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right["part"].to_numpy())
-        _, _, _, kinds, stream, sizes = types_of_batch(left.drop_columns(["ids"]).to_pylist()[0], contexts.value)
-        log10 = np.concatenate([_unpack(right["log10"][int(i)].as_py(), np.float32) for i in order]).astype(np.float64)
-        count = np.concatenate([_unpack(right["counts"][int(i)].as_py(), np.int64) for i in order])[kinds >> CONTEXT_BITS]
+        order = [int(i) for i in np.argsort(right["part"].to_numpy())]
+        _, _, _, kinds, stream, sizes = types_of_batch(left.drop_columns(["ids"]).to_pylist()[0])
+
+        def replied(column: str, kind: type, of: int = samples) -> np.ndarray:
+            found = [_unpack(right[column][i].as_py(), kind) for i in order]
+            return np.concatenate([x.reshape(of, len(x) // of) for x in found], 1)
+
+        seen, tables = replied("counts", np.int64, 1)[0], replied("tables", np.int64)
+        context = (kinds & CONTEXT_MASK) - 1  # customers of a word's restaurant: what follows it, as often as itself
+        own = (context >= 0) & (seen[context] >= least)
+        p = np.exp(replied("above", np.float32).astype(np.float64))
+        below = (replied("held", np.int64, 1) - d * replied("seats", np.int64) + (strength + d * tables[:, context]) * p) / (strength + seen[context])
+        log10 = np.log10(np.maximum(np.where(own, below, p).mean(0), 1e-300))
+        count = seen[kinds >> CONTEXT_BITS]
         base = np.log10((count + 1) / (n + (v + 1)))
         first = np.cumsum(sizes) - sizes
         sums_ = [np.add.reduceat(x[stream], first) for x in ((count > 0).astype(np.int64), base, log10)]
@@ -595,25 +671,26 @@ def scored(batches: DataFrame, replies: DataFrame, contexts: Broadcast, sums: di
 
 def score(docs: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES, least: int | None = None) -> DataFrame:
     """docs: doc_id, text, held_out (its words aren't learnt).  least: training tokens that give a previous word its own
-    restaurant; sqrt(N) / 2 where unset."""
-    spark = docs.sparkSession
+    restaurant; 1 where unset, so that every learnt word has one."""
+    spark, least = docs.sparkSession, least or 1
     folder = C.scratch(spark, "lm")
     stored = batches_of(docs, folder)
     size = stored.agg(F.count("*").alias("batches"), F.sum("learnt").alias("learnt")).first()
     n = size["learnt"] or 0
-    v, found = contexts_of(stored, least or math.isqrt(max(n, 4)) // 2)
-    contexts = spark.sparkContext.broadcast(found)
-    asked = asked_by(stored, contexts, max(LEAST_PARTS, -(-v // PART_WORDS)))
-    state = C.stored(states_of(asked, size["batches"], contexts), f"{folder}/state0")
-    model, kept = None, []
-    sums = totals(state, contexts, n)
+    parts = max(LEAST_PARTS, -(-vocabulary(stored) // PART_WORDS))
+    asked = asked_by(stored, parts)
+    state = C.stored(states_of(asked, size["batches"]), f"{folder}/state0")
+    state = state if least == 1 else with_own(state, parts, least, folder)
+    model, log, kept = None, None, []
+    sums, contexts = totals(state, n), context_sums(state, parts, "tables", f"{folder}/contexts0")
     for k in range(1, sweeps + 1):
-        state = sweep(state, contexts, sums, model["log"] if model else None, k, folder)
-        sums = totals(state, contexts, n)
+        state = sweep(state, contexts, sums, log, k, folder)
+        sums, contexts = totals(state, n), context_sums(state, parts, "tables", f"{folder}/contexts{k}")
         model = spelling(state, model, k)
-        kept.append((state, sums, {"log": model["log"]}))
-    replies = answers(asked, max(1, size["batches"]), contexts, kept[-samples:])
-    return scored(stored, replies, contexts, sums)
+        log = spark.sparkContext.broadcast(model["log"])  # one for the next sweep and the answers
+        kept.append((state, contexts, sums, log))
+    kept = kept[-samples:]
+    return scored(stored, answers(asked, max(1, size["batches"]), kept), len(kept), least, sums)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,15 @@ def test_a_word_before_has_its_own_restaurant(spark):
     assert abs(sum(shared[5000 + i] - shared[6000 + i] for i in range(8))) < 1e-6  # the class alone can't tell which follows which
 
 
+def test_rare_words_have_restaurants_of_their_own(spark):
+    """Previous words learnt twice beside one learnt thousands of times, all of one class: none falls to the class."""
+    pairs, wrong = [f"{c}x y{i}" for i, c in enumerate("abcdefgh")], [f"{c}x y{(i + 1) % 8}" for i, c in enumerate("abcdefgh")]
+    rows = [(k, t, False) for k, t in enumerate(pairs * 2)] + [(100 + k, "zx " * 2000, False) for k in range(20)] \
+        + [(5000 + i, t, True) for i, t in enumerate(pairs)] + [(6000 + i, t, True) for i, t in enumerate(wrong)]
+    got = {r.doc_id: r.score for r in L.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert all(got[5000 + i] - got[6000 + i] > 0.3 for i in range(8))
+
+
 def test_probabilities_by_hand(spark, monkeypatch):
     """Dishes of one customer have one table, so nothing is random; the spelling is fixed to 1 / 257 a symbol."""
     flat = np.full(L.SLOTS3 * L.SYMBOLS, np.log(1 / 257), np.float32)
