@@ -211,3 +211,16 @@ def test_run_models_writes_every_mart(spark, tables):
     hs = read_table(spark, paths["mart_health_scores"])
     assert hs.count() == tables["members"].count()
     assert read_table(spark, paths["mart_monetization"]).filter("record_type = 'summary'").count() > 0
+
+
+def test_landed_pages_take_little_space(spark, tmp_path):
+    """Field names repeat in every row of a page; the files are compressed, and read as before."""
+    import glob
+    import os
+    rows = spark.range(5000).selectExpr("id AS a_field_with_a_long_name", "id % 7 AS another_field_with_a_long_name", "id AS feed_pos")
+    path = str(tmp_path / "pages")
+    land_pages(rows, path, order_cols=["feed_pos"])
+    files = glob.glob(f"{path}/part-*")
+    text = sum(len(r.value) for r in spark.read.text(path).collect())
+    assert files and sum(os.path.getsize(f) for f in files) * 5 < text
+    assert sorted(read_pages(spark, path, rows.schema).collect()) == sorted(rows.collect())
