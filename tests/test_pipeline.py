@@ -224,3 +224,14 @@ def test_landed_pages_take_little_space(spark, tmp_path):
     text = sum(len(r.value) for r in spark.read.text(path).collect())
     assert files and sum(os.path.getsize(f) for f in files) * 5 < text
     assert sorted(read_pages(spark, path, rows.schema).collect()) == sorted(rows.collect())
+
+
+def test_store_derives_bookings_once(spark, tables):
+    """Classes and attendance are made of the stored bookings; the tables are those of the adapter."""
+    from studiolake.plans.q_ingest import _store
+    from studiolake.sources.tables import load
+    for names in (["attendance", "payments", "classes"], ["bookings", "classes", "attendance"]):
+        store = _store({n: tables[n] for n in ("members", "bookings", "payments")}, names)  # nothing else is derived
+        for n, df in load(spark, store, names).items():
+            assert df.exceptAll(tables[n]).isEmpty() and tables[n].exceptAll(df).isEmpty() and df.columns == tables[n].columns, n
+            assert df.count() == tables[n].count()
