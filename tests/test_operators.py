@@ -159,3 +159,20 @@ def test_retention_rate_half_up(spark):  # E4
     # cancelled member is also active & not frozen: 3 active, 1 cancelled -> 3/4 = 75.0 %
     assert r["total_active"] == 3 and r["cancelled_count"] == 1 and r["retention_rate_pct"] == 75.0
     assert r["avg_health_score"] == 57   # (80+80+10)/3 = 56.67 -> 57
+
+
+def test_unique_keys_are_dealt_before_they_are_counted(spark, tmp_path, monkeypatch):
+    """No task counts keys of its whole input before the shuffle, and tasks follow the input."""
+    from studiolake.operators import quality as Q
+    rows = [(1, k) for k in range(3000)] + [(1, 7), (None, 5), (None, 5), (2, None), (2, None), (2, 7)]
+    spark.createDataFrame(rows, "box_id int, source_lead_id long").coalesce(1).write.parquet(str(tmp_path / "a leads"))
+    leads = spark.read.parquet(str(tmp_path / "a leads"))
+    size = sum(f.stat().st_size for f in (tmp_path / "a leads").glob("*.parquet"))
+    monkeypatch.setattr(Q, "KEY_BYTES", -(-size // 5))
+    out = Q.dq_unique({"leads": leads}, {"leads": ["box_id", "source_lead_id"]})
+    assert sorted(tuple(r) for r in out.collect()) == [("leads", "unique", "1|7", 2), ("leads", "unique", "2", 2), ("leads", "unique", "5", 2)]
+    executed = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(box_id" in executed and ", 5), REPARTITION_BY_NUM" in executed
+    assert "partial_count" not in executed[executed.index("REPARTITION_BY_NUM"):].split("== Initial Plan ==")[0]
+    other = Q.dq_unique({"leads": spark.createDataFrame(rows, leads.schema)}, {"leads": ["box_id", "source_lead_id"]})
+    assert sorted(r.n for r in other.collect()) == [2, 2, 2]
