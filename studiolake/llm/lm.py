@@ -20,7 +20,8 @@ at a time; a part seats its words and answers ``FAN`` batches at a time, so that
 number of batches.  A word's tables as a context lie with the words that follow it, in many parts: after each sweep the part
 of the context's own word adds them up and sends them to the parts that hold types of it.  Its customers are its own count.
 A batch is told both with its words' counts, and adds its answers up per document.  A word in a third of all texts is a few
-types per batch.  Through the driver go totals of the classes and the spelling model, which has a fixed number of context
+types per batch.  Batches ask, and are scored, in at most ``ROUNDS`` rounds; what a round, or a sweep, leaves on disk goes when
+the next has read it.  Through the driver go totals of the classes and the spelling model, which has a fixed number of context
 slots (at most ``SLOTS3`` * 258 numbers).  Words are told apart by 64-bit hashes, contexts by 59 bits and the class.
 
 Cases: null text is empty and has only its end; null ids learn (they aren't held out) and are scored; equal rows each
@@ -46,7 +47,7 @@ from studiolake.llm import common as C
 BATCH_TOKENS = 2_500_000
 CLASSES = 32
 EXACT = 256
-PART_WORDS, LEAST_PARTS, FAN = 100_000, 16, 64
+PART_WORDS, LEAST_PARTS, FAN, ROUNDS = 100_000, 16, 64, 4
 SWEEPS, SAMPLES = 3, 2
 CONTEXT_PARAMETERS, CLASS_PARAMETERS, WORD_PARAMETERS, SPELL_PARAMETERS = (0.8, 5.0), (0.7, 20.0), (0.6, 100.0), (0.4, 2.0)  # discount, strength
 SYMBOLS, STOP, BEGIN = 258, 256, 257  # bytes, the word's end, and what stands before its first byte
@@ -272,16 +273,28 @@ def vocabulary(batches: DataFrame) -> int:
     return batches.select("words", "lens", "seen").mapInArrow(learnt, "k long").distinct().count()
 
 
-def types_of_batch(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (bytes, lengths, hashes), the sorted types (word << CONTEXT_BITS | context: 0 for the text's start, else 1 + the
-    word before), each token's type, sizes."""
-    data, lens, h = _words_of(r)
+def _tokens_of(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's type (word << CONTEXT_BITS | context: 0 for the text's start, else 1 + the word before), sizes."""
     stream, sizes = _unpack(r["stream"], np.uint32).astype(np.int64), _unpack(r["sizes"], np.uint32).astype(np.int64)
     before = np.empty(len(stream), np.int64)
     before[1:] = 1 + stream[:-1]
     before[np.cumsum(sizes) - sizes] = 0
-    kinds, which = np.unique(before | stream << CONTEXT_BITS, return_inverse=True)
-    return data, lens, h, kinds, which, sizes
+    return before | stream << CONTEXT_BITS, sizes
+
+
+def types_of_batch(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted types, each token's type, sizes."""
+    tokens, sizes = _tokens_of(r)
+    kinds, which = np.unique(tokens, return_inverse=True)
+    return kinds, which, sizes
+
+
+def learnt_types(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted types and how often each is learnt."""
+    tokens, sizes = _tokens_of(r)
+    tokens = np.sort(tokens << 1 | np.repeat(~np.array(r["held"], bool), sizes))  # words and contexts have 31 bits at most
+    first = np.flatnonzero(np.diff(tokens >> 1, prepend=-1))
+    return tokens[first] >> 1, np.add.reduceat(tokens & 1, first)
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -303,8 +316,7 @@ def asked_by(batches: DataFrame, parts: int) -> DataFrame:
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
-                data, lens, h, kinds, which, sizes = types_of_batch(r)
-                n = np.bincount(which, np.repeat(~np.array(r["held"]), sizes), len(kinds)).astype(np.int64)
+                (data, lens, h), (kinds, n) = _words_of(r), learnt_types(r)
                 word, ends, keys = kinds >> CONTEXT_BITS, np.r_[0, np.cumsum(lens)], _context_keys(data, lens, h)
                 word_at = np.searchsorted(_part_of(h, parts), np.arange(parts + 1, dtype=np.uint64))
                 kind_at = np.searchsorted(word, word_at)
@@ -322,11 +334,20 @@ def asked_by(batches: DataFrame, parts: int) -> DataFrame:
 
 # ---------------------------------------------------------------- parts
 
+def _bytes_of(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and lengths of a row's words."""
+    return np.frombuffer(zstandard.decompress(r["words"]) if r["words"] else b"", np.uint8), _unpack(r["lens"], np.uint32).astype(np.int64)
+
+
+def _hashes(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    raw, ends = data.tobytes(), np.cumsum(lens).tolist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip([0, *ends], ends, strict=False)), np.uint64, len(ends))
+
+
 def _words_of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, lengths and 64-bit hashes of a row's words."""
-    raw, lens = zstandard.decompress(r["words"]) if r["words"] else b"", _unpack(r["lens"], np.uint32).astype(np.int64)
-    ends = np.cumsum(lens).tolist()
-    return np.frombuffer(raw, np.uint8), lens, np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip([0, *ends], ends, strict=False)), np.uint64, len(ends))
+    data, lens = _bytes_of(r)
+    return data, lens, _hashes(data, lens)
 
 
 def _pack_types(word: np.ndarray, context: np.ndarray) -> tuple[bytes, bytes]:
@@ -358,7 +379,10 @@ def _gather(data: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 
 _STATE = ("part long, words binary, lens binary, type_word binary, type_context binary, contexts binary, own binary, counts binary, "
-          "tables binary, class_tables binary, word_tables binary")
+          "tables binary, class_tables binary, word_tables binary, sums binary, context_tables binary")
+
+
+_COLUMNS = [x.split()[0] for x in _STATE.split(", ")]
 
 
 def _summed(t: pa.Table) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -411,7 +435,9 @@ def first_state(part: int, t: pa.Table, cls: np.ndarray) -> tuple:
     words, lens, word, context, c, keys = _summed(t)
     dishes = len(np.unique(word * CLASSES + classes_of(cls, keys)[context]))
     ones = lambda n: _pack(np.ones(n, np.int64))
-    return (part, words, lens, *_pack_types(word, context), _pack_keys(keys), _pack(np.ones(len(keys), bool)), _pack(c), ones(len(c)), ones(dishes), ones(len(np.unique(word))))
+    row = dict(zip(_COLUMNS, (part, words, lens, *_pack_types(word, context), _pack_keys(keys), _pack(np.ones(len(keys), bool)), _pack(c), ones(len(c)), ones(dishes),
+                              ones(len(np.unique(word)))), strict=False))
+    return tuple((row | Part(row, cls).summary()).values())
 
 
 def classes_of(cls: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -425,7 +451,7 @@ class Part:
 
     def __init__(self, r: dict, cls: np.ndarray):
         self.part = r["part"]
-        self.words, self.lens, self.hashes = _words_of(r)
+        self.words, self.lens = _bytes_of(r)
         self.word, self.context = _types_of(r)
         self.counts, self.tables, self.class_tables, self.word_tables = (_unpack(r[c], np.int64) for c in ("counts", "tables", "class_tables", "word_tables"))  # 64 bits: "the" passes 2^32
         self.keys = _contexts_of(r)
@@ -434,6 +460,27 @@ class Part:
         self.dish_word, self.dish_class = self.dishes // CLASSES, self.dishes % CLASSES
         self.seated()
 
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        return _hashes(self.words, self.lens)
+
+    @functools.cached_property
+    def kinds(self) -> np.ndarray:
+        return self.word << CONTEXT_BITS | self.context
+
+    @functools.cached_property
+    def seen(self) -> np.ndarray:
+        """Training counts of the words."""
+        seen = np.zeros(len(self.lens), np.int64)
+        np.add.at(seen, self.word, self.counts)
+        return seen
+
+    def summary(self) -> dict:
+        """What the totals of all parts are added up from: customers and tables of the classes, words, tables of the unigram;
+        and the tables of the contexts."""
+        n = [np.bincount(self.dish_class, x, CLASSES).astype(np.int64) for x in (self.class_customers, self.class_tables)]
+        return {"sums": _pack(np.r_[n[0], len(self.lens), n[1], self.word_tables.sum()]), "context_tables": _pack(self.by_context(self.tables))}
+
     def by_context(self, n: np.ndarray) -> np.ndarray:
         """Sums of a number of the types over each of the contexts' keys."""
         own = self.context >= CLASSES
@@ -455,9 +502,9 @@ def context_sums(state: DataFrame, parts: int, what: str, path: str) -> DataFram
     def own(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
-                p = Part(r, CLASS_NUMBERS)
-                n, at = p.by_context(getattr(p, what)), np.searchsorted(_part_of(p.keys, parts), np.arange(parts + 1, dtype=np.uint64))
-                rows_ = [(int(q), p.part, _pack_keys(p.keys[at[q]:at[q + 1]]), _pack(n[at[q]:at[q + 1]])) for q in np.flatnonzero(np.diff(at))]
+                keys, n = _contexts_of(r), _unpack(r["context_tables"], np.int64) if what == "tables" else Part(r, CLASS_NUMBERS).by_context(_unpack(r[what], np.int64))
+                at = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1, dtype=np.uint64))
+                rows_ = [(int(q), r["part"], _pack_keys(keys[at[q]:at[q + 1]]), _pack(n[at[q]:at[q + 1]])) for q in np.flatnonzero(np.diff(at))]
                 yield pa.RecordBatch.from_pydict(_table(rows_, _CONTEXTS))
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
@@ -469,6 +516,7 @@ def context_sums(state: DataFrame, parts: int, what: str, path: str) -> DataFram
         out = [(place, key[0].as_py(), b"", _pack(n[which[e - len(k):e]])) for (place, k, _), e in zip(asked, ends, strict=True)]
         return pa.table(_table([*out, (key[0].as_py(), -1, _pack_keys(keys), _pack(n))], _CONTEXTS))
 
+    state = state.select("part", "contexts", "context_tables") if what == "tables" else state
     return C.stored(state.mapInArrow(own, _CONTEXTS).groupBy("part").applyInArrow(add, _CONTEXTS), path)
 
 
@@ -481,8 +529,8 @@ def told(t: pa.Table) -> np.ndarray:
 def with_own(state: DataFrame, parts: int, least: int, folder: str) -> DataFrame:
     """Only previous words that were learnt ``least`` times have a restaurant of their own."""
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.to_pylist()
-        return pa.table(_table([tuple((r | {"own": _pack(told(right) >= least)}).values()) for r in rows], _STATE))
+        rows = [r | {"own": _pack(told(right) >= least)} for r in left.to_pylist()]
+        return pa.table(_table([tuple((r | Part(r, CLASS_NUMBERS).summary()).values()) for r in rows], _STATE))
 
     sums = context_sums(state, parts, "counts", f"{folder}/often").filter("place >= 0")
     return C.stored(state.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(cut, _STATE), f"{folder}/owning")
@@ -493,11 +541,10 @@ def totals(state: DataFrame, learnt: int) -> dict:
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
-                p = Part(r, CLASS_NUMBERS)
-                n = [np.bincount(p.dish_class, x, CLASSES).astype(np.int64) for x in (p.class_customers, p.class_tables)]
-                yield pa.RecordBatch.from_pydict({"at": pa.array(np.r_[CLASS_NUMBERS, -1]), "customers": pa.array(np.r_[n[0], len(p.lens)]), "tables": pa.array(np.r_[n[1], p.word_tables.sum()])})
+                customers, tables = _unpack(r["sums"], np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"at": pa.array(np.r_[CLASS_NUMBERS, -1]), "customers": pa.array(customers), "tables": pa.array(tables)})
 
-    got = state.mapInArrow(add, "at long, customers long, tables long").groupBy("at").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).toArrow()
+    got = state.select("sums").mapInArrow(add, "at long, customers long, tables long").groupBy("at").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).toArrow()
     at = got["at"].to_numpy()
     out = {"N": learnt, "V": 0, "parent_tables": 0}
     for c in ("customers", "tables"):
@@ -507,15 +554,16 @@ def totals(state: DataFrame, learnt: int) -> dict:
     return out
 
 
-def known_mass(state: DataFrame, model: Broadcast) -> float:
-    """How much of the spelling model's probability lies on learnt words."""
+def known_mass(state: DataFrame, models: list[Broadcast]) -> list[float]:
+    """How much of the spelling models' probability lies on learnt words."""
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
-                words, lens, _ = _words_of(r)
-                yield pa.RecordBatch.from_pydict({"p": pa.array([float(np.exp(spelled(words, lens, model.value)).sum())], pa.float64())})
+                words, lens = _bytes_of(r)
+                yield pa.RecordBatch.from_pydict({f"p{k}": pa.array([float(np.exp(spelled(words, lens, model.value)).sum())], pa.float64()) for k, model in enumerate(models)})
 
-    return min(1.0, state.select("words", "lens").mapInArrow(add, "p double").agg(F.sum("p")).first()[0] or 0.0)
+    names = [f"p{k}" for k in range(len(models))]
+    return [min(1.0, p or 0.0) for p in state.select("words", "lens").mapInArrow(add, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n) for n in names)).first()]
 
 
 def unigram(customers: np.ndarray, tables: np.ndarray, base: np.ndarray, sums: dict) -> np.ndarray:
@@ -545,7 +593,7 @@ def sweep(state: DataFrame, contexts: DataFrame, known: dict, model: Broadcast |
             p.class_tables = seat(p.class_customers, (s1 + d1 * known["tables"][p.dish_class]) * up0, d1, rng)
             p.seated()
             p.word_tables = seat(p.customers, (s0 + d0 * known["parent_tables"]) * base, d0, rng)
-            done.append(tuple((r | {"tables": _pack(p.tables), "class_tables": _pack(p.class_tables), "word_tables": _pack(p.word_tables)}).values()))
+            done.append(tuple((r | {"tables": _pack(p.tables), "class_tables": _pack(p.class_tables), "word_tables": _pack(p.word_tables)} | p.summary()).values()))
         return pa.table(_table(done, _STATE))
 
     run_on = state.groupBy("part").cogroup(contexts.filter("place >= 0").groupBy("part"))
@@ -557,7 +605,7 @@ def spelling(state: DataFrame, old: dict | None, number: int) -> dict:
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
-                words, lens, _ = _words_of(r)
+                words, lens = _bytes_of(r)
                 keys, n = spell_counts(words, lens, _unpack(r["word_tables"], np.int64))
                 yield pa.RecordBatch.from_pydict({"k": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
 
@@ -589,53 +637,67 @@ def _at(values: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
     return np.where(there, values[at], 0) if len(values) else np.zeros(len(at), np.int64)
 
 
-def probabilities(p: Part, data: np.ndarray, size: np.ndarray, h: np.ndarray, word: np.ndarray, context: np.ndarray, keys: np.ndarray,
-                  sums: dict, model: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the asked types their customers and tables in their own restaurant, and their probability in its parent; of the asked
-    words the training counts."""
-    at, hit = _found(p.hashes, h)
-    base = np.where(hit, np.exp(spelled(data, size, model)), unknown)
-    up0 = unigram(_at(p.customers, at, hit), _at(p.word_tables, at, hit), base, sums)[word]
-    cls = classes_of(CLASS_NUMBERS, keys)[context]
-    dish, there = _found(p.dishes, at[word] * CLASSES + cls)
-    there &= hit[word]
-    up1 = predictive(_at(p.class_customers, dish, there), _at(p.class_tables, dish, there), cls, up0, sums, CLASS_PARAMETERS)
-    place, known = _found(p.keys, keys)
-    number = np.r_[CLASS_NUMBERS, np.where(known, place + CLASSES, CONTEXT_MASK)][context]
-    kind, there = _found(p.word << CONTEXT_BITS | p.context, at[word] << CONTEXT_BITS | number)
-    there &= hit[word]
-    seen = np.zeros(len(p.lens), np.int64)
-    np.add.at(seen, p.word, p.counts)
-    return _at(p.counts, kind, there), _at(p.tables, kind, there), up1, _at(seen, at, hit)
+class Asked:
+    """What a batch asks of a part, and where the part has it (all samples seat the same types)."""
+
+    def __init__(self, p: Part, r: dict):
+        self.words, self.lens, h = _words_of(r)
+        self.word, context = _types_of(r)
+        self.mine = _context_keys(self.words, self.lens, h)
+        self.at, self.hit = _found(p.hashes, h)
+        keys = _contexts_of(r)
+        self.cls = classes_of(CLASS_NUMBERS, keys)[context]
+        self.dish, self.dish_hit = _found(p.dishes, self.at[self.word] * CLASSES + self.cls)
+        self.dish_hit &= self.hit[self.word]
+        place, known = _found(p.keys, keys)
+        number = np.r_[CLASS_NUMBERS, np.where(known, place + CLASSES, CONTEXT_MASK)][context]
+        self.kind, self.kind_hit = _found(p.kinds, self.at[self.word] << CONTEXT_BITS | number)
+        self.kind_hit &= self.hit[self.word]
+
+    def counts(self, p: Part) -> tuple[np.ndarray, np.ndarray]:
+        """Customers of the types in their own restaurant; training counts of the words."""
+        return _at(p.counts, self.kind, self.kind_hit), _at(p.seen, self.at, self.hit)
+
+    def probabilities(self, p: Part, sums: dict, model: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of the types their tables in their own restaurant, and their probability in its parent."""
+        base = np.where(self.hit, np.exp(spelled(self.words, self.lens, model)), unknown)
+        up0 = unigram(_at(p.customers, self.at, self.hit), _at(p.word_tables, self.at, self.hit), base, sums)[self.word]
+        up1 = predictive(_at(p.class_customers, self.dish, self.dish_hit), _at(p.class_tables, self.dish, self.dish_hit), self.cls, up0, sums, CLASS_PARAMETERS)
+        return _at(p.tables, self.kind, self.kind_hit), up1
 
 
 def answers(asked: DataFrame, batches: int, samples: list[tuple[DataFrame, DataFrame, dict, Broadcast]]) -> DataFrame:
     """For every batch and part what it needs to score each type it asked for, and the words' training counts."""
-    shared = [(sums, model, max(1 - known_mass(state, model), 1e-12)) for state, _, sums, model in samples]
-    states = None
+    masses = known_mass(samples[0][0], [model for *_, model in samples])
+    shared = [(sums, model, max(1 - mass, 1e-12)) for (_, _, sums, model), mass in zip(samples, masses, strict=True)]
+    # All samples seat the same types: these travel once, the tables once for each sample, and so do the contexts' tables.
+    seats = ["part", "tables", "class_tables", "word_tables"]
+    states = samples[0][0].drop("sums", "context_tables").withColumn("sample", F.lit(0))
     for k, (s, contexts, _, _) in enumerate(samples):
-        own = contexts.filter("place = -1").select(F.col("part").alias("_part"), F.col("keys").alias("after"), F.col("n").alias("after_tables"))
-        one = s.join(own, F.col("part") == F.col("_part"), "left").drop("_part").withColumn("sample", F.lit(k))
-        states = one if states is None else states.unionByName(one)
+        own = contexts.filter("place = -1").select("part", F.col("keys").alias("after"), F.col("n").alias("after_tables")).withColumn("sample", F.lit(k))
+        states = states.unionByName(own, allowMissingColumns=True)
+        states = states.unionByName(s.select(*seats).withColumn("sample", F.lit(k)), allowMissingColumns=True) if k else states
     groups = -(-batches // FAN)
     states = states.withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = [(Part(r, CLASS_NUMBERS), _unpack_keys(r["after"]), _unpack(r["after_tables"] or b"", np.int64)) for r in right.sort_by("sample").to_pylist()]
+        rows: list[dict] = [{} for _ in shared]
+        for r in right.to_pylist():
+            rows[r["sample"]] |= {c: v for c, v in r.items() if v is not None}
+        own = [(Part(rows[0] | r, CLASS_NUMBERS), _unpack_keys(r.get("after")), _unpack(r.get("after_tables", b""), np.int64)) for r in rows if "words" in rows[0]]
         out: list[tuple] = []
         for r in left.to_pylist() if own else []:
-            data, size, h = _words_of(r)
-            word, context = _types_of(r)
-            mine, seats, above, tables = _context_keys(data, size, h), [], [], []
+            asks, seats, above, tables = Asked(own[0][0], r), [], [], []
+            held, count = asks.counts(own[0][0])
             for (p, after, after_tables), (sums, model, unknown) in zip(own, shared, strict=True):
-                held, one, up, count = probabilities(p, data, size, h, word, context, _contexts_of(r), sums, model.value, unknown)
+                one, up = asks.probabilities(p, sums, model.value, unknown)
                 seats.append(one)
                 above.append(np.log(np.maximum(up, 1e-300)).astype(np.float32))
-                tables.append(_at(after_tables, *_found(after, mine)))
+                tables.append(_at(after_tables, *_found(after, asks.mine)))
             out.append((r["batch"], r["part"], _pack(held), _pack(np.concatenate(seats)), _pack(np.concatenate(above)), _pack(count), _pack(np.concatenate(tables))))
         return pa.table(_table(out, _REPLY))
 
-    asked = asked.drop("counts").withColumn("some", F.pmod(F.xxhash64("batch"), F.lit(groups)))
+    asked = asked.drop("counts").withColumn("some", F.pmod(F.xxhash64("batch", F.lit(1)), F.lit(groups)))
     return asked.groupBy("part", "some").cogroup(states.groupBy("part", "some")).applyInArrow(answer, _REPLY)
 
 
@@ -646,7 +708,7 @@ def scored(batches: DataFrame, replies: DataFrame, samples: int, least: int, sum
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         order = [int(i) for i in np.argsort(right["part"].to_numpy())]
-        _, _, _, kinds, stream, sizes = types_of_batch(left.drop_columns(["ids"]).to_pylist()[0])
+        kinds, stream, sizes = types_of_batch(left.drop_columns(["ids"]).to_pylist()[0])
 
         def replied(column: str, kind: type, of: int = samples) -> np.ndarray:
             found = [_unpack(right[column][i].as_py(), kind) for i in order]
@@ -678,19 +740,28 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES, least:
     size = stored.agg(F.count("*").alias("batches"), F.sum("learnt").alias("learnt")).first()
     n = size["learnt"] or 0
     parts = max(LEAST_PARTS, -(-vocabulary(stored) // PART_WORDS))
-    asked = asked_by(stored, parts)
-    state = C.stored(states_of(asked, size["batches"]), f"{folder}/state0")
-    state = state if least == 1 else with_own(state, parts, least, folder)
-    model, log, kept = None, None, []
-    sums, contexts = totals(state, n), context_sums(state, parts, "tables", f"{folder}/contexts0")
-    for k in range(1, sweeps + 1):
-        state = sweep(state, contexts, sums, log, k, folder)
-        sums, contexts = totals(state, n), context_sums(state, parts, "tables", f"{folder}/contexts{k}")
-        model = spelling(state, model, k)
-        log = spark.sparkContext.broadcast(model["log"])  # one for the next sweep and the answers
-        kept.append((state, contexts, sums, log))
-    kept = kept[-samples:]
-    return scored(stored, answers(asked, max(1, size["batches"]), kept), len(kept), least, sums)
+    with C.shuffles_removed(spark):  # all steps are stored
+        state = C.stored(states_of(asked_by(stored, parts), size["batches"]), f"{folder}/state0")
+        state = state if least == 1 else with_own(state, parts, least, folder)
+        model, log, kept = None, None, []
+        sums, contexts = totals(state, n), context_sums(state, parts, "tables", f"{folder}/contexts0")
+        for k in range(1, sweeps + 1):
+            state = sweep(state, contexts, sums, log, k, folder)
+            sums, contexts = totals(state, n), context_sums(state, parts, "tables", f"{folder}/contexts{k}")
+            model = spelling(state, model, k)
+            log = spark.sparkContext.broadcast(model["log"])  # one for the next sweep and the answers
+            kept.append((state, contexts, sums, log))
+            if k == 1 or k <= sweeps - samples + 1:  # the sweep before is read no more
+                C.removed(spark, f"{folder}/state{k - 1}", f"{folder}/contexts{k - 1}", *[f"{folder}/{x}" for x in ("often", "owning") if k == 1])
+        kept, done = kept[-samples:], []
+        rounds = max(1, min(ROUNDS, -(-size["batches"] // FAN)))  # what is asked and answered is kept for one round's batches
+        for k in range(rounds):
+            some = stored.filter(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == k)
+            replies = C.stored(answers(asked_by(some, parts), max(1, -(-size["batches"] // rounds)), kept), f"{folder}/replies{k}")
+            done.append(C.stored(scored(some, replies, len(kept), least, sums), f"{folder}/scores{k}"))
+            C.removed(spark, f"{folder}/replies{k}")
+        C.removed(spark, f"{folder}/batches", *(f"{folder}/{x}{k}" for k in range(sweeps - len(kept) + 1, sweeps + 1) for x in ("state", "contexts")))
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,17 @@ def test_counts_beyond_32_bits_are_kept():
     cls = np.arange(L.CLASSES)
     state = dict(zip((x.split()[0] for x in L._STATE.split(", ")), L.first_state(0, pa.Table.from_pylist([batch, batch]), cls), strict=True))
     assert L.Part(state, cls).counts.tolist() == [8_000_000_000]
+
+
+def test_only_the_scores_stay_on_disk(spark, tmp_path, monkeypatch):
+    """Whatever past sweeps and rounds stored goes, rounds score every batch once, and the session's setting comes back."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(L.C, "scratch", lambda *_: str(tmp_path / "lm"))
+    monkeypatch.setattr(L, "BATCH_TOKENS", 50)
+    monkeypatch.setattr(L, "FAN", 2)
+    spark.conf.set(setting, "false")
+    rows = [(i, f"the cat {'sat' if i % 2 else 'ran'} on mat {i}", i % 5 == 0) for i in range(40)]
+    got = L.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"))
+    assert sorted(p.name for p in (tmp_path / "lm").iterdir() if not p.name.startswith(".")) == [f"scores{k}" for k in range(L.ROUNDS)]
+    assert spark.conf.get(setting) == "false"
+    assert sorted(r.doc_id for r in got.collect()) == list(range(40))
