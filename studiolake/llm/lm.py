@@ -727,7 +727,7 @@ def scored(batches: DataFrame, replies: DataFrame, samples: int, least: int, sum
         return pa.table({"doc_id": left["ids"].combine_chunks().values, "held_out": left["held"].combine_chunks().values, "n_tokens": pa.array(sizes), "n_known": pa.array(sums_[0]),
                          "train_tokens": pa.array(np.full(len(sizes), n)), "base_score": pa.array(sums_[1]), "score": pa.array(sums_[2])})
 
-    return batches.drop("seen", "learnt").groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+    return batches.select("batch", "ids", "held", "sizes", "stream").groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
         add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -758,9 +758,11 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES, least:
         for k in range(rounds):
             some = stored.filter(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == k)
             replies = C.stored(answers(asked_by(some, parts), max(1, -(-size["batches"] // rounds)), kept), f"{folder}/replies{k}")
+            if k == rounds - 1:  # the last answers are given
+                C.removed(spark, *(f"{folder}/{x}{i}" for i in range(sweeps - len(kept) + 1, sweeps + 1) for x in ("state", "contexts")))
             done.append(C.stored(scored(some, replies, len(kept), least, sums), f"{folder}/scores{k}"))
             C.removed(spark, f"{folder}/replies{k}")
-        C.removed(spark, f"{folder}/batches", *(f"{folder}/{x}{k}" for k in range(sweeps - len(kept) + 1, sweeps + 1) for x in ("state", "contexts")))
+        C.removed(spark, f"{folder}/batches")
     return functools.reduce(DataFrame.unionByName, done)
 
 
