@@ -7,8 +7,9 @@ with a minimal perfect hash (levels of bit arrays with rank counts), a 32-bit fi
 keys, and the slots' entries.  A lookup costs a constant number of probes.  ``read_documents`` looks keys up in the
 index and reads the ids from the payload files.
 
-Files are written under a temporary name and renamed, so a repeated task leaves one whole file.  A task holds one Arrow
-batch of texts, and one bucket of about ``KEYS_PER_BUCKET`` keys, at a time.
+Files are written under a temporary name and renamed, so a repeated task leaves one whole file.  A task holds the Arrow
+batches of about ``GROUP_BYTES`` of texts, whose distinct words it looks up once, and one bucket of about
+``KEYS_PER_BUCKET`` keys, at a time.
 
 Cases: null text encodes to no ids (only the end id); null key is a key of its own; documents that share a key lie one
 after the other, and the key's entry names how many there are (their lengths stand before the ids); empty table: no
@@ -24,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from studiolake.llm import common as C
 
 KEYS_PER_BUCKET = 200_000
+GROUP_BYTES = 16 << 20  # texts whose words are looked up together
+SOME_WORDS = 50_000
 END_ID = 2
 _REGULAR = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?]*)")
 
@@ -43,7 +47,8 @@ class Encoder(dict):
 
     The tokenizer's pre-tokens never cross white space, so a text's ids are its words' ids in order.  Words of plain
     letters with trailing punctuation go to the library's model directly, all others through its whole pipeline.
-    The table of words seen is bounded: it is emptied when it has ``limit`` words.
+    The tables of words and of pieces seen are bounded: each is emptied when it has ``limit`` entries.  Ids are kept as
+    bytes, 4 an id.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -53,49 +58,69 @@ class Encoder(dict):
         self.whole.no_truncation()
         self.model, self.limit = self.whole.model, limit
         self.bytes_as = _byte_letters()
-        self.forget()
+        self.pieces: dict[str, bytes] = {}
         self.check = self._direct_agrees()
-        self.forget()
+        self.clear()
 
     def _direct_agrees(self) -> bool:
         """Does this tokenizer's pipeline treat regular words as the direct way does?"""
-        for w in ("Abc", "don,", "Été.", "straße!?", "...", "Ñandú;:"):
-            if self._direct(w) != self.whole.encode(w, add_special_tokens=False).ids:
-                return False
-        return True
+        return all(self._direct(*_REGULAR.fullmatch(w).groups()) == self._whole(w) for w in ("Abc", "don,", "Été.", "straße!?", "...", "Ñandú;:"))
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def _direct(self, word: str) -> list[int]:
-        letters, marks = _REGULAR.fullmatch(word).groups()
-        return self._piece(letters.lower()) + self._piece(marks)
+    def _direct(self, letters: str, marks: str) -> bytes:
+        ids = self._piece(letters.lower())
+        return ids + self._piece(marks) if marks else ids
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
+            if len(self.pieces) >= self.limit:
+                self.pieces.clear()
             shown = piece if piece.isascii() else "".join([self.bytes_as[b] for b in piece.encode()])
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)] if piece else []
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes() if piece else b""
         return ids
 
-    def forget(self) -> None:
-        self.clear()
-        self.pieces: dict[str, list[int]] = {}
-        self.flat, self.ends = array("I"), array("q", [0])
-
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         w = word.decode("utf-8", "replace")
-        self.flat.extend(self._direct(w) if self.check and _REGULAR.fullmatch(w) else self.whole.encode(w, add_special_tokens=False).ids)
-        self.ends.append(len(self.flat))
-        k = self[word] = len(self.ends) - 2
-        return k
+        regular = self.check and _REGULAR.fullmatch(w)
+        ids = self[word] = self._direct(*regular.groups()) if regular else self._whole(w)
+        return ids
+
+    def listed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, one after the other, and how many each has."""
+        ids, lens = [], [np.empty(0, np.int64)]
+        for i in range(0, len(words), SOME_WORDS):
+            if len(self) >= self.limit:
+                self.clear()
+            some = list(map(self.__getitem__, words[i:i + SOME_WORDS]))
+            ids.append(b"".join(some))
+            lens.append(np.fromiter(map(len, some), np.int64, len(some)) >> 2)
+        return np.frombuffer(b"".join(ids), np.uint32), np.concatenate(lens)
 
     def encode(self, text: bytes) -> np.ndarray:
-        if len(self) >= self.limit:
-            self.forget()
-        words = text.split()
-        ks = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        ends = np.frombuffer(self.ends, np.int64)
-        first, last = ends[ks], ends[ks + 1]
-        del ends  # an array with a view on it can't grow
-        return np.frombuffer(self.flat, np.uint32)[_spread(first, last - first)] if len(self.flat) else np.empty(0, np.uint32)
+        return self.listed(text.split())[0]
+
+    def encode_columns(self, columns: list[pa.Array], end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of some columns of texts (null is empty) all ids, with ``end_id`` after each text, and how many each text
+        has.  A word is looked up once for all columns."""
+        split = [pc.ascii_split_whitespace(c.fill_null("")) for c in columns]  # the same white space as bytes.split
+        coded = pa.chunked_array([s.flatten() for s in split]).dictionary_encode()
+        if not coded.num_chunks:
+            return
+        flat, lens = self.listed(coded.chunk(0).dictionary.cast(pa.binary()).to_pylist())  # all chunks share one dictionary
+        first = np.cumsum(lens) - lens
+        for s, c in zip(split, coded.chunks, strict=True):
+            at = c.indices.to_numpy()
+            n, words = lens[at], pc.list_value_length(s).to_numpy()
+            upto = np.r_[0, np.cumsum(n)][np.cumsum(words)]  # ids up to the end of each text
+            ends = upto + np.arange(len(s))
+            ids = np.full(int(n.sum()) + len(s), end_id, np.uint32)
+            inside = np.ones(len(ids), bool)
+            inside[ends] = False
+            ids[inside] = flat[_spread(first[at], n)]
+            yield ids, np.diff(ends, prepend=-1)
 
 
 def _byte_letters() -> list[str]:
@@ -169,16 +194,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_
         shard = "s" + xxhash.xxh3_128_hexdigest(repr([head["sort_key"][0].as_py(), head["text"][0].as_py()]))
 
         def chunks() -> Iterator[bytes]:
-            for b in _chain(head, batches):
-                lens, ids = [], []
-                for t in C.texts(b["text"]):
-                    x = enc.encode(t)
-                    ids.append(x)
-                    ids.append(np.array([end_id], np.uint32))
-                    lens.append(len(x) + 1)
-                h1, h2 = _key_hashes(b["key"].to_pylist())
-                held.append((h1, h2, np.array(lens, np.int64)))
-                yield np.concatenate(ids).astype(f"<u{wide}").tobytes() if ids else b""
+            for some in _grouped(_chain(head, batches)):
+                for b, (ids, lens) in zip(some, enc.encode_columns([b["text"] for b in some], end_id), strict=True):
+                    h1, h2 = _key_hashes(b["key"].to_pylist())
+                    held.append((h1, h2, lens))
+                    yield ids.astype(f"<u{wide}").tobytes()
 
         _put(f"{folder}/ids", shard, chunks())
         h1, h2, lens = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -212,6 +232,20 @@ def _chain(head: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.
     yield from rest
 
 
+def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, until they have ``GROUP_BYTES`` of text."""
+    some, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            some.append(b)
+            size += b["text"].nbytes
+        if size >= GROUP_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _id_bytes(vocabulary: str) -> int:
     from tokenizers import Tokenizer
     return 2 if Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4

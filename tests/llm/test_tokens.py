@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -36,6 +37,31 @@ def test_encoder_forgets(whole):
         assert enc.encode(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_a_word_is_looked_up_once_for_many_texts(whole, edge):
+    asked = []
+
+    class Counting(T.Encoder):
+        def listed(self, words):
+            asked.extend(words)
+            return super().listed(words)
+
+    texts = [r.text for r in edge.collect()]
+    columns = [pa.array(texts), pa.array([None, ""], pa.string()), pa.array(texts * 2).slice(3, len(texts))]
+    enc = Counting(T.vocabulary_path(), limit=1000)
+    got = list(enc.encode_columns(columns, 2))
+    assert len(asked) == len(set(asked))
+    for column, (ids, lens) in zip(columns, got, strict=True):
+        want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in column.to_pylist()]
+        assert lens.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_texts_are_grouped_up_to_their_bytes(monkeypatch):
+    monkeypatch.setattr(T, "GROUP_BYTES", 100)
+    batches = [pa.RecordBatch.from_pydict({"text": ["x" * n] * (n > 0)}, pa.schema([("text", pa.string())])) for n in (60, 0, 60, 200, 0, 5, 0)]
+    assert [[len(b["text"][0].as_py()) for b in some] for some in T._grouped(batches)] == [[60, 60], [200], [5]]
+    assert list(T._grouped(batches[1:2])) == []
+
+
 def test_output(spark, edge, whole):
     got = [tuple(r) for r in T.token_output(spark, edge).collect()]
     rows = [(r.doc_id, r.text) for r in edge.select("doc_id", "text").collect()]
