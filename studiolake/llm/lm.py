@@ -30,12 +30,14 @@ count; with nothing to learn from, the base alone scores; empty table: no rows.
 
 from __future__ import annotations
 
+import copy
 import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import Broadcast, TaskContext
@@ -181,14 +183,6 @@ def spelling_model(keys: np.ndarray, counts: np.ndarray, old: dict | None, rng:
 
 # ---------------------------------------------------------------- documents to batches
 
-class Words(dict):
-    """word -> number, in the order of first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        return k
-
-
 def word_class(last: np.ndarray) -> np.ndarray:
     """Class of the word before, by its last byte; 0 is the text's start."""
     return 1 + (last.astype(np.int64) * 37 + 11) % 251 % (CLASSES - 1)
@@ -208,6 +202,40 @@ def _unpack(raw: bytes, kind: type) -> np.ndarray:
 _BATCH = "batch long, learnt long, words binary, lens binary, seen binary, ids array<{kind}>, held array<boolean>, sizes binary, stream binary"
 
 
+def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, A-Z lower-cased, and how many tokens each text has: its words and its end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text.fill_null("")))  # the same white space as bytes.split
+    words, n = split.flatten(), pc.list_value_length(split).to_numpy()
+    some = pc.not_equal(pc.binary_length(words), 0)  # white space before the first word or after the last splits off an empty one
+    upto = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))][np.r_[0, np.cumsum(n)]]
+    return words.filter(some), np.diff(upto) + 1
+
+
+def batch_of(number: int, held: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """One batch of documents: parts of columns (ids, held out, words, sizes)."""
+    ids, out, words, sizes = zip(*held, strict=True)
+    sizes = np.concatenate(sizes)
+    coded = pa.chunked_array([pa.array([""], pa.large_binary()), *(w.cast(pa.large_binary()) for w in words)]).dictionary_encode()  # number 0 is the end
+    listed = coded.chunk(0).dictionary  # that of all chunks
+    ends = np.frombuffer(listed.buffers()[1], np.int64)[listed.offset:listed.offset + len(listed) + 1]
+    data, lens = np.frombuffer(listed.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]], np.diff(ends)
+    order = np.argsort(_hashes(data, lens), kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    stream = np.full(int(sizes.sum()), rank[0])
+    inside = np.ones(len(stream), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    stream[inside] = np.concatenate([rank[c.indices.to_numpy()] for c in coded.chunks])[1:]
+    ids, out = pa.chunked_array(ids).combine_chunks(), pa.chunked_array(out).combine_chunks()
+    learn = np.repeat(~out.to_numpy(zero_copy_only=False), sizes)
+    data, lens = _gather(data, lens, order)
+    row = {"batch": number, "learnt": int(learn.sum()), "words": zstandard.compress(data.tobytes(), 3), "lens": _pack(lens.astype(np.uint32)),
+           "seen": _pack(np.bincount(stream[learn], minlength=len(order)).astype(np.int64)), "sizes": _pack(sizes.astype(np.uint32)), "stream": _pack(stream)}
+    types = dict.fromkeys(names, pa.binary()) | {"batch": pa.int64(), "learnt": pa.int64()}
+    lists = {c: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for c, x in (("ids", ids), ("held", out))}
+    return pa.RecordBatch.from_arrays([lists[c] if c in lists else pa.array([row[c]], types[c]) for c in names], names)
+
+
 def batches_of(docs: DataFrame, folder: str) -> DataFrame:
     """Stored batches: the words in the order of their hashes, how often each is learnt, and the documents as word numbers."""
     C.small_batches(docs.sparkSession)
@@ -215,39 +243,23 @@ def batches_of(docs: DataFrame, folder: str) -> DataFrame:
     names = [x.split()[0] for x in _BATCH.split(", ")]
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids, held, streams, sizes, tokens = Words(), [], [], [], [], 0
-        number = TaskContext.get().partitionId() << 24
-        types = None
-
-        def flush() -> pa.RecordBatch:
-            listed = list(words)
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, listed), np.uint64, len(listed))
-            order = np.argsort(h, kind="stable")
-            rank = np.empty(len(listed), np.uint32)
-            rank[order] = np.arange(len(listed), dtype=np.uint32)
-            stream = rank[np.concatenate(streams)]
-            learn = np.repeat(~np.array(held), np.array(sizes))
-            ordered = [listed[i] for i in order]
-            row = {"batch": number, "learnt": int(learn.sum()), "words": zstandard.compress(b"".join(ordered), 3), "lens": _pack(np.fromiter(map(len, ordered), np.uint32, len(ordered))),
-                   "seen": _pack(np.bincount(stream, learn, len(listed)).astype(np.int64)), "ids": ids, "held": held, "sizes": _pack(np.array(sizes, np.uint32)), "stream": _pack(stream)}
-            return pa.RecordBatch.from_arrays([pa.array([row[c]], types[c]) for c in names], names)
-
+        C.begin_step("batches")
+        number, tokens, held = TaskContext.get().partitionId() << 24, 0, []
         for b in rows:
-            if types is None:
-                types = dict.fromkeys(names, pa.binary()) | {"batch": pa.int64(), "learnt": pa.int64(), "ids": pa.list_(b["doc_id"].type), "held": pa.list_(pa.bool_())}
-            for i, out, t in zip(b["doc_id"].to_pylist(), b["held_out"].to_pylist(), C.texts(b["text"]), strict=True):
-                found = [*t.lower().split(), b""]
-                streams.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                ids.append(i)
-                held.append(out)
-                sizes.append(len(found))
-                tokens += len(found)
+            words, sizes = split_words(b["text"])
+            upto, at, first = np.r_[0, np.cumsum(sizes)], 0, 0  # tokens up to each text; texts and tokens given out before
+            while at < len(sizes):
+                end = min(len(sizes), int(np.searchsorted(upto, first + BATCH_TOKENS - tokens, "left")))
+                last = int(upto[end])
+                held.append((b["doc_id"][at:end], b["held_out"][at:end], words[first - at:last - end], sizes[at:end]))
+                tokens += last - first
+                at, first = end, last
                 if tokens >= BATCH_TOKENS:
-                    yield flush()
-                    words, ids, held, streams, sizes, tokens = Words(), [], [], [], [], 0
+                    yield batch_of(number, held, names)
+                    tokens, held = 0, []
                     number += 1
-        if ids:
-            yield flush()
+        if held:
+            yield batch_of(number, held, names)
 
     return C.stored(docs.select("doc_id", "held_out", F.col("text").cast("string").alias("text")).mapInArrow(make, _BATCH.format(kind=kind)), f"{folder}/batches")
 
@@ -311,22 +323,26 @@ def _table(values: list[tuple], schema: str) -> dict:
     return {name: pa.array([v[i] for v in values], pa.int64() if kind == "long" else pa.binary()) for i, (name, kind) in enumerate(fields)}
 
 
-def asked_by(batches: DataFrame, parts: int) -> DataFrame:
-    """What each batch asks of each part: its types there, and how often each is learnt."""
+def asked_by(batches: DataFrame, parts: int, counted: bool = True) -> DataFrame:
+    """What each batch asks of each part: its types there, and, counted, how often each is learnt."""
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.begin_step("asks")
         for b in rows:
             for r in b.to_pylist():
                 (data, lens, h), (kinds, n) = _words_of(r), learnt_types(r)
                 word, ends, keys = kinds >> CONTEXT_BITS, np.r_[0, np.cumsum(lens)], _context_keys(data, lens, h)
+                there, number = np.zeros(len(lens), bool), np.zeros(len(lens), np.int64)
                 word_at = np.searchsorted(_part_of(h, parts), np.arange(parts + 1, dtype=np.uint64))
                 kind_at = np.searchsorted(word, word_at)
                 for p in np.flatnonzero(np.diff(word_at)):
                     a, z, k, m = word_at[p], word_at[p + 1], kind_at[p], kind_at[p + 1]
                     context = (kinds[k:m] & CONTEXT_MASK) - 1
                     own = context >= 0
-                    used, at = np.unique(context[own], return_inverse=True)
-                    context[own], context[~own] = at + CLASSES, 0
-                    row = (r["batch"], int(p), zstandard.compress(data[ends[a]:ends[z]].tobytes(), 3), _pack(lens[a:z].astype(np.uint32)), *_pack_types(word[k:m] - a, context), _pack_keys(keys[used]), _pack(n[k:m]))
+                    there[context[own]] = True
+                    used = np.flatnonzero(there)
+                    there[used], number[used] = False, np.arange(len(used))
+                    context[own], context[~own] = number[context[own]] + CLASSES, 0
+                    row = (r["batch"], int(p), zstandard.compress(data[ends[a]:ends[z]].tobytes(), 3), _pack(lens[a:z].astype(np.uint32)), *_pack_types(word[k:m] - a, context), _pack_keys(keys[used]), _pack(n[k:m]) if counted else b"")
                     yield pa.RecordBatch.from_pydict(_table([row], _ASK))
 
     return batches.select("batch", "words", "lens", "held", "sizes", "stream").mapInArrow(ask, _ASK)
@@ -341,7 +357,7 @@ def _bytes_of(r: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
     raw, ends = data.tobytes(), np.cumsum(lens).tolist()
-    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip([0, *ends], ends, strict=False)), np.uint64, len(ends))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, map(raw.__getitem__, map(slice, [0, *ends], ends))), np.uint64, len(ends))
 
 
 def _words_of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -385,6 +401,13 @@ _STATE = ("part long, words binary, lens binary, type_word binary, type_context
 _COLUMNS = [x.split()[0] for x in _STATE.split(", ")]
 
 
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    """One array of a list's arrays, which the list gives up."""
+    x = np.concatenate(arrays)
+    arrays.clear()
+    return x
+
+
 def _summed(t: pa.Table) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The learnt types of several rows of one part: packed words by hash and lengths, then words, contexts and counts of the
     types, and the contexts' keys, ascending."""
@@ -400,12 +423,15 @@ def _summed(t: pa.Table) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarr
         keys.append(_contexts_of(r))
         counts.append(_unpack(r["counts"], np.int64))
         n, m = n + len(size), m + len(keys[-1])
-    _, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    known, number = np.unique(np.concatenate(keys), return_inverse=True)
-    context = np.r_[CLASS_NUMBERS, number + CLASSES][np.concatenate(contexts)]
-    kinds, kind_of = np.unique(which[np.concatenate(words)] << CONTEXT_BITS | context, return_inverse=True)
+    _, first, which = np.unique(_joined(hashes), return_index=True, return_inverse=True)
+    known, number = np.unique(_joined(keys), return_inverse=True)
+    kinds = which[_joined(words)] << CONTEXT_BITS
+    kinds |= np.r_[CLASS_NUMBERS, number + CLASSES][_joined(contexts)]
+    del which, number
+    kinds, kind_of = np.unique(kinds, return_inverse=True)
     c = np.zeros(len(kinds), np.int64)
-    np.add.at(c, kind_of, np.concatenate(counts))
+    np.add.at(c, kind_of, _joined(counts))
+    del kind_of
     learnt = np.flatnonzero(c)
     kinds, c = kinds[learnt], c[learnt]
     used, word = np.unique(kinds >> CONTEXT_BITS, return_inverse=True)
@@ -419,10 +445,12 @@ def _summed(t: pa.Table) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarr
 def states_of(asked: DataFrame, batches: int) -> DataFrame:
     """One row per part with the counts of all batches, and one table per dish to begin with."""
     def fold(key: tuple, t: pa.Table) -> pa.Table:
+        C.begin_step("counts")
         words, lens, word, context, c, keys = _summed(t)
         return pa.table(_table([(key[1].as_py(), key[0].as_py(), words, lens, *_pack_types(word, context), _pack_keys(keys), _pack(c))], _ASK))
 
     def merged(key: tuple, t: pa.Table) -> pa.Table:
+        C.begin_step("counts")
         return pa.table(_table([first_state(key[0].as_py(), t, CLASS_NUMBERS)], _STATE))
 
     while batches > FAN:
@@ -460,6 +488,13 @@ class Part:
         self.dish_word, self.dish_class = self.dishes // CLASSES, self.dishes % CLASSES
         self.seated()
 
+    def with_seats(self, r: dict) -> Part:
+        """The same types, seated as the row says."""
+        p = copy.copy(self)
+        p.tables, p.class_tables, p.word_tables = (_unpack(r[c], np.int64) for c in ("tables", "class_tables", "word_tables"))
+        p.seated()
+        return p
+
     @functools.cached_property
     def hashes(self) -> np.ndarray:
         return _hashes(self.words, self.lens)
@@ -580,6 +615,7 @@ def predictive(customers: np.ndarray, tables: np.ndarray, at: np.ndarray, up: np
 def sweep(state: DataFrame, contexts: DataFrame, known: dict, model: Broadcast | None, number: int, folder: str) -> DataFrame:
     """Re-seat the restaurants of words, classes and the unigram.  contexts: the tables of the words' restaurants."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        C.begin_step("sweeps")
         (d2, s2), (d1, s1), (d0, s0) = CONTEXT_PARAMETERS, CLASS_PARAMETERS, WORD_PARAMETERS
         done = []
         for r in left.to_pylist():
@@ -658,17 +694,17 @@ class Asked:
         """Customers of the types in their own restaurant; training counts of the words."""
         return _at(p.counts, self.kind, self.kind_hit), _at(p.seen, self.at, self.hit)
 
-    def probabilities(self, p: Part, sums: dict, model: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
-        """Of the types their tables in their own restaurant, and their probability in its parent."""
-        base = np.where(self.hit, np.exp(spelled(self.words, self.lens, model)), unknown)
-        up0 = unigram(_at(p.customers, self.at, self.hit), _at(p.word_tables, self.at, self.hit), base, sums)[self.word]
+    def probabilities(self, p: Part, sums: dict, words: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of the types their tables in their own restaurant, and their probability in its parent.  words: the unigram
+        probabilities of the part's words; unknown: that of all words that weren't learnt."""
+        up0 = np.where(self.hit, words[self.at] if len(words) else 0, unknown)[self.word]
         up1 = predictive(_at(p.class_customers, self.dish, self.dish_hit), _at(p.class_tables, self.dish, self.dish_hit), self.cls, up0, sums, CLASS_PARAMETERS)
         return _at(p.tables, self.kind, self.kind_hit), up1
 
 
-def answers(asked: DataFrame, batches: int, samples: list[tuple[DataFrame, DataFrame, dict, Broadcast]]) -> DataFrame:
-    """For every batch and part what it needs to score each type it asked for, and the words' training counts."""
-    masses = known_mass(samples[0][0], [model for *_, model in samples])
+def answers(asked: DataFrame, batches: int, samples: list[tuple[DataFrame, DataFrame, dict, Broadcast]], masses: list[float]) -> DataFrame:
+    """For every batch and part what it needs to score each type it asked for, and the words' training counts.  masses: how much
+    of each sample's spelling lies on learnt words."""
     shared = [(sums, model, max(1 - mass, 1e-12)) for (_, _, sums, model), mass in zip(samples, masses, strict=True)]
     # All samples seat the same types: these travel once, the tables once for each sample, and so do the contexts' tables.
     seats = ["part", "tables", "class_tables", "word_tables"]
@@ -681,16 +717,23 @@ def answers(asked: DataFrame, batches: int, samples: list[tuple[DataFrame, DataF
     states = states.withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        C.begin_step("answers")
         rows: list[dict] = [{} for _ in shared]
         for r in right.to_pylist():
             rows[r["sample"]] |= {c: v for c, v in r.items() if v is not None}
-        own = [(Part(rows[0] | r, CLASS_NUMBERS), _unpack_keys(r.get("after")), _unpack(r.get("after_tables", b""), np.int64)) for r in rows if "words" in rows[0]]
+        own = []
+        if "words" in rows[0]:
+            first = Part(rows[0], CLASS_NUMBERS)
+            for r, (sums, model, unknown) in zip(rows, shared, strict=True):
+                p = first.with_seats(r) if own else first
+                words = unigram(p.customers, p.word_tables, np.exp(spelled(p.words, p.lens, model.value)), sums)  # once, not by every batch
+                own.append((p, words, float(unigram(0, 0, unknown, sums)), sums, _unpack_keys(r.get("after")), _unpack(r.get("after_tables", b""), np.int64)))
         out: list[tuple] = []
         for r in left.to_pylist() if own else []:
             asks, seats, above, tables = Asked(own[0][0], r), [], [], []
             held, count = asks.counts(own[0][0])
-            for (p, after, after_tables), (sums, model, unknown) in zip(own, shared, strict=True):
-                one, up = asks.probabilities(p, sums, model.value, unknown)
+            for p, words, unknown, sums, after, after_tables in own:
+                one, up = asks.probabilities(p, sums, words, unknown)
                 seats.append(one)
                 above.append(np.log(np.maximum(up, 1e-300)).astype(np.float32))
                 tables.append(_at(after_tables, *_found(after, asks.mine)))
@@ -707,6 +750,7 @@ def scored(batches: DataFrame, replies: DataFrame, samples: int, least: int, sum
     d, strength = CONTEXT_PARAMETERS
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        C.begin_step("scores")
         order = [int(i) for i in np.argsort(right["part"].to_numpy())]
         kinds, stream, sizes = types_of_batch(left.drop_columns(["ids"]).to_pylist()[0])
 
@@ -754,10 +798,12 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES, least:
             if k == 1 or k <= sweeps - samples + 1:  # the sweep before is read no more
                 C.removed(spark, f"{folder}/state{k - 1}", f"{folder}/contexts{k - 1}", *[f"{folder}/{x}" for x in ("often", "owning") if k == 1])
         kept, done = kept[-samples:], []
-        rounds = max(1, min(ROUNDS, -(-size["batches"] // FAN)))  # what is asked and answered is kept for one round's batches
+        masses = known_mass(kept[0][0], [model for *_, model in kept])
+        # what is asked and answered is kept for one round's batches
+        rounds = max(1, min(2, size["batches"]), min(ROUNDS, -(-size["batches"] // FAN)))
         for k in range(rounds):
             some = stored.filter(F.pmod(F.xxhash64("batch"), F.lit(rounds)) == k)
-            replies = C.stored(answers(asked_by(some, parts), max(1, -(-size["batches"] // rounds)), kept), f"{folder}/replies{k}")
+            replies = C.stored(answers(asked_by(some, parts, counted=False), max(1, -(-size["batches"] // rounds)), kept, masses), f"{folder}/replies{k}")
             if k == rounds - 1:  # the last answers are given
                 C.removed(spark, *(f"{folder}/{x}{i}" for i in range(sweeps - len(kept) + 1, sweeps + 1) for x in ("state", "contexts")))
             done.append(C.stored(scored(some, replies, len(kept), least, sums), f"{folder}/scores{k}"))

@@ -144,3 +144,36 @@ def test_only_the_scores_stay_on_disk(spark, tmp_path, monkeypatch):
     assert sorted(p.name for p in (tmp_path / "lm").iterdir() if not p.name.startswith(".")) == [f"scores{k}" for k in range(L.ROUNDS)]
     assert spark.conf.get(setting) == "false"
     assert sorted(r.doc_id for r in got.collect()) == list(range(40))
+
+
+def test_few_batches_are_answered_in_two_rounds(spark, tmp_path, monkeypatch):
+    """Half of what is asked and answered is on disk at a time, also while one group could answer all."""
+    monkeypatch.setattr(L.C, "scratch", lambda *_: str(tmp_path / "lm"))
+    monkeypatch.setattr(L, "BATCH_TOKENS", 20)
+    rows = [(i, f"the cat {'sat' if i % 2 else 'ran'} on mat {i}", i % 5 == 0) for i in range(40)]
+    got = L.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"))
+    assert sorted(p.name for p in (tmp_path / "lm").iterdir() if p.name.startswith("scores")) == ["scores0", "scores1"]
+    assert sorted(r.doc_id for r in got.collect()) == list(range(40))
+
+
+def test_words_of_a_column_are_those_of_the_bytes(edge):
+    texts = [r.text for r in edge.collect()] + [" ", "\x0ba\x1cB\x85 C ", "a" * 3]
+    words, sizes = L.split_words(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) + 1 for w in want]
+    assert words.cast(pa.binary()).to_pylist() == sum(want, [])
+    batch = L.batch_of(7, [(pa.array(range(len(texts))), pa.array([i % 3 == 0 for i in range(len(texts))]), words, sizes)], [x.split()[0] for x in L._BATCH.split(", ")]).to_pylist()[0]
+    data, lens, h = L._words_of(batch)
+    listed = [data[e - n:e].tobytes() for e, n in zip(np.cumsum(lens), lens, strict=True)]
+    assert (np.diff(h.astype(object)) > 0).all() and [listed[k] for k in L._unpack(batch["stream"], np.uint32)] == sum(([*w, b""] for w in want), [])
+    learnt = Counter(w for i, ws in enumerate(want) if i % 3 for w in [*ws, b""])
+    assert L._unpack(batch["seen"], np.int64).tolist() == [learnt[w] for w in listed] and batch["learnt"] == sum(learnt.values())
+
+
+def test_memory_goes_back_when_a_worker_turns_to_another_step(monkeypatch):
+    calls = []
+    monkeypatch.setattr(L.C, "_step", None)
+    monkeypatch.setattr(L.C.ctypes, "CDLL", lambda _: type("Libc", (), {"malloc_trim": staticmethod(calls.append)}))
+    for step in ("counts", "counts", "sweeps", "sweeps", "counts"):
+        L.C.begin_step(step)
+    assert calls == [0, 0, 0]
