@@ -20,7 +20,7 @@ at a time; a part seats its words and answers ``FAN`` batches at a time, so that
 number of batches.  A word's tables as a context lie with the words that follow it, in many parts: after each sweep the part
 of the context's own word adds them up and sends them to the parts that hold types of it.  Its customers are its own count.
 A batch is told both with its words' counts, and adds its answers up per document.  A word in a third of all texts is a few
-types per batch.  Batches ask, and are scored, in at most ``ROUNDS`` rounds; what a round, or a sweep, leaves on disk goes when
+types per batch.  Batches ask, and are scored, in two to ``ROUNDS`` rounds; what a round, or a sweep, leaves on disk goes when
 the next has read it.  Through the driver go totals of the classes and the spelling model, which has a fixed number of context
 slots (at most ``SLOTS3`` * 258 numbers).  Words are told apart by 64-bit hashes, contexts by 59 bits and the class.
 
@@ -356,8 +356,11 @@ def _bytes_of(r: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashes(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    raw, ends = data.tobytes(), np.cumsum(lens).tolist()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, map(raw.__getitem__, map(slice, [0, *ends], ends))), np.uint64, len(ends))
+    spaced = np.full(len(data) + len(lens), ord(" "), np.uint8)  # no word has a space
+    inside = np.ones(len(spaced), bool)
+    inside[np.cumsum(lens + 1) - 1] = False
+    spaced[inside] = data
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, spaced.tobytes().split(b" ")[:-1]), np.uint64, len(lens))
 
 
 def _words_of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -761,9 +764,12 @@ def scored(batches: DataFrame, replies: DataFrame, samples: int, least: int, sum
         seen, tables = replied("counts", np.int64, 1)[0], replied("tables", np.int64)
         context = (kinds & CONTEXT_MASK) - 1  # customers of a word's restaurant: what follows it, as often as itself
         own = (context >= 0) & (seen[context] >= least)
-        p = np.exp(replied("above", np.float32).astype(np.float64))
-        below = (replied("held", np.int64, 1) - d * replied("seats", np.int64) + (strength + d * tables[:, context]) * p) / (strength + seen[context])
-        log10 = np.log10(np.maximum(np.where(own, below, p).mean(0), 1e-300))
+        held, seats, above = replied("held", np.int64, 1)[0], replied("seats", np.int64), replied("above", np.float32)
+        total = np.zeros(len(kinds))
+        for k in range(samples):
+            p = np.exp(above[k].astype(np.float64))
+            total += np.where(own, (held - d * seats[k] + (strength + d * tables[k][context]) * p) / (strength + seen[context]), p)
+        log10 = np.log10(np.maximum(total / samples, 1e-300))
         count = seen[kinds >> CONTEXT_BITS]
         base = np.log10((count + 1) / (n + (v + 1)))
         first = np.cumsum(sizes) - sizes
