@@ -54,6 +54,7 @@ SWEEPS, SAMPLES = 3, 2
 CONTEXT_PARAMETERS, CLASS_PARAMETERS, WORD_PARAMETERS, SPELL_PARAMETERS = (0.8, 5.0), (0.7, 20.0), (0.6, 100.0), (0.4, 2.0)  # discount, strength
 SYMBOLS, STOP, BEGIN = 258, 256, 257  # bytes, the word's end, and what stands before its first byte
 SLOTS2, SLOTS3 = 1 << 12, 1 << 14
+SPELL_WORDS, SCORE_TYPES = 16_384, 1 << 17  # worked on at a time
 SEED = 11
 CONTEXT_BITS = 32  # a type is word << CONTEXT_BITS | context, both numbered within a batch or a part
 CONTEXT_MASK = (1 << CONTEXT_BITS) - 1
@@ -123,21 +124,34 @@ def _symbols(words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s, begin, before[0], slot2, slot3
 
 
+def _some_words(words: np.ndarray, lens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and lengths of ``SPELL_WORDS`` words at a time, as a word's symbols take many times its bytes."""
+    ends = np.r_[0, np.cumsum(lens)]
+    for a in range(0, len(lens), SPELL_WORDS):
+        z = min(a + SPELL_WORDS, len(lens))
+        yield words[ends[a]:ends[z]], lens[a:z]
+
+
 def spelled(words: np.ndarray, lens: np.ndarray, model: np.ndarray) -> np.ndarray:
     """Probability of each word under the spelling model (natural log)."""
     if not len(lens):
         return np.empty(0)
-    s, begin, _, _, slot3 = _symbols(words, lens)
-    return np.add.reduceat(model[slot3 * SYMBOLS + s].astype(np.float64), begin)
+    out = []
+    for some in _some_words(words, lens):
+        s, begin, _, _, slot3 = _symbols(*some)
+        out.append(np.add.reduceat(model[slot3 * SYMBOLS + s].astype(np.float64), begin))
+    return np.concatenate(out)
 
 
 def spell_counts(words: np.ndarray, lens: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Customers of the longest contexts: keys (slot 3, slot 2, slot 1, symbol) packed, and counts."""
     if not len(lens):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    s, _, slot1, slot2, slot3 = _symbols(words, lens)
-    key = ((slot3 * SLOTS2 + slot2) * SYMBOLS + slot1) * SYMBOLS + s
-    values, which = np.unique(key, return_inverse=True)
+    keys = []
+    for some in _some_words(words, lens):
+        s, _, slot1, slot2, slot3 = _symbols(*some)
+        keys.append(((slot3 * SLOTS2 + slot2) * SYMBOLS + slot1) * SYMBOLS + s)
+    values, which = np.unique(_joined(keys), return_inverse=True)
     return values, np.bincount(which, np.repeat(times, lens + 1)).astype(np.int64)
 
 
@@ -190,7 +204,7 @@ def word_class(last: np.ndarray) -> np.ndarray:
 
 def _pack(a: np.ndarray) -> bytes:
     """Bytes of the same weight side by side, compressed."""
-    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T), 3)
 
 
 def _unpack(raw: bytes, kind: type) -> np.ndarray:
@@ -297,7 +311,12 @@ def _tokens_of(r: dict) -> tuple[np.ndarray, np.ndarray]:
 def types_of_batch(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted types, each token's type, sizes."""
     tokens, sizes = _tokens_of(r)
-    kinds, which = np.unique(tokens, return_inverse=True)
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    new = np.diff(tokens, prepend=-1) != 0
+    kinds, which = tokens[new], np.empty(len(tokens), np.int32)  # less memory than np.unique takes
+    del tokens
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
     return kinds, which, sizes
 
 
@@ -318,6 +337,12 @@ def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
 _ASK = "batch long, part long, words binary, lens binary, type_word binary, type_context binary, contexts binary, counts binary"
 
 
+def _rows(t: pa.Table) -> Iterator[dict]:
+    """A table's rows, one at a time."""
+    for i in range(t.num_rows):
+        yield t.slice(i, 1).to_pylist()[0]
+
+
 def _table(values: list[tuple], schema: str) -> dict:
     fields = [x.split() for x in schema.split(", ")]
     return {name: pa.array([v[i] for v in values], pa.int64() if kind == "long" else pa.binary()) for i, (name, kind) in enumerate(fields)}
@@ -375,7 +400,7 @@ def _pack_types(word: np.ndarray, context: np.ndarray) -> tuple[bytes, bytes]:
 
 def _types_of(r: dict) -> tuple[np.ndarray, np.ndarray]:
     """Word number (ascending) and context of each of a row's types."""
-    return np.cumsum(_unpack(r["type_word"], np.uint32).astype(np.int64)), _unpack(r["type_context"], np.uint32).astype(np.int64)
+    return np.cumsum(_unpack(r["type_word"], np.uint32), dtype=np.uint32), _unpack(r["type_context"], np.uint32)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -411,38 +436,59 @@ def _joined(arrays: list[np.ndarray]) -> np.ndarray:
     return x
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Numbers in 32 bits where they fit."""
+    return n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
+
+
+def _numbered(x: np.ndarray, below: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones of the numbers under ``below``, ascending, and each one's place among these, counted from ``first``."""
+    there = np.zeros(below, bool)
+    there[x] = True
+    place = np.cumsum(there, dtype=np.uint32)
+    place += np.uint32(first)
+    place -= np.uint32(1)  # first + 1 stands at the first one there
+    return np.flatnonzero(there), place[x]
+
+
 def _summed(t: pa.Table) -> tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The learnt types of several rows of one part: packed words by hash and lengths, then words, contexts and counts of the
     types, and the contexts' keys, ascending."""
     datas, lens, hashes, words, contexts, keys, counts, n, m = [], [], [], [], [], [], [], 0, 0
-    for r in t.to_pylist():
+    for r in _rows(t):
         data, size, h = _words_of(r)
         word, context = _types_of(r)
         datas.append(data)
         lens.append(size)
         hashes.append(h)
-        words.append(word + n)
-        contexts.append(np.where(context >= CLASSES, context + m, context))
+        words.append(word + np.uint32(n))
+        contexts.append(np.where(context >= CLASSES, context + np.uint32(m), context))
         keys.append(_contexts_of(r))
-        counts.append(_unpack(r["counts"], np.int64))
+        counts.append(_narrow(_unpack(r["counts"], np.int64)))
         n, m = n + len(size), m + len(keys[-1])
     _, first, which = np.unique(_joined(hashes), return_index=True, return_inverse=True)
     known, number = np.unique(_joined(keys), return_inverse=True)
     kinds = which[_joined(words)] << CONTEXT_BITS
     kinds |= np.r_[CLASS_NUMBERS, number + CLASSES][_joined(contexts)]
     del which, number
-    kinds, kind_of = np.unique(kinds, return_inverse=True)
-    c = np.zeros(len(kinds), np.int64)
-    np.add.at(c, kind_of, _joined(counts))
-    del kind_of
-    learnt = np.flatnonzero(c)
-    kinds, c = kinds[learnt], c[learnt]
-    used, word = np.unique(kinds >> CONTEXT_BITS, return_inverse=True)
+    order = np.argsort(kinds)
+    kinds = kinds[order]
+    new = np.flatnonzero(np.diff(kinds, prepend=-1))
+    kinds, c = kinds[new], _joined(counts)[order]
+    del order
+    c = np.add.reduceat(c, new, dtype=np.int64) if len(new) else np.zeros(0, np.int64)
+    if not c.all():
+        learnt = np.flatnonzero(c)
+        kinds, c = kinds[learnt], c[learnt]
+    del new
+    word = (kinds >> CONTEXT_BITS).astype(np.uint32)
+    context = (kinds & CONTEXT_MASK).astype(np.uint32)
+    del kinds
+    used, word = _numbered(word, len(first))
     data, size = _gather(np.concatenate(datas), np.concatenate(lens), first[used])
-    context = kinds & CONTEXT_MASK
-    some, at = np.unique(context[context >= CLASSES], return_inverse=True)
-    context[context >= CLASSES] = at + CLASSES
-    return zstandard.compress(data.tobytes(), 3), _pack(size.astype(np.uint32)), word, context, c, known[some - CLASSES]
+    own = context >= CLASSES
+    some, context[own] = _numbered(context[own] - np.uint32(CLASSES), len(known), CLASSES)
+    return zstandard.compress(data.tobytes(), 3), _pack(size.astype(np.uint32)), word, context, c, known[some]
 
 
 def states_of(asked: DataFrame, batches: int) -> DataFrame:
@@ -464,16 +510,24 @@ def states_of(asked: DataFrame, batches: int) -> DataFrame:
 
 def first_state(part: int, t: pa.Table, cls: np.ndarray) -> tuple:
     words, lens, word, context, c, keys = _summed(t)
-    dishes = len(np.unique(word * CLASSES + classes_of(cls, keys)[context]))
+    words_ = int(word[-1]) + 1 if len(word) else 0
+    dishes = len(_dishes(word, classes_of(cls, keys)[context], words_)[0])
     ones = lambda n: _pack(np.ones(n, np.int64))
     row = dict(zip(_COLUMNS, (part, words, lens, *_pack_types(word, context), _pack_keys(keys), _pack(np.ones(len(keys), bool)), _pack(c), ones(len(c)), ones(dishes),
-                              ones(len(np.unique(word)))), strict=False))
+                              ones(words_)), strict=False))
     return tuple((row | Part(row, cls).summary()).values())
 
 
 def classes_of(cls: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Classes of a row's contexts: the classes themselves, then the previous words."""
-    return np.concatenate([cls, (keys & np.uint64(CLASSES - 1)).astype(np.int64)])
+    return np.concatenate([cls, (keys & np.uint64(CLASSES - 1)).astype(np.int64)]).astype(np.int8)
+
+
+def _dishes(word: np.ndarray, cls: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The types' dishes (word * CLASSES + class), ascending, and each type's place among them."""
+    key = word * np.uint32(CLASSES)  # a part has some PART_WORDS words
+    key += cls.astype(np.uint32)
+    return _numbered(key, words * CLASSES)
 
 
 class Part:
@@ -487,7 +541,7 @@ class Part:
         self.counts, self.tables, self.class_tables, self.word_tables = (_unpack(r[c], np.int64) for c in ("counts", "tables", "class_tables", "word_tables"))  # 64 bits: "the" passes 2^32
         self.keys = _contexts_of(r)
         self.own = np.r_[np.zeros(CLASSES, bool), _unpack(r["own"], np.bool_)][self.context]
-        self.dishes, self.dish = np.unique(self.word * CLASSES + classes_of(cls, self.keys)[self.context], return_inverse=True)
+        self.dishes, self.dish = _dishes(self.word, classes_of(cls, self.keys)[self.context], len(self.lens))
         self.dish_word, self.dish_class = self.dishes // CLASSES, self.dishes % CLASSES
         self.seated()
 
@@ -504,7 +558,10 @@ class Part:
 
     @functools.cached_property
     def kinds(self) -> np.ndarray:
-        return self.word << CONTEXT_BITS | self.context
+        kinds = self.word.astype(np.int64)
+        kinds <<= CONTEXT_BITS
+        kinds |= self.context
+        return kinds
 
     @functools.cached_property
     def seen(self) -> np.ndarray:
@@ -546,7 +603,7 @@ def context_sums(state: DataFrame, parts: int, what: str, path: str) -> DataFram
                 yield pa.RecordBatch.from_pydict(_table(rows_, _CONTEXTS))
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        asked = [(r["place"], _unpack_keys(r["keys"]), _unpack(r["n"], np.int64)) for r in t.to_pylist()]
+        asked = [(r["place"], _unpack_keys(r["keys"]), _unpack(r["n"], np.int64)) for r in _rows(t)]
         keys, which = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
         n = np.zeros(len(keys), np.int64)
         np.add.at(n, which, np.concatenate([x for _, _, x in asked]))
@@ -626,7 +683,8 @@ def sweep(state: DataFrame, contexts: DataFrame, known: dict, model: Broadcast |
             base = np.exp(spelled(p.words, p.lens, model.value)) if model else np.full(len(p.lens), 1 / (known["V"] + 1))
             up0 = unigram(p.customers, p.word_tables, base, known)[p.dish_word]
             up1 = predictive(p.class_customers, p.class_tables, p.dish_class, up0, known, CLASS_PARAMETERS)
-            own, p.tables = np.flatnonzero(p.own), p.tables.copy()
+            own = np.flatnonzero(p.own & (p.counts > 1))  # one customer sits at one table
+            p.tables = p.tables.copy()
             p.tables[own] = seat(p.counts[own], (s2 + d2 * told(right)[p.context[own] - CLASSES]) * up1[p.dish[own]], d2, rng)
             p.seated()
             p.class_tables = seat(p.class_customers, (s1 + d1 * known["tables"][p.dish_class]) * up0, d1, rng)
@@ -722,7 +780,7 @@ def answers(asked: DataFrame, batches: int, samples: list[tuple[DataFrame, DataF
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         C.begin_step("answers")
         rows: list[dict] = [{} for _ in shared]
-        for r in right.to_pylist():
+        for r in _rows(right):
             rows[r["sample"]] |= {c: v for c, v in r.items() if v is not None}
         own = []
         if "words" in rows[0]:
@@ -731,8 +789,9 @@ def answers(asked: DataFrame, batches: int, samples: list[tuple[DataFrame, DataF
                 p = first.with_seats(r) if own else first
                 words = unigram(p.customers, p.word_tables, np.exp(spelled(p.words, p.lens, model.value)), sums)  # once, not by every batch
                 own.append((p, words, float(unigram(0, 0, unknown, sums)), sums, _unpack_keys(r.get("after")), _unpack(r.get("after_tables", b""), np.int64)))
+        rows.clear()
         out: list[tuple] = []
-        for r in left.to_pylist() if own else []:
+        for r in _rows(left) if own else []:
             asks, seats, above, tables = Asked(own[0][0], r), [], [], []
             held, count = asks.counts(own[0][0])
             for p, words, unknown, sums, after, after_tables in own:
@@ -755,25 +814,30 @@ def scored(batches: DataFrame, replies: DataFrame, samples: int, least: int, sum
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         C.begin_step("scores")
         order = [int(i) for i in np.argsort(right["part"].to_numpy())]
-        kinds, stream, sizes = types_of_batch(left.drop_columns(["ids"]).to_pylist()[0])
+        kinds, stream, sizes = types_of_batch(left.select(["sizes", "stream"]).to_pylist()[0])
 
         def replied(column: str, kind: type, of: int = samples) -> np.ndarray:
             found = [_unpack(right[column][i].as_py(), kind) for i in order]
-            return np.concatenate([x.reshape(of, len(x) // of) for x in found], 1)
+            found = [(x if kind is np.float32 else _narrow(x)).reshape(of, len(x) // of) for x in found]
+            return np.concatenate(found, 1)
 
         seen, tables = replied("counts", np.int64, 1)[0], replied("tables", np.int64)
         context = (kinds & CONTEXT_MASK) - 1  # customers of a word's restaurant: what follows it, as often as itself
         own = (context >= 0) & (seen[context] >= least)
         held, seats, above = replied("held", np.int64, 1)[0], replied("seats", np.int64), replied("above", np.float32)
-        total = np.zeros(len(kinds))
-        for k in range(samples):
-            p = np.exp(above[k].astype(np.float64))
-            total += np.where(own, (held - d * seats[k] + (strength + d * tables[k][context]) * p) / (strength + seen[context]), p)
-        log10 = np.log10(np.maximum(total / samples, 1e-300))
-        count = seen[kinds >> CONTEXT_BITS]
-        base = np.log10((count + 1) / (n + (v + 1)))
+        log10 = np.zeros(len(kinds))
+        for a in range(0, len(kinds), SCORE_TYPES):
+            at = slice(a, a + SCORE_TYPES)
+            after = context[at]
+            for k in range(samples):
+                p = np.exp(above[k, at].astype(np.float64))
+                log10[at] += np.where(own[at], (held[at] - d * seats[k, at] + (strength + d * tables[k][after]) * p) / (strength + seen[after]), p)
+            log10[at] = np.log10(np.maximum(log10[at] / samples, 1e-300))
+        del held, seats, above, context, own
+        count = seen[kinds >> CONTEXT_BITS].astype(np.int64)
+        del kinds
         first = np.cumsum(sizes) - sizes
-        sums_ = [np.add.reduceat(x[stream], first) for x in ((count > 0).astype(np.int64), base, log10)]
+        sums_ = [np.add.reduceat(x()[stream], first) for x in (lambda: (count > 0).astype(np.int64), lambda: np.log10((count + 1) / (n + (v + 1))), lambda: log10)]
         return pa.table({"doc_id": left["ids"].combine_chunks().values, "held_out": left["held"].combine_chunks().values, "n_tokens": pa.array(sizes), "n_known": pa.array(sums_[0]),
                          "train_tokens": pa.array(np.full(len(sizes), n)), "base_score": pa.array(sums_[1]), "score": pa.array(sums_[2])})
 
@@ -801,9 +865,11 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES, least:
             model = spelling(state, model, k)
             log = spark.sparkContext.broadcast(model["log"])  # one for the next sweep and the answers
             kept.append((state, contexts, sums, log))
+            if len(kept) > samples:
+                kept.pop(0)[3].unpersist()
             if k == 1 or k <= sweeps - samples + 1:  # the sweep before is read no more
                 C.removed(spark, f"{folder}/state{k - 1}", f"{folder}/contexts{k - 1}", *[f"{folder}/{x}" for x in ("often", "owning") if k == 1])
-        kept, done = kept[-samples:], []
+        done = []
         masses = known_mass(kept[0][0], [model for *_, model in kept])
         # what is asked and answered is kept for one round's batches
         rounds = max(1, min(2, size["batches"]), min(ROUNDS, -(-size["batches"] // FAN)))

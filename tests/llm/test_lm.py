@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -177,3 +178,42 @@ def test_memory_goes_back_when_a_worker_turns_to_another_step(monkeypatch):
     for step in ("counts", "counts", "sweeps", "sweeps", "counts"):
         L.C.begin_step(step)
     assert calls == [0, 0, 0]
+
+
+def _peak_mb(f):
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_spelling_holds_few_words_at_a_time():
+    rng = np.random.default_rng(3)
+    lens = rng.integers(1, 12, 100_000)
+    data, model = rng.integers(97, 123, int(lens.sum())).astype(np.uint8), rng.random(L.SLOTS3 * L.SYMBOLS).astype(np.float32)
+    got, peak = _peak_mb(lambda: L.spelled(data, lens, model))
+    assert peak < 30  # 52 with the symbols of all words at once
+    ends = np.r_[0, np.cumsum(lens)]
+    one = [L.spelled(data[ends[i]:ends[i + 1]], lens[i:i + 1], model)[0] for i in (0, 16_383, 16_384, 99_999)]
+    assert got[[0, 16_383, 16_384, 99_999]].tolist() == one
+
+
+def test_types_are_numbered_in_little_memory():
+    rng = np.random.default_rng(4)
+    sizes = np.full(1000, 500)
+    stream = rng.integers(0, 5000, int(sizes.sum())).astype(np.uint32)
+    r = {"stream": L._pack(stream), "sizes": L._pack(sizes.astype(np.uint32))}
+    (kinds, which, _), peak = _peak_mb(lambda: L.types_of_batch(r))
+    tokens, _ = L._tokens_of(r)
+    known, number = np.unique(tokens, return_inverse=True)
+    assert (kinds == known).all() and (which == number).all()
+    assert peak < 36 * len(stream) / 1e6  # 57 bytes a token with np.unique
+
+
+def test_numbered_dishes():
+    word, cls = np.array([0, 0, 1, 3, 3], np.uint32), np.array([5, 2, 31, 0, 0], np.int8)
+    dishes, dish = L._dishes(word, cls, 4)
+    assert dishes.tolist() == [2, 5, 63, 96] and dish.tolist() == [1, 0, 2, 3, 3]
+    assert [x.tolist() for x in L._dishes(word[:0], cls[:0], 0)] == [[], []]
