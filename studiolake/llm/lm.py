@@ -854,7 +854,7 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES, least:
     size = stored.agg(F.count("*").alias("batches"), F.sum("learnt").alias("learnt")).first()
     n = size["learnt"] or 0
     parts = max(LEAST_PARTS, -(-vocabulary(stored) // PART_WORDS))
-    with C.shuffles_removed(spark):  # all steps are stored
+    with C.shuffles_removed(spark), C.blob_batches(spark):  # all steps are stored
         state = C.stored(states_of(asked_by(stored, parts), size["batches"]), f"{folder}/state0")
         state = state if least == 1 else with_own(state, parts, least, folder)
         model, log, kept = None, None, []

@@ -217,3 +217,12 @@ def test_numbered_dishes():
     dishes, dish = L._dishes(word, cls, 4)
     assert dishes.tolist() == [2, 5, 63, 96] and dish.tolist() == [1, 0, 2, 3, 3]
     assert [x.tolist() for x in L._dishes(word[:0], cls[:0], 0)] == [[], []]
+
+
+def test_packed_rows_travel_few_at_a_time(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    with L.C.blob_batches(spark):
+        seen = spark.range(10, numPartitions=1).mapInArrow(lambda rows: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in rows), "n long").collect()
+    assert max(r.n for r in seen) == 4 and sum(r.n for r in seen) == 10
+    assert spark.conf.get(setting) == before
