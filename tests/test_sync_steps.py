@@ -1,12 +1,15 @@
-"""Steps of the sync and the store: what is worked out once, and date texts."""
+"""Steps of the sync and the store: what runs at the same time, what is worked out once, and date texts."""
 
 import datetime as dt
 import tempfile
+import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from studiolake.functions import exprs as X
 from studiolake.operators import ingest as I
+from studiolake.operators import sync as Y
 from studiolake.sources import tables as S
 
 KEYS = ["box_id", "source_payment_id"]
@@ -17,6 +20,39 @@ def day(month: int, d: int = 5) -> dt.datetime:
     return dt.datetime(2001, month, d, 10)
 
 
+def test_reports_of_different_tables_are_merged_at_the_same_time(spark, monkeypatch):
+    """The fake merge of payments ends only while that of classes runs, and the other way round."""
+    meet, seen = threading.Barrier(2, timeout=30), []
+    rows = spark.createDataFrame([(1, 1)], "box_id int, user_id long")
+
+    def merge(path, feed, keys, **more):
+        name = path.rsplit("/", 1)[1]
+        seen.append(name)
+        if name in ("payments", "classes"):
+            meet.wait()
+        return S.Change(1)
+    leads = spark.createDataFrame([(1, 1, "new", "1")], "box_id int, source_lead_id long, status string, phone string").withColumn("id", F.lit(1))
+    members = spark.createDataFrame([(1, 1, 1, "1")], "id long, box_id int, source_member_id long, phone string")
+    monkeypatch.setattr(S, "merge", merge)
+    monkeypatch.setattr(S, "read_table", lambda spark, path, *a, **k: leads if path.endswith("leads") else members)
+    for name in ("build_payments", "build_classes", "build_bookings", "build_leads", "build_freezes", "dedupe_holds"):
+        monkeypatch.setattr(I, name, lambda *a: rows)
+    done = Y.sync(spark, dict.fromkeys(["sales", "classes", "bookings", "leads", "holds"], rows), "store", dt.date(2001, 8, 1), partial=True)
+    assert sorted(seen) == ["bookings", "classes", "freezes", "leads", "leads", "payments"]
+    assert set(done) == {"bookings", "classes", "freezes", "leads", "payments", "vanished leads"}
+
+
+def test_a_failed_step_fails_the_sync_when_the_others_have_ended(spark):
+    from studiolake.session import together
+    ended = []
+
+    def bad():
+        raise ValueError("broken report")
+    with pytest.raises(ValueError, match="broken report"):
+        together(spark, [bad, lambda: ended.append(1), lambda: ended.append(2)])
+    assert sorted(ended) == [1, 2] and together(spark, [lambda i=i: i for i in range(9)]) == list(range(9))
+
+
 def test_rows_without_a_whole_key_are_looked_up_once(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/payments"
     stored = "box_id int, source_payment_id long, amount double, created_at timestamp_ntz"
